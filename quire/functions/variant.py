@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from functools import reduce
 from operator import or_
 
@@ -101,37 +101,36 @@ def first_truthy(*values: Column) -> Column:
     return F.coalesce(*[truthy(v) for v in values])
 
 
+ENTRY = "struct<key:string,leaf:string,value:variant>"
+
+
 def _members(v: Column, prefix: Column) -> Column:
     return F.transform(
         F.map_entries(as_map(v)),
-        lambda e: F.struct(F.concat(prefix, e["key"]).alias("key"), e["value"].alias("value")),
+        lambda e: F.struct(F.concat(prefix, e["key"]), e["key"], e["value"]).cast(ENTRY),
     )
 
 
 def flatten(v: Column, prefix: str = "", max_depth: int = MAX_DEPTH) -> Column:
-    """ARRAY<STRUCT<key, value VARIANT>> of the leaves under dotted keys.
+    """ARRAY<STRUCT<key, leaf, value VARIANT>> of the leaves under dotted keys.
 
     Objects are opened, arrays and scalars are leaves, empty objects vanish.  Works inside
     the row: no shuffle.  Deeper nesting than ``max_depth`` stops the job, never truncates.
     """
-    entry = "array<struct<key:string,value:variant>>"
-    level = _members(v, F.lit(prefix)).cast(entry)
+    level = _members(v, F.lit(prefix))
 
     def opened(e: Column) -> Column:
-        inner = _members(e["value"], F.concat(e["key"], F.lit("."))).cast(entry)
-        return F.coalesce(inner, F.array(e).cast(entry))
+        inner = _members(e["value"], F.concat(e["key"], F.lit(".")))
+        return F.coalesce(inner, F.array(e.cast(ENTRY)))
 
     for _ in range(max_depth - 1):
         level = F.flatten(F.transform(level, opened))
 
-    def check(e: Column) -> Column:
+    def leaf(e: Column) -> Column:
         deep = F.raise_error(F.lit(f"metadata nested deeper than {max_depth} levels"))
-        return F.when(is_object(e["value"]), deep.cast("variant")).otherwise(e["value"])
+        return F.when(is_object(e["value"]), deep.cast(ENTRY)).otherwise(e)
 
-    level = F.transform(
-        level, lambda e: F.struct(e["key"].alias("key"), check(e).alias("value"))
-    )
-    return F.coalesce(level, F.array().cast(entry))
+    return F.coalesce(F.transform(level, leaf), F.array().cast(f"array<{ENTRY}>"))
 
 
 def leaf_text(v: Column) -> Column:
@@ -139,20 +138,40 @@ def leaf_text(v: Column) -> Column:
     return v.try_cast("string")
 
 
+def spaced_json(text: Column) -> Column:
+    """Compact JSON text with a blank after each comma and colon outside strings."""
+    return F.regexp_replace(text, r'((?:"(?:[^"\\]++|\\.)*+"|[^,:"])*+)([,:])', "$1$2 ")
+
+
 def csv_text(v: Column) -> Column:
     """CSV cell: JSON null is '', booleans are True/False, arrays are JSON text."""
+    text = plain_text(v)
+    listed = F.startswith(F.schema_of_variant(v), F.lit("ARRAY"))
+    return F.coalesce(F.when(listed, spaced_json(text)).otherwise(text), F.lit(""))
+
+
+def plain_text(v: Column) -> Column:
+    """Scalar as text with booleans as True/False; JSON null is NULL."""
     text = leaf_text(v)
     boolean = F.schema_of_variant(v) == "BOOLEAN"
-    return F.coalesce(F.when(boolean, F.initcap(text)).otherwise(text), F.lit(""))
+    return F.when(boolean, F.initcap(text)).otherwise(text)
 
 
-def flat_map(v: Column, prefix: str = "", render=leaf_text, max_depth: int = MAX_DEPTH) -> Column:
-    """MAP<STRING,STRING> of the flattened leaves."""
-    pairs = F.transform(
-        flatten(v, prefix, max_depth),
-        lambda e: F.struct(e["key"].alias("key"), render(e["value"]).alias("value")),
-    )
-    return F.map_from_entries(pairs)
+def as_entries(leaves: Column, render: Callable[[Column], Column] | None = None) -> Column:
+    """Map of flattened leaves: VARIANT values, or what ``render`` makes of them."""
+
+    def pair(e: Column) -> Column:
+        value = e["value"] if render is None else render(e["value"])
+        return F.struct(e["key"].alias("key"), value.alias("value"))
+
+    return F.map_from_entries(F.transform(leaves, pair))
+
+
+def flat_map(
+    v: Column, prefix: str = "", render: Callable[[Column], Column] | None = leaf_text
+) -> Column:
+    """Flattened leaves as a map, text by default."""
+    return as_entries(flatten(v, prefix), render)
 
 
 def pick(v: Column, paths: Sequence[str] | None) -> Column:

@@ -10,7 +10,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quire.functions import variant as V
@@ -23,14 +23,14 @@ from quire.functions.text import (
 from quire.operators import navigation as nav
 from quire.operators import selector as sel
 from quire.operators.shred import (
-    BY_POS,
-    UP_TO_HERE,
-    WHOLE,
     Shred,
     by_level,
+    by_pos,
     is_kind,
     nesting,
     shred,
+    up_to_here,
+    whole_document,
 )
 
 DOCUMENT_ID = "__DOCUMENT__"
@@ -38,7 +38,8 @@ MODES = ("auto", "navigation", "tei_xpath", "document")
 
 FRAGMENT_COLUMNS = {
     "resource_id": "string",
-    "fragment_index": "int",
+    "position": "int",  # place in the list of fragments of the resource
+    "fragment_index": "int",  # place among all selected elements (selector mode only)
     "id": "string",
     "head": "string",
     "content": "string",
@@ -83,6 +84,10 @@ def _in_order(parts: Column) -> Column:
     return F.array_join(F.transform(F.array_sort(parts), lambda p: p["text"]), "")
 
 
+def _position(order: str) -> Column:
+    return F.row_number().over(Window.partitionBy("resource_id").orderBy(order)) - 1
+
+
 def _is_head() -> Column:
     return F.coalesce(F.col("tei") & (F.col("name") == "head"), F.lit(False))
 
@@ -96,14 +101,14 @@ def document_fragments(
     """One fragment per document: all text of its first ``text`` element, with or without heads."""
     opening = is_kind("open", "empty")
     is_text = opening & F.col("tei") & (F.col("name") == "text") & (F.col("depth") > 1)
-    t = tokens.withColumn("_start", F.min(F.when(is_text, F.col("pos"))).over(WHOLE))
+    t = tokens.withColumn("_start", F.min(F.when(is_text, F.col("pos"))).over(whole_document()))
     closes = is_kind("close") & (F.col("elem_pos") == F.col("_start"))
-    t = t.withColumn("_end", F.min(F.when(closes, F.col("pos"))).over(WHOLE))
+    t = t.withColumn("_end", F.min(F.when(closes, F.col("pos"))).over(whole_document()))
     inside = (F.col("pos") >= F.col("_start")) & (F.col("pos") < F.col("_end"))
     keep = F.coalesce(inside, F.lit(False))
     if not add_head_to_content:
         head = _is_head() & keep & (F.col("pos") > F.col("_start"))
-        t = t.withColumns({"_head": head, "_heads": F.max(head).over(WHOLE)})
+        t = t.withColumns({"_head": head, "_heads": F.max(head).over(whole_document())})
         t = t.withColumn("_in_head", (nesting(F.col("_head")) > 0) | F.col("_head"))
         keep = keep & ~F.col("_in_head") & ~(F.col("_heads") & F.col("after_pi"))
     content = normalize_ws(_in_order(F.collect_list(F.when(keep, F.struct("pos", "text")))))
@@ -112,7 +117,7 @@ def document_fragments(
         out.withColumns(
             {
                 "id": F.lit(DOCUMENT_ID),
-                "fragment_index": F.lit(0),
+                "position": F.lit(0),
                 "breadcrumb": F.lit("" if include_breadcrumb else None),
             }
         )
@@ -194,7 +199,7 @@ def navigation_fragments(
     return _shaped(
         out.withColumns(
             {
-                "fragment_index": F.col("pos"),
+                "position": _position("pos"),
                 "id": F.col("member_id"),
                 "head": head,
                 "content": content,
@@ -227,7 +232,7 @@ def selected_text(
     """
     marked = F.col("marked")
     opening = is_kind("open", "empty")
-    ordinal = F.sum(F.when(marked & opening, 1).otherwise(0)).over(UP_TO_HERE) - 1
+    ordinal = F.sum(F.when(marked & opening, 1).otherwise(0)).over(up_to_here()) - 1
     t = tokens.withColumns({"_in": nesting(marked), "_nth": ordinal})
     itself = marked & is_kind("empty")
     t = t.filter((F.col("_in") > 0) | itself)
@@ -306,7 +311,7 @@ def ancestor_heads(tokens: DataFrame) -> DataFrame:
     t = t.withColumn("_in", nesting(F.col("heads").isNotNull()))
     nearest = F.last(F.when(is_kind("open"), F.col("heads")), ignorenulls=True)
     t = t.withColumn("_after", nearest.over(by_level("_in")))
-    t = t.withColumn("ancestor_head", F.lag("_after").over(BY_POS))
+    t = t.withColumn("ancestor_head", F.lag("_after").over(by_pos()))
     return t.filter(is_kind("open", "empty")).select("resource_id", "pos", "ancestor_head")
 
 
@@ -342,6 +347,7 @@ def selector_fragments(
     return _shaped(
         out.withColumns(
             {
+                "position": _position("fragment_index"),
                 "id": F.coalesce(F.nullif("xml_id", F.lit("")), generated),
                 "fragment_xpath": F.lit(fragment_xpath),
                 "breadcrumb": F.coalesce("head", F.lit(""))

@@ -13,7 +13,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from quire.functions.text import BLANK
@@ -43,13 +43,21 @@ MARKUP = (
 ITEM = rf"(?:{MARKUP})[^<]*+|<|[^<]++"
 COMMENT = r"(<!\[CDATA\[(?s:.*?)\]\]>)|<!--(?s:.*?)-->"
 
-BY_POS = Window.partitionBy("resource_id").orderBy("pos")
-UP_TO_HERE = BY_POS.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-BEFORE_HERE = BY_POS.rowsBetween(Window.unboundedPreceding, -1)
-WHOLE = Window.partitionBy("resource_id")
 
+def by_pos() -> WindowSpec:
+    """The rows of a document in order."""
+    return Window.partitionBy("resource_id").orderBy("pos")
 
-def by_level(level: str) -> Window:
+
+def up_to_here() -> WindowSpec:
+    return by_pos().rowsBetween(Window.unboundedPreceding, Window.currentRow)
+
+
+def whole_document() -> WindowSpec:
+    return Window.partitionBy("resource_id")
+
+
+def by_level(level: str) -> WindowSpec:
     """Rows of one nesting level in order: the last opening seen is the one still open."""
     return (
         Window.partitionBy("resource_id", level)
@@ -62,13 +70,14 @@ def is_kind(*kinds: str) -> Column:
     return F.col("kind").isin(*kinds)
 
 
-IS_ELEMENT = is_kind("open", "empty", "close")
+def is_element() -> Column:
+    return is_kind("open", "empty", "close")
 
 
 def nesting(mark: Column) -> Column:
     """Number of open marked elements after each row (``mark`` holds on open and close rows)."""
     step = F.when(mark & is_kind("open"), 1).when(mark & is_kind("close"), -1).otherwise(0)
-    return F.sum(step).over(UP_TO_HERE)
+    return F.sum(step).over(up_to_here())
 
 
 def enclosing(tokens: DataFrame, value: Column, alias: str) -> DataFrame:
@@ -80,7 +89,7 @@ def enclosing(tokens: DataFrame, value: Column, alias: str) -> DataFrame:
     inner = F.last(F.when(is_kind("open"), value), ignorenulls=True).over(by_level("level"))
     return (
         tokens.withColumn("_inner", inner)
-        .withColumn(alias, F.lag("_inner").over(BY_POS))
+        .withColumn(alias, F.lag("_inner").over(by_pos()))
         .drop("_inner")
     )
 
@@ -199,7 +208,7 @@ def _markup_rows(documents: DataFrame, clustered: bool) -> DataFrame:
             "resource_id",
             "pos",
             "kind",
-            F.when(IS_ELEMENT, F.regexp_extract(m, r"^</?([^\s/>]+)", 1)).alias("qname"),
+            F.when(is_element(), F.regexp_extract(m, r"^</?([^\s/>]+)", 1)).alias("qname"),
             F.when(opening, m).alias("markup"),
             F.when(opening, unquoted(F.col("raw_id"))).alias("own_id"),
             F.when(opening, unquoted(F.col("raw_ns"))).alias("own_ns"),
@@ -240,11 +249,11 @@ def shred(documents: DataFrame, clustered: bool = False) -> Shred:
     """
     t = _markup_rows(documents, clustered)
     opening = is_kind("open", "empty")
-    last_tag = F.last(F.when(IS_ELEMENT | is_kind("pi"), F.col("kind")), ignorenulls=True)
+    last_tag = F.last(F.when(is_element() | is_kind("pi"), F.col("kind")), ignorenulls=True)
     t = t.withColumns(
         {
             "level": nesting(F.lit(True)),
-            "after_pi": F.coalesce(last_tag.over(UP_TO_HERE), F.lit("")) == "pi",
+            "after_pi": F.coalesce(last_tag.over(up_to_here()), F.lit("")) == "pi",
         }
     )
     t = enclosing(t, F.struct("pos", "qname", "own_id", "own_ns"), "outer")
@@ -257,7 +266,7 @@ def shred(documents: DataFrame, clustered: bool = False) -> Shred:
     prefix = F.when(F.contains("qname", F.lit(":")), F.substring_index("qname", ":", 1))
     prefixed = F.array_contains(F.split("tei_prefixes", " "), prefix)
     unprefixed = F.coalesce(F.coalesce("_ns", "_default") == TEI_NAMESPACE, F.lit(False))
-    tei = F.when(IS_ELEMENT, F.when(prefix.isNotNull(), prefixed).otherwise(unprefixed))
+    tei = F.when(is_element(), F.when(prefix.isNotNull(), prefixed).otherwise(unprefixed))
 
     # faults of single rows, then of the document as a whole
     blank = F.regexp_replace("text", BLANK + "+", "") == ""
@@ -272,11 +281,11 @@ def shred(documents: DataFrame, clustered: bool = False) -> Shred:
     balance = F.when(is_kind("open"), 1).when(is_kind("close"), -1).otherwise(0)
     first_fault = F.min(
         F.when(F.col("fault").isNotNull(), F.struct("pos", "fault"))
-    ).over(WHOLE)["fault"]
+    ).over(whole_document())["fault"]
     reason = F.coalesce(
         first_fault,
-        F.when(F.sum(balance).over(WHOLE) != 0, "unclosed element"),
-        F.when(F.sum(root.cast("int")).over(WHOLE) != 1, "not one root element"),
+        F.when(F.sum(balance).over(whole_document()) != 0, "unclosed element"),
+        F.when(F.sum(root.cast("int")).over(whole_document()) != 1, "not one root element"),
     )
     t = t.withColumns({"tei": tei, "fault": row_fault}).withColumn("reason", reason)
     rows = t.filter("reason is null or pos = 0").select(

@@ -12,6 +12,8 @@ from pyspark.sql import DataFrame, SparkSession
 # token stream is exchanged once, before it is exploded, and never again.
 SQL_SETTINGS = {
     "spark.sql.requireAllClusterKeysForCoPartition": "false",
+    # sanitised payload keys may collide: the last one stays
+    "spark.sql.mapKeyDedupPolicy": "LAST_WIN",
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
 }
