@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quire.session import configure
+from quire.session import by_resource, configure
 
 BLOCK = 5  # lines per division
 
@@ -20,7 +20,9 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents")
+    """The documents table hashed by resource id, as a bucketed table would be."""
+    rid = F.expr("concat('D', doc_id)").alias("rid")
+    return by_resource(table(spark, sf_dir, "documents").select("*", rid), "rid")
 
 
 # ------------------------------------------------------------------------ TEI view
@@ -72,7 +74,7 @@ def tei(spark: SparkSession, sf_dir: str) -> DataFrame:
         "if(doc_id % 11 = 5, '</bodies>', '</body>'), '</text></TEI>\\n')"
     )
     return _with_divisions(documents(spark, sf_dir)).select(
-        F.expr("concat('D', doc_id)").alias("resource_id"), F.expr(xml).alias("xml")
+        F.col("rid").alias("resource_id"), F.expr(xml).alias("xml")
     )
 
 
@@ -114,14 +116,14 @@ def navigation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return (
         _with_divisions(documents(spark, sf_dir))
         .withColumn("list", F.expr(listed))
-        .select(F.expr("concat('D', doc_id)").alias("resource_id"), F.expr(payload).alias("payload"))
+        .select(F.col("rid").alias("resource_id"), F.expr(payload).alias("payload"))
     )
 
 
 def resource_depths(spark: SparkSession, sf_dir: str) -> DataFrame:
     """resources(resource_id, max_cite_depth) of the documents."""
     return documents(spark, sf_dir).select(
-        F.expr("concat('D', doc_id)").alias("resource_id"),
+        F.col("rid").alias("resource_id"),
         F.expr("if(doc_id % 12 = 11, 0, 2)").alias("max_cite_depth"),
     )
 
@@ -167,7 +169,7 @@ def descriptions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return (
         documents(spark, sf_dir)
         .withColumns({"dc": F.expr(DUBLIN_CORE), "ext": F.expr(EXTENSIONS)})
-        .select(F.expr("concat('D', doc_id)").alias("request_id"), F.expr(payload).alias("payload"))
+        .select(F.col("rid").alias("request_id"), F.expr(payload).alias("payload"))
     )
 
 
@@ -179,7 +181,7 @@ def parents(spark: SparkSession, sf_dir: str) -> DataFrame:
         "when 1 then '{\"member\":[]}' else '<html>' end"
     )
     return documents(spark, sf_dir).select(
-        F.expr("concat('D', doc_id)").alias("request_id"), F.expr(payload).alias("payload")
+        F.col("rid").alias("request_id"), F.expr(payload).alias("payload")
     )
 
 
@@ -337,7 +339,7 @@ def records(spark: SparkSession, sf_dir: str) -> DataFrame:
         f"when source in ('src2', 'src3') then {resource} else {result} end"
     )
     return documents(spark, sf_dir).select(
-        F.expr("concat('D', doc_id)").alias("record_id"),
+        F.col("rid").alias("record_id"),
         F.expr(f"parse_json({text})").alias("record"),
     )
 

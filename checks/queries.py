@@ -62,7 +62,7 @@ def scratch(spark: SparkSession, label: str) -> str:
 
 
 def cut(spark: SparkSession, sf: str) -> S.Shred:
-    return S.shred(C.tei(spark, sf))
+    return S.shred(C.tei(spark, sf), clustered=True)
 
 
 def described(spark: SparkSession, sf: str) -> DataFrame:
@@ -194,7 +194,7 @@ def walk_multi_parent(spark: SparkSession, sf: str) -> DataFrame:
 )
 def linked_parents(spark: SparkSession, sf: str) -> DataFrame:
     found = C.documents(spark, sf).select(
-        F.expr("concat('D', doc_id)").alias("object_id"),
+        F.col("rid").alias("object_id"),
         F.expr("concat(' src:', source, ' ')").alias("found_by"),
     )
     told = P.parents(C.parents(spark, sf))
@@ -451,7 +451,7 @@ def year_edges(spark: SparkSession, sf: str) -> DataFrame:
         "when 2 then '-50/20?' when 3 then ' 987~ ' when 4 then '/1499' when 5 then '2021-05-01' "
         "when 6 then '7/' when 7 then '' else '-3?' end"
     )
-    rows = C.documents(spark, sf).select(F.expr("concat('D', doc_id)").alias("id"), v.alias("value"))
+    rows = C.documents(spark, sf).select(F.col("rid").alias("id"), v.alias("value"))
     b = year_bounds(F.col("value"))
     return rows.select(
         "id",
@@ -721,7 +721,7 @@ def head_mismatch(spark: SparkSession, sf: str) -> DataFrame:
 def text_functions(spark: SparkSession, sf: str) -> DataFrame:
     """Blanks, folding and previews over whole texts."""
     return C.documents(spark, sf).select(
-        F.expr("concat('D', doc_id)").alias("id"),
+        F.col("rid").alias("id"),
         T.normalize_ws(F.col("text")).alias("collapsed"),
         T.fold(F.col("text")).alias("folded"),
         T.compact(F.col("text"), 120).alias("preview"),
@@ -778,13 +778,13 @@ def notices_raw(spark: SparkSession, sf: str) -> DataFrame:
     frags AS (SELECT rid, k, {O.ws("own")} AS content FROM crumbs WHERE {O.GOOD} AND {O.NAV_ROUTE}
       UNION ALL SELECT rid, 0, {O.ws("with_heads")} FROM doc_text WHERE {O.GOOD} AND NOT ({O.NAV_ROUTE})),
     t AS (SELECT rid, count(*) AS n, sum(length(content)) AS len,
-        string_agg(content, chr(10) || chr(10) ORDER BY k) FILTER (content <> '') AS text FROM frags GROUP BY rid)
-    SELECT d.rid AS id, coalesce(text, '') AS text, CAST(coalesce(n, 0) AS BIGINT) AS fragments_count,
+        string_agg(content, chr(10) || chr(10) ORDER BY k) FILTER (content <> '') AS whole FROM frags GROUP BY rid)
+    SELECT d.rid AS id, coalesce(whole, '') AS text, CAST(coalesce(n, 0) AS BIGINT) AS fragments_count,
       CAST(coalesce(len, 0) AS BIGINT) AS text_length FROM docs d LEFT JOIN t ON t.rid = d.rid"""
 )
 def full_text(spark: SparkSession, sf: str) -> DataFrame:
     """Text and counts of every notice, also of those without fragments."""
-    ids = C.documents(spark, sf).select(F.expr("concat('D', doc_id)").alias("id"))
+    ids = C.documents(spark, sf).select(F.col("rid").alias("id"))
     frags = materialize(by_navigation(spark, sf).drop("metadata_dublincore"), "fragments")
     rows = NO.with_stats(NO.with_text(ids, frags), frags)
     return rows.select("id", "text", "fragments_count", "text_length")

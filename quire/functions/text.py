@@ -95,17 +95,18 @@ def fold(c: Column) -> Column:
     pairs = F.map_from_arrays(
         F.split(F.lit("\n".join(wide)), "\n"), F.split(F.lit("\n".join(wide.values())), "\n")
     )
-    hangul = f"\\x{{{HANGUL_FIRST:X}}}-\\x{{{HANGUL_LAST:X}}}"
-    special = "[" + "".join(f"\\x{{{ord(ch):X}}}" for ch in wide) + hangul + "]"
+    hangul = f"[\\x{{{HANGUL_FIRST:X}}}-\\x{{{HANGUL_LAST:X}}}]"
 
     def unfold(ch: Column) -> Column:
-        return F.when(ch.rlike(f"^[{hangul}]"), _jamo(ch)).otherwise(
+        return F.when(ch.rlike(hangul), _jamo(ch)).otherwise(
             F.coalesce(F.try_element_at(pairs, ch), ch)
         )
 
     def finish(text: Column) -> Column:
         slow = F.array_join(F.transform(F.split(text, ""), unfold), "")
-        return F.when(text.rlike(special), slow).otherwise(text)
+        plain = F.translate(text, "".join(wide), "")
+        special = (F.char_length(plain) < F.char_length(text)) | text.rlike(hangul)
+        return F.when(special, slow).otherwise(text)
 
     return let(base, finish)
 

@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from quire.functions.text import BLANK
-from quire.session import checkpointed
+from quire.session import by_resource, checkpointed
 
 # The namespace of text encoding, and the guards of the usual XML parser
 # (nesting depth and length of one text run) beyond which a document is rejected.
@@ -138,20 +138,30 @@ def attribute(markup: Column, name: str) -> Column:
     return unquoted(quoted_attribute(markup, name))
 
 
+def _placed(documents: DataFrame, clustered: bool) -> DataFrame:
+    """``documents`` hashed by resource_id; ``clustered`` says that it already is."""
+    return documents if clustered else by_resource(documents)
+
+
+def _cut(placed: DataFrame) -> DataFrame:
+    """One row per item of ``xml``; an empty document gives one empty item."""
+    kept = [c for c in placed.columns if c != "xml"]
+    listed = placed.select(
+        *kept, F.regexp_extract_all("xml", F.lit(ITEM), F.lit(0)).alias("items")
+    )
+    rows = listed.select(*kept, F.posexplode_outer("items").alias("pos", "item"))
+    return rows.withColumns(
+        {"pos": F.coalesce("pos", F.lit(0)), "item": F.coalesce("item", F.lit(""))}
+    )
+
+
 def items(documents: DataFrame, clustered: bool = False) -> DataFrame:
     """Lossless cut of ``documents(resource_id, xml)``: item lengths add up to the text length.
 
-    An empty document gives one empty item.
     ``clustered`` says that ``documents`` is already hashed by resource_id (a bucketed
     table, say), which saves the one exchange.
     """
-    docs = documents if clustered else documents.repartition("resource_id")
-    kept = [c for c in documents.columns if c != "xml"]
-    cut = docs.select(*kept, F.regexp_extract_all("xml", F.lit(ITEM), F.lit(0)).alias("items"))
-    rows = cut.select(*kept, F.posexplode_outer("items").alias("pos", "item"))
-    return rows.withColumns(
-        {"pos": F.coalesce("pos", F.lit(0)), "item": F.coalesce("item", F.lit(""))}
-    )
+    return _cut(_placed(documents.select("resource_id", "xml"), clustered))
 
 
 def _markup_rows(documents: DataFrame, clustered: bool) -> DataFrame:
@@ -161,7 +171,7 @@ def _markup_rows(documents: DataFrame, clustered: bool) -> DataFrame:
     uncommented = F.when(
         F.contains("xml", F.lit("<!--")), F.regexp_replace("xml", COMMENT, "$1")
     ).otherwise(F.col("xml"))
-    docs = documents.select(
+    docs = _placed(documents.select("resource_id", "xml"), clustered).select(
         "resource_id",
         uncommented.alias("xml"),
         F.array_join(declared, " ").alias("tei_prefixes"),
@@ -194,7 +204,7 @@ def _markup_rows(documents: DataFrame, clustered: bool) -> DataFrame:
         .when(F.char_length("after") > MAX_TEXT, "text too long")
     )
     return (
-        items(docs, clustered)
+        _cut(docs)
         .withColumn("markup", F.regexp_extract("item", f"^(?:{MARKUP})", 0))
         .withColumns(
             {

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
+import json
+from dataclasses import asdict, dataclass, field
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -117,8 +118,42 @@ PROFILES = {
 }
 
 
-def _quoted(names: tuple[str, ...]) -> str:
-    return ", ".join(f"'{n}'" for n in names)
+DEEPEST = 3  # output, results, fragments
+
+RULE = (
+    "name string, required boolean, types array<string>, allowed array<string>, "
+    "is_unique boolean, item_types array<string>, item_profile string"
+)
+
+
+def _rule_table() -> Column:
+    """All profiles as one constant MAP<profile, ARRAY<rule>>, so that one expression serves all."""
+    names = {id(p): name for name, p in PROFILES.items()} | {id(FRAGMENT): "fragment"}
+    table = {}
+    for name, profile in {**PROFILES, "fragment": FRAGMENT}.items():
+        fields = {n: profile.fields.get(n, Field()) for n in (*profile.required, *profile.fields)}
+        table[name] = [
+            {
+                "name": n,
+                "required": n in profile.required,
+                "types": f.types,
+                "allowed": f.allowed,
+                "is_unique": f.unique,
+                "item_types": f.items.types if isinstance(f.items, Field) else (),
+                "item_profile": names[id(f.items)] if isinstance(f.items, Profile) else None,
+            }
+            for n, f in fields.items()
+        ]
+    return F.from_json(F.lit(json.dumps(table)), f"map<string,array<struct<{RULE}>>>")
+
+
+def _none() -> Column:
+    return F.array().cast(f"array<{ISSUE}>")
+
+
+def _quoted(names: Column) -> Column:
+    quoted = F.transform(names, lambda n: F.concat(F.lit("'"), n, F.lit("'")))
+    return F.array_join(quoted, ", ")
 
 
 def _shown(v: Column) -> Column:
@@ -128,7 +163,7 @@ def _shown(v: Column) -> Column:
     return F.coalesce(shown, F.lit("None"))
 
 
-def _issue(path: Column, message: Column, expected: str, actual: Column) -> Column:
+def _issue(path: Column, message: Column, expected: Column, actual: Column) -> Column:
     """``path`` is the array of steps from the record to the faulty value."""
     dotted = F.nullif(F.array_join(path, "."), F.lit(""))
     # list positions sort as numbers
@@ -136,69 +171,87 @@ def _issue(path: Column, message: Column, expected: str, actual: Column) -> Colu
         path, lambda p: F.when(p.rlike("^[0-9]+$"), F.lpad(p, 12, "0")).otherwise(p)
     )
     return F.struct(
-        order, F.lit("error"), F.lit(CODE), message, dotted, F.lit(expected), actual
+        order, F.lit("error"), F.lit(CODE), message, dotted, expected, actual
     ).cast(ISSUE)
 
 
-def _check_value(v: Column, rule: Field, path: Column) -> Column:
+def _wrong_type(v: Column, types: Column, path: Column) -> Column:
+    """Issue of a value whose type is not listed, else NULL."""
+    named = _quoted(types)
+    shown = _shown(v)
+    message = F.concat(shown, F.lit(" is not of type "), named)
+    return F.when(
+        (F.size(types) > 0) & ~F.array_contains(types, V.json_type(v)),
+        _issue(path, message, F.concat(F.lit("type: "), named), shown),
+    )
+
+
+def _check_value(v: Column, rule: Column, path: Column, depth: int) -> Column:
     """Issues of one present value."""
-    found = []
-    if rule.types:
-        named = _quoted(rule.types)
-        message = F.concat(_shown(v), F.lit(f" is not of type {named}"))
-        bad = ~V.json_type(v).isin(*rule.types)
-        if "number" in rule.types:
-            bad = bad & (V.json_type(v) != "integer")
-        found.append(F.array(F.when(bad, _issue(path, message, f"type: {named}", _shown(v)))))
-    if rule.allowed:
-        named = _quoted(rule.allowed)
-        message = F.concat(_shown(v), F.lit(f" is not one of [{named}]"))
-        bad = ~(V.is_string(v) & F.coalesce(v.try_cast("string").isin(*rule.allowed), F.lit(False)))
-        found.append(F.array(F.when(bad, _issue(path, message, f"enum: {named}", _shown(v)))))
-    if rule.unique:
-        texts = F.transform(V.as_array(v), lambda x: F.to_json(x))
-        message = F.concat(_shown(v), F.lit(" has non-unique elements"))
-        bad = F.size(F.array_distinct(texts)) < F.size(texts)
-        found.append(F.array(F.when(bad, _issue(path, message, "uniqueItems", _shown(v)))))
-    if rule.items is not None:
-        item = rule.items
-
-        def each(x: Column, i: Column) -> Column:
-            here = F.concat(path, F.array(i.cast("string")))
-            if isinstance(item, Profile):
-                return _check_object(x, item, here)
-            return _check_value(x, item, here)
-
-        nested = F.flatten(F.transform(V.as_array(v), each))
-        found.append(F.coalesce(nested, F.array().cast(f"array<{ISSUE}>")))
-    return F.concat(*found)
-
-
-def _check_member(m: Column, name: str, rule: Field, path: Column) -> Column:
-    """Issues of one member of an object, none when it is not there."""
-    here = F.concat(path, F.array(F.lit(name)))
-    found = let(F.try_element_at(m, F.lit(name)), lambda x: _check_value(x, rule, here))
-    none = F.array().cast(f"array<{ISSUE}>")
-    return F.when(F.map_contains_key(m, F.lit(name)), found).otherwise(none)
-
-
-def _check_object(v: Column, profile: Profile, path: Column) -> Column:
+    shown, text = _shown(v), v.try_cast("string")
+    listed = _quoted(rule["allowed"])
+    not_allowed = (F.size(rule["allowed"]) > 0) & ~(
+        V.is_string(v) & F.coalesce(F.array_contains(rule["allowed"], text), F.lit(False))
+    )
+    items = V.as_array(v)
+    texts = F.transform(items, lambda x: F.to_json(x))
+    repeated = rule["is_unique"] & (F.size(F.array_distinct(texts)) < F.size(texts))
+    own = F.array(
+        _wrong_type(v, rule["types"], path),
+        F.when(
+            not_allowed,
+            _issue(
+                path,
+                F.concat(shown, F.lit(" is not one of ["), listed, F.lit("]")),
+                F.concat(F.lit("enum: "), listed),
+                shown,
+            ),
+        ),
+        F.when(
+            repeated,
+            _issue(
+                path,
+                F.concat(shown, F.lit(" has non-unique elements")),
+                F.lit("uniqueItems"),
+                shown,
+            ),
+        ),
+    )
+
+    def inside(x: Column, i: Column) -> Column:
+        here = F.concat(path, F.array(i.cast("string")))
+        simple = F.array(_wrong_type(x, rule["item_types"], here))
+        if depth == 1:
+            return simple
+        nested = _check_object(x, rule["item_profile"], here, depth - 1)
+        return F.when(rule["item_profile"].isNull(), simple).otherwise(nested)
+
+    has_items = rule["item_profile"].isNotNull() | (F.size(rule["item_types"]) > 0)
+    within = F.when(has_items & items.isNotNull(), F.flatten(F.transform(items, inside)))
+    return F.concat(own, F.coalesce(within, _none()))
+
+
+def _check_object(v: Column, profile: Column, path: Column, depth: int = DEEPEST) -> Column:
     """Issues of a value that must be an object with the members of ``profile``."""
 
+    def by_rule(m: Column, rule: Column) -> Column:
+        here = F.concat(path, F.array(rule["name"]))
+        present = let(m[rule["name"]], lambda x: _check_value(x, rule, here, depth))
+        quoted = F.concat(F.lit("'"), rule["name"], F.lit("'"))
+        missing = _issue(
+            path,
+            F.concat(quoted, F.lit(" is a required property")),
+            F.concat(F.lit("required: "), quoted),
+            _shown(v),
+        )
+        return F.when(F.map_contains_key(m, rule["name"]), present).otherwise(
+            F.array(F.when(rule["required"], missing))
+        )
+
     def checked(m: Column) -> Column:
-        found = []
-        for name in profile.required:
-            message = F.lit(f"'{name}' is a required property")
-            absent = ~F.map_contains_key(m, F.lit(name))
-            issue = _issue(path, message, f"required: '{name}'", _shown(v))
-            found.append(F.array(F.when(absent, issue)))
-        for name, rule in profile.fields.items():
-            found.append(_check_member(m, name, rule, path))
-        return F.concat(*found)
-
-    wrong = _issue(
-        path, F.concat(_shown(v), F.lit(" is not of type 'object'")), "type: 'object'", _shown(v)
-    )
+        return F.flatten(F.transform(_rule_table()[profile], lambda rule: by_rule(m, rule)))
+
+    wrong = _wrong_type(v, F.array(F.lit("object")), path)
     return F.when(V.is_object(v), let(V.as_map(v), checked)).otherwise(F.array(wrong))
 
 
@@ -223,15 +276,9 @@ def check(records: DataFrame, profile: str | None = None) -> DataFrame:
     """
     if profile is not None and profile not in PROFILES:
         raise ValueError(f"unknown profile: {profile}")
-    r = F.col("record")
-    name = infer_profile(r) if profile is None else F.lit(profile)
-    wanted = PROFILES if profile is None else {profile: PROFILES[profile]}
-    if profile is None:
-        wanted = {k: v for k, v in PROFILES.items() if k != "collection_result"}
+    name = infer_profile(F.col("record")) if profile is None else F.lit(profile)
     top = F.array().cast("array<string>")
-    found = F.lit(None).cast(f"array<{ISSUE}>")
-    for key, rules in wanted.items():
-        found = F.when(F.col("profile") == key, _check_object(r, rules, top)).otherwise(found)
+    found = _check_object(F.col("record"), F.col("profile"), top)
     return records.withColumn("profile", name).withColumn(
         "issues", F.array_sort(F.array_compact(found))
     )
@@ -317,29 +364,29 @@ TYPE_NAMES = {
 
 def rule_issues(records: DataFrame, profile: str) -> DataFrame:
     """Faults against a rule table: record_id, path, code (missing, type, value), actual."""
+    schema = "path string, required boolean, types array<string>, allowed array<string>"
+    table = F.from_json(
+        F.lit(json.dumps([asdict(r) for r in RULES[profile]])), f"array<struct<{schema}>>"
+    )
+    kinds = F.from_json(F.lit(json.dumps(TYPE_NAMES)), "map<string,string>")
+
+    def fault(rule: Column, v: Column) -> Column:
+        kind = kinds[V.json_type(v)]
+        text = F.when(V.is_string(v), v.try_cast("string"))
+        allowed = F.coalesce(F.array_contains(rule["allowed"], text), F.lit(False))
+        code = (
+            F.when(v.isNull(), F.when(rule["required"], "missing"))
+            .when((F.size(rule["types"]) > 0) & ~F.array_contains(rule["types"], kind), "type")
+            .when((F.size(rule["allowed"]) > 0) & ~allowed, "value")
+        )
+        return F.struct(rule["path"].alias("path"), code.alias("code"), kind.alias("actual"))
 
-    def fault(rule: FieldRule) -> Column:
-        def judged(v: Column) -> Column:
-            kind = F.lit(None).cast("string")
-            for ours, theirs in TYPE_NAMES.items():
-                kind = F.when(V.json_type(v) == ours, theirs).otherwise(kind)
-            text = F.when(V.is_string(v), v.try_cast("string"))
-            code = F.when(v.isNull(), "missing" if rule.required else None)
-            if rule.types:
-                code = code.when(~kind.isin(*rule.types), "type")
-            if rule.allowed:
-                code = code.when(~F.coalesce(text.isin(*rule.allowed), F.lit(False)), "value")
-            return F.when(
-                code.isNotNull(),
-                F.struct(F.lit(rule.path).alias("path"), code.alias("code"), kind.alias("actual")),
-            )
-
-        return let(F.try_element_at("_m", F.lit(rule.path)), judged)
-
-    faults = F.array_compact(F.array(*[fault(r) for r in RULES[profile]]))
     members = F.coalesce(V.as_map(F.col("record")), F.create_map().cast("map<string,variant>"))
-    rows = records.withColumn("_m", members).select("record_id", F.explode(faults).alias("f"))
-    return rows.select("record_id", "f.path", "f.code", "f.actual")
+    judged = F.transform(
+        table, lambda rule: let(F.col("_m")[rule["path"]], lambda v: fault(rule, v))
+    )
+    rows = records.withColumn("_m", members).select("record_id", F.explode(judged).alias("f"))
+    return rows.select("record_id", "f.*").filter("code is not null")
 
 
 def result_records(results: DataFrame) -> DataFrame:
