@@ -935,11 +935,11 @@ def bulk_actions(spark: SparkSession, sf: str) -> DataFrame:
 def vector_payloads(spark: SparkSession, sf: str) -> DataFrame:
     """Safe keys at the top level of the payload object."""
     rows = X.vector_payloads(notices(spark, sf), whole(spark, sf), include_fragments=False)
-    whole_object = F.parse_json(X.payload_object(rows))
-    top = rows.select(
+    objects = rows.select("id", F.parse_json(X.payload_object(rows)).alias("whole"))
+    top = objects.select(
         "id",
-        V.get(whole_object, "record_id").alias("record_id"),
-        F.explode(V.as_map(whole_object)).alias("safe_key", "v"),
+        V.get(F.col("whole"), "record_id").alias("record_id"),
+        F.explode(V.as_map(F.col("whole"))).alias("safe_key", "v"),
     )
     safe = F.col("safe_key").rlike("^(dublincore|extensions|temporal)__")
     return top.filter(safe).select("id", "record_id", "safe_key", V.leaf_text(F.col("v")).alias("value"))

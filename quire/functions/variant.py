@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from quire.functions import let
 
-MAX_DEPTH = 12
+MAX_DEPTH = 8
 
 
 def parse(text: Column) -> Column:
@@ -117,20 +117,25 @@ def flatten(v: Column, prefix: str = "", max_depth: int = MAX_DEPTH) -> Column:
     Objects are opened, arrays and scalars are leaves, empty objects vanish.  Works inside
     the row: no shuffle.  Deeper nesting than ``max_depth`` stops the job, never truncates.
     """
-    level = _members(v, F.lit(prefix))
-
     def opened(e: Column) -> Column:
         inner = _members(e["value"], F.concat(e["key"], F.lit(".")))
         return F.coalesce(inner, F.array(e.cast(ENTRY)))
 
-    for _ in range(max_depth - 1):
-        level = F.flatten(F.transform(level, opened))
+    def open_all(entries: Column, depth: int) -> Column:
+        """Open one level more for as long as there is an object among the entries."""
+        if depth == 0:
+            return F.raise_error(
+                F.lit(f"metadata nested deeper than {max_depth} levels")
+            ).cast(f"array<{ENTRY}>")
+
+        def step(x: Column) -> Column:
+            more = open_all(F.flatten(F.transform(x, opened)), depth - 1)
+            return F.when(F.exists(x, lambda e: is_object(e["value"])), more).otherwise(x)
 
-    def leaf(e: Column) -> Column:
-        deep = F.raise_error(F.lit(f"metadata nested deeper than {max_depth} levels"))
-        return F.when(is_object(e["value"]), deep.cast(ENTRY)).otherwise(e)
+        return let(entries, step)
 
-    return F.coalesce(F.transform(level, leaf), F.array().cast(f"array<{ENTRY}>"))
+    leaves = open_all(_members(v, F.lit(prefix)), max_depth)
+    return F.coalesce(leaves, F.array().cast(f"array<{ENTRY}>"))
 
 
 def leaf_text(v: Column) -> Column:
@@ -138,23 +143,30 @@ def leaf_text(v: Column) -> Column:
     return v.try_cast("string")
 
 
+def plain_text(v: Column) -> Column:
+    """Scalar as text with booleans as True/False; JSON null is NULL."""
+
+    def shown(x: Column) -> Column:
+        boolean = F.schema_of_variant(x) == "BOOLEAN"
+        return F.when(boolean, F.initcap(leaf_text(x))).otherwise(leaf_text(x))
+
+    return let(v, shown)
+
+
 def spaced_json(text: Column) -> Column:
     """Compact JSON text with a blank after each comma and colon outside strings."""
-    return F.regexp_replace(text, r'((?:"(?:[^"\\]++|\\.)*+"|[^,:"])*+)([,:])', "$1$2 ")
+    return F.regexp_replace(text, r'\G((?:"(?:[^"\\]++|\\.)*+"|[^,:"])*+)([,:])', "$1$2 ")
 
 
 def csv_text(v: Column) -> Column:
     """CSV cell: JSON null is '', booleans are True/False, arrays are JSON text."""
-    text = plain_text(v)
-    listed = F.startswith(F.schema_of_variant(v), F.lit("ARRAY"))
-    return F.coalesce(F.when(listed, spaced_json(text)).otherwise(text), F.lit(""))
 
+    def cell(x: Column) -> Column:
+        listed = F.startswith(F.schema_of_variant(x), F.lit("ARRAY"))
+        text = plain_text(x)
+        return F.coalesce(F.when(listed, spaced_json(text)).otherwise(text), F.lit(""))
 
-def plain_text(v: Column) -> Column:
-    """Scalar as text with booleans as True/False; JSON null is NULL."""
-    text = leaf_text(v)
-    boolean = F.schema_of_variant(v) == "BOOLEAN"
-    return F.when(boolean, F.initcap(text)).otherwise(text)
+    return let(v, cell)
 
 
 def as_entries(leaves: Column, render: Callable[[Column], Column] | None = None) -> Column:

@@ -12,18 +12,17 @@ from quire.functions import variant as V
 from quire.functions.text import sanitize_key, stable_int_id, strip
 from quire.operators import notices as N
 from quire.operators.metadata import with_fragments
-from quire.operators.temporal import namespaced, temporal_index
+from quire.operators.temporal import namespaced, temporal_entries
 
 
 def _metadata(notices: DataFrame) -> DataFrame:
     """Add temporal (map), metadata_flat (map) and creator_names; all inside the row."""
-    t = N.with_creators(notices)
-    t = t.withColumns(
+    t = notices.withColumns(
         {
+            "creator_names": N.creator_names(),
             "_leaves": namespaced(F.col("dublincore"), F.col("extensions")),
-            "_temporal": temporal_index(),
         }
-    )
+    ).withColumn("_temporal", temporal_entries(F.col("_leaves")))
     under = F.transform(
         "_temporal",
         lambda e: F.struct(

@@ -26,11 +26,11 @@ from quire.operators.shred import (
     Shred,
     by_level,
     by_pos,
+    enclosing,
     is_kind,
     nesting,
     shred,
     up_to_here,
-    whole_document,
 )
 
 DOCUMENT_ID = "__DOCUMENT__"
@@ -98,24 +98,52 @@ def _is_head() -> Column:
 def document_fragments(
     tokens: DataFrame, add_head_to_content: bool = True, include_breadcrumb: bool = True
 ) -> DataFrame:
-    """One fragment per document: all text of its first ``text`` element, with or without heads."""
-    opening = is_kind("open", "empty")
-    is_text = opening & F.col("tei") & (F.col("name") == "text") & (F.col("depth") > 1)
-    t = tokens.withColumn("_start", F.min(F.when(is_text, F.col("pos"))).over(whole_document()))
-    closes = is_kind("close") & (F.col("elem_pos") == F.col("_start"))
-    t = t.withColumn("_end", F.min(F.when(closes, F.col("pos"))).over(whole_document()))
-    inside = (F.col("pos") >= F.col("_start")) & (F.col("pos") < F.col("_end"))
-    keep = F.coalesce(inside, F.lit(False))
+    """One fragment per document: all text of its first ``text`` element, with or without heads.
+
+    One aggregation per document, already hashed by resource.
+    """
+    is_text = F.coalesce(
+        F.col("tei") & (F.col("name") == "text") & (F.col("depth") > 1), F.lit(False)
+    )
+    t = tokens
+    part = F.struct("pos", "text")
+    dropped = F.lit(False)
     if not add_head_to_content:
-        head = _is_head() & keep & (F.col("pos") > F.col("_start"))
-        t = t.withColumns({"_head": head, "_heads": F.max(head).over(whole_document())})
+        # heads count from the first text element on; nothing after a head's end tag
+        # belongs to it, but the text up to the next tag is dropped with it
+        seen = F.count_if(is_text).over(up_to_here()) > 0
+        head = _is_head() & seen
+        t = t.withColumn("_head", head)
         t = t.withColumn("_in_head", (nesting(F.col("_head")) > 0) | F.col("_head"))
-        keep = keep & ~F.col("_in_head") & ~(F.col("_heads") & F.col("after_pi"))
-    content = normalize_ws(_in_order(F.collect_list(F.when(keep, F.struct("pos", "text")))))
-    out = t.groupBy("resource_id").agg(content.alias("content"))
+        part = F.struct("pos", "text", "after_pi")
+        dropped = F.col("_in_head")
+    out = t.groupBy("resource_id").agg(
+        F.min(F.when(is_text & is_kind("open", "empty"), F.col("pos"))).alias("start"),
+        F.collect_list(F.when(is_text & is_kind("close"), F.struct("elem_pos", "pos"))).alias(
+            "ends"
+        ),
+        F.collect_list(F.when(~dropped & (F.col("text") != ""), part)).alias("parts"),
+        *(
+            []
+            if add_head_to_content
+            else [F.collect_list(F.when(F.col("_head"), F.col("pos"))).alias("heads")]
+        ),
+    )
+    end = F.filter("ends", lambda e: e["elem_pos"] == F.col("start"))[0]["pos"]
+    out = out.withColumn("end", F.when(F.size("ends") > 0, end))
+
+    def inside(pos: Column) -> Column:
+        return F.coalesce((pos >= F.col("start")) & (pos < F.col("end")), F.lit(False))
+
+    kept = F.filter("parts", lambda p: inside(p["pos"]))
+    if not add_head_to_content:
+        # with heads to skip, text after a processing instruction is not seen either
+        has_heads = F.exists("heads", inside)
+        kept = F.filter(kept, lambda p: ~(has_heads & p["after_pi"]))
     return _shaped(
         out.withColumns(
             {
+                "content": normalize_ws(_in_order(kept)),
                 "id": F.lit(DOCUMENT_ID),
                 "position": F.lit(0),
                 "breadcrumb": F.lit("" if include_breadcrumb else None),
@@ -238,7 +266,8 @@ def selected_text(
     t = t.filter((F.col("_in") > 0) | itself)
     around = F.sequence(F.lit(1), F.col("_in").cast("int") + F.when(itself, 1).otherwise(0))
     t = t.withColumn("_lvl", F.explode(around))
-    node = F.struct("pos", "xml_id", "parent_pos", "depth", "_nth")
+    extra = ["parent_pos"] if "parent_pos" in tokens.columns else []
+    node = F.struct("pos", "xml_id", "depth", "_nth", *extra)
     begins = marked & is_kind("open") & (F.col("_lvl") == F.col("_in"))
     current = F.last(F.when(begins, node), ignorenulls=True).over(by_level("_lvl"))
     alone = itself & (F.col("_lvl") > F.col("_in"))
@@ -277,7 +306,7 @@ def selected_text(
         "resource_id",
         "node.pos",
         "node.xml_id",
-        "node.parent_pos",
+        *[f"node.{c}" for c in extra],
         F.col("node._nth").cast("int").alias("fragment_index"),
         F.when(F.col("title_pos").isNotNull(), normalize_ws(heading)).alias("title"),
         normalize_ws(raw).alias("content"),
@@ -287,7 +316,8 @@ def selected_text(
 
 def ancestor_heads(tokens: DataFrame) -> DataFrame:
     """For every element, the heads of the nearest ancestor that has any, joined by a space."""
-    heads = selected_text(tokens.withColumn("marked", _is_head()), None).filter(
+    placed = enclosing(tokens, F.col("pos"), "parent_pos")
+    heads = selected_text(placed.withColumn("marked", _is_head()), None).filter(
         F.col("parent_pos").isNotNull()
     )
     headed = (
@@ -389,10 +419,12 @@ def split(
     resources: DataFrame,
     navigation: DataFrame | None = None,
     params: FragmentParams = FragmentParams(),
+    keep_rows: bool = False,
 ) -> Fragments:
     """Fragments of ``documents(resource_id, xml)`` of the given resources in the chosen mode.
 
-    Documents are routed before they are cut, so each one is cut once.
+    Documents are routed before they are cut, so each one is cut once.  ``keep_rows``
+    checkpoints the markup rows, for when fragments and quarantine are both read.
     """
     if params.mode not in MODES:
         raise ValueError(f"unknown fragment mode: {params.mode}")
@@ -401,18 +433,27 @@ def split(
     wanted = documents.select("resource_id", "xml").join(
         resources.select("resource_id"), "resource_id", "left_semi"
     )
+
+    def cut(docs: DataFrame, keep: bool = keep_rows) -> Shred:
+        return shred(docs).materialize() if keep else shred(docs)
+
+    def in_one_piece(rows: Shred) -> DataFrame:
+        return document_fragments(
+            rows.tokens, params.add_head_to_content, params.include_breadcrumb
+        )
+
     if not params.fetch_document:
         none = wanted.limit(0)
         return Fragments(
             _shaped(none.drop("xml")), none.select("resource_id", F.lit("").alias("reason"))
         )
     if params.mode == "document":
-        cut = shred(wanted)
-        return Fragments(_document(cut, params), cut.quarantine)
+        rows = cut(wanted)
+        return Fragments(in_one_piece(rows), rows.quarantine)
     if params.mode == "tei_xpath":
-        cut = shred(wanted).materialize()
+        rows = cut(wanted, keep=True)  # read three times by the selector
         found = selector_fragments(
-            cut.tokens,
+            rows.tokens,
             params.fragment_xpath,
             params.title_xpath,
             params.remove_fragment_heads,
@@ -421,23 +462,20 @@ def split(
             params.include_breadcrumb,
             params.generated_id_prefix,
         )
-        return Fragments(found, cut.quarantine)
+        return Fragments(found, rows.quarantine)
     routed = wanted.join(routes(resources, navigation, params), "resource_id")
-    whole = shred(routed.filter("route = 'document'"))
-    by_nav = shred(routed.filter("route = 'navigation'"))
-    found = _document(whole, params)
-    if navigation is not None:
-        members = navigation_fragments(
-            by_nav.tokens,
-            nav.members(navigation),
-            params.add_head_to_content,
-            params.exclude_heads_contains,
-            params.include_breadcrumb,
-            params.metadata_dublincore,
-        )
-        found = members.unionByName(found)
-    return Fragments(found, whole.quarantine.unionByName(by_nav.quarantine))
-
-
-def _document(cut: Shred, params: FragmentParams) -> DataFrame:
-    return document_fragments(cut.tokens, params.add_head_to_content, params.include_breadcrumb)
+    whole = cut(routed.filter("route = 'document'"))
+    if navigation is None:
+        return Fragments(in_one_piece(whole), whole.quarantine)
+    by_nav = cut(routed.filter("route = 'navigation'"))
+    members = navigation_fragments(
+        by_nav.tokens,
+        nav.members(navigation),
+        params.add_head_to_content,
+        params.exclude_heads_contains,
+        params.include_breadcrumb,
+        params.metadata_dublincore,
+    )
+    return Fragments(
+        members.unionByName(in_one_piece(whole)), whole.quarantine.unionByName(by_nav.quarantine)
+    )

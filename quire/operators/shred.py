@@ -16,6 +16,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
+from quire.functions import let
 from quire.functions.text import BLANK
 from quire.session import by_resource, checkpointed
 
@@ -25,13 +26,23 @@ TEI_NAMESPACE = "http://www.tei-c.org/ns/1.0"
 MAX_DEPTH = 256
 MAX_TEXT = 10_000_000
 
-# XML 1.0 name, tag, predefined entities and forbidden characters.
-NAME = r"[\p{L}_:][\p{L}\p{M}\p{N}_:.·-]*+"
+# XML 1.0 names, tags and forbidden characters.
+NAME_START = (
+    r"A-Za-z_:\x{C0}-\x{D6}\x{D8}-\x{F6}\x{F8}-\x{2FF}\x{370}-\x{37D}\x{37F}-\x{1FFF}"
+    r"\x{200C}-\x{200D}\x{2070}-\x{218F}\x{2C00}-\x{2FEF}\x{3001}-\x{D7FF}"
+    r"\x{F900}-\x{FDCF}\x{FDF0}-\x{FFFD}\x{10000}-\x{EFFFF}"
+)
+NAME = rf"[{NAME_START}][\w.:\-\x{{B7}}\x{{300}}-\x{{36F}}\x{{203F}}-\x{{2040}}{NAME_START}]*+"
 ATTRIBUTE = rf"""\s++{NAME}\s*+=\s*+(?:"[^"<]*+"|'[^'<]*+')"""
 OPEN_TAG = rf"^<{NAME}(?:{ATTRIBUTE})*+\s*+/?>$"
 CLOSE_TAG = rf"^</{NAME}\s*+>$"
-BARE_AMPERSAND = r"&(?!(?:amp|lt|gt|quot|apos|#[0-9]+|#x[0-9A-Fa-f]+);)"
-FORBIDDEN = r"[\x00-\x08\x0B\x0C\x0E-\x1F￾￿]"
+INSTRUCTION = rf"^<\?(?!(?i:xml)[\s?]){NAME}(?:\s(?s:.*))?\?>$"
+DECLARATION = (
+    r"""^<\?xml\s+version\s*=\s*(?:"1\.[0-9]+"|'1\.[0-9]+')"""
+    r"""(?:\s+encoding\s*=\s*(?:"[A-Za-z][\w.-]*"|'[A-Za-z][\w.-]*'))?"""
+    r"""(?:\s+standalone\s*=\s*(?:"(?:yes|no)"|'(?:yes|no)'))?\s*\?>$"""
+)
+FORBIDDEN = r"[\x00-\x08\x0B\x0C\x0E-\x1F\x{FFFE}\x{FFFF}]"
 
 # Possessive loops only: the Java matcher runs them without recursion, whatever the length.
 MARKUP = (
@@ -41,6 +52,7 @@ MARKUP = (
     r"""|<[^<"'>]*+(?:(?:"[^"]*+"|'[^']*+')[^<"'>]*+)*+>"""
 )
 ITEM = rf"(?:{MARKUP})[^<]*+|<|[^<]++"
+UNMATCHED = "unmatched closing tag"
 COMMENT = r"(<!\[CDATA\[(?s:.*?)\]\]>)|<!--(?s:.*?)-->"
 
 
@@ -94,31 +106,45 @@ def enclosing(tokens: DataFrame, value: Column, alias: str) -> DataFrame:
     )
 
 
-def decode_entities(c: Column) -> Column:
-    """Predefined entities and character references as characters, in one pass."""
+def _character(digits: Column) -> Column:
+    """Character of a decimal code point; NULL when XML does not allow it."""
 
     def char(code: Column) -> Column:
-        return F.decode(F.unhex(F.lpad(F.hex(code.cast("long")), 8, "0")), "UTF-32")
+        legal = (
+            code.isin(9, 10, 13)
+            | code.between(0x20, 0xD7FF)
+            | code.between(0xE000, 0xFFFD)
+            | code.between(0x10000, 0x10FFFF)
+        )
+        return F.when(legal, F.decode(F.unhex(F.lpad(F.hex(code), 8, "0")), "UTF-32"))
+
+    return let(digits.try_cast("long"), char)
+
+
+def decode_entities(c: Column) -> Column:
+    """Predefined entities and character references as characters; NULL for any other."""
 
     def piece(p: Column, i: Column) -> Column:
         name = F.substring_index(p, ";", 1)
         rest = F.substr(p, F.char_length(name) + 2)
+        hexadecimal = F.regexp_extract(name, "^#x0*([0-9A-Fa-f]{1,6})$", 1)
         known = (
             F.when(name == "amp", "&")
             .when(name == "lt", "<")
             .when(name == "gt", ">")
             .when(name == "quot", '"')
             .when(name == "apos", "'")
-            .when(
-                F.startswith(name, F.lit("#x")),
-                char(F.conv(F.substring(name, 3, 8), 16, 10)),
-            )
-            .when(F.startswith(name, F.lit("#")), char(F.substring(name, 2, 10)))
+            .when(hexadecimal != "", _character(F.conv(hexadecimal, 16, 10)))
+            .when(name.rlike("^#[0-9]+$"), _character(F.substring(name, 2, 12)))
         )
         return F.when(i == 0, p).otherwise(F.concat(known, rest))
 
-    decoded = F.array_join(F.transform(F.split(c, "&"), piece), "")
-    return F.when(F.contains(c, F.lit("&")), F.coalesce(decoded, c)).otherwise(c)
+    def joined(pieces: Column) -> Column:
+        complete = ~F.exists(pieces, lambda p: p.isNull())
+        return F.when(complete, F.array_join(pieces, ""))
+
+    decoded = let(F.transform(F.split(c, "&"), piece), joined)
+    return F.when(F.contains(c, F.lit("&")), decoded).otherwise(c)
 
 
 def quoted_attribute(markup: Column, name: str) -> Column:
@@ -164,18 +190,39 @@ def items(documents: DataFrame, clustered: bool = False) -> DataFrame:
     return _cut(_placed(documents.select("resource_id", "xml"), clustered))
 
 
-def _markup_rows(documents: DataFrame, clustered: bool) -> DataFrame:
-    declared = F.regexp_extract_all(
-        "xml", F.lit(rf"""\sxmlns:([^\s=]+)\s*=\s*["']{TEI_NAMESPACE}["']"""), F.lit(1)
+def _namespaces(xml: Column) -> dict[str, Column]:
+    """What a document says about namespaces, as far as one look at its text can tell.
+
+    tei_prefixes: prefixes bound to the TEI namespace, between blanks.  default_tei: whether
+    elements without prefix are TEI; NULL when the default namespace changes inside the
+    document, which ``_resolve_scopes`` sorts out.
+    """
+    bound = F.regexp_extract_all(
+        xml, F.lit(rf"""\sxmlns:([^\s=]+)\s*=\s*["']{TEI_NAMESPACE}["']"""), F.lit(1)
+    )
+    declared = F.array_distinct(
+        F.regexp_extract_all(xml, F.lit(r"""\sxmlns\s*=\s*["']([^"']*)["']"""), F.lit(1))
     )
+    on_root = xml.rlike(
+        r"""^(?:\s|<\?(?s:.*?)\?>|<!DOCTYPE[^\[>]*+(?:\[[^\]]*+\])?[^>]*+>)*+<[^>]*\sxmlns\s*="""
+    )
+    return {
+        "tei_prefixes": F.concat(F.lit(" "), F.array_join(bound, " "), F.lit(" ")),
+        "default_tei": F.when(F.size(declared) == 0, False).when(
+            (F.size(declared) == 1) & on_root, F.get(declared, 0) == TEI_NAMESPACE
+        ),
+    }
+
+
+def _markup_rows(documents: DataFrame, clustered: bool) -> DataFrame:
     uncommented = F.when(
         F.contains("xml", F.lit("<!--")), F.regexp_replace("xml", COMMENT, "$1")
     ).otherwise(F.col("xml"))
     docs = _placed(documents.select("resource_id", "xml"), clustered).select(
         "resource_id",
         uncommented.alias("xml"),
-        F.array_join(declared, " ").alias("tei_prefixes"),
         F.col("xml").rlike(FORBIDDEN).alias("forbidden"),
+        *[c.alias(name) for name, c in _namespaces(F.col("xml")).items()],
     )
     m = F.col("markup")
     kind = (
@@ -189,20 +236,31 @@ def _markup_rows(documents: DataFrame, clustered: bool) -> DataFrame:
         .otherwise("open")
     )
     opening = is_kind("open", "empty")
-    text = decode_entities(F.col("after"))
+    after, text = F.col("after"), F.col("decoded")
     section = F.substr(m, F.lit(10), F.char_length(m) - 12)
+    entity = text.isNull() | (
+        opening & F.contains(m, F.lit("&")) & decode_entities(m).isNull()
+    )
+    plain_close = F.concat(F.lit("</"), F.col("qname"), F.lit(">"))
     fault = (
         F.when(F.col("forbidden") & (F.col("pos") == 0), "forbidden character")
         .when(is_kind("bad"), "stray markup")
         .when(opening & ~m.rlike(OPEN_TAG), "malformed tag")
-        .when(is_kind("close") & ~m.rlike(CLOSE_TAG), "malformed tag")
+        .when(is_kind("close") & (m != plain_close) & ~m.rlike(CLOSE_TAG), "malformed tag")
         .when(
-            F.col("after").rlike(BARE_AMPERSAND) | (opening & m.rlike(BARE_AMPERSAND)),
-            "undefined entity",
+            is_kind("pi")
+            & ~m.rlike(INSTRUCTION)
+            & ~((F.col("pos") == 0) & m.rlike(DECLARATION)),
+            "malformed processing instruction",
         )
-        .when(F.contains(F.col("after"), F.lit("]]>")), "stray markup")
-        .when(F.char_length("after") > MAX_TEXT, "text too long")
+        .when(entity, "undefined entity")
+        .when(F.contains(after, F.lit("]]>")), "stray markup")
+        .when(F.length(after) > MAX_TEXT, "text too long")
     )
+    prefix = F.substring_index("qname", ":", 1)
+    prefixed = F.contains("tei_prefixes", F.concat(F.lit(" "), prefix, F.lit(" ")))
+    tei = F.when(F.contains("qname", F.lit(":")), prefixed).otherwise(F.col("default_tei"))
+    mixed = opening & F.col("default_tei").isNull()
     return (
         _cut(docs)
         .withColumn("markup", F.regexp_extract("item", f"^(?:{MARKUP})", 0))
@@ -210,25 +268,56 @@ def _markup_rows(documents: DataFrame, clustered: bool) -> DataFrame:
             {
                 "kind": kind,
                 "after": F.substr(F.col("item"), F.char_length(m) + 1),
+                "qname": F.regexp_extract(m, r"^</?([^\s/>]+)", 1),
                 "raw_id": quoted_attribute(m, "xml:id"),
-                "raw_ns": quoted_attribute(m, "xmlns"),
             }
         )
+        .withColumn("decoded", decode_entities(after))
         .select(
             "resource_id",
             "pos",
             "kind",
-            F.when(is_element(), F.regexp_extract(m, r"^</?([^\s/>]+)", 1)).alias("qname"),
+            F.when(is_element(), F.col("qname")).alias("qname"),
+            F.when(is_element(), tei).alias("tei"),
             F.when(opening, m).alias("markup"),
             F.when(opening, unquoted(F.col("raw_id"))).alias("own_id"),
-            F.when(opening, unquoted(F.col("raw_ns"))).alias("own_ns"),
-            "tei_prefixes",
-            F.when(is_kind("cdata"), F.concat(section, text)).otherwise(text).alias("text"),
+            F.when(mixed, attribute(m, "xmlns")).alias("own_ns"),
+            F.when(is_kind("cdata"), F.concat(section, text))
+            .otherwise(F.coalesce(text, after))
+            .alias("text"),
             fault.alias("fault"),
         )
     )
 
 
+def _resolve_scopes(t: DataFrame) -> Column:
+    """``tei`` where it is still open: by the innermost element that declares a default.
+
+    The declarations of a document with a changing default namespace are gathered beside
+    its rows; for all other documents there are none and nothing is looked up.
+    """
+    event = F.struct("pos", "elem_pos", "kind", F.col("ns").alias("uri"))
+    events = F.collect_list(F.when(F.col("ns").isNotNull(), event)).over(whole_document())
+
+    def covers(e: Column, all_events: Column) -> Column:
+        here = F.col("elem_pos")
+        gone = F.exists(
+            all_events,
+            lambda c: (c["kind"] == "close")
+            & (c["elem_pos"] == e["elem_pos"])
+            & (c["pos"] < here),
+        )
+        own_empty = (e["kind"] == "empty") & (e["pos"] == here)
+        return own_empty | ((e["kind"] == "open") & (e["pos"] <= here) & ~gone)
+
+    def innermost(all_events: Column) -> Column:
+        around = F.filter(all_events, lambda e: covers(e, all_events))
+        last = F.array_max(F.transform(around, lambda e: F.struct(e["pos"], e["uri"])))
+        return F.coalesce(last["uri"] == TEI_NAMESPACE, F.lit(False))
+
+    return F.when(is_element(), F.coalesce("tei", let(events, innermost)))
+
+
 @dataclass(frozen=True)
 class Shred:
     """Markup rows of the documents; ``rows`` keeps one row of each rejected document."""
@@ -254,11 +343,14 @@ def shred(documents: DataFrame, clustered: bool = False) -> Shred:
     """Cut ``documents(resource_id, xml)`` into markup rows; ill-formed ones get a reason.
 
     Columns: resource_id, pos, kind, name, tei, xml_id, markup, depth, level, elem_pos,
-    parent_pos, text, after_pi, reason.  ``level`` is the number of open elements after the
-    row; name, tei, xml_id, depth and elem_pos describe the element a tag opens or closes.
+    text, after_pi, reason.  ``level`` is the number of open elements after the row; name,
+    tei, xml_id, depth and elem_pos describe the element a tag opens or closes.
+
+    Two sorts inside the partitions: by position for the running depth, and by depth and
+    position, where the last opening seen is the one a closing tag belongs to.
     """
     t = _markup_rows(documents, clustered)
-    opening = is_kind("open", "empty")
+    opening, closing = is_kind("open", "empty"), is_kind("close")
     last_tag = F.last(F.when(is_element() | is_kind("pi"), F.col("kind")), ignorenulls=True)
     t = t.withColumns(
         {
@@ -266,66 +358,58 @@ def shred(documents: DataFrame, clustered: bool = False) -> Shred:
             "after_pi": F.coalesce(last_tag.over(up_to_here()), F.lit("")) == "pi",
         }
     )
-    t = enclosing(t, F.struct("pos", "qname", "own_id", "own_ns"), "outer")
-
-    # default namespace in scope: the innermost element that declares one
-    own_ns = F.when(opening, F.col("own_ns")).when(is_kind("close"), F.col("outer.own_ns"))
-    t = t.withColumn("_ns", own_ns).withColumn("_ns_level", nesting(F.col("_ns").isNotNull()))
-    in_scope = F.last(F.when(is_kind("open"), F.col("_ns")), ignorenulls=True)
-    t = t.withColumn("_default", in_scope.over(by_level("_ns_level")))
-    prefix = F.when(F.contains("qname", F.lit(":")), F.substring_index("qname", ":", 1))
-    prefixed = F.array_contains(F.split("tei_prefixes", " "), prefix)
-    unprefixed = F.coalesce(F.coalesce("_ns", "_default") == TEI_NAMESPACE, F.lit(False))
-    tei = F.when(is_element(), F.when(prefix.isNotNull(), prefixed).otherwise(unprefixed))
-
-    # faults of single rows, then of the document as a whole
+    t = t.withColumn(
+        "depth",
+        F.when(is_kind("open"), F.col("level")).when(
+            is_kind("empty", "close"), F.col("level") + 1
+        ),
+    )
+    opened = F.last(
+        F.when(is_kind("open"), F.struct("pos", "qname", "own_id", "own_ns")), ignorenulls=True
+    )
+    t = t.withColumn("own", F.when(closing, opened.over(by_level("depth"))))
     blank = F.regexp_replace("text", BLANK + "+", "") == ""
     row_fault = F.coalesce(
         F.col("fault"),
-        F.when(is_kind("close") & F.col("outer").isNull(), "unmatched closing tag")
-        .when(is_kind("close") & (F.col("outer.qname") != F.col("qname")), "unmatched closing tag")
+        F.when(closing & ~F.coalesce(F.col("own.qname") == F.col("qname"), F.lit(False)), UNMATCHED)
         .when((F.col("level") == 0) & (~blank | is_kind("cdata")), "text outside the root")
         .when(F.col("level") > MAX_DEPTH, "nested too deep"),
     )
-    root = (is_kind("open") & (F.col("level") == 1)) | (is_kind("empty") & (F.col("level") == 0))
-    balance = F.when(is_kind("open"), 1).when(is_kind("close"), -1).otherwise(0)
-    first_fault = F.min(
-        F.when(F.col("fault").isNotNull(), F.struct("pos", "fault"))
-    ).over(whole_document())["fault"]
-    reason = F.coalesce(
-        first_fault,
-        F.when(F.sum(balance).over(whole_document()) != 0, "unclosed element"),
-        F.when(F.sum(root.cast("int")).over(whole_document()) != 1, "not one root element"),
-    )
-    t = t.withColumns({"tei": tei, "fault": row_fault}).withColumn("reason", reason)
-    rows = t.filter("reason is null or pos = 0").select(
+    t = t.select(
         "resource_id",
         "pos",
         "kind",
         F.substring_index("qname", ":", -1).alias("name"),
         "tei",
-        F.when(opening, F.col("own_id"))
-        .when(is_kind("close"), F.col("outer.own_id"))
-        .alias("xml_id"),
+        F.when(opening, F.col("own_id")).otherwise(F.col("own.own_id")).alias("xml_id"),
+        F.when(opening, F.col("own_ns")).otherwise(F.col("own.own_ns")).alias("ns"),
         "markup",
-        F.when(is_kind("open"), F.col("level"))
-        .when(is_kind("empty", "close"), F.col("level") + 1)
-        .alias("depth"),
+        "depth",
         "level",
-        F.when(opening, F.col("pos")).when(is_kind("close"), F.col("outer.pos")).alias("elem_pos"),
-        F.when(opening, F.col("outer.pos")).alias("parent_pos"),
+        F.when(opening, F.col("pos")).otherwise(F.col("own.pos")).alias("elem_pos"),
         "text",
         "after_pi",
-        "reason",
+        row_fault.alias("fault"),
+    )
+    # faults of the document as a whole, with the first fault of a row before them
+    first_fault = F.min(F.when(F.col("fault").isNotNull(), F.struct("pos", "fault")))
+    balance = F.sum(F.when(is_kind("open"), 1).when(closing, -1).otherwise(0))
+    roots = F.count_if(opening & (F.col("depth") == 1))
+    reason = F.coalesce(
+        first_fault.over(whole_document())["fault"],
+        F.when(balance.over(whole_document()) != 0, "unclosed element"),
+        F.when(roots.over(whole_document()) != 1, "not one root element"),
     )
-    return Shred(rows)
+    rows = t.withColumns({"tei": _resolve_scopes(t), "reason": reason})
+    return Shred(rows.filter("reason is null or pos = 0").drop("ns", "fault"))
 
 
 def nodes(tokens: DataFrame) -> DataFrame:
-    """One row per element with the position of its closing tag."""
+    """One row per element with the position of its closing tag and of its parent."""
     end = F.max("pos").over(Window.partitionBy("resource_id", "elem_pos"))
     return (
-        tokens.filter(F.col("elem_pos").isNotNull())
+        enclosing(tokens, F.col("pos"), "parent_pos")
+        .filter(F.col("elem_pos").isNotNull())
         .withColumn("end_pos", end)
         .filter(is_kind("open", "empty"))
         .select(

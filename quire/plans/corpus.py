@@ -14,7 +14,7 @@ from quire.operators import navigation as nav
 from quire.operators import validate as val
 from quire.operators import walk as W
 from quire.operators.requestlog import run_stats
-from quire.session import configure, materialize
+from quire.session import checkpointed, configure, materialize
 from quire.sinks.files import write_results
 from quire.sources import payloads as P
 from quire.sources import results as saved
@@ -99,7 +99,8 @@ def run(
     description is missing; both stay visible in ``quarantine`` and ``missing``.
     """
     spark = configure(landed.payloads.sparkSession)
-    described = P.objects(landed.payloads)
+    # every payload is parsed once, every document cut once
+    described = checkpointed(P.objects(landed.payloads))
     edges = materialize(P.member_edges(described), "edges")
     start = collection.collection_id or ""
     asked = described.filter(F.col("request_id") == start).select("object_id").head()
@@ -113,7 +114,9 @@ def run(
         F.col("object_id").alias("resource_id"),
         nav.resource_depth(F.col("raw")).alias("max_cite_depth"),
     )
-    cut = FR.split(landed.documents, wanted, landed.navigation, resource.fragments)
+    cut = FR.split(
+        landed.documents, wanted, landed.navigation, resource.fragments, keep_rows=True
+    )
     results = M.resource_results(
         resources, resource.metadata_dublincore, resource.metadata_extensions
     )
@@ -122,7 +125,7 @@ def run(
         absent = wanted.join(landed.documents, "resource_id", "left_anti").select(
             "resource_id", F.lit("no document").alias("reason")
         )
-        quarantine = quarantine.unionByName(absent)
+        quarantine = materialize(quarantine.unionByName(absent), "quarantine")
         results = results.join(
             quarantine.select(F.col("resource_id").alias("id")), "id", "left_anti"
         )
