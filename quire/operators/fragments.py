@@ -32,6 +32,7 @@ from quire.operators.shred import (
     shred,
     up_to_here,
 )
+from quire.session import by_resource
 
 DOCUMENT_ID = "__DOCUMENT__"
 MODES = ("auto", "navigation", "tei_xpath", "document")
@@ -430,12 +431,14 @@ def split(
         raise ValueError(f"unknown fragment mode: {params.mode}")
     if params.mode == "tei_xpath" and not params.fragment_xpath:
         raise ValueError("fragment_xpath is required in mode tei_xpath")
-    wanted = documents.select("resource_id", "xml").join(
+    # placed once; the joins that route the documents keep them where they are
+    wanted = by_resource(documents.select("resource_id", "xml")).join(
         resources.select("resource_id"), "resource_id", "left_semi"
     )
 
     def cut(docs: DataFrame, keep: bool = keep_rows) -> Shred:
-        return shred(docs).materialize() if keep else shred(docs)
+        rows = shred(docs, clustered=True)
+        return rows.materialize() if keep else rows
 
     def in_one_piece(rows: Shred) -> DataFrame:
         return document_fragments(

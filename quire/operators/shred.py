@@ -336,7 +336,7 @@ class Shred:
 
     def materialize(self) -> Shred:
         """Checkpointed once, for when several jobs read the rows; stays hashed by resource."""
-        return Shred(checkpointed(self.rows))
+        return Shred(checkpointed(self.rows, keep_partitioning=True))
 
 
 def shred(documents: DataFrame, clustered: bool = False) -> Shred:

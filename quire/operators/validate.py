@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from quire.functions import let
 from quire.functions import variant as V
+from quire.session import checkpointed
 
 ISSUE = (
     "struct<seq:array<string>,level:string,code:string,message:string,"
@@ -427,7 +428,8 @@ def validate_run(collections: DataFrame, resources: DataFrame) -> tuple[DataFram
     The output is two tables here, so its issues carry the table and the record id in
     their path in place of a list position.
     """
-    checked = check(result_records(resources), "resource_result")
+    # issues and summary both read the outcome; the records themselves are not kept
+    checked = checkpointed(check(result_records(resources), "resource_result").drop("record"))
     listed = check(result_records(collections), "collection_result")
     found = None
     for table, part in (("collection_results", listed), ("resource_results", checked)):

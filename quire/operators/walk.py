@@ -12,6 +12,7 @@ from quire.functions.text import id_list
 from quire.session import materialize
 
 VISIT = "object_id string, depth int, found_by string"
+COMPACT_EVERY = 10
 
 
 @dataclass(frozen=True)
@@ -54,6 +55,8 @@ def reach(edges: DataFrame, start: str, excluded: Sequence[str] = ()) -> DataFra
         if frontier.isEmpty():
             return seen
         seen = seen.unionByName(frontier)
+        if depth % COMPACT_EVERY == 0:
+            seen = materialize(seen, "walk-seen")  # keeps the plan of a deep graph short
 
 
 def walk(

@@ -131,7 +131,8 @@ def run(
         )
     meta = spark.range(1).select(F.lit(DTS_VERSION).alias("dtsVersion"), F.lit("All").alias("type"))
     if landed.request_log is not None:
-        meta = meta.join(run_stats(landed.request_log), F.lit(True))
+        stats = run_stats(landed.request_log).withColumn("_one", F.lit(1))
+        meta = meta.withColumn("_one", F.lit(1)).join(stats, "_one").drop("_one")
     return CorpusRun(
         collections=M.collection_results(
             collections, collection.metadata_dublincore, collection.metadata_extensions

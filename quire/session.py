@@ -50,10 +50,22 @@ def checkpoint_root(spark: SparkSession) -> str:
     return spark.sparkContext.getCheckpointDir().rstrip("/")
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint in the shared folder; keeps partitioning and order of the rows."""
-    checkpoint_root(df.sparkSession)
-    return df.checkpoint()
+def checkpointed(df: DataFrame, keep_partitioning: bool = False) -> DataFrame:
+    """Reliable checkpoint in the shared folder.
+
+    ``keep_partitioning`` plans the job without adaptive execution, which would hide how
+    the rows are hashed and sorted, so that what reads them needs no exchange.
+    """
+    spark = df.sparkSession
+    checkpoint_root(spark)
+    if not keep_partitioning:
+        return df.checkpoint()
+    adaptive = spark.conf.get("spark.sql.adaptive.enabled")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        return df.checkpoint()
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", adaptive)
 
 
 def materialize(df: DataFrame, label: str) -> DataFrame:

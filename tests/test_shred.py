@@ -165,3 +165,15 @@ def test_one_exchange_of_the_raw_documents(spark):
 
     plan = document_fragments(S.shred(df).tokens)._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange hashpartitioning") == 1, plan
+
+
+def test_checkpointed_rows_need_no_exchange(spark):
+    from quire.operators import selector as SEL
+    from quire.operators.fragments import selected_text
+
+    df = spark.createDataFrame([("a", "<a/>")], "resource_id string, xml string")
+    tokens = S.shred(df).materialize().tokens
+    assert spark.conf.get("spark.sql.adaptive.enabled") == "true"
+    marked = SEL.mark(tokens, SEL.parse(".//tei:div[@type='x']/tei:p"))
+    plan = selected_text(marked)._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan, plan
