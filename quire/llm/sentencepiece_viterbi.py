@@ -13,20 +13,20 @@ two pieces around it).  So exactly one last piece per place passes the test with
 predecessor, and the search finds the ids that the library gives.
 
 No piece has the blank mark after another character, so the paths always meet before a mark
-that follows one; stretches between such places are encoded once and remembered in a bounded
-table.
+that follows one; words between such places are searched once and remembered in a bounded table.
 """
 
 from __future__ import annotations
 
 import re
 from array import array
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from functools import lru_cache
 
 import ahocorasick
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import sentencepiece
 from pyspark import Broadcast
 from pyspark.sql import Column, SparkSession
@@ -35,9 +35,9 @@ from quire.llm.common import arrow_column, broadcast_bytes
 
 #: The mark that stands for a blank (fixed value).
 MARK = "▁"
-#: Stretches, and pairs of pieces, that a worker remembers; then it starts anew.
-REMEMBERED, PAIRS = 300_000, 1_000_000
-#: Longer stretches are encoded each time.
+#: Words, and pairs of pieces, that a worker remembers; others are searched each time.
+REMEMBERED, PAIRS = 400_000, 1_000_000
+#: Longer words are searched each time.
 LONGEST_REMEMBERED = 64
 #: Characters between two looks for a place where all paths meet.
 STEP = 1024
@@ -49,21 +49,24 @@ class Pieces:
     """Pieces of a model and the test or score that ranks paths.
 
     ``pieces`` are (surface, score), in the order of their ids in ``ids``; ``merging`` tells a
-    byte-pair model from a unigram one.
+    byte-pair model from a unigram one.  A character that no piece has is a piece of its own,
+    with id -1.
     """
 
     def __init__(self, pieces: list[tuple[str, float]], ids: list[int], merging: bool) -> None:
         self.merging = merging
-        self.id = {s: i for (s, _), i in zip(pieces, ids, strict=True)}
         self.score = {s: x for s, x in pieces}
         self.unknown = min((x for _, x in pieces), default=0.0) - 10.0
         self.longest = max((len(s) for s, _ in pieces), default=1)
-        self.whole: dict[str, bool] = {}
-        self.pair: dict[tuple[str, str], bool] = {}
+        self.pair: dict[int, bool] = {}
         self.automaton = ahocorasick.Automaton()
-        for s, _ in pieces:
-            self.automaton.add_word(s, s)
-        if pieces:
+        self.empty = True
+        for (s, x), i in zip(pieces, ids, strict=True):
+            # a piece that merging would not make of its own characters is on no path
+            if not merging or self.merged(s) == [s]:
+                self.automaton.add_word(s, (i, len(s), s, x))
+                self.empty = False
+        if not self.empty:
             self.automaton.make_automaton()
 
     def merged(self, text: str) -> list[str]:
@@ -79,109 +82,124 @@ class Pieces:
                 return parts
             parts[at : at + 2] = [parts[at] + parts[at + 1]]
 
-    def stands(self, piece: str) -> bool:
-        """Whether merging makes the piece of its own characters."""
-        known = self.whole.get(piece)
-        if known is None:
-            known = self.whole[piece] = self.merged(piece) == [piece]
-        return known
-
-    def follow(self, a: str, b: str) -> bool:
+    def follow(self, a: tuple, b: tuple) -> bool:
         """Whether merging leaves the border between the two pieces."""
-        known = self.pair.get((a, b))
-        if known is None:
-            if len(self.pair) >= PAIRS:
-                self.pair.clear()
-            known = self.pair[a, b] = self.merged(a + b) == [a, b]
+        if len(self.pair) >= PAIRS:
+            self.pair.clear()
+        known = self.merged(a[2] + b[2]) == [a[2], b[2]]
+        if a[0] >= 0:
+            self.pair[a[0] << 24 | b[0]] = known
         return known
 
 
 class Search:
-    """The search over one text, fed in parts of any length."""
+    """The search over one text, fed in parts of any length.
+
+    ``last[i]`` is the best last piece of the text up to ``base + i``: id, length, surface and
+    score.
+    """
 
     def __init__(self, pieces: Pieces) -> None:
         self.pieces = pieces
         self.base = 0  # everything before is final
         self.text = ""  # characters from there on
-        self.last: list[str] = [""]  # best last piece of the text up to base + i
+        self.last: list[tuple | None] = [None]
         self.total: list[float] = [0.0]
-        self.matches = None
-        self.ahead: tuple[int, str] | None = None
 
-    def feed(self, part: str) -> Iterator[str]:
+    def feed(self, part: str) -> Iterator[tuple]:
         """Pieces that are final now."""
         for at in range(0, len(part), STEP):
-            self._extend(part[at : at + STEP])
-            yield from self._settled()
+            self.extend(part[at : at + STEP])
+            yield from self.settled()
 
-    def finish(self) -> Iterator[str]:
+    def finish(self) -> list[tuple]:
         """The pieces that are left."""
-        yield from self._path(len(self.text), 0)
+        return self.path(len(self.text))
 
-    def _extend(self, part: str) -> None:
-        p, known = self.pieces, len(self.text)
+    def extend(self, part: str) -> None:
+        known = len(self.text)
         self.text += part
-        text, last, total = self.text, self.last, self.total
-        seen = max(0, known - p.longest + 1)
-        found = p.automaton.iter(text[seen:]) if p.id else iter(())
-        at, best, value = known, None, 0.0
-        last += [""] * len(part)
-        total += [0.0] * len(part)
-
-        def close(at: int, best: str | None, value: float) -> None:
-            # a character that no piece has is a piece of its own
-            last[at + 1] = text[at] if best is None else best
-            total[at + 1] = total[at] + p.unknown if best is None else value
-
+        self.last += [None] * len(part)
+        seen = max(0, known - self.pieces.longest + 1)
+        found = () if self.pieces.empty else self.pieces.automaton.iter(self.text[seen:] if seen else self.text)
+        if self.pieces.merging:
+            self._chain(found, seen, known)
+        else:
+            self.total += [0.0] * len(part)
+            self._weigh(found, seen, known)
+
+    def _chain(self, found: Iterable, seen: int, known: int) -> None:
+        """The one last piece that passes with its predecessor, for each place."""
+        last, text, follow = self.last, self.text, self.pieces.follow
+        passes, begun = self.pieces.pair.get, self.base == 0
         for end, piece in found:
-            end += seen
-            if end < known:
+            end += seen + 1
+            if end <= known or last[end] is not None:
                 continue
-            while at < end:
-                close(at, best, value)
-                at, best, value = at + 1, None, 0.0
-            start = end + 1 - len(piece)
+            start = end - piece[1]
             if start < 0:
                 continue
-            if p.merging:
-                if best is None and p.stands(piece) and (
-                    start + self.base == 0 or p.follow(last[start] or self.before, piece)
-                ):
-                    best = piece
-            elif best is None or total[start] + p.score[piece] > value:
-                best, value = piece, total[start] + p.score[piece]
-        while at < len(text):
-            close(at, best, value)
-            at, best, value = at + 1, None, 0.0
-
-    before = ""  # the last final piece
-
-    def _path(self, end: int, start: int) -> list[str]:
-        out = []
-        while end > start:
-            out.append(self.last[end])
-            end -= len(self.last[end])
-        return out[::-1]
-
-    def _settled(self) -> list[str]:
+            if start == 0 and begun:
+                last[end] = piece
+                continue
+            before = last[start]
+            if before is None:  # no piece ends there
+                before = last[start] = (-1, 1, text[start - 1], 0.0)
+            good = passes(before[0] << 24 | piece[0])
+            if good or good is None and follow(before, piece):
+                last[end] = piece
+        for i in range(known + 1, len(last)):
+            if last[i] is None:
+                last[i] = (-1, 1, text[i - 1], 0.0)
+
+    def _weigh(self, found: Iterable, seen: int, known: int) -> None:
+        """The last piece of the path with the largest sum of scores, for each place."""
+        last, total, text, unknown = self.last, self.total, self.text, self.pieces.unknown
+        at = known + 1
+        for end, piece in found:
+            end += seen + 1
+            if end <= known:
+                continue
+            while at < end:
+                if last[at] is None:
+                    last[at], total[at] = (-1, 1, text[at - 1], unknown), total[at - 1] + unknown
+                at += 1
+            start = end - piece[1]
+            if start >= 0 and (last[end] is None or total[start] + piece[3] > total[end]):
+                last[end], total[end] = piece, total[start] + piece[3]
+        while at < len(last):
+            if last[at] is None:
+                last[at], total[at] = (-1, 1, text[at - 1], unknown), total[at - 1] + unknown
+            at += 1
+
+    def path(self, end: int) -> list[tuple]:
+        out, last = [], self.last
+        while end > 0:
+            piece = last[end]
+            out.append(piece)
+            end -= piece[1]
+        out.reverse()
+        return out
+
+    def settled(self) -> list[tuple]:
+        """The pieces before the place where all paths from the window meet; they are forgotten."""
         n = len(self.text)
         ends = {i for i in range(max(0, n - self.pieces.longest + 1), n + 1)}
         while len(ends) > 1:  # the furthest path goes back one piece at a time
             end = max(ends)
             ends.discard(end)
-            ends.add(end - len(self.last[end]))
+            ends.add(end - self.last[end][1])
         meet = ends.pop()
-        out = self._path(meet, 0)
+        out = self.path(meet)
         if out:
-            self.before = out[-1]
             self.text, self.base = self.text[meet:], self.base + meet
-            self.last = [""] + self.last[meet + 1 :]
+            self.last = self.last[meet:]  # the first is the last final piece
             self.total = [x - self.total[meet] for x in self.total[meet:]]
         return out
 
 
 class Codec(dict):
-    """Ids, as bytes of int32, by stretch of normalised text; a missing one is searched."""
+    """Ids, as bytes of int32, by word after a blank; a missing one is searched."""
 
     def __init__(self, model: bytes) -> None:
         self.library = p = sentencepiece.SentencePieceProcessor(model_proto=model)
@@ -192,90 +210,113 @@ class Codec(dict):
         ]
         listed = [(p.id_to_piece(i), p.get_score(i)) for i in plain]
         self.pieces = Pieces(listed, plain, _merging(model))
-        self.parted = not any(MARK in s.lstrip(MARK) for s, _ in listed)
         self.octet = {int(p.id_to_piece(i)[3:5], 16): i for i in range(n) if p.is_byte(i)}
         self.unknown = p.unk_id()
         self.prefixed = p.normalize("a") == MARK + "a"
-        self.bytes = [
-            bytes([int(p.id_to_piece(i)[3:5], 16)]) if p.is_byte(i)
-            else b"" if p.is_control(i)
-            else " ⁇ ".encode() if p.is_unknown(i)
-            else p.id_to_piece(i).replace(MARK, " ").encode()
-            for i in range(n)
-        ]
-
-    def __missing__(self, stretch: str) -> bytes:
-        out = array("i")
-        for piece in self.search([stretch]):
-            self.add(out, piece)
-        ids = out.tobytes()
-        if len(stretch) <= LONGEST_REMEMBERED:
-            if len(self) >= REMEMBERED:
-                self.clear()
-            self[stretch] = ids
+        # words are searched apart where the model leaves a text as it is but for the marks, and
+        # has no mark after another character
+        self.apart = (
+            self.prefixed and bool(self.octet) and not any(MARK in s.lstrip(MARK) for s, _ in listed)
+            and p.normalize("  ﬁ Ａ\t e\u0301 ") == MARK * 3 + f"ﬁ{MARK}Ａ\t{MARK}e\u0301{MARK}"
+            and not _field(_field(model, 3, b""), 2, b"")
+        )
+        # bytes of each id; the last is nothing, for ids that are not in the model
+        self.bytes = pa.array([
+            *(
+                bytes([int(p.id_to_piece(i)[3:5], 16)]) if p.is_byte(i)
+                else b"" if p.is_control(i)
+                else " ⁇ ".encode() if p.is_unknown(i)
+                else p.id_to_piece(i).replace(MARK, " ").encode()
+                for i in range(n)
+            ),
+            b"",
+        ], pa.binary())
+
+    def __missing__(self, word: str) -> bytes:
+        ids = self.ids(self.search([MARK + word])).tobytes()
+        if len(word) <= LONGEST_REMEMBERED and len(self) < REMEMBERED:
+            self[word] = ids
         return ids
 
-    def search(self, parts: Iterable[str]) -> Iterator[str]:
+    def search(self, parts: list[str]) -> Iterable[tuple]:
         one = Search(self.pieces)
-        for part in parts:
-            yield from one.feed(part)
-        yield from one.finish()
-
-    def add(self, out: array, piece: str) -> None:
-        i = self.pieces.id.get(piece)
-        if i is not None:
-            out.append(i)
-        elif self.octet:
-            out.extend([self.octet[b] for b in piece.encode()])
-        elif not out or out[-1] != self.unknown:
-            out.append(self.unknown)  # unknown characters in a row are one
+        if len(parts) == 1 and len(parts[0]) <= STEP:
+            one.extend(parts[0])
+            return one.finish()
+        return (x for found in [*map(one.feed, parts), _later(one.finish)] for x in found)
+
+    def ids(self, pieces: Iterable[tuple]) -> array:
+        out = array("i")
+        for i, _, surface, _ in pieces:
+            if i >= 0:
+                out.append(i)
+            elif self.octet:
+                out.extend([self.octet[b] for b in surface.encode()])
+            elif not out or out[-1] != self.unknown:
+                out.append(self.unknown)  # unknown characters in a row are one
+        return out
 
     def encode(self, text: str) -> bytes:
         if not text:
             return b""
+        if self.apart and MARK not in text:
+            words = text.split(" ")
+            if "" not in words:
+                return b"".join([self[w] for w in words])
         normal = self.library.normalize(text)
-        if self.parted and self.octet:
-            return b"".join([self[s] for s in _STRETCH.findall(normal)])
-        out = array("i")
-        for piece in self.search([normal]):
-            self.add(out, piece)
-        return out.tobytes()
+        if not self.apart:
+            return self.ids(self.search([normal])).tobytes()
+        return b"".join([
+            self[s[1:]] if s[0] == MARK and s[1:2] != MARK else self.ids(self.search([s])).tobytes()
+            for s in _STRETCH.findall(normal)
+        ])
 
-    def decode(self, ids: Iterable[int]) -> str:
-        data, n = self.bytes, len(self.bytes)
-        text = b"".join([data[i] if i is not None and 0 <= i < n else b"" for i in ids])
-        out = text.decode("utf-8", "replace")
-        return out[1:] if self.prefixed and out.startswith(" ") else out
+    def decode(self, ids: pa.ListArray) -> list[str]:
+        flat = ids.flatten()
+        known = pc.fill_null(pc.and_(pc.greater_equal(flat, 0), pc.less(flat, len(self.bytes))), False)
+        pieces = self.bytes.take(pc.if_else(known, flat, len(self.bytes) - 1))
+        sizes = pc.fill_null(pc.list_value_length(ids), 0).to_numpy(zero_copy_only=False)
+        offsets = pa.array(np.concatenate(([0], np.cumsum(sizes))).astype(np.int32))
+        cut = 1 if self.prefixed else 0
+        texts = pc.binary_join(pa.ListArray.from_arrays(offsets, pieces), b"").to_pylist()
+        out = [t.decode("utf-8", "replace") for t in texts]
+        return [t[cut:] if t.startswith(" ") else t for t in out]
+
+
+def _later(fn: Callable[[], list]) -> Iterator:
+    yield from fn()
 
 
 def _merging(model: bytes) -> bool:
     """Whether the trainer's model type, field 3 of field 2 of the model, is byte-pair (2)."""
+    return _field(_field(model, 2, b""), 3, 1) == 2
 
-    def fields(data: bytes) -> Iterator[tuple[int, int | bytes]]:
-        at = 0
-
-        def number() -> int:
-            nonlocal at
-            value = shift = 0
-            while True:
-                b = data[at]
-                at += 1
-                value |= (b & 127) << shift
-                shift += 7
-                if b < 128:
-                    return value
 
-        while at < len(data):
-            key = number()
-            if key & 7 == 0:
-                yield key >> 3, number()
-            else:
-                size = {1: 8, 5: 4}.get(key & 7) or number()
-                yield key >> 3, data[at : at + size]
-                at += size
+def _field(data: bytes, number: int, default):
+    """First value of a numbered field of a serialised message."""
+    at = 0
 
-    trainer = next((v for k, v in fields(model) if k == 2), b"")
-    return next((v for k, v in fields(trainer) if k == 3), 1) == 2
+    def varint() -> int:
+        nonlocal at
+        value = shift = 0
+        while True:
+            b = data[at]
+            at += 1
+            value |= (b & 127) << shift
+            shift += 7
+            if b < 128:
+                return value
+
+    while at < len(data):
+        key = varint()
+        if key & 7 == 0:
+            value: int | bytes = varint()
+        else:
+            size = {1: 8, 5: 4}.get(key & 7) or varint()
+            value, at = data[at : at + size], at + size
+        if key >> 3 == number:
+            return value
+    return default
 
 
 @lru_cache(maxsize=2)
@@ -307,7 +348,6 @@ def decode(ids: Column, model: Broadcast) -> Column:
     that are no UTF-8 give the replacement character."""
 
     def run(lists: pa.Array) -> pa.Array:
-        own = codec(model.value)
-        return pa.array([own.decode(x.values.to_pylist() if x.is_valid else ()) for x in lists], pa.string())
+        return pa.array(codec(model.value).decode(lists), pa.string())
 
     return arrow_column(run, "string", ids)

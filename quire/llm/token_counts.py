@@ -23,7 +23,7 @@ from quire.llm.common import arrow_column, broadcast_bytes
 
 #: How byte-level vocabularies of this family cut a text (fixed value).
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-#: Words whose counts a worker remembers; then it starts anew.
+#: Stretches, and pieces, whose counts a worker remembers; others are counted each time.
 REMEMBERED = 400_000
 #: Longer stretches are counted each time and not remembered.
 LONGEST_REMEMBERED = 64
@@ -40,59 +40,79 @@ def byte_letters() -> list[str]:
 
 
 class Counter(dict):
-    """Tokens by stretch of text; a missing one is merged."""
+    """Tokens by stretch of text; a missing one is cut and merged."""
 
     def __init__(self, model: bytes) -> None:
         spec = json.loads(model)
         if spec["model"].get("type", "BPE") != "BPE" or spec.get("normalizer"):
             raise ValueError("a byte-level byte-pair vocabulary without normaliser is needed")
-        letters = byte_letters()
-        self.letter = letters
-        pairs = (m if isinstance(m, list) else m.split(" ") for m in spec["model"]["merges"])
-        self.rank = {(a, b): i for i, (a, b) in enumerate(pairs)}
+        # symbols are numbered: bytes first, then whatever merging makes
+        number = {c: i for i, c in enumerate(byte_letters())}
+        self.rank: dict[int, int] = {}
+        self.first, self.second, self.made = [], [], []
+        for rank, m in enumerate(spec["model"]["merges"]):
+            a, b = m if isinstance(m, list) else m.split(" ")
+            x, y = (number.setdefault(s, len(number)) for s in (a, b))
+            self.rank[x << 32 | y] = rank
+            self.first.append(x)
+            self.second.append(y)
+            self.made.append(number.setdefault(a + b, len(number)))
         special = [t["content"] for t in spec.get("added_tokens", [])]
         special.sort(key=len, reverse=True)
         self.special = re.compile("(" + "|".join(map(re.escape, special)) + ")") if special else None
         self.pattern = regex.compile(PATTERN)
+        self.pieces: dict[str, int] = {}
 
     def __missing__(self, stretch: str) -> int:
-        n = sum(map(self.piece, self.pattern.findall(stretch)))
-        if len(stretch) <= LONGEST_REMEMBERED:
-            if len(self) >= REMEMBERED:
-                self.clear()
+        n, known = 0, self.pieces
+        for piece in self.pattern.findall(stretch):
+            k = known.get(piece)
+            if k is None:
+                k = self.merge(piece.encode())
+                if len(piece) <= LONGEST_REMEMBERED and len(known) < REMEMBERED:
+                    known[piece] = k
+            n += k
+        if len(stretch) <= LONGEST_REMEMBERED and len(self) < REMEMBERED:
             self[stretch] = n
         return n
 
-    def piece(self, piece: str) -> int:
+    def merge(self, data: bytes) -> int:
         """Initial symbols minus merges: pop the lowest-ranked pair, leftmost first."""
-        letter, rank = self.letter, self.rank
-        symbol = [letter[b] for b in piece.encode()]
-        n = len(symbol)
+        n = len(data)
         if n < 2:
             return n
-        after, before = list(range(1, n + 1)), list(range(-1, n - 1))
-        heap = [
-            (r, i, a, b)
-            for i, (a, b) in enumerate(zip(symbol, symbol[1:], strict=False))
-            if (r := rank.get((a, b))) is not None
-        ]
+        rank, symbol = self.rank.get, list(data)
+        heap = []  # rank and place in one number
+        for i in range(n - 1):
+            r = rank(symbol[i] << 32 | symbol[i + 1])
+            if r is not None:
+                heap.append(r << 32 | i)
+        if not heap:
+            return n
         heapq.heapify(heap)
-        merges = 0
+        pop, push = heapq.heappop, heapq.heappush
+        after, before = list(range(1, n + 1)), list(range(-1, n - 1))
+        left = n
         while heap:
-            _, i, a, b = heapq.heappop(heap)
+            r, i = divmod(pop(heap), 1 << 32)
             j = after[i]
-            if j >= n or symbol[i] != a or symbol[j] != b:
+            if j >= n or symbol[i] != self.first[r] or symbol[j] != self.second[r]:
                 continue  # one of the two has been merged since
-            symbol[i], symbol[j] = a + b, ""
-            merges += 1
+            made = symbol[i] = self.made[r]
+            symbol[j] = -1
+            left -= 1
             after[i] = k = after[j]
             if k < n:
                 before[k] = i
-                if (r := rank.get((a + b, symbol[k]))) is not None:
-                    heapq.heappush(heap, (r, i, a + b, symbol[k]))
-            if (h := before[i]) >= 0 and (r := rank.get((symbol[h], a + b))) is not None:
-                heapq.heappush(heap, (r, h, symbol[h], a + b))
-        return n - merges
+                r = rank(made << 32 | symbol[k])
+                if r is not None:
+                    push(heap, r << 32 | i)
+            h = before[i]
+            if h >= 0:
+                r = rank(symbol[h] << 32 | made)
+                if r is not None:
+                    push(heap, r << 32 | h)
+        return left
 
     def count(self, text: str) -> int:
         if self.special is None:
