@@ -146,7 +146,7 @@ def main_text(page: str) -> str:
         outside = marked and not article
         links = not marked and text and linked >= 0.6 * len(text)
         weight.append(0 if outside or links else len(text))
-    # empty lines between blocks say nothing; those of left-out blocks part stretches
+    # lines without text say nothing; those outside the article, and lists of links, weigh nothing
     shown = [i for i, (text, _, _) in enumerate(rows) if text]
     weight = [weight[i] for i in shown]
     sums = [sum(weight[i : i + WINDOW]) for i in range(len(weight))]

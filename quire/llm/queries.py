@@ -131,16 +131,16 @@ WITH i AS (SELECT item_id, {_WORDS} AS w FROM benchmark),
      d AS (SELECT doc_id, {_WORDS} AS w FROM documents),
      asked AS (
        SELECT DISTINCT item_id, least(len(w), 13) AS size,
-              array_to_string(w[at:at + least(len(w), 13) - 1], ' ') AS win
-       FROM (SELECT item_id, w, unnest(generate_series(1, greatest(len(w) - 12, 1))) AS at FROM i WHERE len(w) > 0)),
+              array_to_string(w[pos:pos + least(len(w), 13) - 1], ' ') AS win
+       FROM (SELECT item_id, w, unnest(generate_series(1, greatest(len(w) - 12, 1))) AS pos FROM i WHERE len(w) > 0)),
      sizes AS (SELECT DISTINCT size FROM asked),
      placed AS (
-       SELECT doc_id, size, at, array_to_string(w[at:at + size - 1], ' ') AS win
-       FROM (SELECT doc_id, w, size, unnest(generate_series(1, len(w) - size + 1)) AS at
+       SELECT doc_id, size, pos, array_to_string(w[pos:pos + size - 1], ' ') AS win
+       FROM (SELECT doc_id, w, size, unnest(generate_series(1, len(w) - size + 1)) AS pos
              FROM d, sizes WHERE len(w) >= size)),
-     hits AS (SELECT doc_id, item_id, at, p.size AS size FROM placed p JOIN asked USING (size, win)),
+     hits AS (SELECT doc_id, item_id, pos, p.size AS size FROM placed p JOIN asked USING (size, win)),
      words AS (SELECT doc_id, count(DISTINCT k) AS n_hit
-               FROM (SELECT doc_id, unnest(generate_series(at, at + size - 1)) AS k FROM hits) GROUP BY 1),
+               FROM (SELECT doc_id, unnest(generate_series(pos, pos + size - 1)) AS k FROM hits) GROUP BY 1),
      items AS (SELECT doc_id, count(*) AS n_items, string_agg(id, ',' ORDER BY id) AS ids
                FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS id FROM hits) GROUP BY 1)
 SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
@@ -155,11 +155,11 @@ WITH t AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
                   list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS full_lines,
                   len(string_split(text, chr(10))) AS n_lines
            FROM t),
-     win AS (SELECT doc_id, at, count(*) OVER (PARTITION BY doc_id, win) AS n
-             FROM (SELECT doc_id, at, array_to_string(w[at:at + 4], ' ') AS win
-                   FROM (SELECT doc_id, w, unnest(generate_series(1, len(w) - 4)) AS at FROM d WHERE len(w) >= 5))),
+     win AS (SELECT doc_id, pos, count(*) OVER (PARTITION BY doc_id, win) AS n
+             FROM (SELECT doc_id, pos, array_to_string(w[pos:pos + 4], ' ') AS win
+                   FROM (SELECT doc_id, w, unnest(generate_series(1, len(w) - 4)) AS pos FROM d WHERE len(w) >= 5))),
      rep AS (SELECT doc_id, count(DISTINCT k) AS n_repeat_words
-             FROM (SELECT doc_id, unnest(generate_series(at, at + 4)) AS k FROM win WHERE n > 1) GROUP BY 1),
+             FROM (SELECT doc_id, unnest(generate_series(pos, pos + 4)) AS k FROM win WHERE n > 1) GROUP BY 1),
      m AS (SELECT doc_id, len(w) AS n_words, length(array_to_string(w, '')) AS word_chars,
                   length(regexp_replace(text, '[^#*$%&|<>]', '', 'g')) AS n_symbols,
                   len(full_lines) - len(list_distinct(full_lines)) AS n_dup_lines, n_lines,
@@ -170,7 +170,7 @@ SELECT doc_id, CAST(n_words AS BIGINT) AS n_words, CAST(word_chars AS BIGINT) AS
        CAST(n_symbols AS BIGINT) AS n_symbols, CAST(n_dup_lines AS BIGINT) AS n_dup_lines,
        CAST(n_repeat_words AS BIGINT) AS n_repeat_words, base_failed,
        NOT base_failed AND word_chars BETWEEN 2 * n_words AND 15 * n_words AND 10 * n_symbols <= n_words
-         AND 10 * n_dup_lines <= 3 * n_lines AS kept
+         AND (n_dup_lines <= 2 OR 10 * n_dup_lines <= 3 * n_lines) AS kept
 FROM f
 """
 
