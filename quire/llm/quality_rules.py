@@ -48,45 +48,38 @@ def word_chars(words: Column) -> Column:
     return F.char_length(F.array_join(words, "")).cast("long")
 
 
-def with_repeat_words(df: DataFrame, words: str, out: str) -> DataFrame:
-    """Add ``out``: words inside windows of five words that the text has twice or more.
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once: inside a lambda it is a variable, which the
+    optimiser can't write out again at each place of use, as it may do with a column."""
+    return F.get(F.transform(F.array(value), body), 0)
+
+
+def n_repeat_words(words: Column) -> Column:
+    """Words inside windows of five words that the text has twice or more.
 
     Windows are compared by hash inside their row: sorted with their places, a repeated one has
     an equal neighbour; the places of those, in order, each cover what lies before the next.
     """
-    hashes, pairs, places = (free_name(df, x) for x in ("window_hashes", "window_pairs", "window_places"))
-    w = F.col(words)
-    n = F.size(w)
-    df = df.withColumn(
-        hashes,
-        F.when(n > WINDOW, F.transform(
-            F.sequence(F.lit(1), F.greatest(n - WINDOW + 1, F.lit(1))), lambda i: F.xxhash64(F.slice(w, i, WINDOW))
-        )),
-    )
-    h = F.col(hashes)
-    df = df.withColumn(
-        pairs,
-        F.when(F.size(F.array_distinct(h)) < F.size(h), F.sort_array(
-            F.transform(h, lambda x, i: F.struct(x.alias("h"), i.alias("i")))
-        )),
-    )
-    p = F.col(pairs)
-    equal = lambda x, k: F.coalesce(x["h"] == F.get(p, k)["h"], F.lit(False))
-    df = df.withColumn(
-        places,
-        F.sort_array(F.transform(
-            F.filter(p, lambda x, k: equal(x, k - 1) | equal(x, k + 1)), lambda x: x["i"]
-        )),
-    )
-    at = F.col(places)
-    covered = F.aggregate(
-        F.transform(at, lambda x, k: F.least(F.lit(WINDOW), F.coalesce(F.get(at, k + 1) - x, F.lit(WINDOW)))),
-        F.lit(0).cast("long"), lambda a, x: a + x,
-    )
-    # always true, but not for the optimiser: a filter above must not be pushed below, which
-    # would write the expressions out once for each time that one uses another
-    held = F.when(F.rand() >= 0, covered)
-    return df.withColumn(out, F.coalesce(held, F.lit(0).cast("long"))).drop(hashes, pairs, places)
+    count = F.size(words) - (WINDOW - 1)
+    hashes = F.transform(F.sequence(F.lit(1), F.greatest(count, F.lit(1))), lambda i: F.xxhash64(F.slice(words, i, WINDOW)))
+    none = F.lit(0).cast("long")
+
+    def same(p: Column, x: Column, k: Column) -> Column:
+        return F.coalesce(x["h"] == F.get(p, k)["h"], F.lit(False))
+
+    def places(p: Column) -> Column:
+        return F.sort_array(F.transform(F.filter(p, lambda x, k: same(p, x, k - 1) | same(p, x, k + 1)), lambda x: x["i"]))
+
+    def covered(at: Column) -> Column:
+        step = F.transform(at, lambda x, k: F.least(F.lit(WINDOW), F.coalesce(F.get(at, k + 1) - x, F.lit(WINDOW))))
+        return F.aggregate(step, none, lambda a, x: a + x)
+
+    def repeated(h: Column) -> Column:
+        pairs = F.sort_array(F.transform(h, lambda x, i: F.struct(x.alias("h"), i.alias("i"))))
+        found = let(pairs, lambda p: let(places(p), covered))
+        return F.when(F.size(F.array_distinct(h)) < F.size(h), found).otherwise(none)
+
+    return F.when(count > 1, let(hashes, repeated)).otherwise(none)
 
 
 @dataclass(frozen=True)
@@ -102,25 +95,23 @@ METRICS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_lines", "n_re
 
 
 def measured(df: DataFrame, text: str, metrics: tuple[str, ...], prefix: str = "") -> DataFrame:
-    """``df`` with the metrics as columns ``prefix + name``."""
+    """``df`` with the metrics as columns ``prefix + name``; the text is cut into words once."""
     t = F.col(text)
-    tokens = free_name(df, "word_list")
-    need_words = {"n_words", "word_chars", "n_repeat_words"} & set(metrics)
-    if need_words:
-        df = df.withColumn(tokens, words(t))
-    if "n_words" in metrics:
-        df = df.withColumn(f"{prefix}n_words", F.size(tokens).cast("long"))
-    if "word_chars" in metrics:
-        df = df.withColumn(f"{prefix}word_chars", word_chars(F.col(tokens)))
-    if "n_symbols" in metrics:
-        df = df.withColumn(f"{prefix}n_symbols", n_symbols(t))
-    if "n_dup_lines" in metrics:
-        df = df.withColumn(f"{prefix}n_dup_lines", n_dup_lines(t))
-    if "n_lines" in metrics:
-        df = df.withColumn(f"{prefix}n_lines", F.regexp_count(_text(t), F.lit("\n")).cast("long") + 1)
-    if "n_repeat_words" in metrics:
-        df = with_repeat_words(df, tokens, f"{prefix}n_repeat_words")
-    return df.drop(tokens) if need_words else df
+    by_words = {
+        "n_words": lambda w: F.size(w).cast("long"), "word_chars": word_chars, "n_repeat_words": n_repeat_words,
+    }
+    by_text = {
+        "n_symbols": n_symbols, "n_dup_lines": n_dup_lines,
+        "n_lines": lambda c: F.regexp_count(_text(c), F.lit("\n")).cast("long") + 1,
+    }
+    asked = [m for m in by_words if m in metrics]
+    made = {f"{prefix}{m}": by_text[m](t) for m in by_text if m in metrics}
+    if not asked:
+        return df.withColumns(made)
+    hold = free_name(df, "word_metrics")
+    one = let(words(t), lambda w: F.struct(*[by_words[m](w).alias(m) for m in asked]))
+    df = df.withColumns({**made, hold: one})
+    return df.withColumns({f"{prefix}{m}": F.col(hold)[m] for m in asked}).drop(hold)
 
 
 # thresholds follow published rules for web text; one or two repeated lines are no pattern
