@@ -71,16 +71,32 @@ def features(sizes: np.ndarray) -> np.ndarray:
     return np.stack([np.ones_like(d), d, d * d, r, r * r, d * r, short, d * short], axis=1)
 
 
-def _logistic(x: np.ndarray, y: np.ndarray, steps: int = 60) -> np.ndarray:
-    """Ridge logistic regression by Newton's method."""
+def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0, steps: int = 100) -> np.ndarray:
+    """Logistic regression by Newton's method, halving steps that don't lower the loss.
+
+    The first column is constant.  The ridge holds the others, scaled to unit deviation, so
+    that the weights stay finite where the labels can be told apart entirely.
+    """
+    mean, scale = x.mean(axis=0), np.maximum(x.std(axis=0), 1e-9)
+    mean[0], scale[0] = 0.0, 1.0
+    z, hold = (x - mean) / scale, ridge * (np.arange(x.shape[1]) > 0) + 1e-6
+
+    def loss(w: np.ndarray) -> float:
+        m = z @ w
+        return float(np.logaddexp(0, m).sum() - y @ m + hold @ (w * w) / 2)
+
     w = np.zeros(x.shape[1])
     for _ in range(steps):
-        p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        hessian = (x * (p * (1 - p))[:, None]).T @ x + 1e-2 * np.eye(len(w))
-        step = np.linalg.solve(hessian, x.T @ (y - p) - 1e-2 * w)
-        w += step
-        if np.abs(step).max() < 1e-9:
+        p = 1 / (1 + np.exp(-np.clip(z @ w, -500, 500)))
+        step = np.linalg.solve((z * (p * (1 - p))[:, None]).T @ z + np.diag(hold), z.T @ (y - p) - hold * w)
+        size = 1.0
+        while size > 1e-6 and loss(w + size * step) > loss(w):
+            size /= 2
+        w = w + size * step
+        if np.abs(size * step).max() < 1e-8:
             break
+    w = w / scale
+    w[0] -= w[1:] @ mean[1:]
     return w
 
 

@@ -195,3 +195,12 @@ def test_candidates():
     assert list(secret_scan.candidates("")) == []
     block = "-----BEGIN RSA PRIVATE KEY-----\n" + "Ab1/" * 32 + "\n-----END RSA PRIVATE KEY-----"
     assert [block[a:b] for a, b in secret_scan.candidates(block)] == [block]
+
+
+def test_curve_stays_finite_where_labels_part_entirely():
+    from quire.llm.quality_classifier import _logistic
+
+    x = np.stack([np.ones(200), np.linspace(-1, 1, 200), np.linspace(-1, 1, 200) ** 3], axis=1)
+    w = _logistic(x, (x[:, 1] > 0).astype(float))
+    assert np.isfinite(w).all() and np.abs(w).max() < 1e3
+    assert ((x @ w > 0) == (x[:, 1] > 0)).all()
