@@ -147,15 +147,20 @@ def vector_points(
 ) -> DataFrame:
     """Points: id, payload (JSON), vector.
 
-    ``vectors(id, vector)`` belong to notices by id; with ``check`` their number must equal
-    the number of notices.
+    ``vectors(id, vector)`` belong to notices by id; with ``check`` every notice must have
+    one vector and every vector its notice, and no id may come twice.
     """
     rows = payloads
     if vectors is not None:
         if check:
-            have, want = vectors.count(), payloads.select("id").count()
-            if have != want:
-                raise ValueError(f"vectors length mismatch: got {have} vectors for {want} notices")
+            # ids only: the texts of the payloads are not built for it
+            twice = vectors.groupBy("id").count().filter("count > 1")
+            wrong = vector_mismatch(payloads, vectors).unionByName(
+                twice.select("id", F.lit("none, repeated").alias("missing"))
+            )
+            shown = [f"{r['id']} (missing: {r['missing']})" for r in wrong.limit(5).collect()]
+            if shown:
+                raise ValueError("vectors length mismatch: " + ", ".join(shown))
         rows = payloads.join(vectors.select("id", "vector"), "id")
     point = stable_int_id(F.col("id")) if point_id is None else point_id
     columns = [point.alias("id"), payload_object(payloads).alias("payload")]

@@ -10,8 +10,6 @@ from pyspark.sql import functions as F
 from quire.functions import variant as V
 from quire.functions.text import strip
 
-MAX_COLUMNS = 5_000
-
 
 def _objectish(v: Column) -> Column:
     return F.coalesce(V.truthy(v), F.parse_json(F.lit("{}")))
@@ -169,16 +167,16 @@ def with_creators(notices: DataFrame) -> DataFrame:
     return notices.withColumn("creator_names", creator_names())
 
 
-def metadata_keys(flat: DataFrame, column: str = "flat") -> list[str]:
-    """Sorted union of the keys of a map column.
+def metadata_keys(flat: DataFrame, column: str = "flat", most: int | None = None) -> list[str]:
+    """Sorted union of the keys of a map column, all of them.
 
-    The keys become the columns of a wide table, so their number is checked; wider data
-    stays in the map, which every writer here also takes.
+    The keys become the columns of a wide table.  With ``most``, more keys than that are an
+    error; wider data can stay in the map, which every writer here also takes.
     """
     found = flat.select(F.explode(F.map_keys(column)).alias("key")).distinct()
-    keys = [r["key"] for r in found.limit(MAX_COLUMNS + 1).collect()]
-    if len(keys) > MAX_COLUMNS:
-        raise ValueError(f"more than {MAX_COLUMNS} metadata keys: keep them in the map column")
+    keys = [r["key"] for r in (found if most is None else found.limit(most + 1)).collect()]
+    if most is not None and len(keys) > most:
+        raise ValueError(f"more than {most} metadata keys: keep them in the map column")
     return sorted(keys)
 
 

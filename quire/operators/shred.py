@@ -128,6 +128,7 @@ def decode_entities(c: Column) -> Column:
         name = F.substring_index(p, ";", 1)
         rest = F.substr(p, F.char_length(name) + 2)
         hexadecimal = F.regexp_extract(name, "^#x0*([0-9A-Fa-f]{1,6})$", 1)
+        decimal = F.regexp_extract(name, "^#0*([0-9]{1,7})$", 1)
         known = (
             F.when(name == "amp", "&")
             .when(name == "lt", "<")
@@ -135,7 +136,7 @@ def decode_entities(c: Column) -> Column:
             .when(name == "quot", '"')
             .when(name == "apos", "'")
             .when(hexadecimal != "", _character(F.conv(hexadecimal, 16, 10)))
-            .when(name.rlike("^#[0-9]+$"), _character(F.substring(name, 2, 12)))
+            .when(decimal != "", _character(decimal))
         )
         return F.when(i == 0, p).otherwise(F.concat(known, rest))
 

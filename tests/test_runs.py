@@ -159,6 +159,10 @@ def test_exports(saved, spark, tmp_path):
     vec = spark.createDataFrame([("R1", [0.5])], "id string, vector array<float>")
     with pytest.raises(ValueError, match="vectors length mismatch"):
         X.vector_points(payloads, vec)
+    for ids in (["R1", "R9"], ["R1", "R2", "R2"], ["R1", "R2", "R9"]):
+        odd = spark.createDataFrame([(i, [0.5]) for i in ids], "id string, vector array<float>")
+        with pytest.raises(ValueError, match="vectors length mismatch"):
+            X.vector_points(payloads, odd)
     assert X.vector_points(payloads).count() == 2
     actions = X.bulk_actions(X.search_documents(n, saved.fragments), "ix")
     SF.write_actions(actions, str(tmp_path / "a"))
