@@ -13,7 +13,8 @@ two pieces around it).  So exactly one last piece per place passes the test with
 predecessor, and the search finds the ids that the library gives.
 
 No piece has the blank mark after another character, so the paths always meet before a mark
-that follows one; words between such places are searched once and remembered in a bounded table.
+that follows one, nor does any have two neighbours that are inside no piece.  What lies between such
+places is searched once and remembered in tables of bounded size.
 """
 
 from __future__ import annotations
@@ -35,8 +36,9 @@ from quire.llm.common import arrow_column, broadcast_bytes
 
 #: The mark that stands for a blank (fixed value).
 MARK = "▁"
-#: Words, and pairs of pieces, that a worker remembers; others are searched each time.
-REMEMBERED, PAIRS = 400_000, 1_000_000
+#: Words, parts of words (others are searched each time) and pairs of pieces that a worker
+#: remembers: about 250 MB in all.
+REMEMBERED, PARTS, PAIRS = 200_000, 900_000, 300_000
 #: Longer words are searched each time.
 LONGEST_REMEMBERED = 64
 #: Characters between two looks for a place where all paths meet.
@@ -58,6 +60,7 @@ class Pieces:
         self.score = {s: x for s, x in pieces}
         self.unknown = min((x for _, x in pieces), default=0.0) - 10.0
         self.longest = max((len(s) for s, _ in pieces), default=1)
+        self.inside = {s[i : i + 2] for s, _ in pieces for i in range(len(s) - 1)}
         self.pair: dict[int, bool] = {}
         self.automaton = ahocorasick.Automaton()
         self.empty = True
@@ -69,6 +72,14 @@ class Pieces:
         if not self.empty:
             self.automaton.make_automaton()
 
+    def apart(self, text: str) -> list[str]:
+        """The text cut between neighbours that no piece has inside: there all paths meet."""
+        inside = self.inside
+        cuts = [i for i in range(1, len(text)) if text[i - 1 : i + 1] not in inside]
+        if not cuts:
+            return [text]
+        return [text[a:b] for a, b in zip([0, *cuts], [*cuts, len(text)], strict=True)]
+
     def merged(self, text: str) -> list[str]:
         """A short text merged: the best-scored neighbours first, the leftmost of equals."""
         parts, score = list(text), self.score
@@ -210,6 +221,7 @@ class Codec(dict):
         ]
         listed = [(p.id_to_piece(i), p.get_score(i)) for i in plain]
         self.pieces = Pieces(listed, plain, _merging(model))
+        self.parts: dict[str, bytes] = {}
         self.octet = {int(p.id_to_piece(i)[3:5], 16): i for i in range(n) if p.is_byte(i)}
         self.unknown = p.unk_id()
         self.prefixed = p.normalize("a") == MARK + "a"
@@ -233,11 +245,19 @@ class Codec(dict):
         ], pa.binary())
 
     def __missing__(self, word: str) -> bytes:
-        ids = self.ids(self.search([MARK + word])).tobytes()
+        ids = b"".join(map(self.part, self.pieces.apart(MARK + word)))
         if len(word) <= LONGEST_REMEMBERED and len(self) < REMEMBERED:
             self[word] = ids
         return ids
 
+    def part(self, part: str) -> bytes:
+        ids = self.parts.get(part)
+        if ids is None:
+            ids = self.ids(self.search([part])).tobytes()
+            if len(part) <= LONGEST_REMEMBERED and len(self.parts) < PARTS:
+                self.parts[part] = ids
+        return ids
+
     def search(self, parts: list[str]) -> Iterable[tuple]:
         one = Search(self.pieces)
         if len(parts) == 1 and len(parts[0]) <= STEP:
