@@ -45,6 +45,18 @@ def utf8(texts: pa.Array) -> Iterator[bytes]:
         yield x.as_py() or b""
 
 
+_held: dict = {}
+
+
+def held(kind: str, data: bytes, make: Callable):
+    """``make(data)``, kept until a worker needs another: a reused worker holds one model, with
+    the tables it has grown, at a time."""
+    if _held.get("key") != (kind, data):
+        _held.clear()
+        _held.update(value=make(data), key=(kind, data))
+    return _held["value"]
+
+
 def ship(spark: SparkSession) -> None:
     """Send this package to the executors, once a session, if their path does not have it."""
     top = Path(__file__).resolve().parents[2]

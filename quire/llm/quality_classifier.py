@@ -13,7 +13,6 @@ from __future__ import annotations
 import pickle
 from collections.abc import Iterable
 from dataclasses import dataclass
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -21,7 +20,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quire.llm.common import arrow_column, broadcast_bytes, utf8
+from quire.llm.common import arrow_column, broadcast_bytes, held, utf8
 
 #: Bytes of a block, of a dictionary, and the compression level.
 BLOCK, DICTIONARY, LEVEL = 1024, 112_640, 3
@@ -158,8 +157,7 @@ def fit(
     return train(((r["_y"], r["_text"].encode()) for r in taken.collect()), prior)
 
 
-@lru_cache(maxsize=2)
-def _loaded(data: bytes) -> tuple[Model, Compressors | None]:
+def _load(data: bytes) -> tuple[Model, Compressors | None]:
     model = pickle.loads(data)
     return model, Compressors(model.good, model.bad) if model.weights else None
 
@@ -169,7 +167,7 @@ def score(documents: DataFrame, text: Column, model: Model) -> Column:
     shared = broadcast_bytes(documents.sparkSession, pickle.dumps(model))
 
     def judge(texts: pa.Array) -> pa.Array:
-        own, compressors = _loaded(shared.value)
+        own, compressors = held("quality", shared.value, _load)
         if compressors is None:
             return pa.array(np.full(len(texts), own.prior))
         sizes = np.array([compressors.sizes(t) for t in utf8(texts)]).reshape(-1, 3)

@@ -17,7 +17,6 @@ import uuid
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -26,7 +25,7 @@ from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quire.llm.common import arrow_column, bounded, broadcast_bytes
+from quire.llm.common import arrow_column, bounded, broadcast_bytes, held
 from quire.session import checkpoint_root
 
 #: The forest is fitted on about this many labelled findings at most.
@@ -292,11 +291,6 @@ def _forest(spark: SparkSession, path: str) -> Forest:
     )
 
 
-@lru_cache(maxsize=2)
-def _loaded(data: bytes) -> Forest:
-    return pickle.loads(data)
-
-
 def scan(spark: SparkSession, text: Column, path: Column, forest: Forest, mask: str = "[SECRET]") -> Column:
     """Struct of ``n_candidates``, ``findings`` (array of ``start``, ``end`` in characters and
     ``score``) and ``redacted``, the text with every finding replaced by ``mask``.
@@ -307,7 +301,7 @@ def scan(spark: SparkSession, text: Column, path: Column, forest: Forest, mask:
     finding = pa.struct([("start", pa.int32()), ("end", pa.int32()), ("score", pa.float64())])
 
     def run(texts: pa.Array, paths: pa.Array) -> pa.Array:
-        own = _loaded(shared.value)
+        own = held("forest", shared.value, pickle.loads)
         spans: list[list[tuple[int, int]]] = []
         rows: list[list[float]] = []
         for t, p in zip(texts, paths, strict=True):

@@ -22,7 +22,6 @@ from __future__ import annotations
 import re
 from array import array
 from collections.abc import Callable, Iterable, Iterator
-from functools import lru_cache
 
 import ahocorasick
 import numpy as np
@@ -32,15 +31,17 @@ import sentencepiece
 from pyspark import Broadcast
 from pyspark.sql import Column, SparkSession
 
-from quire.llm.common import arrow_column, broadcast_bytes
+from quire.llm.common import arrow_column, broadcast_bytes, held
 
 #: The mark that stands for a blank (fixed value).
 MARK = "▁"
 #: Words, parts of words (others are searched each time) and pairs of pieces that a worker
-#: remembers: about 250 MB in all.
-REMEMBERED, PARTS, PAIRS = 200_000, 900_000, 300_000
+#: remembers: about 200 MB in all.
+REMEMBERED, PARTS, PAIRS = 200_000, 700_000, 300_000
 #: Longer words are searched each time.
 LONGEST_REMEMBERED = 64
+#: Rows that are decoded in one go.
+ROWS = 256
 #: Characters between two looks for a place where all paths meet.
 STEP = 1024
 
@@ -339,9 +340,8 @@ def _field(data: bytes, number: int, default):
     return default
 
 
-@lru_cache(maxsize=2)
 def codec(model: bytes) -> Codec:
-    return Codec(model)
+    return held("pieces", model, Codec)
 
 
 def load(spark: SparkSession, path: str) -> Broadcast:
@@ -355,9 +355,12 @@ def encode(text: Column, model: Broadcast) -> Column:
 
     def run(texts: pa.Array) -> pa.Array:
         own = codec(model.value)
-        parts = [own.encode(t.as_py() or "") for t in texts]
-        offsets = np.concatenate(([0], np.cumsum([len(p) // 4 for p in parts], dtype=np.int64)))
-        values = pa.array(np.frombuffer(b"".join(parts), np.int32))
+        data, ends = bytearray(), [0]
+        for t in texts:
+            data += own.encode(t.as_py() or "")
+            ends.append(len(data) // 4)
+        offsets = np.array(ends)
+        values = pa.array(np.frombuffer(data, np.int32))
         return pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), values)
 
     return arrow_column(run, "array<int>", text)
@@ -368,6 +371,8 @@ def decode(ids: Column, model: Broadcast) -> Column:
     that are no UTF-8 give the replacement character."""
 
     def run(lists: pa.Array) -> pa.Array:
-        return pa.array(codec(model.value).decode(lists), pa.string())
+        own = codec(model.value)
+        some = [pa.array(own.decode(lists.slice(i, ROWS)), pa.string()) for i in range(0, len(lists), ROWS)]
+        return pa.concat_arrays(some) if some else pa.array([], pa.string())
 
     return arrow_column(run, "string", ids)

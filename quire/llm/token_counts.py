@@ -12,14 +12,13 @@ from __future__ import annotations
 import heapq
 import json
 import re
-from functools import lru_cache
 
 import pyarrow as pa
 import regex
 from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
-from quire.llm.common import arrow_column, broadcast_bytes
+from quire.llm.common import arrow_column, broadcast_bytes, held
 
 #: How byte-level vocabularies of this family cut a text (fixed value).
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -128,9 +127,8 @@ class Counter(dict):
         return self[first] + sum([self[" " + w] for w in rest])
 
 
-@lru_cache(maxsize=2)
 def counter(model: bytes) -> Counter:
-    return Counter(model)
+    return held("counter", model, Counter)
 
 
 def token_count(spark: SparkSession, text: Column, path: str) -> Column:
