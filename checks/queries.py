@@ -537,6 +537,95 @@ def page_quarantine(spark: SparkSession, sf: str) -> DataFrame:
     return S.shred(C.page_documents(spark, sf)).quarantine
 
 
+@query(
+    """SELECT 'D' || doc_id AS id, repeat('k.', CAST(6 + doc_id % 12 AS INT)) || 'doc' AS key,
+      CAST(doc_id AS VARCHAR) AS value FROM documents"""
+)
+def meta_deep(spark: SparkSession, sf: str) -> DataFrame:
+    """Metadata of 7 to 18 levels."""
+    levels = "cast(6 + doc_id % 12 as int)"
+    deep = F.expr(
+        f"concat(repeat('{{\"k\":', {levels}), '{{\"doc\":', doc_id, ',\"none\":{{}}}}', repeat('}}', {levels}))"
+    )
+    docs = C.table(spark, sf, "documents").select(F.expr("concat('D', doc_id)").alias("id"), deep.alias("j"))
+    leaves = docs.select("id", F.explode(V.flatten(V.parse(F.col("j")))).alias("e"))
+    return leaves.select("id", F.col("e.key").alias("key"), V.leaf_text(F.col("e.value")).alias("value"))
+
+
+@query(
+    """SELECT 'D' || doc_id AS resource_id, CAST(4 + 2 * (doc_id % 40) AS BIGINT) AS elements,
+      CAST(2 + 2 * ((1 + doc_id % 40) // 3) AS BIGINT) AS tei_elements, 'A' AS text FROM documents"""
+)
+def xml_scopes(spark: SparkSession, sf: str) -> DataFrame:
+    """Documents in which each paragraph declares a default namespace, and a reference of 14 digits."""
+    uris = f"array('{S.TEI_NAMESPACE}', 'http://other.example/', '')"
+    paragraphs = f"""array_join(transform(sequence(1, cast(1 + doc_id % 40 as int)),
+      i -> concat('<p xmlns="', get({uris}, i % 3), '"><q/></p>')), '')"""
+    xml = F.expr(
+        f"""concat('<t xmlns="{S.TEI_NAMESPACE}">', {paragraphs}, '<s>&#00000000000065;</s></t>')"""
+    )
+    docs = C.documents(spark, sf).select(F.col("rid").alias("resource_id"), xml.alias("xml"))
+    rows = S.shred(docs, clustered=True).tokens
+    opening = F.col("kind").isin("open", "empty")
+    return rows.groupBy("resource_id").agg(
+        F.count_if(opening).alias("elements"),
+        F.count_if(opening & F.col("tei")).alias("tei_elements"),
+        F.max("text").alias("text"),
+    )
+
+
+@query("SELECT 'D' || doc_id AS resource_id, 'more than one document' AS reason FROM documents WHERE doc_id % 7 = 0")
+def documents_again(spark: SparkSession, sf: str) -> DataFrame:
+    """Documents of which some have landed twice under one id."""
+    docs = C.table(spark, sf, "documents")
+    xml = docs.select(F.expr("concat('D', doc_id)").alias("resource_id"), F.lit("<a>x</a>").alias("xml"), "doc_id")
+    again = xml.filter("doc_id % 7 = 0").withColumn("xml", F.lit("<b>y</b>"))
+    return S.shred(xml.unionByName(again)).quarantine
+
+
+@query("SELECT 'D' || doc_id AS request_id, 'T' || (doc_id % 4) AS title FROM documents")
+def payloads_again(spark: SparkSession, sf: str) -> DataFrame:
+    """Payloads that landed one to four times; the last one counts."""
+    docs = C.table(spark, sf, "documents")
+    landed = docs.select(
+        F.expr("concat('D', doc_id)").alias("request_id"),
+        F.explode(F.expr("sequence(0, cast(doc_id % 4 as int))")).alias("landed_at"),
+    ).withColumn("payload", F.to_json(F.struct(F.concat(F.lit("T"), F.col("landed_at").cast("string")).alias("title"))))
+    return P.objects(P.one_each(landed, "request_id", "payload")).select("request_id", "title")
+
+
+@query(
+    """WITH d AS (SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN 'X' ELSE 'D' END || doc_id AS own FROM documents)
+    SELECT 'W' AS object_id, CAST(0 AS BIGINT) AS depth, NULL AS found_by, 'collection' AS kind
+    UNION ALL SELECT own, 1, 'W', 'collection' FROM d
+    UNION ALL SELECT 'S' || (doc_id // 2), 2, arg_min(own, 'M' || doc_id), 'resource' FROM d WHERE doc_id % 5 <> 0 GROUP BY 1
+    UNION ALL SELECT 'M' || doc_id, 2, own, 'missing' FROM d WHERE doc_id % 5 = 0"""
+)
+def walk_renamed(spark: SparkSession, sf: str) -> DataFrame:
+    """Collections that answer under another id than asked for, resources that answer to two."""
+    own = F.expr("concat(if(doc_id % 3 = 0, 'X', 'D'), doc_id)")
+    docs = C.table(spark, sf, "documents").select("doc_id", own.alias("own"))
+    collections = docs.select(
+        F.expr("concat('D', doc_id)").alias("request_id"), F.col("own").alias("object_id"), F.lit("Collection").alias("type")
+    )
+    resources = docs.filter("doc_id % 5 != 0").selectExpr(
+        "concat('M', doc_id) AS request_id", "concat('S', doc_id div 2) AS object_id", "'Resource' AS type"
+    )
+    root = spark.range(1).selectExpr("'W' AS request_id", "'W' AS object_id", "'Collection' AS type")
+    top = docs.selectExpr("'W' AS request_id", "'W' AS parent_id", "0 AS pos", "concat('D', doc_id) AS child_id")
+    below = docs.selectExpr("concat('D', doc_id) AS request_id", "own AS parent_id", "0 AS pos", "concat('M', doc_id) AS child_id")
+    walked = W.walk(root.unionByName(collections).unionByName(resources), top.unionByName(below), "W")
+
+    def shown(df: DataFrame, kind: str) -> DataFrame:
+        return df.select("object_id", F.col("depth").cast("bigint").alias("depth"), "found_by", F.lit(kind).alias("kind"))
+
+    return (
+        shown(walked.collections, "collection")
+        .unionByName(shown(walked.resources, "resource"))
+        .unionByName(shown(walked.missing, "missing"))
+    )
+
+
 FRAG = ["resource_id", "position", "id", "head", "content", "breadcrumb", "level", "cite_type", "parent"]
 
 

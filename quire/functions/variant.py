@@ -11,7 +11,8 @@ from pyspark.sql import functions as F
 
 from quire.functions import let
 
-MAX_DEPTH = 8
+#: Levels that are opened by written-out steps; deeper ones are opened in a loop.
+UNROLLED = 8
 
 
 def parse(text: Column) -> Column:
@@ -111,30 +112,41 @@ def _members(v: Column, prefix: Column) -> Column:
     )
 
 
-def flatten(v: Column, prefix: str = "", max_depth: int = MAX_DEPTH) -> Column:
+def flatten(v: Column, prefix: str = "", unrolled: int = UNROLLED) -> Column:
     """ARRAY<STRUCT<key, leaf, value VARIANT>> of the leaves under dotted keys.
 
     Objects are opened, arrays and scalars are leaves, empty objects vanish.  Works inside
-    the row: no shuffle.  Deeper nesting than ``max_depth`` stops the job, never truncates.
+    the row: no shuffle.  Any depth: what is left after ``unrolled`` levels is opened as often
+    as its JSON text has braces, which is at least as often as it is deep.
     """
+    any_object = lambda x: F.exists(x, lambda e: is_object(e["value"]))
+
     def opened(e: Column) -> Column:
         inner = _members(e["value"], F.concat(e["key"], F.lit(".")))
         return F.coalesce(inner, F.array(e.cast(ENTRY)))
 
+    def open_once(entries: Column) -> Column:
+        return F.flatten(F.transform(entries, opened))
+
+    def one_more(entries: Column, more: Column) -> Column:
+        return F.when(any_object(entries), more).otherwise(entries)
+
+    def rounds(entries: Column) -> Column:
+        text = F.transform(entries, lambda e: F.coalesce(e["value"].try_cast("string"), F.lit("")))
+        braces = F.transform(text, lambda t: F.char_length(F.regexp_replace(t, "[^{]", "")))
+        return F.sequence(F.lit(0), F.coalesce(F.array_max(braces), F.lit(0)))
+
     def open_all(entries: Column, depth: int) -> Column:
         """Open one level more for as long as there is an object among the entries."""
         if depth == 0:
-            return F.raise_error(
-                F.lit(f"metadata nested deeper than {max_depth} levels")
-            ).cast(f"array<{ENTRY}>")
+            return F.aggregate(rounds(entries), entries, lambda x, _: one_more(x, open_once(x)))
 
         def step(x: Column) -> Column:
-            more = open_all(F.flatten(F.transform(x, opened)), depth - 1)
-            return F.when(F.exists(x, lambda e: is_object(e["value"])), more).otherwise(x)
+            return one_more(x, open_all(open_once(x), depth - 1))
 
         return let(entries, step)
 
-    leaves = open_all(_members(v, F.lit(prefix)), max_depth)
+    leaves = open_all(_members(v, F.lit(prefix)), unrolled)
     return F.coalesce(leaves, F.array().cast(f"array<{ENTRY}>"))
 
 

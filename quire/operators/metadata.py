@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quire.functions import variant as V
+from quire.functions.text import strip
 
 
 def dublin_core(raw: Column) -> Column:
@@ -65,6 +66,11 @@ def collection_results(
     )
 
 
+def own_id(raw: Column) -> Column:
+    """The trimmed ``@id``, '' when there is none."""
+    return strip(F.coalesce(V.truthy(V.get(raw, "@id", type="variant")).try_cast("string"), F.lit("")))
+
+
 def resource_results(
     resources: DataFrame,
     metadata_dublincore: Sequence[str] | None = None,
@@ -72,13 +78,13 @@ def resource_results(
 ) -> DataFrame:
     """Walked resources to id, type, title, linked_parents, dublincore, extensions.
 
-    Fragments stay in their own table, keyed by the id; blank ids are dropped.
+    Fragments stay in their own table, keyed by the id; ids are trimmed, blank ones dropped.
     """
     raw = F.col("raw")
-    own = V.truthy(V.get(raw, "@id", type="variant")).try_cast("string")
+    own = own_id(raw)
     kind = V.truthy(V.get(raw, "@type", type="variant")).try_cast("string")
     kept = build(raw, metadata_dublincore, metadata_extensions)
-    return resources.filter(own.isNotNull()).select(
+    return resources.filter(own != "").select(
         own.alias("id"),
         F.coalesce(kind, F.lit("Resource")).alias("type"),
         V.get(raw, "title").alias("title"),

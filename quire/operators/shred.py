@@ -20,11 +20,8 @@ from quire.functions import let
 from quire.functions.text import BLANK
 from quire.session import by_resource, checkpointed
 
-# The namespace of text encoding, and the guards of the usual XML parser
-# (nesting depth and length of one text run) beyond which a document is rejected.
+# Fixed value: the namespace of text encoding.
 TEI_NAMESPACE = "http://www.tei-c.org/ns/1.0"
-MAX_DEPTH = 256
-MAX_TEXT = 10_000_000
 
 # XML 1.0 names, tags and forbidden characters.
 NAME_START = (
@@ -215,7 +212,7 @@ def _namespaces(xml: Column) -> dict[str, Column]:
     }
 
 
-def _markup_rows(documents: DataFrame, clustered: bool) -> DataFrame:
+def _markup_rows(documents: DataFrame, clustered: bool, max_text: int | None) -> DataFrame:
     uncommented = F.when(
         F.contains("xml", F.lit("<!--")), F.regexp_replace("xml", COMMENT, "$1")
     ).otherwise(F.col("xml"))
@@ -256,8 +253,9 @@ def _markup_rows(documents: DataFrame, clustered: bool) -> DataFrame:
         )
         .when(entity, "undefined entity")
         .when(F.contains(after, F.lit("]]>")), "stray markup")
-        .when(F.length(after) > MAX_TEXT, "text too long")
     )
+    if max_text is not None:
+        fault = fault.when(F.length(after) > max_text, "text too long")
     prefix = F.substring_index("qname", ":", 1)
     prefixed = F.contains("tei_prefixes", F.concat(F.lit(" "), prefix, F.lit(" ")))
     tei = F.when(F.contains("qname", F.lit(":")), prefixed).otherwise(F.col("default_tei"))
@@ -291,32 +289,20 @@ def _markup_rows(documents: DataFrame, clustered: bool) -> DataFrame:
     )
 
 
-def _resolve_scopes(t: DataFrame) -> Column:
-    """``tei`` where it is still open: by the innermost element that declares a default.
+def _resolve_scopes(t: DataFrame) -> DataFrame:
+    """``tei`` where it is still open: by the innermost element that declares a default; and
+    ``nth``, the number of each row in its document.
 
-    The declarations of a document with a changing default namespace are gathered beside
-    its rows; for all other documents there are none and nothing is looked up.
+    The declaring elements are counted like levels; on one such level the last declaration
+    seen is the one in force.  Work and memory do not grow with their number.
     """
-    event = F.struct("pos", "elem_pos", "kind", F.col("ns").alias("uri"))
-    events = F.collect_list(F.when(F.col("ns").isNotNull(), event)).over(whole_document())
-
-    def covers(e: Column, all_events: Column) -> Column:
-        here = F.col("elem_pos")
-        gone = F.exists(
-            all_events,
-            lambda c: (c["kind"] == "close")
-            & (c["elem_pos"] == e["elem_pos"])
-            & (c["pos"] < here),
-        )
-        own_empty = (e["kind"] == "empty") & (e["pos"] == here)
-        return own_empty | ((e["kind"] == "open") & (e["pos"] <= here) & ~gone)
-
-    def innermost(all_events: Column) -> Column:
-        around = F.filter(all_events, lambda e: covers(e, all_events))
-        last = F.array_max(F.transform(around, lambda e: F.struct(e["pos"], e["uri"])))
-        return F.coalesce(last["uri"] == TEI_NAMESPACE, F.lit(False))
-
-    return F.when(is_element(), F.coalesce("tei", let(events, innermost)))
+    declares = F.col("ns").isNotNull()
+    inside = F.when(declares & is_kind("close", "empty"), 1).otherwise(0)
+    last = F.last(F.when(declares & is_kind("open", "empty"), F.col("ns")), ignorenulls=True)
+    innermost = F.coalesce(last.over(by_level("scope")) == TEI_NAMESPACE, F.lit(False))
+    nth = F.row_number().over(by_pos())
+    counted = t.withColumns({"scope": nesting(declares) + inside, "nth": nth})
+    return counted.withColumn("tei", F.when(is_element(), F.coalesce("tei", innermost))).drop("scope")
 
 
 @dataclass(frozen=True)
@@ -340,17 +326,28 @@ class Shred:
         return Shred(checkpointed(self.rows, keep_partitioning=True))
 
 
-def shred(documents: DataFrame, clustered: bool = False) -> Shred:
+def shred(
+    documents: DataFrame,
+    clustered: bool = False,
+    max_depth: int | None = None,
+    max_text: int | None = None,
+) -> Shred:
     """Cut ``documents(resource_id, xml)`` into markup rows; ill-formed ones get a reason.
 
     Columns: resource_id, pos, kind, name, tei, xml_id, markup, depth, level, elem_pos,
     text, after_pi, reason.  ``level`` is the number of open elements after the row; name,
     tei, xml_id, depth and elem_pos describe the element a tag opens or closes.
 
-    Two sorts inside the partitions: by position for the running depth, and by depth and
-    position, where the last opening seen is the one a closing tag belongs to.
+    Documents that share one ``resource_id`` are all rejected, as nothing tells their rows
+    apart; ``sources.payloads.one_each`` chooses one before.  ``max_depth`` and ``max_text``
+    reject what the guards of a parser would (256 levels, 10,000,000 characters in one run);
+    without them any depth and length is cut.
+
+    Sorts inside the partitions: by position for the running depth, by depth and position,
+    where the last opening seen is the one a closing tag belongs to, and for the scopes of
+    namespaces.
     """
-    t = _markup_rows(documents, clustered)
+    t = _markup_rows(documents, clustered, max_text)
     opening, closing = is_kind("open", "empty"), is_kind("close")
     last_tag = F.last(F.when(is_element() | is_kind("pi"), F.col("kind")), ignorenulls=True)
     t = t.withColumns(
@@ -373,8 +370,8 @@ def shred(documents: DataFrame, clustered: bool = False) -> Shred:
     row_fault = F.coalesce(
         F.col("fault"),
         F.when(closing & ~F.coalesce(F.col("own.qname") == F.col("qname"), F.lit(False)), UNMATCHED)
-        .when((F.col("level") == 0) & (~blank | is_kind("cdata")), "text outside the root")
-        .when(F.col("level") > MAX_DEPTH, "nested too deep"),
+        .when((F.col("level") == 0) & (~blank | is_kind("cdata")), "text outside the root"),
+        F.lit(None) if max_depth is None else F.when(F.col("level") > max_depth, "nested too deep"),
     )
     t = t.select(
         "resource_id",
@@ -396,13 +393,15 @@ def shred(documents: DataFrame, clustered: bool = False) -> Shred:
     first_fault = F.min(F.when(F.col("fault").isNotNull(), F.struct("pos", "fault")))
     balance = F.sum(F.when(is_kind("open"), 1).when(closing, -1).otherwise(0))
     roots = F.count_if(opening & (F.col("depth") == 1))
+    documents_here = F.count_if(F.col("pos") == 0).over(whole_document())
     reason = F.coalesce(
+        F.when(documents_here > 1, "more than one document"),
         first_fault.over(whole_document())["fault"],
         F.when(balance.over(whole_document()) != 0, "unclosed element"),
         F.when(roots.over(whole_document()) != 1, "not one root element"),
     )
-    rows = t.withColumns({"tei": _resolve_scopes(t), "reason": reason})
-    return Shred(rows.filter("reason is null or pos = 0").drop("ns", "fault"))
+    rows = _resolve_scopes(t.withColumn("reason", reason))
+    return Shred(rows.filter("reason is null or nth = 1").drop("ns", "fault", "nth"))
 
 
 def nodes(tokens: DataFrame) -> DataFrame:

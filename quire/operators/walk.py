@@ -28,6 +28,9 @@ class Walk:
 def reach(edges: DataFrame, start: str, excluded: Sequence[str] = ()) -> DataFrame:
     """Ids reachable from ``start`` over ``edges(parent_id, child_id, pos)``.
 
+    A parent that answered under another id than the one asked for has that one in
+    ``request_id``, where there is such a column: the walk goes by the ids asked for.
+
     One level per round: the frontier joins its edges, the new ids are what is left after
     an anti-join with everything seen.  Of several parents on the level before, the
     smallest id finds the child.  Excluded ids are cut from the edges first, so what hangs
@@ -35,16 +38,18 @@ def reach(edges: DataFrame, start: str, excluded: Sequence[str] = ()) -> DataFra
     """
     spark = edges.sparkSession
     if excluded:
-        edges = edges.filter(~F.col("child_id").isin(*excluded))
-    edges = edges.select("parent_id", "child_id", "pos").filter(F.col("child_id") != start)
+        left_out = spark.createDataFrame([(e,) for e in set(excluded)], "child_id string")
+        edges = edges.join(left_out, "child_id", "left_anti")
+    asked = F.col("request_id" if "request_id" in edges.columns else "parent_id").alias("asked")
+    edges = edges.select(asked, "parent_id", "child_id", "pos").filter(F.col("child_id") != start)
     frontier = spark.createDataFrame([(start, 0, None)], VISIT)
     seen = frontier
     depth = 0
     while True:
         depth += 1
-        near = frontier.select(F.col("object_id").alias("parent_id"))
+        near = frontier.select(F.col("object_id").alias("asked"))
         found = (
-            edges.join(near, "parent_id")
+            edges.join(near, "asked")
             .groupBy(F.col("child_id").alias("object_id"))
             .agg(F.min(F.struct("parent_id", "pos"))["parent_id"].alias("found_by"))
         )
@@ -64,17 +69,29 @@ def walk(
 ) -> Walk:
     """Walk from ``start`` and split what was reached by type.
 
-    ``described(object_id, type, ...)`` holds the objects whose payload was read; ids
-    without one are ``missing`` (they carry no edges, so their subtree is not reached).
+    ``described(object_id, type, ...)`` holds the objects whose payload was read, one row per
+    ``request_id`` (``object_id`` where that column is missing); ids without one are
+    ``missing`` (they carry no edges, so their subtree is not reached).  An object that
+    answers to several ids is kept once, as found on the first level, then under the smallest id.
     """
     visited = reach(edges, start, excluded)
-    known = visited.join(described, "object_id")
+    if "request_id" not in described.columns:
+        described = described.withColumn("request_id", F.col("object_id"))
+    found = visited.withColumnRenamed("object_id", "request_id")
+    first = (
+        found.join(described.select("request_id", "object_id"), "request_id")
+        .groupBy("object_id")
+        .agg(F.min(F.struct("depth", "request_id", "found_by")).alias("f"))
+        .select("f.request_id", "f.depth", "f.found_by")
+    )
+    known = first.join(described, "request_id").drop("request_id")
     is_resource = F.coalesce(F.col("type"), F.lit("Collection")) == "Resource"
     return Walk(
         visited=visited,
         collections=known.filter(~is_resource),
         resources=known.filter(is_resource),
-        missing=visited.join(described.select("object_id"), "object_id", "left_anti"),
+        missing=found.join(described.select("request_id"), "request_id", "left_anti")
+        .withColumnRenamed("request_id", "object_id"),
     )
 
 

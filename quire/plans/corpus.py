@@ -8,6 +8,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quire.functions import variant as V
 from quire.operators import fragments as FR
 from quire.operators import metadata as M
 from quire.operators import navigation as nav
@@ -96,31 +97,45 @@ def run(
     """Walk, link parents, project metadata, split documents.
 
     A resource whose document is ill-formed or missing has no result, as one whose
-    description is missing; both stay visible in ``quarantine`` and ``missing``.
+    description is missing; both stay visible in ``quarantine`` and ``missing``, as do
+    resources without an id of their own.  Payloads that landed again count once
+    (``sources.payloads.one_each``); documents that share an id are set aside.
     """
     spark = configure(landed.payloads.sparkSession)
     # every payload is parsed once, every document cut once
-    described = checkpointed(P.objects(landed.payloads))
+    objects = landed.payloads.filter(V.is_object(V.parse(F.col("payload"))))
+    described = checkpointed(P.objects(P.one_each(objects, "request_id", "payload")))
     edges = materialize(P.member_edges(described), "edges")
     start = collection.collection_id or ""
     asked = described.filter(F.col("request_id") == start).select("object_id").head()
-    walked = W.walk(described, edges, asked["object_id"] if asked else start, collection.excluded_ids)
-
-    parents = None if landed.parents is None else P.parents(landed.parents)
+    # a member that names the start again does not visit it, under either of its ids
+    again = [asked["object_id"]] if asked and asked["object_id"] != start else []
+    walked = W.walk(described, edges, start, [*collection.excluded_ids, *again])
+
+    parents = landed.parents
+    if parents is not None:
+        parents = P.parents(P.one_each(parents, "request_id", "payload"))
+    navigation = landed.navigation
+    if navigation is not None:
+        navigation = P.one_each(navigation, "resource_id", "payload")
     collections = W.link_parents(walked.collections, parents, collection.fetch_linked_parents)
     resources = W.link_parents(walked.resources, parents, resource.fetch_linked_parents)
 
-    wanted = resources.select(
+    named = M.own_id(F.col("raw")) != ""
+    wanted = resources.filter(named).select(
         F.col("object_id").alias("resource_id"),
         nav.resource_depth(F.col("raw")).alias("max_cite_depth"),
     )
     cut = FR.split(
-        landed.documents, wanted, landed.navigation, resource.fragments, keep_rows=True
+        landed.documents, wanted, navigation, resource.fragments, keep_rows=True
     )
     results = M.resource_results(
         resources, resource.metadata_dublincore, resource.metadata_extensions
     )
-    quarantine = cut.quarantine
+    nameless = resources.filter(~named).select(
+        F.col("object_id").alias("resource_id"), F.lit("blank id").alias("reason")
+    )
+    quarantine = cut.quarantine.unionByName(nameless)
     if resource.fragments.fetch_document:
         absent = wanted.join(landed.documents, "resource_id", "left_anti").select(
             "resource_id", F.lit("no document").alias("reason")

@@ -51,6 +51,15 @@ def accept(payloads: DataFrame, payload: str = "payload") -> Accepted:
     )
 
 
+def one_each(landed: DataFrame, key: str, value: str) -> DataFrame:
+    """One row per key of a table to which the same thing may have landed again.
+
+    The last by ``landed_at`` stays where the table has that column, else the greatest value.
+    """
+    order = [F.col(c) for c in ("landed_at",) if c in landed.columns] + [F.col(value)]
+    return landed.groupBy(key).agg(F.max_by(value, F.struct(*order)).alias(value))
+
+
 def canonical_id(raw: Column, request_id: Column) -> Column:
     """``@id`` when there is one, else the id that was asked for; trimmed."""
     own = V.truthy(V.get(raw, "@id", type="variant")).try_cast("string")

@@ -131,12 +131,14 @@ def test_flatten(one):
     assert cells == {"a.b.c": "1", "l": '[1, {"x": 2}]', "n": "", "t": "True"}
 
 
-def test_flatten_too_deep_stops(one):
-    data = "x"
-    for _ in range(V.MAX_DEPTH + 2):
-        data = {"k": data}
-    with pytest.raises(Exception, match="nested deeper"):
-        one(lambda: V.flat_map(V.parse(F.col("j"))), j=json.dumps(data))
+@pytest.mark.parametrize("levels", [V.UNROLLED, V.UNROLLED + 1, 12, 40])
+def test_flatten_any_depth(one, levels):
+    data = {"end": "{x", "empty": {}}
+    for _ in range(levels):
+        data = {"k": data, "a": [{"b": 1}]}
+    got = one(lambda: V.flat_map(V.parse(F.col("j"))), j=json.dumps(data))
+    want = {"k." * i + "a": '[{"b":1}]' for i in range(levels)}
+    assert got == {**want, "k." * levels + "end": "{x"}
 
 
 def test_pick(one):

@@ -84,6 +84,27 @@ def test_whole_run(saved):
     assert [r["object_id"] for r in saved.missing.collect()] == ["R3"]
 
 
+def test_landed_again_renamed_or_nameless(spark):
+    sub = {"@id": "https://x/sub", "@type": "Collection", "member": [{"@id": "R1"}, {"@id": "R9"}, {"@id": "alias"}]}
+    padded = {**RES1, "@id": " R1 "}
+    payloads = [
+        ("C", {"@id": "https://x/C", "member": [{"@id": "sub"}, {"@id": "C"}, {"@id": "https://x/C"}]}), ("sub", sub), ("sub", sub),
+        ("R1", padded), ("R1", padded), ("alias", padded), ("R9", {"@id": "  ", "@type": "Resource"}),
+    ]
+    data = [(k, json.dumps(v)) for k, v in payloads] + [("R1", "oops")]
+    landed = PL.Landed(
+        spark.createDataFrame(data, "request_id string, payload string"),
+        table(spark, {"R1": TEI}, "resource_id", "xml"),
+        spark.createDataFrame([("R1", json.dumps(NAV))] * 2, "resource_id string, payload string"),
+    )
+    run = PL.run(landed, PL.CollectionParams("C"))
+    assert sorted(r["id"] for r in run.collections.collect()) == ["https://x/C", "https://x/sub"]
+    assert [(r["id"], r["linked_parents"]) for r in run.resources.collect()] == [("R1", ["https://x/sub"])]
+    assert sorted((r["resource_id"], r["id"]) for r in run.fragments.collect()) == [("R1", "end"), ("R1", "intro")]
+    assert [r["reason"] for r in run.quarantine.collect()] == ["blank id"]
+    assert run.missing.count() == 0
+
+
 def test_run_switches(landed):
     from quire.operators.fragments import FragmentParams
 

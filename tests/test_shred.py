@@ -132,11 +132,16 @@ def test_reasons(spark):
         ("empty", ""),
         ("control", "<a>\x01</a>"),
         ("deep", "<a>" * 300 + "</a>" * 300),
+        ("long", "<a>" + "x" * 2000 + "</a>"),
+        ("again", "<a/>"),
+        ("again", "<b>x</b>"),
         ("fine", "<a><b x='1>2'/></a>"),
     ]
     df = spark.createDataFrame(rows, "resource_id string, xml string")
-    got = {r["resource_id"]: r["reason"] for r in S.shred(df).quarantine.collect()}
+    got = {r["resource_id"]: r["reason"] for r in S.shred(df, max_depth=256, max_text=1000).quarantine.collect()}
     assert got == {
+        "long": "text too long",
+        "again": "more than one document",
         "mismatch": "unmatched closing tag",
         "after": "text outside the root",
         "entity": "undefined entity",
@@ -146,6 +151,22 @@ def test_reasons(spark):
         "control": "forbidden character",
         "deep": "nested too deep",
     }
+    again = S.shred(df).quarantine.filter("resource_id = 'again'")
+    assert again.count() == 1
+    free = {r["resource_id"] for r in S.shred(df).quarantine.collect()}
+    assert free == set(got) - {"deep", "long"}
+
+
+def test_many_namespace_declarations(spark):
+    other = "http://other.example/"
+    parts = [f'<p xmlns="{(S.TEI_NAMESPACE, other, "")[i % 3]}"><q/><r xmlns="{other}"/>x</p><s/>' for i in range(3000)]
+    xml = f'<t xmlns="{S.TEI_NAMESPACE}">{"".join(parts)}</t>'
+    df = spark.createDataFrame([("many", xml)], "resource_id string, xml string")
+    rows = S.nodes(S.shred(df).tokens).orderBy("pos").collect()
+    want = [True]
+    for i in range(3000):
+        want += [i % 3 == 0, i % 3 == 0, False, True]
+    assert [r["tei"] for r in rows] == want
 
 
 def test_items_lose_nothing(spark):
