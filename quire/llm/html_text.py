@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 
 import pyarrow as pa
 from pyspark.sql import Column
@@ -23,11 +24,17 @@ WINDOW, SURGE = 3, 80
 
 # fixed values: element names, and words of class, id and role names
 _RAW = "script|style|noscript|template|textarea|title|iframe|svg|select|object|canvas|audio|video|math"
+#: Elements that are no text but may stand inside a line of it.
+EMBEDDED = set("noscript template iframe svg select object canvas audio video annotation annotation-xml".split())
 INLINE = set(
     "a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd label mark q rp rt ruby s samp "
-    "small span strike strong sub sup time tt u var wbr".split()
+    "small span strike strong sub sup time tt u var wbr "
+    "math maction menclose merror mfrac mi mmultiscripts mn mo mover mpadded mphantom mprescripts mroot mrow ms "
+    "mspace msqrt mstyle msub msubsup msup mtable mtd mtext mtr munder munderover semantics".split()
 )
 BOILERPLATE = set("nav header footer aside form menu head dialog button fieldset".split())
+SECTIONS = set("section aside nav header footer main article body html".split())
+IN_HEAD = set("base link meta noscript script style template title".split())
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
 HINTS = set(
     "ad ads adv advert adverts advertisement advertising adsense banner promo promotion sponsor sponsored cookie "
@@ -36,8 +43,19 @@ HINTS = set(
     "comment comments commentlist respond disqus discussion replies related recommended recommendations share "
     "sharing social widget widgets pagination pager toolbar search".split()
 )
+COMMENTS = set("comment comments commentlist respond disqus replies".split())
+SIDEBARS = set("sidebar sidebars aside related recommended recommendations widget widgets".split())
+#: Parts that make a name tell of the layout around an element, as in has-sidebar.
+LAYOUT = set("no not has have with without and is hide show".split())
 CONTENT = set("content article post entry story main maincontent articlebody".split())
 ROLES = set("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar".split())
+#: Elements that a new one ends, and those it looks no further than.
+IMPLIED = {
+    "li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}),
+    "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}), "tr": ({"tr"}, {"table"}),
+}
+#: Open elements looked at for one that a new one ends.
+REACH = 32
 
 _STRIP = re.compile(rf"<!--.*?(?:-->|\Z)|<({_RAW})\b[^>]*>.*?(?:</\1\s*>|\Z)|<[!?][^>]*+>", re.S | re.I)
 _TAG = re.compile(
@@ -47,108 +65,226 @@ _ATTRIBUTE = re.compile(r"""\b(class|id|role|style|aria-hidden|hidden)\b\s*(?:=\
 _PARTS = re.compile(r"[^a-z]+")
 _CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")
 
+#: What an element is: text; a wrapper by its name only, or a form, which may hold the page's
+#: text; never text itself, though an article may start in it; never text, nor is an article in it.
+TEXT, WRAPPER, PLAIN, APART = range(4)
 
-def is_boilerplate(tag: str, attributes: str) -> bool:
-    """Whether an element is no part of an article, by its name, role, class or id."""
-    if tag in BOILERPLATE:
-        return True
+
+def boilerplate(tag: str, attributes: str, article: bool = False) -> int:
+    """What an element is by its name, role, class or id; ``article``: whether it is in one."""
+    if tag in EMBEDDED or tag in ("aside", "footer"):
+        return APART
+    kind = WRAPPER if tag in ("form", "fieldset") else PLAIN if tag in BOILERPLATE else TEXT
     if not attributes or tag in ("body", "html", "article", "main"):
-        return False
+        return kind
     for name, value in _ATTRIBUTE.findall(attributes):
         name, value = name.lower(), value.strip("\"'")
         if name == "hidden" or name == "aria-hidden" and value.lower() == "true":
-            return True
+            return APART
         if name == "style" and re.search(r"display\s*:\s*none", value, re.I):
-            return True
+            return APART
         if name == "role" and value.lower() in ROLES:
-            return True
+            role = value.lower()
+            kind = max(kind, APART if role in ("complementary", "contentinfo") else WRAPPER if role == "form" else PLAIN)
         if name in ("class", "id"):
-            names = [_PARTS.split(_CAMEL.sub("-", x).lower()) for x in value.split()]
+            names = [[x for x in _PARTS.split(_CAMEL.sub("-", x).lower()) if x] for x in value.split()]
             if any(len(p) == 1 and p[0] in CONTENT for p in names):
                 continue
-            if any([x for x in p if x][-1:] and [x for x in p if x][-1] in HINTS or p[0] in HINTS for p in names):
-                return True
-    return False
+            for p in names:
+                if not p or LAYOUT & set(p) or p[0] not in HINTS and p[-1] not in HINTS:
+                    continue
+                if p[0] in COMMENTS or p[-1] in COMMENTS:
+                    return APART
+                if not (article and tag == "section"):
+                    kind = max(kind, APART if p[-1] in SIDEBARS else WRAPPER)
+    return kind
+
+
+def _ends(tags: list[tuple[bool, str, str]]) -> dict[int, tuple[int, bool]]:
+    """For each start tag of an element with an end: the tag before which it ends, and whether
+    that is its own end tag.
+
+    Blocks end an open paragraph, items the item before, and an end tag all that is open inside
+    its element.  Only sections end an article that is open inside them.
+    """
+    ends: dict[int, tuple[int, bool]] = {}
+    stack: list[tuple[str, int]] = []
+    scopes: list[Counter[str]] = [Counter()]  # open elements by name, from an article on each
+    every: Counter[str] = Counter()
+    held: set[int] = set()  # embedded elements whose own end tag is the next of that name
+
+    def pop(size: int, at: int, own: bool) -> None:
+        while len(stack) > size:
+            tag, i = stack.pop()
+            ends[i] = (at, own and len(stack) == size)
+            every[tag] -= 1
+            if tag in ("article", "main"):
+                scopes.pop()
+            scopes[-1][tag] -= 1
+
+    def push(tag: str, at: int) -> None:
+        stack.append((tag, at))
+        every[tag] += 1
+        scopes[-1][tag] += 1
+        if tag in ("article", "main"):
+            scopes.append(Counter())
+
+    def implied(wanted: set[str], through, at: int) -> None:
+        for k in range(len(stack) - 1, max(-1, len(stack) - 1 - REACH), -1):
+            tag, i = stack[k]
+            if tag in wanted:
+                pop(k, at, False)
+                return
+            if i in held or not through(tag):
+                return
+
+    last: dict[str, int] = {}
+    for i, (closing, tag, _) in enumerate(tags):
+        if tag in EMBEDDED:
+            if closing and tag in last:
+                held.add(last[tag])
+            last.pop(tag, None)
+            if not closing:
+                last[tag] = i
+    for i, (closing, tag, rest) in enumerate(tags):
+        if closing:
+            if not (every if tag in SECTIONS else scopes[-1])[tag]:
+                continue
+            if tag in INLINE and stack[-1][0] not in (tag, "p"):
+                continue
+            k = len(stack) - 1
+            while stack[k][0] != tag:
+                k -= 1
+            pop(k, i, True)
+            continue
+        if tag in VOID and tag != "hr":
+            continue
+        if stack and stack[-1][0] == "head" and tag not in IN_HEAD:
+            pop(len(stack) - 1, i, False)
+        if tag == "body":
+            pop(0, i, False)
+        if tag in IMPLIED:
+            wanted, stop = IMPLIED[tag]
+            implied(wanted, lambda t, stop=stop: t not in stop and t not in SECTIONS, i)
+        if tag not in INLINE and tag not in EMBEDDED and scopes[-1]["p"]:
+            implied({"p"}, lambda t: t in INLINE or t in EMBEDDED, i)
+        if tag in VOID or rest.endswith("/>"):
+            continue
+        if tag not in INLINE or every[tag] or boilerplate(tag, rest[:-1]):
+            push(tag, i)
+    pop(0, len(tags), False)
+    return ends
 
 
 class Lines:
-    """Blocks of a page in order: text, characters inside links, inside an article or not."""
+    """Blocks of a page in order: text, characters inside links, inside an article or not, and
+    the wrapper around it (-1: none); ``around`` has the wrapper around each wrapper."""
 
     def __init__(self) -> None:
-        self.rows: list[tuple[str, int, bool]] = []
+        self.rows: list[tuple[str, int, bool, int]] = []
+        self.around: list[int] = []
         self.parts: list[str] = []
         self.linked = 0
 
-    def end(self, article: bool) -> None:
+    def end(self, article: bool, wrapper: int) -> None:
         text = " ".join(html.unescape("".join(self.parts)).split()) if self.parts else ""
-        self.rows.append((text, self.linked, article))
+        self.rows.append((text, self.linked, article, wrapper))
         self.parts, self.linked = [], 0
 
 
-def lines(page: str) -> list[tuple[str, int, bool]]:
+def lines(page: str) -> Lines:
     page = _STRIP.sub("", page)
+    found = list(_TAG.finditer(page))
+    tags = [(m[1] == "/", m[2].lower(), m[3]) for m in found]
+    ends = _ends(tags)
     out, at = Lines(), 0
-    skipped: list[str] = []  # open elements from the outermost boilerplate one
-    article = link = 0
-    for m in _TAG.finditer(page):
-        if not skipped and m.start() > at:
-            text = page[at : m.start()]
+    # open articles and skipped elements: their end, what was before them, whether a line ends there
+    states: list[tuple[int, tuple[bool, bool, bool, int], bool]] = []
+    article = mute = apart = False
+    wrapper, link = -1, 0
+    for i, (closing, tag, rest) in enumerate(tags):
+        if not mute and found[i].start() > at:
+            text = page[at : found[i].start()]
             out.parts.append(text)
             if link:
                 out.linked += len(text)
-        at = m.end()
-        closing, tag = m[1] == "/", m[2].lower()
+        at = found[i].end()
+        while states and states[-1][0] <= i:
+            _, before, breaks = states.pop()
+            if breaks:
+                out.end(article, wrapper)
+            article, mute, apart, wrapper = before
         if tag == "br":
-            if not skipped:
+            if not mute:
                 out.parts.append(" ")
             continue
-        if tag in ("article", "main", "body") and not closing and skipped:
-            # an article starts although a menu or header was never closed
-            if tag == "body" or "article" not in skipped and "main" not in skipped and not _inside(skipped):
-                skipped.clear()
-        if skipped:
-            if not closing and tag not in VOID and not m[3].endswith("/>"):
-                if tag == skipped[0]:
-                    skipped.append(tag)
-            elif closing and tag == skipped[0]:
-                skipped.pop()
-                if not skipped:
-                    out.end(article > 0)
-            continue
-        if not closing and tag not in VOID and is_boilerplate(tag, m[3][:-1]):
-            out.end(article > 0)
-            if not m[3].endswith("/>"):
-                skipped.append(tag)
+        if not closing and i in ends and not apart:
+            now, (end, own) = (article, mute, apart, wrapper), ends[i]
+            if tag in ("article", "main"):
+                # an article starts, also in a menu, a form or a sidebar that was never closed
+                out.end(article, wrapper)
+                states.append((end, now, True))
+                article, mute, wrapper = True, False, -1
+                continue
+            kind = boilerplate(tag, rest[:-1], article)
+            if kind:
+                breaks = tag not in EMBEDDED
+                if breaks:
+                    out.end(article, wrapper)
+                states.append((end, now, breaks))
+                apart = kind == APART and own
+                if not mute and (kind == WRAPPER or not own and breaks and tag not in ("nav", "head")):
+                    out.around.append(wrapper)
+                    wrapper = len(out.around) - 1
+                else:
+                    mute = True
+                continue
+        if mute:
             continue
         if tag == "a":
             link = 0 if closing else 1
-        if tag not in INLINE:
-            out.end(article > 0)
-            if tag in ("article", "main"):
-                article = max(0, article - 1) if closing else article + 1
-    if not skipped and at < len(page):
+        if tag not in INLINE and tag not in EMBEDDED:
+            out.end(article, wrapper)
+    if not mute and at < len(page):
         out.parts.append(page[at:])
-    out.end(article > 0)
-    return out.rows
+    out.end(article, wrapper)
+    return out
+
+
+def _weights(rows: list[tuple[str, int, bool, int]], marked: bool) -> list[int]:
+    """Lines outside the article, and lists of links, weigh nothing."""
+    return [
+        0 if (not article if marked else text and linked >= 0.6 * len(text)) else len(text)
+        for text, linked, article, _ in rows
+    ]
 
 
-def _inside(skipped: list[str]) -> bool:
-    """Whether articles there are boilerplate too, as in a sidebar or among comments."""
-    return skipped[0] not in ("nav", "header", "head")
+def _opened(page: Lines, marked: bool) -> set[int]:
+    """Wrappers around the fullest window, if most of the page's text is in them."""
+    rows = [r for r in page.rows if r[0]]
+    weight = _weights(rows, marked)
+    inside: Counter[int] = Counter()
+    most, where = 0, -1
+    for i, row in enumerate(rows):
+        inside[row[3]] += weight[i]
+        total = sum(weight[k] for k in range(i, min(i + WINDOW, len(rows))) if rows[k][3] == row[3])
+        if total > most:
+            most, where = total, row[3]
+    chain: set[int] = set()
+    while where >= 0:
+        chain.add(where)
+        where = page.around[where]
+    return chain if sum(inside[w] for w in chain) > inside[-1] else set()
 
 
 def main_text(page: str) -> str:
     """Blocks of the article, one a line."""
-    rows = lines(page)
-    marked = any(text for text, _, article in rows if article)
-    weight = []
-    for text, linked, article in rows:
-        outside = marked and not article
-        links = not marked and text and linked >= 0.6 * len(text)
-        weight.append(0 if outside or links else len(text))
-    # lines without text say nothing; those outside the article, and lists of links, weigh nothing
-    shown = [i for i, (text, _, _) in enumerate(rows) if text]
-    weight = [weight[i] for i in shown]
+    read = lines(page)
+    marked = any(text for text, _, article, wrapper in read.rows if article and wrapper < 0)
+    opened = _opened(read, marked) | {-1}
+    # lines without text say nothing, nor do those in wrappers that stay closed
+    rows = [r for r in read.rows if r[0] and r[3] in opened]
+    weight = _weights(rows, any(article for _, _, article, _ in rows))
     sums = [sum(weight[i : i + WINDOW]) for i in range(len(weight))]
     surge = min(SURGE, max(sums, default=0) / 2)
     kept: list[str] = []
@@ -161,7 +297,7 @@ def main_text(page: str) -> str:
         while dive < len(weight) and sums[dive] > 0:
             dive += 1
         if max(sums[i:dive]) > surge:
-            kept += [rows[shown[k]][0] for k in range(i, dive) if weight[k]]
+            kept += [rows[k][0] for k in range(i, dive) if weight[k]]
         i = dive
     return "\n".join(kept)
 

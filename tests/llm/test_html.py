@@ -49,3 +49,37 @@ def test_broken_pages():
 def test_long_page():
     page = "<article>" + "<p>word &amp; word</p>" * 50_000 + "</article>"
     assert main_text(page) == "\n".join(["word & word"] * 50_000)
+
+
+def test_article_inside_boilerplate():
+    body = f"<article><h1>Head</h1><p>{ARTICLE}</p></article>"
+    text = f"Head\n{ARTICLE.strip()}"
+    assert main_text(page(f'<form action="/x"><input name="v">{body}<p>Field</p></form>')) == text
+    for unclosed in ('<div class="ad">Buy', "<aside>Side", '<p class="ad">Buy', "<ul><li class=ad>Buy", '<div id="comments">', "<footer>"):
+        assert main_text(page(unclosed + body)) == text, unclosed
+    assert main_text(page(f'<aside>{body}</aside><p>Other text of the page that is no article at all.</p>')).startswith("Other")
+
+
+def test_unclosed_skipped_paragraph_ends():
+    rest = f"<p>{ARTICLE}<p>More.</div>"
+    assert main_text(page(f'<div><p class="ad">Buy{rest}')) == f"{ARTICLE.strip()}\nMore."
+    assert main_text(page(f'<div><ul><li class="promo">Buy<li>Item</ul>{rest}')) == f"Item\n{ARTICLE.strip()}\nMore."
+    assert main_text(page(f'<div><div><div class="ad">Buy</div></div>{rest}')) == f"{ARTICLE.strip()}\nMore."
+
+
+def test_wrappers_that_hold_the_text():
+    inside = f"<p>{ARTICLE}</p><p>End.</p>"
+    text = f"{ARTICLE.strip()}\nEnd."
+    for name in ("layout no-sidebar", "has-sidebar", "header-and-content", "page-header", "sidebar-layout"):
+        assert main_text(page(f'<div class="{name}">{inside}<div class="ad">Buy</div></div>')) == text, name
+    assert main_text(page(f"<form>{inside}<nav>Menu</nav></form><p>Out.</p>")) == f"{text}\nOut."
+    assert main_text(page(f"<main><h1>H</h1><form>{inside}</form></main>")) == f"H\n{text}"
+    assert main_text(page(f'<div class="comments">{inside}</div><p>Text.</p>')) == "Text."
+    section = f'<section class="discussion"><p>{ARTICLE}</p></section><section id="comments"><p>First!</p></section>'
+    assert main_text(page(f"<article><p>Intro.</p>{section}</article>")) == f"Intro.\n{ARTICLE.strip()}"
+
+
+def test_stray_end_tags_and_depth():
+    assert main_text(page(f"<div><article><p>{ARTICLE}</p></div></span><p>End.</p></article></div>")) == f"{ARTICLE.strip()}\nEnd."
+    assert main_text("<div>" * 50_000 + "</p>" * 50_000 + "text") == "text"
+    assert main_text("<div><article>" + "<i>" * 20_000 + "<section>" * 20_000 + "</div></i>" * 20_000 + "text") == "text"
