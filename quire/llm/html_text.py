@@ -23,7 +23,7 @@ from quire.llm.common import arrow_column
 WINDOW, SURGE = 3, 80
 
 # fixed values: element names, and words of class, id and role names
-_RAW = "script|style|noscript|template|textarea|title|iframe|svg|select|object|canvas|audio|video|math"
+_RAW = "script|style|textarea|title"
 #: Elements that are no text but may stand inside a line of it.
 EMBEDDED = set("noscript template iframe svg select object canvas audio video annotation annotation-xml".split())
 INLINE = set(

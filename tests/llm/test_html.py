@@ -83,3 +83,13 @@ def test_stray_end_tags_and_depth():
     assert main_text(page(f"<div><article><p>{ARTICLE}</p></div></span><p>End.</p></article></div>")) == f"{ARTICLE.strip()}\nEnd."
     assert main_text("<div>" * 50_000 + "</p>" * 50_000 + "text") == "text"
     assert main_text("<div><article>" + "<i>" * 20_000 + "<section>" * 20_000 + "</div></i>" * 20_000 + "text") == "text"
+
+
+def test_embedded_elements_end():
+    text = f"<p>{ARTICLE}</p><p>End.</p>"
+    for embedded in ('<svg class="i"/>', "<p><video src=x>", "<div><object data=x></div>", "<p>x<svg><path/></svg>"):
+        got = main_text(f"<article>{embedded}{text}</article>")
+        assert got.endswith(f"{ARTICLE.strip()}\nEnd."), embedded
+    assert main_text(f"<article><p>One <svg><text>no</text></svg>two<noscript><p>no</p></noscript> three.</p>{text}</article>").startswith("One two three.\n")
+    formula = "<math><semantics><mrow><mi>x</mi><mo>=</mo><mn>1</mn></mrow><annotation>x=1</annotation></semantics></math>"
+    assert main_text(f"<article><p>Let {formula} be.</p>{text}</article>").startswith("Let x=1 be.\n")
