@@ -353,6 +353,32 @@ def test_scan_odd_rows(spark, odd, empty):
     assert len(secret_scan.fit(spark, none).roots) == 1
 
 
+ASSIGNED = [
+    ('password := "{}"', "hunter2!x"), ("'password' => '{}',", "hunter2!x"), ('password          =          "{}"', "hunter2!x"),
+    ("password:          {}", "hunter2!x"), ('if password == "{}":', "hunter2!x"), ("password\t\t\t\t\t\t=\t{}", "Tr0ub4dor&3"),
+    ('config["password"] = "{}"', "Tr0ub4dor&3"), ("a=1&password={}", "s3cr3t!pass"), ("x:password={}", "hunter2!x"), ("password:\n  {}", "hunter2!x"),
+    ("postgres://admin:{}@db.internal:5432/app", "hunter2!x"), ("redis://:{}@cache", "Tr0ub4dor&3"), ("see https://bob:{}@mirror.net/pkg", "s3cr3tPass9"),
+]
+
+
+def test_candidates_of_all_assignments():
+    for form, value in ASSIGNED:
+        text = f"Some words, then {form.format(value)} and more."
+        assert value in [text[a:b] for a, b in secret_scan.candidates(text)], text
+    for text in ("http://host:8080/a@b", "password != x", "password = 'x'", "://:@", "the password: it is"):
+        assert not list(secret_scan.candidates(text)), text
+    for part in ("password=", "password = ", "=", "://a:", "://a:b@", "password" + " " * 50, " = "):
+        long = part * (400_000 // len(part))
+        assert len(list(secret_scan.candidates(long))) <= len(long)
+
+
+def test_assigned_secrets_are_masked(spark):
+    forest = secret_scan.fit(spark)
+    rows = spark.createDataFrame([(f"Some words, then {f.format(v)} and more.",) for f, v in ASSIGNED], "text string")
+    got = [r[0] for r in rows.select(secret_scan.scan(spark, F.col("text"), F.lit("src/app.py"), forest)["redacted"]).collect()]
+    assert got == [f"Some words, then {f.format('[SECRET]')} and more." for f, _ in ASSIGNED]
+
+
 # --- tokens, pieces, pages
 
 
