@@ -200,3 +200,43 @@ def first_of_each(documents: DataFrame, doc: str = "doc_id", text: str = "text",
         return kept
     once = kept.join(repeated, kept[doc] == F.col(again), "left_semi").dropDuplicates([doc, text])
     return kept.join(repeated, kept[doc] == F.col(again), "left_anti").unionByName(once)
+
+
+def one_of_each(
+    documents: DataFrame, doc: str = "doc_id", text: str = "text", shingle: int = 3, paired: int = PAIRED
+) -> DataFrame:
+    """One row of every component of near-duplicates; all columns stay.
+
+    It is the row with the smallest id, among those with the smallest hash of its text; rows
+    without an id come last.  Ids need not be unique: rows are told apart by id and text, and
+    of rows that repeat both one stays.
+    """
+    own = free_name(documents, "text_hash")
+    gone, gone_hash = free_name(documents, "gone"), free_name(documents, "gone_hash")
+    rows = documents.select(
+        F.col(doc).alias("doc"), F.xxhash64(text).alias("hash"), fingerprints(F.col(text), shingle).alias("fp")
+    )
+    keys = materialize(rows.groupBy("doc", "hash", "fp").count(), "simhash-keys")
+    least = F.struct(F.col("doc").isNull().alias("none"), "doc", "hash")
+    distinct = materialize(keys.groupBy("fp").agg(F.min(least).alias("least")), "simhash-distinct")
+    # labelled by their fingerprints, components are told apart where they share an id
+    nodes = distinct.select("fp", F.col("fp").alias("label"))
+    found = components(nodes, links(nodes, "fp", paired))
+    groups = distinct.join(found, "fp", "left").select("fp", "least", F.coalesce("component_id", "fp").alias("group"))
+    first = groups.groupBy("group").agg(F.min("least").alias("first"))
+    owner = groups.select("fp", "group").join(first, "group").select("fp", "first")
+    kept_key = F.col("doc").eqNullSafe(F.col("first.doc")) & (F.col("hash") == F.col("first.hash"))
+    judged = materialize(
+        keys.join(owner, "fp").where(~kept_key | (F.col("count") > 1))
+        .select(F.col("doc").alias(gone), F.col("hash").alias(gone_hash), kept_key.alias("again")),
+        "simhash-judged",
+    )
+    leave, again = judged.where("not again").drop("again"), judged.where("again").drop("again")
+    hashed = documents.withColumn(own, F.xxhash64(text))
+    same = hashed[doc].eqNullSafe(F.col(gone)) & (F.col(own) == F.col(gone_hash))
+    kept = hashed.join(leave, same, "left_anti")
+    if again.isEmpty():
+        return kept.drop(own)
+    same = kept[doc].eqNullSafe(F.col(gone)) & (F.col(own) == F.col(gone_hash))
+    once = kept.join(again, same, "left_semi").dropDuplicates([doc, text])
+    return kept.join(again, same, "left_anti").unionByName(once).drop(own)

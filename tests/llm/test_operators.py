@@ -108,6 +108,32 @@ def test_repeated_rows_leave_one(spark):
     assert sorted(map(tuple, simhash.first_of_each(rows).collect())) == [(1, "a b c d")]
 
 
+def test_every_component_keeps_one_row(spark, odd, empty):
+    rows = [(1, "a b c d"), (1, "a b c d"), (2, "a b c d"), (2, "x y z q"), (None, "x y z q"), (None, "no id"), (None, "no id")]
+    made = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted(map(tuple, simhash.one_of_each(made).collect()), key=str)
+    assert got == [(1, "a b c d"), (2, "x y z q"), (None, "no id")]
+    # near copies under one id; one id on texts of several components
+    r = random.Random(1)
+    base = " ".join(f"w{r.randint(0, 500)}" for _ in range(300))
+    texts = [base, base + " tail", base.upper(), "other text of a few words", "Other text  of a few words", "a b", "", None]
+    prints = [simhash.fingerprint((t or "").encode()) for t in texts]
+    groups = set(brute_components(dict(enumerate(prints))).values())
+    for ids in ([7] * 8, [None] * 8, [3, 3, 2, 2, 9, 3, 3, 3], [1, 2, 3, 4, 5, 6, 7, 8]):
+        made = spark.createDataFrame(list(zip(ids, texts)) * 2, "doc_id long, text string")
+        kept = simhash.one_of_each(made)
+        left = [texts.index(x["text"]) for x in kept.collect()]
+        roots = brute_components(dict(enumerate(prints)))
+        assert sorted(roots[i] for i in left) == sorted(groups), ids
+        for i in left:
+            mine = [ids[k] for k in range(8) if roots[k] == roots[i] and ids[k] is not None]
+            assert ids[i] == min(mine, default=None)
+    kept = simhash.one_of_each(odd)
+    assert kept.columns == odd.columns
+    assert Counter(x["doc_id"] for x in kept.collect()) == {1: 1, 4: 1, 5: 1, 6: 1, 7: 1}
+    assert simhash.one_of_each(empty).count() == 0
+
+
 # --- contamination
 
 
