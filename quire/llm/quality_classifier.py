@@ -27,6 +27,8 @@ BLOCK, DICTIONARY, LEVEL = 1024, 112_640, 3
 #: The fit uses at most about this many labelled rows of either label, and stops taking rows
 #: of a label once this many bytes of text are reached.
 SAMPLE_ROWS, SAMPLE_BYTES = 4_000, 8 << 20
+#: At least this many texts of a label share those bytes, if there are as many.
+SAMPLE_TEXTS = 64
 
 
 @dataclass(frozen=True)
@@ -125,6 +127,19 @@ def train(rows: Iterable[tuple[int, bytes]], prior: float) -> Model:
     return Model(data[1], data[0], tuple(w.tolist()), prior)
 
 
+def _spread(texts: pa.Array, shares: pa.Array) -> pa.Array:
+    """UTF-8 of each text; of one longer than the share, as many whole blocks, evenly apart."""
+    out = []
+    for t, share in zip(utf8(texts), shares, strict=True):
+        share = share.as_py()
+        if len(t) > max(share, BLOCK):
+            n = max(1, share // BLOCK)
+            starts = [i * (len(t) - BLOCK) // max(1, n - 1) for i in range(n)]
+            t = b"".join(t[a : a + BLOCK] for a in starts)
+        out.append(t)
+    return pa.array(out, pa.binary())
+
+
 def fit(
     documents: DataFrame, labels: DataFrame, doc: str = "doc_id", text: str = "text", label: str = "quality"
 ) -> Model:
@@ -132,8 +147,8 @@ def fit(
 
     Rows without id, text or a label of 0 or 1 are left out, so are empty texts; an id that is
     labelled both ways counts for both.  At most about ``SAMPLE_ROWS`` rows and
-    ``SAMPLE_BYTES`` bytes of either label are used, chosen by a hash of the id.  Without rows
-    of both labels the score is the share of good rows (one half without any).
+    ``SAMPLE_BYTES`` bytes of either label are used, chosen by a hash of the id; of a text longer
+    than its share of the bytes, blocks spread over all of it.  Without rows of both labels the score is the share of good rows (one half without any).
     """
     named = labels.where(F.col(label).isin(0, 1) & F.col(doc).isNotNull()).select(
         F.col(doc).alias("_id"), F.col(label).cast("int").alias("_y")
@@ -151,10 +166,11 @@ def fit(
     # at most about 2 * SAMPLE_ROWS ids: bounded by the parameter
     rows = documents.select(F.col(doc).alias("_id"), F.col(text).alias("_text")).join(F.broadcast(chosen), "_id")
     rows = rows.where(F.octet_length("_text") > 0).withColumn("_at", chance)
+    rows = rows.withColumn("_text", arrow_column(_spread, "binary", F.col("_text"), F.lit(SAMPLE_BYTES // SAMPLE_TEXTS)))
     before = Window.partitionBy("_y").orderBy("_at", "_id", "_text").rowsBetween(Window.unboundedPreceding, -1)
     rows = rows.withColumn("_sum", F.coalesce(F.sum(F.octet_length("_text")).over(before), F.lit(0)))
     taken = rows.where(F.col("_sum") < SAMPLE_BYTES).orderBy("_at", "_id", "_text")
-    return train(((r["_y"], r["_text"].encode()) for r in taken.collect()), prior)
+    return train(((r["_y"], bytes(r["_text"])) for r in taken.collect()), prior)
 
 
 def _load(data: bytes) -> tuple[Model, Compressors | None]:

@@ -200,6 +200,19 @@ def test_classifier_odd_rows(spark, odd, empty):
     assert empty.select(quality_classifier.score(empty, F.col("text"), model)).count() == 0
 
 
+def test_classifier_learns_from_long_texts(spark, monkeypatch):
+    monkeypatch.setattr(quality_classifier, "SAMPLE_BYTES", 200_000)
+    r = random.Random(4)
+    word = lambda a: "".join(r.choice(a) for _ in range(r.randint(2, 9)))
+    sides = [[word("bcdfghjk") for _ in range(300)], [word("aeioulnrst") for _ in range(300)]]
+    text = lambda side: " ".join(r.choice(side) for _ in range(40_000))
+    rows = [(i, text(sides[i % 2]), i % 2) for i in range(24)]
+    table = spark.createDataFrame(rows, "doc_id long, text string, quality int")
+    model = quality_classifier.fit(table.select("doc_id", "text"), table.select("doc_id", "quality"))
+    scored = table.select("quality", quality_classifier.score(table, F.col("text"), model).alias("s")).collect()
+    assert model.weights and all((x["s"] > 0.5) == (x["quality"] == 1) for x in scored)
+
+
 # --- shards
 
 
