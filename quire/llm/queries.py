@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 import corpus_pipeline
 from quire.llm import decontaminate, html_text, quality_classifier, quality_rules, secret_scan
 from quire.llm import sentencepiece_viterbi as pieces
-from quire.llm import sharding, simhash, token_counts, url_filter
+from quire.llm import sharding, simhash, table_clustering, token_counts, url_filter, warc, whitening
 from quire.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -111,6 +111,21 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A record of every page, written to seekable bundles and read back from them."""
+    pages = table(spark, sf_dir, "pages")
+    archive = warc.write(pages, F.col("page_id"), F.col("url"), F.col("html"))
+    return warc.read(archive, payloads=False).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(table(spark, sf_dir, "embeddings"))
+
+
+def op13_table_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table_clustering.cluster(table(spark, sf_dir, "embeddings"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus_pipeline.run(spark, sf_dir)
 
@@ -119,7 +134,7 @@ QUERIES: dict[str, Query] = {
     f.__name__: f
     for f in (
         op1_url_filter, op2_token_counts, op3_decontamination, op4_quality_classifier, op5_hilbert_shards,
-        op6_html_text, op7_quality_rules, op8_simhash, op9_sentencepiece, op10_secret_scan, pipeline,
+        op6_html_text, op7_quality_rules, op8_simhash, op9_sentencepiece, op10_secret_scan, op11_warc, op12_whitening, op13_table_clustering, pipeline,
     )
 }
 
@@ -174,6 +189,55 @@ SELECT doc_id, CAST(n_words AS BIGINT) AS n_words, CAST(word_chars AS BIGINT) AS
 FROM f
 """
 
-ORACLES: dict[str, str] = {"op3_decontamination": OP3_SQL, "op7_quality_rules": OP7_SQL}
+# base32 is five bits a letter: four letters for five hexadecimal digits
+OP11_SQL = """
+WITH p AS (SELECT page_id, encode(coalesce(html, '')) AS payload FROM pages),
+     d AS (SELECT page_id, octet_length(payload) AS n, sha1(payload) AS hex FROM p),
+     f AS (SELECT *, max(page_id) OVER (PARTITION BY hex) AS first FROM d)
+SELECT page_id, CAST(n AS BIGINT) AS payload_bytes,
+       array_to_string(list_transform(generate_series(0, 31), lambda i:
+         substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + CAST(
+           (CAST('0x' || substr(hex, 1 + 5 * CAST(i // 4 AS INTEGER), 5) AS BIGINT) >> CAST(15 - 5 * (i % 4) AS INTEGER)) & 31
+           AS INTEGER), 1)), '') AS payload_digest,
+       CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN page_id <> first THEN first END AS refers_to
+FROM f
+"""
+
+
+def _clustering_sql(k: int = 16, rounds: int = 3, length: int = 64) -> str:
+    """The rounds written out; a centroid is a list, an assignment the least (distance, number)."""
+    steps = [f"""
+WITH kept AS (SELECT vec_id, list_transform(embedding, lambda c: CAST(floor(64 * CAST(c AS DOUBLE)) AS BIGINT)) AS x
+              FROM embeddings
+              WHERE len(embedding) = {length}
+                AND len(list_filter(embedding, lambda c: c IS NOT NULL AND isfinite(c))) = {length}),
+     c0 AS (SELECT CAST(row_number() OVER (ORDER BY h) - 1 AS INTEGER) AS number, x AS c
+            FROM (SELECT x, sha256('1:' || vec_id) AS h FROM kept ORDER BY h LIMIT {k}))"""]
+    assign = """
+     a{0} AS (SELECT vec_id, any_value(x) AS x, min(struct_pack(d := d, number := number)) AS best
+              FROM (SELECT vec_id, x, number,
+                           list_sum(list_transform(list_zip(x, c), lambda p: (p[1] - p[2]) * (p[1] - p[2]))) AS d
+                    FROM kept, c{0}) GROUP BY vec_id)"""
+    for i in range(rounds):
+        steps.append(assign.format(i))
+        steps.append(f"""
+     m{i + 1} AS (SELECT number, list(m ORDER BY pos) AS c
+              FROM (SELECT best.number AS number, pos, CAST(floor(CAST(sum(x[pos]) AS DOUBLE) / count(*)) AS BIGINT) AS m
+                    FROM a{i}, (SELECT unnest(generate_series(1, {length})) AS pos) GROUP BY 1, 2) GROUP BY 1),
+     c{i + 1} AS (SELECT number, coalesce(m.c, o.c) AS c FROM c{i} o LEFT JOIN m{i + 1} m USING (number))""")
+    steps.append(assign.format(rounds))
+    return ",".join(steps) + f"""
+SELECT vec_id, best.number AS cluster, CAST(best.d AS BIGINT) AS distance,
+       CAST(sum(best.d) OVER (PARTITION BY best.number) AS BIGINT) AS cluster_inertia,
+       CAST(sum(best.d) OVER () AS BIGINT) AS inertia, sha256(array_to_string(c, ',')) AS centroid_sha256
+FROM a{rounds} JOIN c{rounds} ON number = best.number
+"""
+
+
+ORACLES: dict[str, str] = {
+    "op3_decontamination": OP3_SQL, "op7_quality_rules": OP7_SQL, "op11_warc": OP11_SQL,
+    "op13_table_clustering": _clustering_sql(),
+}
 if corpus_pipeline.ORACLE_SQL is not None:
     ORACLES["pipeline"] = corpus_pipeline.ORACLE_SQL
