@@ -234,7 +234,7 @@ def triangle(rows: DataFrame, n: int, sums: np.ndarray) -> np.ndarray:
 
     ship(rows.sparkSession)
     few = rows.mapInArrow(reduce, "r binary").repartition(JOINERS).mapInArrow(join, "r binary")
-    one = few.coalesce(1).mapInArrow(join, "r binary").collect()
+    one = few.repartition(1).mapInArrow(join, "r binary").collect()
     r = np.frombuffer(one[0]["r"]).reshape(-1, d)
     return np.vstack([r, np.zeros((max(0, d - len(r)), d))])
 

@@ -5,6 +5,7 @@ import random
 import numpy as np
 import public_tokenizers as P
 import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 import sentencepiece
 import xxhash
@@ -51,17 +52,71 @@ def codec():
 
 def test_ids_and_texts_equal_the_library(codec):
     library = sentencepiece.SentencePieceProcessor(model_file=P.path("piece_bpe_32k.model"))
-    for t in texts():
-        ids = np.frombuffer(codec.encode(t), np.int32).tolist()
+    for t, ids in zip(texts(), encoded(codec, texts()), strict=True):
         assert ids == library.encode(t), repr(t[:80])
         assert codec.decode(pa.array([ids], pa.list_(pa.int32()))) == [library.decode(ids)]
 
 
+def encoded(codec, some):
+    flat, counts = codec.encode(some)
+    ends = np.cumsum(counts)
+    return [flat[e - n : e].tolist() for e, n in zip(ends, counts, strict=True)]
+
+
+def whole_texts(n=300):
+    return [r["text"] or "" for r in pq.read_table("/root/testdata/sf0.01/documents.parquet", columns=["text"]).to_pylist()[:n]]
+
+
+@pytest.mark.parametrize("changes", [
+    {}, {"LANE": 8, "WIDTH": 16}, {"LANE": 40, "STEP": 4, "RING": 32}, {"SLICE": 50}, {"LONG": 20, "LANE": 8}, {"RING": 16, "STEP": 1},
+    {"LANE": 1 << 30, "LONG": 1 << 30},
+])
+def test_lanes_of_any_cut_give_the_same_ids(codec, changes, monkeypatch):
+    library = sentencepiece.SentencePieceProcessor(model_file=P.path("piece_bpe_32k.model"))
+    for name, value in changes.items():
+        monkeypatch.setattr(V, name, value)
+    some = [*texts(150), *whole_texts(15)]
+    assert encoded(codec, some) == library.encode(some)
+
+
+def test_ids_are_given_out_before_a_text_ends(codec, monkeypatch):
+    """On ordinary texts: what lies before the meeting place is committed, and the places held
+    stay below the window and one step."""
+    seen = []
+    real = V.Lanes.meeting
+
+    def meeting(self, last, done, s):
+        out = real(self, last, done, s)
+        assert len(last) == V.RING
+        seen.append((len(out), int((out > done).sum()), int((s - out).max())))
+        return out
+
+    monkeypatch.setattr(V.Lanes, "meeting", meeting)
+    some = whole_texts()
+    monkeypatch.setattr(codec, "search", None)  # none of them is searched alone
+    assert sum(map(len, encoded(codec, some))) > 0
+    assert sum(n for n, _, _ in seen) > sum(map(len, some)) / V.LANE
+    assert sum(moved for _, moved, _ in seen) > 0.95 * sum(n for n, _, _ in seen)
+    assert max(held for _, _, held in seen) <= codec.lanes.longest + V.STEP
+
+
+def test_pairs_are_judged_as_merging_does(codec):
+    lanes, r = codec.lanes, random.Random(4)
+    names = list(lanes.number)
+    short = [s for s in names if len(s) <= 3]
+    marks = [s for s in names if set(s) == {V.MARK}]
+    two = [(r.choice(names), r.choice(short)) for _ in range(4000)] + [(r.choice(short), r.choice(names)) for _ in range(4000)]
+    two += [(s, s) for s in names[::7]] + [(a, b) for a in marks for b in [*marks, "▁the", "s"]]
+    want = [codec.pieces.merged(a + b) == [a, b] for a, b in two]
+    a, b = (np.array([lanes.number[s] for s in side]) for side in zip(*two, strict=True))
+    assert lanes.judged(a, b).tolist() == want and lanes.may(a, b).tolist() == want and lanes.may(a, b).tolist() == want
+    assert sum(want) < len(want)
+
+
 def test_ids_give_the_text_back(codec):
-    for t in texts():
-        if V.MARK not in t:
-            ids = np.frombuffer(codec.encode(t), np.int32)
-            assert codec.decode(pa.array([ids], pa.list_(pa.int32()))) == [t]
+    some = [t for t in texts() if V.MARK not in t]
+    for t, ids in zip(some, encoded(codec, some), strict=True):
+        assert codec.decode(pa.array([ids], pa.list_(pa.int32()))) == [t]
 
 
 def test_decoding_odd_ids(codec):
