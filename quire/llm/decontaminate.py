@@ -249,3 +249,8 @@ def matches(
 
     found = documents.select(F.col(doc), F.explode(arrow_column(find, kind, F.col(text))).alias("m"))
     return found.select(doc, F.col("m.item").alias(item), "m.start", "m.length")
+
+
+def contaminated(n_hit: str = "n_hit", n_words: str = "n_words") -> Column:
+    """Whether a twentieth of the words or more are hit, and any."""
+    return (F.col(n_hit) > 0) & (20 * F.col(n_hit) >= F.col(n_words))

@@ -191,3 +191,18 @@ def score(documents: DataFrame, text: Column, model: Model) -> Column:
         return pa.array(1 / (1 + np.exp(-x)))
 
     return arrow_column(judge, "double", text)
+
+
+def held_out(doc: Column) -> Column:
+    """One id in five is kept from the fit."""
+    return F.coalesce(F.crc32(doc.cast("string").cast("binary")) % 5 == 0, F.lit(False))
+
+
+def learned(docs: DataFrame, labels: DataFrame) -> Model:
+    """The model fitted on the labels that are not held out."""
+    return fit(docs, labels.where(~held_out(F.col("doc_id"))))
+
+
+def predicted(score: str = "score") -> Column:
+    """1 for a score of 0.3 or more, else 0."""
+    return F.when(F.col(score) >= 0.3, 1).otherwise(0)

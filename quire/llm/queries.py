@@ -8,7 +8,6 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-import corpus_pipeline
 from quire.llm import decontaminate, html_text, quality_classifier, quality_rules, secret_scan
 from quire.llm import sentencepiece_viterbi as pieces
 from quire.llm import sharding, simhash, table_clustering, token_counts, url_filter, warc, whitening
@@ -50,15 +49,15 @@ def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, items = table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")
     found = docs.select("doc_id", decontaminate.contamination(F.col("text"), items).alias("c")).select("doc_id", "c.*")
-    return found.withColumn("contaminated", corpus_pipeline.contaminated())
+    return found.withColumn("contaminated", decontaminate.contaminated())
 
 
 def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    held_out = corpus_pipeline.held_out(F.col("doc_id"))
-    model = corpus_pipeline.quality_model(spark, docs, sf_dir)
+    held_out = quality_classifier.held_out(F.col("doc_id"))
+    model = quality_classifier.learned(docs, table(spark, sf_dir, "labels"))
     scored = docs.select("doc_id", held_out.alias("held_out"), quality_classifier.score(docs, F.col("text"), model).alias("score"))
-    return scored.withColumn("predicted", corpus_pipeline.predicted())
+    return scored.withColumn("predicted", quality_classifier.predicted())
 
 
 def op5_hilbert_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -95,9 +94,8 @@ def op9_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ids of every text, and whether decoding them gives the text back."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     model = pieces.load(spark, public_tokenizers.path("piece_bpe_32k.model"))
-    made = docs.withColumn("ids", pieces.encode(F.col("text"), model))
-    back = pieces.decode(F.col("ids"), model) == F.coalesce("text", F.lit(""))
-    return made.select("doc_id", "ids", F.size("ids").cast("long").alias("n_ids"), back.alias("round_trip"))
+    made = docs.select("doc_id", pieces.transcode(F.col("text"), model).alias("t"))
+    return made.select("doc_id", "t.ids", F.size("t.ids").cast("long").alias("n_ids"), "t.round_trip")
 
 
 def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -126,15 +124,11 @@ def op13_table_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table_clustering.cluster(table(spark, sf_dir, "embeddings"))
 
 
-def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return corpus_pipeline.run(spark, sf_dir)
-
-
 QUERIES: dict[str, Query] = {
     f.__name__: f
     for f in (
         op1_url_filter, op2_token_counts, op3_decontamination, op4_quality_classifier, op5_hilbert_shards,
-        op6_html_text, op7_quality_rules, op8_simhash, op9_sentencepiece, op10_secret_scan, op11_warc, op12_whitening, op13_table_clustering, pipeline,
+        op6_html_text, op7_quality_rules, op8_simhash, op9_sentencepiece, op10_secret_scan, op11_warc, op12_whitening, op13_table_clustering,
     )
 }
 
@@ -239,5 +233,3 @@ ORACLES: dict[str, str] = {
     "op3_decontamination": OP3_SQL, "op7_quality_rules": OP7_SQL, "op11_warc": OP11_SQL,
     "op13_table_clustering": _clustering_sql(),
 }
-if corpus_pipeline.ORACLE_SQL is not None:
-    ORACLES["pipeline"] = corpus_pipeline.ORACLE_SQL

@@ -25,7 +25,7 @@ def test_query_equals_its_sql(spark, name):
     assert ours == rows_of(columns, found.fetchall())
 
 
-@pytest.mark.parametrize("name", sorted(set(QUERIES) - set(ORACLES) - {"pipeline"}))
+@pytest.mark.parametrize("name", sorted(set(QUERIES) - set(ORACLES)))
 def test_query_covers_its_table(spark, name):
     df = QUERIES[name](spark, SF)
     key = df.columns[0]
