@@ -7,7 +7,7 @@ columns of ``documents``; ``run`` writes each stage to the shared folder and rea
 from __future__ import annotations
 
 import public_tokenizers
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quire.llm import decontaminate, quality_classifier, secret_scan, simhash
@@ -16,30 +16,12 @@ from quire.llm.common import free_name, table
 from quire.session import materialize
 
 
-def held_out(doc: Column) -> Column:
-    """One id in five is kept from the fit."""
-    return F.coalesce(F.crc32(doc.cast("string").cast("binary")) % 5 == 0, F.lit(False))
-
-
-def quality_model(spark: SparkSession, docs: DataFrame, sf_dir: str) -> quality_classifier.Model:
-    labels = table(spark, sf_dir, "labels")
-    return quality_classifier.fit(docs, labels.where(~held_out(F.col("doc_id"))))
-
-
-def predicted(score: str = "score") -> Column:
-    return F.when(F.col(score) >= 0.3, 1).otherwise(0)
-
-
-def contaminated(n_hit: str = "n_hit", n_words: str = "n_words") -> Column:
-    return (F.col(n_hit) > 0) & (20 * F.col(n_hit) >= F.col(n_words))
-
-
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier predicts to be good."""
     name = free_name(docs, "quality_score")
-    model = quality_model(spark, docs, sf_dir)
+    model = quality_classifier.learned(docs, table(spark, sf_dir, "labels"))
     scored = docs.withColumn(name, quality_classifier.score(docs, F.col("text"), model))
-    return scored.where(predicted(name) == 1).drop(name)
+    return scored.where(quality_classifier.predicted(name) == 1).drop(name)
 
 
 def dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -51,7 +33,7 @@ def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     """Documents that are not contaminated by a benchmark item."""
     name = free_name(docs, "contamination")
     found = docs.withColumn(name, decontaminate.contamination(F.col("text"), table(spark, sf_dir, "benchmark")))
-    return found.where(~contaminated(f"{name}.n_hit", f"{name}.n_words")).drop(name)
+    return found.where(~decontaminate.contaminated(f"{name}.n_hit", f"{name}.n_words")).drop(name)
 
 
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -69,13 +51,15 @@ def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Ids of every text in place of the text, their number, and whether they decode to it."""
+    """Ids of every text in place of the text, their number, and whether they decode to it.
+
+    Columns of the documents that are called like these are replaced.
+    """
     model = pieces.load(spark, public_tokenizers.path("piece_bpe_32k.model"))
-    own = ["ids", "n_ids", "round_trip"]
-    made = docs.withColumn("ids", pieces.encode(F.col("text"), model))
-    back = pieces.decode(F.col("ids"), model) == F.coalesce("text", F.lit(""))
-    kept = [c for c in docs.columns if c not in ("text", *own)]
-    return made.select(*kept, "ids", F.size("ids").cast("long").alias("n_ids"), back.alias("round_trip"))
+    kept = [c for c in docs.columns if c.lower() not in ("text", "ids", "n_ids", "round_trip")]
+    made = docs.select(*kept, pieces.transcode(F.col("text"), model).alias("_transcoded"))
+    ids = F.col("_transcoded.ids")
+    return made.select(*kept, ids.alias("ids"), F.size(ids).cast("long").alias("n_ids"), F.col("_transcoded.round_trip").alias("round_trip"))
 
 
 STAGES = [
