@@ -662,7 +662,7 @@ def frag_document_noheads(spark: SparkSession, sf: str) -> DataFrame:
     FROM crumbs WHERE {O.GOOD} AND doc_id % 10 <> 9"""
 )
 def frag_nav(spark: SparkSession, sf: str) -> DataFrame:
-    rows = FR.navigation_fragments(cut(spark, sf).tokens, N.members(C.navigation(spark, sf)))
+    rows = FR.navigation_fragments(cut(spark, sf).tokens, N.members(C.navigation(spark, sf), breadcrumbs=True))
     return _frag(rows)
 
 
@@ -692,7 +692,7 @@ def frag_heads(spark: SparkSession, sf: str) -> DataFrame:
     """Exclusion by folded heads; breadcrumbs and texts do not change by it."""
     rows = FR.navigation_fragments(
         cut(spark, sf).tokens,
-        N.members(C.navigation(spark, sf)),
+        N.members(C.navigation(spark, sf), breadcrumbs=True),
         exclude_heads_contains=["  PÀRT   1 ", "Él", ""],
     )
     return _frag(rows, ["resource_id", "position", "id", "head", "content", "breadcrumb"])
@@ -767,7 +767,7 @@ def frag_auto(spark: SparkSession, sf: str) -> DataFrame:
     UNION ALL SELECT rid, 'ghost', 'Ghost' FROM docs WHERE doc_id % 10 <> 9"""
 )
 def breadcrumbs(spark: SparkSession, sf: str) -> DataFrame:
-    return N.breadcrumbs(N.nav_index(N.members(C.navigation(spark, sf))))
+    return N.breadcrumbs(C.navigation(spark, sf))
 
 
 @query(
@@ -789,7 +789,7 @@ def breadcrumbs_geo(spark: SparkSession, sf: str) -> DataFrame:
             "title",
         )
     )
-    return N.breadcrumbs(tree)
+    return N.climbed(tree)
 
 
 @query(

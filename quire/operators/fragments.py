@@ -204,6 +204,8 @@ def navigation_fragments(
 ) -> DataFrame:
     """One fragment per navigation member whose id is an ``xml:id`` of the document.
 
+    ``members`` are those of ``navigation.members``, with breadcrumbs where they are to be included.
+
     Exclusion by head comes last: an excluded member still shapes breadcrumbs and its text
     is still taken out of the members around it.
     """
@@ -222,9 +224,8 @@ def navigation_fragments(
     out = kept.join(texts, ["resource_id", "member_id"])
     head = F.col("title")
     content = F.col("content") if add_head_to_content else strip_leading_head(F.col("content"), head)
-    if include_breadcrumb:
-        crumbs = nav.breadcrumbs(nav.nav_index(named))
-        out = out.join(crumbs, ["resource_id", "member_id"], "left")
+    if not include_breadcrumb:
+        out = out.withColumn("breadcrumb", F.lit(None).cast("string"))
     return _shaped(
         out.withColumns(
             {
@@ -473,7 +474,7 @@ def split(
     by_nav = cut(routed.filter("route = 'navigation'"))
     members = navigation_fragments(
         by_nav.tokens,
-        nav.members(navigation),
+        nav.members(navigation, params.include_breadcrumb),
         params.add_head_to_content,
         params.exclude_heads_contains,
         params.include_breadcrumb,

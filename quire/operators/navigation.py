@@ -7,6 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quire.functions import let
 from quire.functions import variant as V
 from quire.functions.text import short_id
 from quire.session import materialize
@@ -68,11 +69,12 @@ def parent(m: Column) -> Column:
     )
 
 
-def members(navigation: DataFrame) -> DataFrame:
+def members(navigation: DataFrame, breadcrumbs: bool = False) -> DataFrame:
     """``navigation(resource_id, payload)`` to one row per member.
 
     resource_id, pos, member_id, parent_id (short), parent (as given), title, level,
-    cite_type, dublin_core (the ``dublinCore`` spelling as given), nav_depth.
+    cite_type, dublin_core (the ``dublinCore`` spelling as given), nav_depth, and with
+    ``breadcrumbs`` the breadcrumb, made inside the payload's row.
     """
     parsed = navigation.select("resource_id", V.parse(F.col("payload")).alias("nav")).filter(
         V.is_object(F.col("nav"))
@@ -80,8 +82,13 @@ def members(navigation: DataFrame) -> DataFrame:
     listed = parsed.select(
         "resource_id", cite_depth(F.col("nav")).alias("nav_depth"), member_list(F.col("nav")).alias("list")
     )
-    rows = listed.select("resource_id", "nav_depth", F.posexplode("list").alias("pos", "m"))
-    m = F.col("m")
+    m, crumb = F.col("m"), []
+    if breadcrumbs:
+        listed = listed.withColumn("crumbs", F.transform("list", named)).withColumn("crumbs", trails(F.col("crumbs")))
+        rows = listed.select("resource_id", "nav_depth", F.posexplode(F.arrays_zip("list", "crumbs")).alias("pos", "both"))
+        m, crumb = F.col("both.list"), [F.col("both.crumbs").alias("breadcrumb")]
+    else:
+        rows = listed.select("resource_id", "nav_depth", F.posexplode("list").alias("pos", "m"))
     return rows.filter(V.is_object(m)).select(
         "resource_id",
         "pos",
@@ -93,6 +100,7 @@ def members(navigation: DataFrame) -> DataFrame:
         V.get(m, "citeType").alias("cite_type"),
         V.get(m, "dublinCore", type="variant").alias("dublin_core"),
         "nav_depth",
+        *crumb,
     )
 
 
@@ -116,11 +124,124 @@ def nav_index(rows: DataFrame) -> DataFrame:
     )
 
 
-def breadcrumbs(index: DataFrame) -> DataFrame:
-    """Titles from the topmost ancestor down to each member, joined by ' > '.
+def named(m: Column, pos: Column) -> Column:
+    """What a breadcrumb needs of the member at a place of the list."""
+    fine = V.is_object(m)
+    return F.struct(
+        F.when(fine, identifier(m)).alias("id"),
+        pos.alias("pos"),
+        F.when(fine, parent(m)).alias("up"),
+        F.nullif(F.when(fine, title(m)), F.lit("")).alias("title"),
+    )
+
+
+def _place(index: Column, steps: Column, key: Column) -> Column:
+    """Place of a key in an index sorted by id, by halving; NULL when it is not there."""
+
+    def closer(low: Column, step: Column) -> Column:
+        next_one = low + step
+        return F.when(F.get(index, next_one)["id"] <= key, next_one).otherwise(low)
+
+    return let(
+        F.aggregate(steps, F.lit(0), closer),
+        lambda at: F.when(F.get(index, at)["id"] == key, at),
+    )
+
+
+def _joined(above: Column, own: Column) -> Column:
+    return F.nullif(F.concat_ws(BREADCRUMB_SEPARATOR, above, own), F.lit(""))
+
+
+def trails(listed: Column, by_id: bool = False) -> Column:
+    """Breadcrumb of every member of a list of ``named`` members, NULL for one without an id; or
+    ``by_id`` an array of ``(member_id, breadcrumb)`` with every id once.
+
+    The titles of the ancestors, topmost first, joined by ' > '; empty ones are left out.  Of
+    members with one id the last counts; a parent that is not in the list ends the trail, and so
+    does one that the trail has seen already.  Everything happens in the row of the payload:
+    parents are found by halving the sorted ids, and each round of the doubling joins every
+    trail to the one of the ancestor it ends below, so a list of n members takes n log n steps.
+    """
+
+    def with_index(index: Column) -> Column:
+        powers = F.sequence(F.ceil(F.log2(F.size(index) + F.lit(1))).cast("int"), F.lit(0), F.lit(-1))
+        return let(F.transform(powers, lambda p: F.pow(F.lit(2), p).cast("int")), lambda steps: let(
+            F.transform(index, lambda e: _place(index, steps, e["up"])), lambda ups: found(index, steps, ups)
+        ))
+
+    def on_cycles(steps: Column, ups: Column) -> Column:
+        """Places that the parents lead back to: where all members are after as many steps as there are members."""
+        far = F.aggregate(steps, ups, lambda up, _: F.transform(up, lambda u: F.get(up, u)))
+        return F.array_distinct(F.array_compact(far))
+
+    def around(index: Column, ups: Column, start: Column) -> Column:
+        """The trail of a member on a cycle: once around."""
+        nothing = F.struct(start.alias("at"), F.lit(False).alias("done"), F.lit(None).cast("string").alias("trail"))
+
+        def step(s: Column, _: Column) -> Column:
+            up = F.get(ups, s["at"])
+            trail = _joined(F.get(index, s["at"])["title"], s["trail"])
+            return F.when(s["done"], s).otherwise(
+                F.struct(up.alias("at"), F.coalesce(up == start, F.lit(True)).alias("done"), trail.alias("trail"))
+            )
+
+        return F.aggregate(index, nothing, step)["trail"]
+
+    def found(index: Column, steps: Column, ups: Column) -> Column:
+        def climbed(cycle: Column) -> Column:
+            none = F.size(cycle) == 0
+            first = F.struct(
+                F.transform(ups, lambda u, i: F.when(none | ~F.array_contains(cycle, i), u)).alias("up"),
+                F.transform(
+                    index,
+                    lambda e, i: F.when(none | ~F.array_contains(cycle, i), e["title"]).otherwise(around(index, ups, i)),
+                ).alias("trail"),
+            )
+
+            def double(s: Column, _: Column) -> Column:
+                longer = F.struct(
+                    F.transform(s["up"], lambda u: F.get(s["up"], u)).alias("up"),
+                    F.transform(s["trail"], lambda t, i: _joined(F.get(s["trail"], F.get(s["up"], i)), t)).alias("trail"),
+                )
+                return F.when(F.exists(s["up"], lambda u: u.isNotNull()), longer).otherwise(s)
+
+            return F.aggregate(steps, first, double)["trail"]
+
+        if by_id:
+            return let(let(on_cycles(steps, ups), climbed), lambda trail: F.transform(
+                index,
+                lambda e, i: F.struct(
+                    e["id"].alias("member_id"), F.coalesce(F.get(trail, i), F.lit("")).alias("breadcrumb")
+                ),
+            ))
+        return let(let(on_cycles(steps, ups), climbed), lambda trail: F.transform(
+            listed,
+            lambda m: F.when(m["id"].isNotNull(), F.coalesce(F.get(trail, _place(index, steps, m["id"])), F.lit(""))),
+        ))
+
+    ordered = F.sort_array(F.filter(listed, lambda m: m["id"].isNotNull()))
+    last_of_each = let(ordered, lambda o: F.filter(
+        o, lambda e, i: ~F.coalesce(F.get(o, i + 1)["id"] == e["id"], F.lit(False))
+    ))
+    return let(last_of_each, with_index)
+
+
+def breadcrumbs(navigation: DataFrame) -> DataFrame:
+    """``(resource_id, member_id, breadcrumb)`` of the members of navigation payloads, one row an id.
+
+    Made inside the payloads' rows: nothing is joined or moved.
+    """
+    parsed = navigation.select("resource_id", V.parse(F.col("payload")).alias("nav")).filter(V.is_object(F.col("nav")))
+    listed = parsed.select("resource_id", F.transform(member_list(F.col("nav")), named).alias("list"))
+    return listed.select("resource_id", F.inline(trails(F.col("list"), by_id=True)))
+
+
+def climbed(index: DataFrame) -> DataFrame:
+    """Breadcrumbs of a tree that is a table, ``(resource_id, member_id, parent_id, title)``, of any size.
 
     Climbs one generation per round over the members that still have a parent to visit, so
-    each round handles fewer rows; ids seen on the way stop cycles.
+    each round handles fewer rows; ids seen on the way stop cycles.  Trees that are payloads are
+    done in their rows by ``breadcrumbs``.
     """
     index = materialize(index, "nav-index")
     up = index.select(

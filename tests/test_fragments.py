@@ -86,7 +86,7 @@ def test_navigation_mode(spark, corpus):
         marked = {e for e in root.iter() if e.get(XID) in chosen}
         for e in marked:
             want[rid, e.get(XID)] = ws(text_without(e, marked - {e}))
-    members = N.members(spark.createDataFrame(navs, "resource_id string, payload string"))
+    members = N.members(spark.createDataFrame(navs, "resource_id string, payload string"), breadcrumbs=True)
     rows = FR.navigation_fragments(tokens, members).collect()
     assert {(r["resource_id"], r["id"]): r["content"] for r in rows} == want
 
@@ -160,7 +160,7 @@ def test_exclusion_keeps_breadcrumbs(spark):
         ]
     }
     nav = spark.createDataFrame([("r", json.dumps(payload))], "resource_id string, payload string")
-    members = N.members(nav)
+    members = N.members(nav, breadcrumbs=True)
     rows = FR.navigation_fragments(
         tokens, members, False, ["premiere"], metadata_dublincore=["k"]
     ).collect()
@@ -204,8 +204,47 @@ def test_unsupported_selectors(xpath):
         SEL.parse(xpath)
 
 
-def test_breadcrumb_cycles(spark):
+def brute_trail(index, start):
+    out, seen, at = [], set(), start
+    while at in index and at not in seen:
+        seen.add(at)
+        up, title = index[at]
+        out.insert(0, title)
+        at = up
+    return " > ".join(t for t in out if t)
+
+
+def forests():
+    r = random.Random(7)
+    loops = [("a", "b", "A"), ("b", "a", "B"), ("c", "a", None), ("d", "gone", "D"), ("e", "e", "E"), ("f", "e", ""), ("g", "f", "G")]
+    chain = [(f"n{i}", f"n{i - 1}" if i else None, f"t{i}" if i % 3 else None) for i in range(700)]
+    again = [("a", "b", "A"), ("b", None, "first"), ("b", "c", "B"), ("c", None, "C"), (None, "a", "no id"), ("é", "a", "z"), ("\U0001f600", "é", "y")]
+    yield from (loops, chain, again, [], [(None, None, "x")])
+    for _ in range(20):
+        n = r.randint(1, 30)
+        yield [(f"m{r.randrange(n)}", f"m{r.randrange(n + 2)}" if r.random() < 0.8 else None, r.choice(["", None, "x", "y z"])) for _ in range(n)]
+
+
+def test_breadcrumbs_in_the_row_equal_a_climb(spark):
+    rows, want, aligned = [], {}, {}
+    for i, members in enumerate(forests()):
+        listed = [{k: v for k, v in (("id", m), ("parent", p), ("title", t)) if v is not None} for m, p, t in members]
+        rows.append((f"r{i}", json.dumps({"member": [*listed, 5, "x"]})))
+        index = {m: (p, t) for m, p, t in members if m is not None}
+        want |= {(f"r{i}", m): brute_trail(index, m) for m in index}
+        aligned |= {(f"r{i}", k): None if m is None else brute_trail(index, m) for k, (m, _, _) in enumerate(members)}
+    nav = spark.createDataFrame(rows, "resource_id string, payload string")
+    out = N.breadcrumbs(nav)
+    assert {(r[0], r[1]): r[2] for r in out.collect()} == want and out.count() == len(want)
+    members = N.members(nav, breadcrumbs=True)
+    assert {(r["resource_id"], r["pos"]): r["breadcrumb"] for r in members.collect()} == aligned
+    for df in (out, members):
+        plan = df._jdf.queryExecution().toString()
+        assert "Exchange" not in plan and "Join" not in plan and "Aggregate" not in plan
+
+
+def test_breadcrumbs_of_a_table_climb_generation_by_generation(spark):
     rows = [("r", "a", "b", "A"), ("r", "b", "a", "B"), ("r", "c", "a", None), ("r", "d", "gone", "D")]
     index = spark.createDataFrame(rows, "resource_id string, member_id string, parent_id string, title string")
-    got = {r["member_id"]: r["breadcrumb"] for r in N.breadcrumbs(index).collect()}
+    got = {r["member_id"]: r["breadcrumb"] for r in N.climbed(index).collect()}
     assert got == {"a": "B > A", "b": "A > B", "c": "B > A", "d": "D"}
