@@ -2,17 +2,17 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from quire.functions.text import id_list
-from quire.session import materialize
+from quire.session import checkpoint_root
 
-VISIT = "object_id string, depth int, found_by string"
-COMPACT_EVERY = 10
+VISIT = "object_id string, found_by string, depth int"
 
 
 @dataclass(frozen=True)
@@ -25,16 +25,62 @@ class Walk:
     missing: DataFrame
 
 
+class Bucketed:
+    """Rows kept as a table in the shared folder, in files by the hash of one column.
+
+    Joins and groupings by that column read them where they are.  The name in the session's
+    catalog is given back by ``forget``; the files stay with the folder.
+    """
+
+    def __init__(self, spark: SparkSession, label: str, column: str, parts: int) -> None:
+        self.spark, self.column, self.parts = spark, column, parts
+        self.name = f"quire_{label}_{uuid.uuid4().hex}"
+        self.path = f"{checkpoint_root(spark)}/quire/{self.name}"
+
+    @property
+    def rows(self) -> DataFrame:
+        return self.spark.table(self.name)
+
+    def add(self, rows: DataFrame, *folders: str) -> int:
+        """Append rows, with a folder for each value of the columns named; their number."""
+        counted = Observation()
+        (
+            rows.observe(counted, F.count(F.lit(1)).alias("n"))
+            .write.mode("append").partitionBy(*folders).bucketBy(self.parts, self.column)
+            .option("path", self.path).format("parquet").saveAsTable(self.name)
+        )
+        return counted.get["n"]
+
+    def forget(self) -> None:
+        self.spark.sql(f"DROP TABLE IF EXISTS {self.name}")
+
+
+def next_level(edges: DataFrame, seen: DataFrame, depth: int) -> DataFrame:
+    """What the objects of one level find that was not seen before.
+
+    ``edges`` lie by ``asked`` and ``seen`` by ``object_id``, in equally many buckets: the level
+    joins its edges in place, and only what it finds is exchanged, to where it would have been seen.
+    """
+    near = seen.filter(F.col("depth") == depth).select(F.col("object_id").alias("asked"))
+    found = (
+        edges.join(near, "asked")
+        .groupBy(F.col("child_id").alias("object_id"))
+        .agg(F.min(F.struct("parent_id", "pos"))["parent_id"].alias("found_by"))
+    )
+    fresh = found.join(seen.select("object_id"), "object_id", "left_anti")
+    return fresh.select("object_id", "found_by", F.lit(depth + 1).alias("depth"))
+
+
 def reach(edges: DataFrame, start: str, excluded: Sequence[str] = ()) -> DataFrame:
     """Ids reachable from ``start`` over ``edges(parent_id, child_id, pos)``.
 
     A parent that answered under another id than the one asked for has that one in
     ``request_id``, where there is such a column: the walk goes by the ids asked for.
 
-    One level per round: the frontier joins its edges, the new ids are what is left after
-    an anti-join with everything seen.  Of several parents on the level before, the
-    smallest id finds the child.  Excluded ids are cut from the edges first, so what hangs
-    on them is reached only on another way.
+    The edges are written once, in buckets by the id asked for, and never moved again; a round
+    handles one level.  Of several parents on the level before, the smallest id finds the
+    child.  Excluded ids are cut from the edges first, so what hangs on them is reached only
+    on another way.
     """
     spark = edges.sparkSession
     if excluded:
@@ -42,26 +88,17 @@ def reach(edges: DataFrame, start: str, excluded: Sequence[str] = ()) -> DataFra
         edges = edges.join(left_out, "child_id", "left_anti")
     asked = F.col("request_id" if "request_id" in edges.columns else "parent_id").alias("asked")
     edges = edges.select(asked, "parent_id", "child_id", "pos").filter(F.col("child_id") != start)
-    frontier = spark.createDataFrame([(start, 0, None)], VISIT)
-    seen = frontier
-    depth = 0
-    while True:
-        depth += 1
-        near = frontier.select(F.col("object_id").alias("asked"))
-        found = (
-            edges.join(near, "asked")
-            .groupBy(F.col("child_id").alias("object_id"))
-            .agg(F.min(F.struct("parent_id", "pos"))["parent_id"].alias("found_by"))
-        )
-        fresh = found.join(seen.select("object_id"), "object_id", "left_anti").select(
-            "object_id", F.lit(depth).alias("depth"), "found_by"
-        )
-        frontier = materialize(fresh, f"walk-{depth}")
-        if frontier.isEmpty():
-            return seen
-        seen = seen.unionByName(frontier)
-        if depth % COMPACT_EVERY == 0:
-            seen = materialize(seen, "walk-seen")  # keeps the plan of a deep graph short
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    near, seen = Bucketed(spark, "edges", "asked", parts), Bucketed(spark, "seen", "object_id", parts)
+    try:
+        near.add(edges.repartition(parts, "asked"))
+        fresh, depth = spark.createDataFrame([(start, None, 0)], VISIT), 0
+        while seen.add(fresh, "depth"):
+            fresh, depth = next_level(near.rows, seen.rows, depth), depth + 1
+    finally:
+        near.forget()
+        seen.forget()
+    return spark.read.schema(VISIT).parquet(seen.path)
 
 
 def walk(

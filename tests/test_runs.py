@@ -344,3 +344,31 @@ def test_raw_objects(spark):
     assert "Ann Author" in rows["R1"] and "C" in rows["R2"]
     linked = raw.withColumn("linked_parents", F.array())
     assert M.resource_results(linked).count() == 2
+
+
+def test_a_level_moves_only_what_it_finds(spark):
+    """Edges and what was seen are read from their buckets: one exchange, of the found objects."""
+    edges = spark.range(4000).selectExpr("concat('a', id div 10) AS asked", "concat('a', id div 10) AS parent_id", "concat('a', id + 1) AS child_id", "0 AS pos")
+    near, seen = W.Bucketed(spark, "t_edges", "asked", 4), W.Bucketed(spark, "t_seen", "object_id", 4)
+    limit = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        assert near.add(edges.repartition(4, "asked")) == 4000
+        assert seen.add(spark.createDataFrame([("a0", None, 0)], W.VISIT), "depth") == 1
+        level = W.next_level(near.rows, seen.rows, 0)
+        assert {r["object_id"] for r in level.collect()} == {f"a{i}" for i in range(1, 11)}
+        plan = level._jdf.queryExecution().executedPlan().toString()
+        final = plan.split("== Initial Plan ==")[0]
+        assert final.count("Exchange hashpartitioning(child_id") == 1 and final.count("Exchange ") == 1, final
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
+        near.forget()
+        seen.forget()
+
+
+def test_walk_of_a_deep_chain_and_no_edges(spark):
+    chain = spark.range(40).selectExpr("concat('a', id) AS parent_id", "concat('a', (id + 1) % 40) AS child_id", "0 AS pos")
+    got = {r["object_id"]: (r["depth"], r["found_by"]) for r in W.reach(chain, "a0").collect()}
+    assert got == {f"a{i}": (i, f"a{i - 1}" if i else None) for i in range(40)}
+    assert [tuple(r) for r in W.reach(chain.limit(0), "x").collect()] == [("x", None, 0)]
+    assert not [t.name for t in spark.catalog.listTables() if t.name.startswith("quire_")]
