@@ -709,7 +709,7 @@ def frag_heads(spark: SparkSession, sf: str) -> DataFrame:
 )
 def frag_xpath_div(spark: SparkSession, sf: str) -> DataFrame:
     """Top divisions with the divisions inside them."""
-    tokens = cut(spark, sf).materialize().tokens
+    tokens = cut(spark, sf).tokens
     rows = FR.selector_fragments(tokens, ".//tei:text/tei:body/tei:div")
     return _frag(rows, ["resource_id", "position", "fragment_index", "id", "head", "content", "breadcrumb"])
 
@@ -724,7 +724,7 @@ def frag_xpath_div(spark: SparkSession, sf: str) -> DataFrame:
 )
 def frag_xpath_p(spark: SparkSession, sf: str) -> DataFrame:
     """Paragraphs: generated ids, heads of the nearest ancestor."""
-    tokens = cut(spark, sf).materialize().tokens
+    tokens = cut(spark, sf).tokens
     rows = FR.selector_fragments(tokens, ".//tei:div/tei:p", generated_id_prefix="__P__")
     return _frag(rows, ["resource_id", "fragment_index", "id", "head", "content"])
 
@@ -741,7 +741,7 @@ def frag_xpath_p(spark: SparkSession, sf: str) -> DataFrame:
 )
 def frag_xpath_attr(spark: SparkSession, sf: str) -> DataFrame:
     """Selected by attribute at any depth, heads kept and put in front."""
-    tokens = cut(spark, sf).materialize().tokens
+    tokens = cut(spark, sf).tokens
     rows = FR.selector_fragments(
         tokens,
         ".//tei:body//tei:div[@type='even']",
@@ -751,6 +751,38 @@ def frag_xpath_attr(spark: SparkSession, sf: str) -> DataFrame:
     return _frag(rows, ["resource_id", "fragment_index", "id", "content"])
 
 
+@query(
+    f"""WITH {O.DIVS}
+    e AS (SELECT rid, doc_id, i // 5 AS k, i % 5 AS li, 0 AS part, line AS raw FROM lines WHERE i % 5 IN (1, 3)
+      UNION ALL SELECT rid, doc_id, i // 5, i % 5, 1, '' FROM lines WHERE i % 5 = 1
+      UNION ALL SELECT rid, doc_id, k, 9, 0, 'é<&>' FROM divs),
+    n AS (SELECT e.*, d.head, row_number() OVER (PARTITION BY e.rid ORDER BY e.k, li, part) - 1 AS nth
+      FROM e JOIN divs d ON d.rid = e.rid AND d.k = e.k),
+    c AS (SELECT rid, doc_id, nth, {O.ws("head")} AS head, {O.strip_head("raw", "head")} AS content FROM n)
+    SELECT rid AS resource_id, nth AS fragment_index, head, content FROM c WHERE content <> '' AND {O.GOOD}"""
+)
+def frag_xpath_union(spark: SparkSession, sf: str) -> DataFrame:
+    """Alternatives with attribute presence and equality; empty elements count for the index."""
+    xpath = ".//tei:div/tei:note | .//tei:p/tei:hi[@rend]|.//tei:p[@n='1']/tei:lb"
+    rows = FR.selector_fragments(cut(spark, sf).tokens, xpath)
+    return _frag(rows, ["resource_id", "fragment_index", "head", "content"])
+
+
+@query(
+    f"""WITH {O.DIVS}
+    b AS (SELECT rid, any_value(doc_id) AS doc_id, arg_min(head, k) AS title,
+      any_value(lang || ' ' || source) || chr(10)
+        || string_agg(CASE WHEN k % 7 = 6 THEN own ELSE rest END || tail || chr(10), '' ORDER BY k) AS body
+      FROM divs GROUP BY rid)
+    SELECT rid AS resource_id, CAST(0 AS BIGINT) AS fragment_index, {O.ws("title")} AS head,
+      {O.strip_head("body", "title")} AS content FROM b WHERE {O.GOOD}"""
+)
+def frag_xpath_titles(spark: SparkSession, sf: str) -> DataFrame:
+    """A title two steps below the fragment; what all titles hold is left out, heads further down stay."""
+    rows = FR.selector_fragments(cut(spark, sf).tokens, "/tei:TEI/tei:text//tei:body", "./tei:div/tei:head")
+    return _frag(rows, ["resource_id", "fragment_index", "head", "content"])
+
+
 @query(
     f"""WITH {O.MEMBERS} {O.DOC_TEXT}
     SELECT rid AS resource_id, CAST(k AS BIGINT) AS position, 'd' || k AS id, {O.ws("own")} AS content, breadcrumb

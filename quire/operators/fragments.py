@@ -9,6 +9,8 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from dataclasses import dataclass, field
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -32,7 +34,7 @@ from quire.operators.shred import (
     shred,
     up_to_here,
 )
-from quire.session import by_resource
+from quire.session import by_resource, checkpointed
 
 DOCUMENT_ID = "__DOCUMENT__"
 MODES = ("auto", "navigation", "tei_xpath", "document")
@@ -252,13 +254,13 @@ def head_mismatches(members: DataFrame) -> DataFrame:
 # ---------------------------------------------------------------- selector mode
 
 
-def selected_text(
-    tokens: DataFrame, title_xpath: str | None = "./tei:head", remove_heads: bool = True
-) -> DataFrame:
+def selected_text(tokens: DataFrame, titles: Sequence[sel.Title] = (), remove_heads: bool = True) -> DataFrame:
     """Text and title of each marked element; nested marked elements repeat their text.
 
     Every row is given once to each marked element around it (the size of the result, not
-    more).  resource_id, pos, xml_id, parent_pos, fragment_index, title, content, raw.
+    more).  The first of the elements that ``titles`` find gives the title; text inside all of
+    them, and after their end tags, is left out with ``remove_heads``.
+    resource_id, pos, xml_id, parent_pos, fragment_index, title, content, raw.
     """
     marked = F.col("marked")
     opening = is_kind("open", "empty")
@@ -273,32 +275,26 @@ def selected_text(
     begins = marked & is_kind("open") & (F.col("_lvl") == F.col("_in"))
     current = F.last(F.when(begins, node), ignorenulls=True).over(by_level("_lvl"))
     alone = itself & (F.col("_lvl") > F.col("_in"))
-    t = t.withColumns({"_begins": begins, "_alone": alone, "_current": current})
+    t = t.withColumns({"_alone": alone, "_current": current})
     t = t.withColumn("node", F.when(F.col("_alone"), node).otherwise(F.col("_current")))
 
-    if title_xpath:
-        steps = sel.parse(title_xpath)
-        if len(steps.steps) != 1 or steps.steps[0].descendant or steps.context == 0:
-            raise ValueError(f"a title selector is one child step: {title_xpath!r}")
-        is_title = F.coalesce(steps.steps[0].matches(), F.lit(False))
-    else:
-        is_title = F.lit(False)
-    is_child = opening & ~F.col("_begins") & (F.col("depth") == F.col("node.depth") + 1)
-    child = F.when(
-        F.col("_begins"), F.struct(F.lit(-1).alias("pos"), F.lit(False).alias("title"))
-    ).when(is_child, F.struct("pos", is_title.alias("title")))
-    t = t.withColumn("child", F.last(child, ignorenulls=True).over(by_level("_lvl")))
-    in_title = ~F.col("_alone") & F.coalesce(F.col("child.title"), F.lit(False))
-    tail = (is_kind("close", "empty")) & (F.col("elem_pos") == F.col("child.pos"))
+    found = [x.matches(F.col("state"), F.col("depth"), F.col("node.depth")) for x in titles]
+    is_title = F.coalesce(reduce(or_, found), F.lit(False)) if found else F.lit(False)
+    t = t.withColumn("_title", is_title & ~F.col("_alone"))
+    # titles still open after the row, and the outermost title it is in or ends
+    step = F.when(F.col("_title") & is_kind("open"), 1).when(F.col("_title") & is_kind("close"), -1).otherwise(0)
+    t = t.withColumn("_titles", F.sum(step).over(by_level("_lvl")))
+    outer = F.col("_title") & (F.col("_titles") == F.when(is_kind("open"), 1).otherwise(0)) & opening
+    t = t.withColumn("_of", F.last(F.when(outer, F.col("pos")), ignorenulls=True).over(by_level("_lvl")))
+    open_title = F.col("_titles") > 0
+    in_title = open_title | F.col("_title")
     text = F.when(F.col("_alone"), F.lit("")).otherwise(F.col("text"))
     part = F.struct("pos", text.alias("text"), "after_pi")
     kept = ~in_title if remove_heads else F.lit(True)
     grouped = t.groupBy("resource_id", "node").agg(
         F.collect_list(F.when(kept, part)).alias("parts"),
-        F.min(F.when(in_title, F.col("child.pos"))).alias("title_pos"),
-        F.collect_list(
-            F.when(in_title & ~tail, F.struct("pos", "text", F.col("child.pos").alias("of")))
-        ).alias("title_parts"),
+        F.min(F.when(in_title, F.col("_of"))).alias("title_pos"),
+        F.collect_list(F.when(open_title, F.struct("pos", "text", F.col("_of").alias("of")))).alias("title_parts"),
     )
     # with heads to skip, text after a processing instruction is not seen either
     skips_pi = F.col("title_pos").isNotNull() & F.lit(remove_heads)
@@ -319,7 +315,7 @@ def selected_text(
 def ancestor_heads(tokens: DataFrame) -> DataFrame:
     """For every element, the heads of the nearest ancestor that has any, joined by a space."""
     placed = enclosing(tokens, F.col("pos"), "parent_pos")
-    heads = selected_text(placed.withColumn("marked", _is_head()), None).filter(
+    heads = selected_text(placed.withColumn("marked", _is_head())).filter(
         F.col("parent_pos").isNotNull()
     )
     headed = (
@@ -347,6 +343,12 @@ def ancestor_heads(tokens: DataFrame) -> DataFrame:
     return t.filter(is_kind("open", "empty")).select("resource_id", "pos", "ancestor_head")
 
 
+def selection(rows: DataFrame, fragment_xpath: str, title_xpath: str | None) -> DataFrame:
+    """Markup rows with the state of the selectors, checkpointed without their markup: they are
+    read for the texts, for the heads and for the nesting of heads."""
+    return checkpointed(sel.compile_paths(fragment_xpath, title_xpath).run(rows), keep_partitioning=True)
+
+
 def selector_fragments(
     tokens: DataFrame,
     fragment_xpath: str,
@@ -359,10 +361,12 @@ def selector_fragments(
 ) -> DataFrame:
     """One fragment per selected element with text; the index counts all selected elements.
 
-    Reads ``tokens`` three times (texts, heads, nesting of heads): checkpoint them first.
+    ``tokens`` are markup rows, or what ``selection`` made of them for the same selectors.
     """
-    marked = sel.mark(tokens, sel.parse(fragment_xpath))
-    texts = selected_text(marked, title_xpath, remove_fragment_heads)
+    machine = sel.compile_paths(fragment_xpath, title_xpath)
+    if "state" not in tokens.columns:
+        tokens = selection(tokens, fragment_xpath, title_xpath)
+    texts = selected_text(tokens, machine.titles, remove_fragment_heads)
     above = ancestor_heads(tokens)
     out = texts.join(above, ["resource_id", "pos"], "left")
     out = out.withColumn("head", F.coalesce("title", "ancestor_head"))
@@ -455,7 +459,7 @@ def split(
         rows = cut(wanted)
         return Fragments(in_one_piece(rows), rows.quarantine)
     if params.mode == "tei_xpath":
-        rows = cut(wanted, keep=True)  # read three times by the selector
+        rows = Shred(selection(shred(wanted, clustered=True).rows, params.fragment_xpath, params.title_xpath))
         found = selector_fragments(
             rows.tokens,
             params.fragment_xpath,

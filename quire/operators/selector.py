@@ -1,15 +1,19 @@
-"""Element selectors: child and descendant steps with attribute equality.
+"""Element selectors: child and descendant steps, attribute tests, alternatives.
 
-A selector is compiled to boolean columns over the markup rows.  Each step looks at the
-mark its parent got in the step before, through the level window of ``shred.enclosing``;
-there is no join and no limit on depth.
+All steps of a selector, of its alternatives and of a title selector are bits of one state.
+A row's own tests are worked out once, where the markup is; after that only the state goes
+through the nesting windows of ``shred``.  A round hands the states of parents and ancestors
+down by one step, for all alternatives at once, so the number of rounds is that of the
+longest path; there is no join and no limit on depth.
 """
 
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -17,14 +21,19 @@ from pyspark.sql import functions as F
 from quire.operators.shred import attribute, enclosing, is_kind, nesting
 
 _STEP = re.compile(r"(?P<axis>/{0,2})(?P<name>(?:tei:)?(?:[\w.-]+|\*))(?P<tests>(?:\[[^\]]*\])*)")
-_TEST = re.compile(r"\[\s*@(?P<name>[\w:.-]+)\s*=\s*(?:'(?P<a>[^']*)'|\"(?P<b>[^\"]*)\")\s*\]")
+_TEST = re.compile(r"\[\s*@(?P<name>[\w:.-]+)\s*(?:=\s*(?:'(?P<a>[^']*)'|\"(?P<b>[^\"]*)\")\s*)?\]")
+_ALTERNATIVE = re.compile(r"""(?:[^|"']|"[^"]*"|'[^']*')+""")
+#: Steps of a selector with all its alternatives and titles.
+MOST_STEPS = 62
 
 
 @dataclass(frozen=True)
 class Step:
+    """``tests`` are attributes with the value they must have, or None where any will do."""
+
     descendant: bool
     name: str
-    tests: tuple[tuple[str, str], ...]
+    tests: tuple[tuple[str, str | None], ...]
 
     @property
     def on_every_row(self) -> bool:
@@ -40,21 +49,27 @@ class Step:
                 found = found & (F.col("name") == local)
         for name, value in self.tests:
             actual = F.col("xml_id") if name == "xml:id" else attribute(F.col("markup"), name)
-            found = found & F.coalesce(actual == value, F.lit(False))
-        return found
+            found = found & (actual.isNotNull() if value is None else F.coalesce(actual == value, F.lit(False)))
+        return F.coalesce(found, F.lit(False))
 
 
 @dataclass(frozen=True)
-class Selector:
+class Path:
     """``context`` is the depth the first step starts from: 1 the root element, 0 the document."""
 
     steps: tuple[Step, ...]
     context: int
 
 
-def parse(xpath: str) -> Selector:
-    """Read a selector; anything beyond steps and attribute equality is an error."""
-    text = xpath.strip()
+def parse(xpath: str) -> tuple[Path, ...]:
+    """Read a selector; anything beyond steps, attribute tests and ``|`` is an error."""
+    parts = _ALTERNATIVE.findall(xpath)
+    if "|".join(parts) != xpath or not parts:
+        raise ValueError(f"unsupported selector: {xpath!r}")
+    return tuple(_path(p.strip(), xpath) for p in parts)
+
+
+def _path(text: str, xpath: str) -> Path:
     context = 0 if text.startswith("/") else 1
     rest = text[1:] if text.startswith("./") else text
     steps = []
@@ -75,39 +90,109 @@ def parse(xpath: str) -> Selector:
         rest = rest[found.end() :]
     if not steps:
         raise ValueError(f"empty selector: {xpath!r}")
-    return Selector(tuple(steps), context)
+    return Path(tuple(steps), context)
 
 
-def mark(tokens: DataFrame, selector: Selector, alias: str = "marked") -> DataFrame:
-    """Add ``alias``: true on the open, empty and close rows of the selected elements."""
-    opening = is_kind("open", "empty")
+@dataclass(frozen=True)
+class Title:
+    """A title is an element whose state has the ``bit``, so many levels below the fragment, or
+    as many at least."""
 
-    def placed_first(step: Step) -> Column:
-        start = selector.context
-        return F.col("depth") > start if step.descendant else F.col("depth") == start + 1
+    bit: int
+    below: int
+    at_least: bool
 
-    first = selector.steps[0]
-    found = F.coalesce(first.matches() & placed_first(first), F.lit(False))
-    if len(selector.steps) == 1 and first.on_every_row:
-        return tokens.withColumn(alias, found)
-    t = tokens.withColumn("_m", opening & found)
+    def matches(self, state: Column, depth: Column, fragment: Column) -> Column:
+        far = depth - fragment
+        return has(state, self.bit) & (far >= self.below if self.at_least else far == self.below)
+
+
+def has(state: Column, bit: int) -> Column:
+    return state.bitwiseAND(F.lit(1 << bit)) != 0
 
-    def spread(t: DataFrame) -> DataFrame:
-        """_up: mark of the parent on opening rows, of the element itself on closing rows."""
-        return enclosing(t, F.col("_m"), "_up").withColumn(
-            "_up", F.coalesce("_up", F.lit(False))
-        )
 
-    def step_on(t: DataFrame, step: Step) -> DataFrame:
-        t = spread(t)
-        if step.descendant:
-            own = F.when(is_kind("close"), F.col("_up")).otherwise(F.col("_m"))
-            t = t.withColumn("_own", own).withColumn("_n", nesting(F.col("_own")))
-            within = (F.col("_n") - F.when(is_kind("open") & F.col("_m"), 1).otherwise(0)) > 0
-        else:
-            within = F.col("_up")
-        return t.withColumn("_m", opening & step.matches() & within)
-
-    t = spread(reduce(step_on, selector.steps[1:], t))
-    marked = F.when(is_kind("close"), F.col("_up")).otherwise(F.coalesce("_m", F.lit(False)))
-    return t.withColumn(alias, marked).drop("_m", "_up", "_own", "_n")
+@dataclass(frozen=True)
+class _Bit:
+    step: Step
+    before: int | None  # bit of the step before
+    context: int | None  # for a first step: the depth it starts from, None for any
+
+
+@dataclass(frozen=True)
+class Machine:
+    """The steps of a selector and of titles inside what it selects."""
+
+    bits: tuple[_Bit, ...]
+    rounds: int
+    selected: tuple[int, ...]
+    titles: tuple[Title, ...]
+
+    def _met(self, before: Column, inside: dict[int, Column]) -> Iterator[Column]:
+        """The bits whose step before is the parent's or an ancestor's."""
+        for i, b in enumerate(self.bits):
+            if b.before is None:
+                if b.context is None:
+                    ok = F.lit(True)
+                else:
+                    ok = F.col("depth") > b.context if b.step.descendant else F.col("depth") == b.context + 1
+            else:
+                ok = inside[b.before] if b.step.descendant else has(before, b.before)
+            yield F.when(F.coalesce(ok, F.lit(False)), F.lit(1 << i)).otherwise(F.lit(0))
+
+    def run(self, tokens: DataFrame) -> DataFrame:
+        """``tokens`` with ``state`` and ``marked`` on the rows of all elements, without ``markup``."""
+        opening = is_kind("open", "empty")
+        own_tests = reduce(
+            Column.bitwiseOR,
+            (F.when(b.step.matches(), F.lit(1 << i)).otherwise(F.lit(0)) for i, b in enumerate(self.bits)),
+        )
+        begun = reduce(
+            Column.bitwiseOR,
+            (c for c, b in zip(self._met(F.lit(0), dict.fromkeys(range(len(self.bits)), F.lit(False))), self.bits, strict=True)
+             if b.before is None),
+        )
+        t = tokens.withColumn("_tests", own_tests).drop("markup")
+        t = t.withColumn("state", F.col("_tests").bitwiseAND(begun))
+        if self.rounds or not all(b.step.on_every_row for b in self.bits):
+            t = t.withColumn("state", F.when(opening, F.col("state")))
+            wide = {b.before for b in self.bits if b.before is not None and b.step.descendant}
+            for _ in range(self.rounds):
+                t = enclosing(t, F.col("state"), "_up")
+                own = F.when(is_kind("close"), F.col("_up")).otherwise(F.col("state"))
+                t = t.withColumns({f"_in{i}": nesting(F.coalesce(has(own, i), F.lit(False))) for i in wide})
+                # the element itself does not count among its ancestors
+                inside = {
+                    i: F.col(f"_in{i}") - F.when(is_kind("open") & has(F.col("state"), i), 1).otherwise(0) > 0 for i in wide
+                }
+                met = reduce(Column.bitwiseOR, self._met(F.coalesce("_up", F.lit(0)), inside))
+                t = t.withColumn("state", F.when(opening, F.col("_tests").bitwiseAND(met)))
+            t = enclosing(t, F.col("state"), "_up").drop(*(f"_in{i}" for i in wide))
+            t = t.withColumn("state", F.when(is_kind("close"), F.col("_up")).otherwise(F.col("state"))).drop("_up")
+        marked = reduce(or_, (has(F.col("state"), i) for i in self.selected))
+        return t.drop("_tests").withColumns({
+            "state": F.coalesce("state", F.lit(0)), "marked": F.coalesce(marked, F.lit(False)),
+        })
+
+
+def compile_paths(fragments: str, titles: str | None = None) -> Machine:
+    """The machine of a selector of fragments and one of titles.
+
+    Titles are paths of child steps below the fragment; the first step may be a descendant one.
+    """
+    bits: list[_Bit] = []
+    selected, named, longest = [], [], 1
+    for path in parse(fragments):
+        for n, step in enumerate(path.steps):
+            bits.append(_Bit(step, len(bits) - 1 if n else None, None if n else path.context))
+        selected.append(len(bits) - 1)
+        longest = max(longest, len(path.steps))
+    for path in parse(titles) if titles else ():
+        if path.context == 0 or any(s.descendant for s in path.steps[1:]):
+            raise ValueError(f"a title selector is a path of child steps: {titles!r}")
+        for n, step in enumerate(path.steps):
+            bits.append(_Bit(step, len(bits) - 1 if n else None, None))
+        named.append(Title(len(bits) - 1, len(path.steps), path.steps[0].descendant))
+        longest = max(longest, len(path.steps))
+    if len(bits) > MOST_STEPS:
+        raise ValueError(f"a selector has {MOST_STEPS} steps at most: {fragments!r}, {titles!r}")
+    return Machine(tuple(bits), longest - 1, tuple(selected), tuple(named))

@@ -91,29 +91,43 @@ def test_navigation_mode(spark, corpus):
     assert {(r["resource_id"], r["id"]): r["content"] for r in rows} == want
 
 
+SELECTORS = [
+    (".//tei:div", f".//{TEI}div"),
+    (".//tei:body/tei:div", f".//{TEI}body/{TEI}div"),
+    ("./tei:text/tei:body//tei:div/tei:p", f"./{TEI}text/{TEI}body//{TEI}div/{TEI}p"),
+    (".//tei:div[@type='a']", f".//{TEI}div[@type='a']"),
+    (".//tei:div[@type='a']/tei:div", f".//{TEI}div[@type='a']/{TEI}div"),
+    (".//tei:div[@type='a']//tei:hi", f".//{TEI}div[@type='a']//{TEI}hi"),
+    (".//tei:head", f".//{TEI}head"),
+    (".//tei:div[@type]//tei:hi | .//tei:p|.//tei:div[@xml:id]/tei:p", f".//{TEI}div[@type]//{TEI}hi | .//{TEI}p"),
+    (".//tei:body//tei:div//tei:div/tei:p/tei:hi|./tei:text", f".//{TEI}body//{TEI}div//{TEI}div/{TEI}p/{TEI}hi | ./{TEI}text"),
+    (".//tei:div[@none]|.//tei:div[@type='a']/tei:div[@type='b']", f".//{TEI}div[@type='a']/{TEI}div[@type='b']"),
+    (".//*[@type='b']", f".//{TEI}div[@type='b']"),
+]
+
+
 @pytest.mark.parametrize(
-    "xpath,plain",
+    "xpath,plain,titles",
     [
-        (".//tei:div", f".//{TEI}div"),
-        (".//tei:body/tei:div", f".//{TEI}body/{TEI}div"),
-        ("./tei:text/tei:body//tei:div/tei:p", f"./{TEI}text/{TEI}body//{TEI}div/{TEI}p"),
-        (".//tei:div[@type='a']", f".//{TEI}div[@type='a']"),
-        (".//tei:div[@type='a']/tei:div", f".//{TEI}div[@type='a']/{TEI}div"),
-        (".//tei:div[@type='a']//tei:hi", f".//{TEI}div[@type='a']//{TEI}hi"),
-        (".//tei:head", f".//{TEI}head"),
+        *((x, p, "./tei:head") for x, p in SELECTORS),
+        (".//tei:div", f".//{TEI}div", "./tei:p/tei:hi/tei:head"),
+        (".//tei:div", f".//{TEI}div", "./tei:div/tei:head|./tei:p"),
+        (".//tei:body/tei:div", f".//{TEI}body/{TEI}div", ".//tei:head"),
     ],
 )
-def test_selector_mode(corpus, xpath, plain):
+def test_selector_mode(corpus, xpath, plain, titles):
     docs, tokens = corpus
-    rows = FR.selector_fragments(tokens, xpath).collect()
+    rows = FR.selector_fragments(tokens, xpath, titles).collect()
     got = {(r["resource_id"], r["fragment_index"]): (r["head"], r["content"]) for r in rows}
     want = {}
     for rid, xml in docs.items():
         root = ET.fromstring(xml)
         above = {c: e for e in root.iter() for c in e}
         order = {e: i for i, e in enumerate(root.iter())}
-        for n, e in enumerate(sorted(set(root.findall(plain)), key=order.get)):
-            heads = e.findall(f"{TEI}head")
+        chosen = {e for p in plain.split(" | ") for e in root.findall(p)}
+        for n, e in enumerate(sorted(chosen, key=order.get)):
+            heads = [h for p in titles.split("|") for h in e.findall(p.replace("tei:", TEI))]
+            heads.sort(key=order.get)
             head = ws("".join(heads[0].itertext())) if heads else None
             up = above.get(e)
             while head is None and up is not None:
@@ -198,7 +212,18 @@ def test_routing(spark):
         FR.split(docs, res, nav, FR.FragmentParams("tei_xpath"))
 
 
-@pytest.mark.parametrize("xpath", ["", "div", ".//tei:div[1]", ".//tei:div/text()", ".//tei:a[b]"])
+@pytest.mark.parametrize("title", ["/tei:head", "./tei:div//tei:head", "x"])
+def test_unsupported_titles(title):
+    with pytest.raises(ValueError):
+        SEL.compile_paths(".//tei:div", title)
+
+
+def test_markup_is_not_written_out(spark):
+    rows = S.shred(frame(spark, {"r": SAMPLE})).rows
+    assert "markup" not in FR.selection(rows, ".//tei:div[@type]", "./tei:head").columns
+
+
+@pytest.mark.parametrize("xpath", ["", "div", ".//tei:a|", "|", ".//tei:div[@a='x|", ".//tei:div[1]", ".//tei:div/text()", ".//tei:a[b]"])
 def test_unsupported_selectors(xpath):
     with pytest.raises(ValueError):
         SEL.parse(xpath)
