@@ -1375,9 +1375,8 @@ def mode_compare(spark: SparkSession, sf: str) -> DataFrame:
             "tei_xpath", fragment_xpath=".//tei:p", add_head_to_content=False
         ),
     }
-    rows = R.compare_modes(
-        {m: R.run_summary(none, res, FR.split(docs, res, nav, p).fragments) for m, p in modes.items()}
-    )
+    cut = FR.split_modes(docs, res, nav, modes)
+    rows = R.compare_modes({m: R.run_summary(none, res, f.fragments) for m, f in cut.items()})
     return rows.select("mode", "collections", "members", "resources", "fragments")
 
 

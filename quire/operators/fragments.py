@@ -7,7 +7,7 @@ a skipped element is skipped with it.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 from dataclasses import dataclass, field
 from functools import reduce
 from operator import or_
@@ -158,31 +158,48 @@ def document_fragments(
 # -------------------------------------------------------------- navigation mode
 
 
-def own_text(tokens: DataFrame) -> DataFrame:
-    """Text of each marked element without the marked elements nested in it.
+def routed_texts(tokens: DataFrame, add_head_to_content: bool = True) -> DataFrame:
+    """Texts of documents that go different ways, in one aggregation: ``tokens`` have a ``route``
+    and, for the route ``navigation``, a boolean ``hit`` on the elements of members.
 
-    ``tokens`` has a boolean ``marked``.  Every text row goes to its innermost marked
-    element, so the work is one pass whatever the nesting.
-    resource_id, pos, xml_id, content.
+    There every row goes to its innermost member element, so a text is without the members
+    nested in it, whatever the nesting; elsewhere all rows of a document make one text,
+    that of its first ``text`` element, with or without heads.  resource_id, route, pos,
+    member_id, content.
     """
-    marked = F.col("marked")
-    t = tokens.withColumn("_in", nesting(marked))
-    t = t.filter(((F.col("_in") > 0) | (marked & is_kind("empty"))) & ~(marked & is_kind("close")))
+    by_member = F.col("route") == "navigation"
+    is_text = F.coalesce(F.col("tei") & (F.col("name") == "text") & (F.col("depth") > 1), F.lit(False))
+    first = F.first(F.when(is_text & is_kind("open", "empty"), F.col("pos")), ignorenulls=True)
+    t = tokens.withColumn("_start", first.over(up_to_here()))
+    whole = F.coalesce(is_text & (F.col("elem_pos") == F.col("_start")), F.lit(False))
+    t = t.withColumn("_marked", F.when(by_member, F.col("hit")).otherwise(whole))
+    marked = F.col("_marked")
+    t = t.withColumn("_in", nesting(marked))
+    empty = marked & is_kind("empty")
+    inside = (F.col("_in") > 0) | empty
+    t = t.filter(~by_member | (inside & ~(marked & is_kind("close"))))
     here = F.struct("pos", "xml_id")
     innermost = F.last(F.when(marked & is_kind("open"), here), ignorenulls=True)
-    t = t.withColumn("_owner", innermost.over(by_level("_in")))
-    empty = marked & is_kind("empty")
-    t = t.select(
-        "resource_id",
-        "pos",
-        F.when(empty, here).otherwise(F.col("_owner")).alias("owner"),
-        F.when(empty | F.col("after_pi"), F.lit("")).otherwise(F.col("text")).alias("text"),
+    t = t.withColumn("_owner", F.when(empty, here).otherwise(innermost.over(by_level("_in"))))
+    if add_head_to_content:
+        headless, head = F.lit(False), F.lit(False)
+    else:
+        # heads count from the first text element on; nothing after a head's end tag
+        # belongs to it, but the text up to the next tag is dropped with it
+        t = t.withColumn("_head", _is_head() & F.col("_start").isNotNull() & ~by_member)
+        t = t.withColumn("_in_head", (nesting(F.col("_head")) > 0) | F.col("_head"))
+        headless, head = F.col("_in_head"), F.col("_head") & (F.col("_in") > 0)
+    text = F.when(by_member, F.when(~empty & ~F.col("after_pi"), F.col("text"))).otherwise(
+        F.when((F.col("_in") > 0) & ~headless, F.col("text"))
     )
-    return (
-        t.groupBy("resource_id", F.col("owner.pos").alias("_p"), F.col("owner.xml_id").alias("xml_id"))
-        .agg(normalize_ws(_in_order(F.collect_list(F.struct("pos", "text")))).alias("content"))
-        .withColumnRenamed("_p", "pos")
+    part = F.struct("pos", text.alias("text"), "after_pi")
+    owner = F.when(by_member, F.col("_owner"))
+    grouped = t.groupBy("resource_id", "route", owner["pos"].alias("pos"), owner["xml_id"].alias("member_id")).agg(
+        F.collect_list(F.when(F.coalesce(text, F.lit("")) != "", part)).alias("parts"), F.max(head).alias("heads")
     )
+    # with heads to skip, text after a processing instruction is not seen either
+    kept = F.filter("parts", lambda p: ~(F.col("heads") & p["after_pi"]))
+    return grouped.withColumn("content", normalize_ws(_in_order(kept))).drop("parts", "heads")
 
 
 def filtered_metadata(dublin_core: Column, keys: Sequence[str] | None) -> Column:
@@ -206,37 +223,40 @@ def navigation_fragments(
 ) -> DataFrame:
     """One fragment per navigation member whose id is an ``xml:id`` of the document.
 
-    ``members`` are those of ``navigation.members``, with breadcrumbs where they are to be included.
+    Documents whose ``route`` is another one than ``navigation``, where ``tokens`` have that
+    column, give one fragment as a whole, as ``document_fragments`` would.  ``members`` are
+    those of ``navigation.members``, with breadcrumbs where they are to be included.
 
     Exclusion by head comes last: an excluded member still shapes breadcrumbs and its text
     is still taken out of the members around it.
     """
+    if "route" not in tokens.columns:
+        tokens = tokens.withColumn("route", F.lit("navigation"))
     named = members.filter(F.col("member_id").isNotNull())
     ids = named.select("resource_id", F.col("member_id").alias("xml_id")).distinct()
-    hits = ids.withColumn("marked", F.lit(True)).hint("shuffle_hash")
-    t = tokens.join(hits, ["resource_id", "xml_id"], "left").withColumn(
-        "marked", F.coalesce("marked", F.lit(False))
-    )
+    hits = ids.withColumn("hit", F.lit(True)).hint("shuffle_hash")
+    t = tokens.join(hits, ["resource_id", "xml_id"], "left").withColumn("hit", F.coalesce("hit", F.lit(False)))
     texts = (
-        own_text(t)
-        .groupBy("resource_id", F.col("xml_id").alias("member_id"))
-        .agg(F.max_by("content", "pos").alias("content"))
+        routed_texts(t, add_head_to_content)
+        .groupBy("resource_id", "route", "member_id")
+        .agg(F.max_by("content", F.coalesce("pos", F.lit(-1))).alias("content"))
     )
-    kept = named.filter(~matches_any(F.col("title"), exclude_heads_contains))
-    out = kept.join(texts, ["resource_id", "member_id"])
+    kept = named.filter(~matches_any(F.col("title"), exclude_heads_contains)).withColumn("_kept", F.lit(True))
+    by_member = F.col("route") == "navigation"
+    out = texts.join(kept, ["resource_id", "member_id"], "left").filter(~by_member | F.col("_kept"))
     head = F.col("title")
-    content = F.col("content") if add_head_to_content else strip_leading_head(F.col("content"), head)
-    if not include_breadcrumb:
-        out = out.withColumn("breadcrumb", F.lit(None).cast("string"))
+    stripped = F.col("content") if add_head_to_content else strip_leading_head(F.col("content"), head)
+    crumb = F.col("breadcrumb") if include_breadcrumb else F.lit(None).cast("string")
     return _shaped(
         out.withColumns(
             {
                 "position": _position("pos"),
-                "id": F.col("member_id"),
+                "id": F.when(by_member, F.col("member_id")).otherwise(DOCUMENT_ID),
                 "head": head,
-                "content": content,
-                "metadata_dublincore": filtered_metadata(
-                    F.col("dublin_core"), metadata_dublincore
+                "content": F.when(by_member, stripped).otherwise(F.col("content")),
+                "breadcrumb": F.when(by_member, crumb).otherwise("" if include_breadcrumb else None),
+                "metadata_dublincore": F.when(
+                    by_member, filtered_metadata(F.col("dublin_core"), metadata_dublincore)
                 ),
             }
         )
@@ -346,7 +366,8 @@ def ancestor_heads(tokens: DataFrame) -> DataFrame:
 def selection(rows: DataFrame, fragment_xpath: str, title_xpath: str | None) -> DataFrame:
     """Markup rows with the state of the selectors, checkpointed without their markup: they are
     read for the texts, for the heads and for the nesting of heads."""
-    return checkpointed(sel.compile_paths(fragment_xpath, title_xpath).run(rows), keep_partitioning=True)
+    machine = sel.compile_paths(fragment_xpath, title_xpath)
+    return machine.marked(checkpointed(machine.run(rows).drop("markup"), keep_partitioning=True))
 
 
 def selector_fragments(
@@ -429,61 +450,74 @@ def split(
 ) -> Fragments:
     """Fragments of ``documents(resource_id, xml)`` of the given resources in the chosen mode.
 
-    Documents are routed before they are cut, so each one is cut once.  ``keep_rows``
-    checkpoints the markup rows, for when fragments and quarantine are both read.
+    Documents are cut once, and in the modes that route them both ways are one aggregation.
+    ``keep_rows`` checkpoints the markup rows, for when fragments and quarantine are both read.
     """
-    if params.mode not in MODES:
-        raise ValueError(f"unknown fragment mode: {params.mode}")
-    if params.mode == "tei_xpath" and not params.fragment_xpath:
-        raise ValueError("fragment_xpath is required in mode tei_xpath")
-    # placed once; the joins that route the documents keep them where they are
-    wanted = by_resource(documents.select("resource_id", "xml")).join(
-        resources.select("resource_id"), "resource_id", "left_semi"
-    )
-
-    def cut(docs: DataFrame, keep: bool = keep_rows) -> Shred:
-        rows = shred(docs, clustered=True)
-        return rows.materialize() if keep else rows
+    (only,) = split_modes(documents, resources, navigation, {"": params}, keep_rows).values()
+    return only
 
-    def in_one_piece(rows: Shred) -> DataFrame:
-        return document_fragments(
-            rows.tokens, params.add_head_to_content, params.include_breadcrumb
-        )
 
-    if not params.fetch_document:
-        none = wanted.limit(0)
-        return Fragments(
-            _shaped(none.drop("xml")), none.select("resource_id", F.lit("").alias("reason"))
-        )
-    if params.mode == "document":
-        rows = cut(wanted)
-        return Fragments(in_one_piece(rows), rows.quarantine)
-    if params.mode == "tei_xpath":
-        rows = Shred(selection(shred(wanted, clustered=True).rows, params.fragment_xpath, params.title_xpath))
-        found = selector_fragments(
-            rows.tokens,
-            params.fragment_xpath,
-            params.title_xpath,
-            params.remove_fragment_heads,
-            params.add_head_to_content,
-            params.exclude_heads_contains,
-            params.include_breadcrumb,
-            params.generated_id_prefix,
-        )
-        return Fragments(found, rows.quarantine)
-    routed = wanted.join(routes(resources, navigation, params), "resource_id")
-    whole = cut(routed.filter("route = 'document'"))
-    if navigation is None:
-        return Fragments(in_one_piece(whole), whole.quarantine)
-    by_nav = cut(routed.filter("route = 'navigation'"))
-    members = navigation_fragments(
-        by_nav.tokens,
-        nav.members(navigation, params.include_breadcrumb),
-        params.add_head_to_content,
-        params.exclude_heads_contains,
-        params.include_breadcrumb,
-        params.metadata_dublincore,
-    )
-    return Fragments(
-        members.unionByName(in_one_piece(whole)), whole.quarantine.unionByName(by_nav.quarantine)
+def split_modes(
+    documents: DataFrame,
+    resources: DataFrame,
+    navigation: DataFrame | None,
+    modes: Mapping[str, FragmentParams],
+    keep_rows: bool = True,
+) -> dict[str, Fragments]:
+    """The fragments of several modes from one cut of the documents.
+
+    The raw documents are read and exchanged once.  With more than one mode the rows are
+    checkpointed, with the states of the selectors in place of the markup.
+    """
+    for params in modes.values():
+        if params.mode not in MODES:
+            raise ValueError(f"unknown fragment mode: {params.mode}")
+        if params.mode == "tei_xpath" and not params.fragment_xpath:
+            raise ValueError("fragment_xpath is required in mode tei_xpath")
+    # placed once; the joins that come after keep the rows where they are
+    wanted = by_resource(documents.select("resource_id", "xml")).join(
+        resources.select("resource_id"), "resource_id", "left_semi"
     )
+    rows, states = shred(wanted, clustered=True).rows, {}
+    for name, params in modes.items():
+        if params.mode == "tei_xpath" and params.fetch_document:
+            states[name] = f"_state_{len(states)}"
+            rows = sel.compile_paths(params.fragment_xpath, params.title_xpath).run(rows, states[name])
+    rows = rows.drop("markup")
+    if keep_rows or states:
+        rows = checkpointed(rows, keep_partitioning=True)
+    cut = Shred(rows)
+
+    def found(name: str, params: FragmentParams) -> Fragments:
+        if not params.fetch_document:
+            none = wanted.limit(0)
+            return Fragments(
+                _shaped(none.drop("xml")), none.select("resource_id", F.lit("").alias("reason"))
+            )
+        if params.mode == "tei_xpath":
+            tokens = sel.compile_paths(params.fragment_xpath, params.title_xpath).marked(cut.tokens, states[name])
+            pieces = selector_fragments(
+                tokens,
+                params.fragment_xpath,
+                params.title_xpath,
+                params.remove_fragment_heads,
+                params.add_head_to_content,
+                params.exclude_heads_contains,
+                params.include_breadcrumb,
+                params.generated_id_prefix,
+            )
+        elif params.mode == "document" or navigation is None or (params.mode == "auto" and not params.fetch_navigation):
+            pieces = document_fragments(cut.tokens, params.add_head_to_content, params.include_breadcrumb)
+        else:
+            ways = routes(resources, navigation, params).hint("shuffle_hash")
+            pieces = navigation_fragments(
+                cut.tokens.join(ways, "resource_id"),
+                nav.members(navigation, params.include_breadcrumb),
+                params.add_head_to_content,
+                params.exclude_heads_contains,
+                params.include_breadcrumb,
+                params.metadata_dublincore,
+            )
+        return Fragments(pieces, cut.quarantine)
+
+    return {name: found(name, params) for name, params in modes.items()}

@@ -139,8 +139,8 @@ class Machine:
                 ok = inside[b.before] if b.step.descendant else has(before, b.before)
             yield F.when(F.coalesce(ok, F.lit(False)), F.lit(1 << i)).otherwise(F.lit(0))
 
-    def run(self, tokens: DataFrame) -> DataFrame:
-        """``tokens`` with ``state`` and ``marked`` on the rows of all elements, without ``markup``."""
+    def run(self, tokens: DataFrame, state: str = "state") -> DataFrame:
+        """``tokens`` with a column ``state`` on the rows of all elements."""
         opening = is_kind("open", "empty")
         own_tests = reduce(
             Column.bitwiseOR,
@@ -151,27 +151,29 @@ class Machine:
             (c for c, b in zip(self._met(F.lit(0), dict.fromkeys(range(len(self.bits)), F.lit(False))), self.bits, strict=True)
              if b.before is None),
         )
-        t = tokens.withColumn("_tests", own_tests).drop("markup")
-        t = t.withColumn("state", F.col("_tests").bitwiseAND(begun))
+        t = tokens.withColumn("_tests", own_tests)
+        t = t.withColumn(state, F.col("_tests").bitwiseAND(begun))
         if self.rounds or not all(b.step.on_every_row for b in self.bits):
-            t = t.withColumn("state", F.when(opening, F.col("state")))
+            t = t.withColumn(state, F.when(opening, F.col(state)))
             wide = {b.before for b in self.bits if b.before is not None and b.step.descendant}
             for _ in range(self.rounds):
-                t = enclosing(t, F.col("state"), "_up")
-                own = F.when(is_kind("close"), F.col("_up")).otherwise(F.col("state"))
+                t = enclosing(t, F.col(state), "_up")
+                own = F.when(is_kind("close"), F.col("_up")).otherwise(F.col(state))
                 t = t.withColumns({f"_in{i}": nesting(F.coalesce(has(own, i), F.lit(False))) for i in wide})
                 # the element itself does not count among its ancestors
                 inside = {
-                    i: F.col(f"_in{i}") - F.when(is_kind("open") & has(F.col("state"), i), 1).otherwise(0) > 0 for i in wide
+                    i: F.col(f"_in{i}") - F.when(is_kind("open") & has(F.col(state), i), 1).otherwise(0) > 0 for i in wide
                 }
                 met = reduce(Column.bitwiseOR, self._met(F.coalesce("_up", F.lit(0)), inside))
-                t = t.withColumn("state", F.when(opening, F.col("_tests").bitwiseAND(met)))
-            t = enclosing(t, F.col("state"), "_up").drop(*(f"_in{i}" for i in wide))
-            t = t.withColumn("state", F.when(is_kind("close"), F.col("_up")).otherwise(F.col("state"))).drop("_up")
-        marked = reduce(or_, (has(F.col("state"), i) for i in self.selected))
-        return t.drop("_tests").withColumns({
-            "state": F.coalesce("state", F.lit(0)), "marked": F.coalesce(marked, F.lit(False)),
-        })
+                t = t.withColumn(state, F.when(opening, F.col("_tests").bitwiseAND(met)))
+            t = enclosing(t, F.col(state), "_up").drop(*(f"_in{i}" for i in wide))
+            t = t.withColumn(state, F.when(is_kind("close"), F.col("_up")).otherwise(F.col(state))).drop("_up")
+        return t.drop("_tests").withColumn(state, F.coalesce(state, F.lit(0)))
+
+    def marked(self, tokens: DataFrame, state: str = "state") -> DataFrame:
+        """``tokens`` that ``run`` gave a state, with ``marked`` on the rows of what is selected."""
+        found = reduce(or_, (has(F.col(state), i) for i in self.selected))
+        return tokens.withColumns({"state": F.col(state), "marked": found})
 
 
 def compile_paths(fragments: str, titles: str | None = None) -> Machine:

@@ -5,6 +5,7 @@ import random
 import xml.etree.ElementTree as ET
 
 import pytest
+from pyspark.sql import functions as F
 
 from quire.operators import fragments as FR
 from quire.operators import navigation as N
@@ -212,6 +213,44 @@ def test_routing(spark):
         FR.split(docs, res, nav, FR.FragmentParams("tei_xpath"))
 
 
+def test_routes_and_modes_read_raw_documents_once(spark, tmp_path):
+    docs = {"a": SAMPLE, "b": SAMPLE, "bad": "<x>"}
+    path = str(tmp_path / "rawdocs")
+    frame(spark, docs).write.parquet(path)
+    res = spark.createDataFrame([("a", 2), ("b", 0), ("bad", 1)], "resource_id string, max_cite_depth int")
+    nav = spark.createDataFrame([(r, json.dumps({"member": [{"id": "d1", "title": "t"}]})) for r in docs], "resource_id string, payload string")
+    read = spark.read.parquet(path)
+    both = FR.split(read, res, nav).fragments
+    assert {(r["resource_id"], r["id"]) for r in both.collect()} == {("a", "d1"), ("b", FR.DOCUMENT_ID)}
+    raw = "ReadSchema: struct<resource_id:string,xml:string>"
+    plan = both._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    assert plan.count(raw) == 1
+    modes = {
+        "document": FR.FragmentParams("document", add_head_to_content=False), "navigation": FR.FragmentParams("navigation"),
+        "x": FR.FragmentParams("tei_xpath", fragment_xpath=".//tei:div[@type]"), "p": FR.FragmentParams("tei_xpath", fragment_xpath=".//tei:p"),
+    }
+    many = FR.split_modes(read, res, nav, modes)
+    for name, params in modes.items():
+        alone = FR.split(read, res, nav, params)
+        assert sorted(map(str, many[name].fragments.collect())) == sorted(map(str, alone.fragments.collect()))
+        later = many[name].fragments._jdf.queryExecution().executedPlan().toString()
+        assert raw not in later  # the stored rows are read, not the documents
+        assert [tuple(r) for r in many[name].quarantine.collect()] == [("bad", "unclosed element")]
+
+
+def test_whole_documents_of_both_ways_are_equal(spark, corpus):
+    _, tokens = corpus
+    extra = S.shred(frame(spark, {"no": f'<TEI xmlns="{S.TEI_NAMESPACE}"><p>x</p></TEI>', "e": f'<TEI xmlns="{S.TEI_NAMESPACE}"><text/>y</TEI>',
+                                  "pi": f'<TEI xmlns="{S.TEI_NAMESPACE}"><text>a<?x?>b<group><text>c</text></group> <head>h</head>d<?y?> e</text>z</TEI>'}))
+    none = N.members(spark.createDataFrame([], "resource_id string, payload string"), breadcrumbs=True)
+    for some in (tokens, extra.tokens):
+        for heads in (True, False):
+            one = FR.document_fragments(some, heads).select("resource_id", "id", "content", "position", "breadcrumb")
+            way = FR.navigation_fragments(some.withColumn("route", F.lit("document")), none, heads)
+            two = way.select("resource_id", "id", "content", "position", "breadcrumb")
+            assert sorted(map(tuple, one.collect())) == sorted(map(tuple, two.collect()))
+
+
 @pytest.mark.parametrize("title", ["/tei:head", "./tei:div//tei:head", "x"])
 def test_unsupported_titles(title):
     with pytest.raises(ValueError):
@@ -220,7 +259,7 @@ def test_unsupported_titles(title):
 
 def test_markup_is_not_written_out(spark):
     rows = S.shred(frame(spark, {"r": SAMPLE})).rows
-    assert "markup" not in FR.selection(rows, ".//tei:div[@type]", "./tei:head").columns
+    assert "markup" in rows.columns and "markup" not in FR.selection(rows, ".//tei:div[@type]", "./tei:head").columns
 
 
 @pytest.mark.parametrize("xpath", ["", "div", ".//tei:a|", "|", ".//tei:div[@a='x|", ".//tei:div[1]", ".//tei:div/text()", ".//tei:a[b]"])
