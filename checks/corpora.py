@@ -344,6 +344,19 @@ def records(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def deep_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """records(record_id, record): faults in objects of lists of objects, up to six steps down."""
+    second = "case doc_id % 4 when 2 then '{}' when 3 then '\"n\"' else '{\"code\":\"y\"}' end"
+    listed = (
+        "concat('{\"list\":[{\"b\":{\"code\":\"', if(doc_id % 5 = 1, 'z', 'x'), '\",\"tags\":[\"t\",', "
+        f"if(doc_id % 3 = 0, '5', '\"u\"'), ']}}}},{{\"b\":', {second}, '}}]}}')"
+    )
+    text = f"concat('{{\"id\":\"D', doc_id, '\",\"part\":', if(doc_id % 7 = 6, '{{}}', {listed}), '}}')"
+    return documents(spark, sf_dir).select(
+        F.col("rid").alias("record_id"), F.expr(f"parse_json({text})").alias("record")
+    )
+
+
 # ------------------------------------------------------------------ landed payloads
 
 

@@ -1245,6 +1245,73 @@ def profile_infer(spark: SparkSession, sf: str) -> DataFrame:
     return C.records(spark, sf).select("record_id", VA.infer_profile(F.col("record")).alias("profile"))
 
 
+CODED = VA.Profile(
+    ("code",), {"code": VA.Field(("string",), allowed=("x", "y")), "tags": VA.Field(("array",), items=VA.TEXT, unique=True)}
+)
+LISTED = VA.Profile(("b",), {"b": VA.Field(("object",), inside=CODED)})
+DEEP = VA.Profile(
+    ("id", "part"),
+    {"id": VA.TEXT, "part": VA.Field(("object",), inside=VA.Profile(("list",), {"list": VA.Field(("array",), items=LISTED)}))},
+)
+
+
+@query(
+    """WITH r AS (SELECT 'D' || doc_id AS rid, doc_id FROM documents), f AS (SELECT * FROM r WHERE doc_id % 7 <> 6)
+    SELECT rid AS record_id, 'part' AS path, '''list'' is a required property' AS message, 'required: ''list''' AS expected
+      FROM r WHERE doc_id % 7 = 6
+    UNION ALL SELECT rid, 'part.list.0.b.code', '''z'' is not one of [''x'', ''y'']', 'enum: ''x'', ''y''' FROM f WHERE doc_id % 5 = 1
+    UNION ALL SELECT rid, 'part.list.0.b.tags.1', '5 is not of type ''string''', 'type: ''string''' FROM f WHERE doc_id % 3 = 0
+    UNION ALL SELECT rid, 'part.list.1.b', '''code'' is a required property', 'required: ''code''' FROM f WHERE doc_id % 4 = 2
+    UNION ALL SELECT rid, 'part.list.1.b', '''n'' is not of type ''object''', 'type: ''object''' FROM f WHERE doc_id % 4 = 3"""
+)
+def issues_deep(spark: SparkSession, sf: str) -> DataFrame:
+    """A profile of one's own, with rules down to six steps below the record."""
+    return VA.issues(VA.check(C.deep_records(spark, sf), DEEP)).select("record_id", "path", "message", "expected")
+
+
+@query(
+    f"""WITH r AS (SELECT 'D' || doc_id AS rid, doc_id, {PROFILE} AS profile FROM documents),
+    own AS (SELECT * FROM r WHERE profile = 'resource'), res AS (SELECT * FROM r WHERE profile = 'resource_result')
+    SELECT 'resource' AS "table", rid AS record_id, '@id' AS path, 'type' AS code, 'int' AS actual FROM own WHERE doc_id % 2 = 0
+    UNION ALL SELECT 'resource', rid, unnest(['title', 'navigation']), 'missing', NULL FROM own
+    UNION ALL SELECT 'resource', rid, 'document', 'type', 'null' FROM own WHERE doc_id % 4 = 0
+    UNION ALL SELECT 'resource', rid, 'mediaTypes', 'type', 'str' FROM own WHERE doc_id % 3 = 0
+    UNION ALL SELECT 'resource_result', rid, 'id', 'missing', NULL FROM res WHERE doc_id % 9 = 4
+    UNION ALL SELECT 'resource_result', rid, 'title', 'type', 'int' FROM res WHERE doc_id % 8 = 1
+    UNION ALL SELECT 'resource_result', rid, 'metadata', 'type', 'list' FROM res WHERE doc_id % 10 = 9
+    UNION ALL SELECT 'collection', rid, '@type', 'value', 'str' FROM r WHERE doc_id % 6 = 0"""
+)
+def issues_tables(spark: SparkSession, sf: str) -> DataFrame:
+    """The rule tables of resources and their results, and a type that is not allowed."""
+    kind = VA.infer_profile(F.col("record"))
+    records = C.records(spark, sf)
+
+    def faults(rows: DataFrame, table: str) -> DataFrame:
+        return VA.rule_issues(rows, table).withColumn("table", F.lit(table))
+
+    odd = C.documents(spark, sf).selectExpr(
+        "rid AS record_id", """parse_json(concat('{"@id":"c","title":"t","@type":"', if(doc_id % 6 = 0, 'Shelf', 'Resource'), '"}')) AS record"""
+    )
+    return (
+        faults(records.filter(kind == "resource"), "resource")
+        .unionByName(faults(records.filter(kind == "resource_result"), "resource_result"))
+        .unionByName(faults(odd, "collection"))
+        .select("table", "record_id", "path", "code", "actual")
+    )
+
+
+@query(
+    """SELECT 'D' || doc_id AS record_id, '@type' AS path, '''Shelf'' is not one of [''Collection'', ''Resource'']' AS message,
+      'enum: ''Collection'', ''Resource''' AS expected, '''Shelf''' AS actual FROM documents WHERE doc_id % 6 = 0"""
+)
+def issues_allowed(spark: SparkSession, sf: str) -> DataFrame:
+    """A type that is not in the list of allowed ones, against the profile of collections."""
+    odd = C.documents(spark, sf).selectExpr(
+        "rid AS record_id", """parse_json(concat('{"@id":"c","title":"t","@type":"', if(doc_id % 6 = 0, 'Shelf', 'Resource'), '"}')) AS record"""
+    )
+    return VA.issues(VA.check(odd, "collection")).select("record_id", "path", "message", "expected", "actual")
+
+
 @query(
     f"""WITH r AS (SELECT 'D' || doc_id AS rid, doc_id, {PROFILE} AS profile FROM documents)
     SELECT rid AS record_id, '@id' AS path, 'missing' AS code, NULL AS actual FROM r WHERE profile = 'collection' AND doc_id % 2 <> 0

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import json
-from dataclasses import asdict, dataclass, field
+from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -21,16 +21,22 @@ CODE = "jsonschema_error"
 
 @dataclass(frozen=True)
 class Field:
-    """Constraints on one member of an object, checked only when it is there."""
+    """Constraints on one member of an object, checked only when it is there.
+
+    ``items`` holds for the items of an array, ``inside`` for the members of an object.
+    """
 
     types: tuple[str, ...] = ()
     allowed: tuple[str, ...] = ()
     items: Profile | Field | None = None
     unique: bool = False
+    inside: Profile | None = None
 
 
 @dataclass(frozen=True)
 class Profile:
+    """Constraints on an object; profiles may hold each other to any depth, and themselves."""
+
     required: tuple[str, ...] = ()
     fields: dict[str, Field] = field(default_factory=dict)
 
@@ -119,33 +125,69 @@ PROFILES = {
 }
 
 
-DEEPEST = 3  # output, results, fragments
-
-RULE = (
-    "name string, required boolean, types array<string>, allowed array<string>, "
-    "is_unique boolean, item_types array<string>, item_profile string"
+NODE = (
+    "types array<string>, allowed array<string>, is_unique boolean, required array<string>, "
+    "members array<struct<name: string, node: string>>, items string"
 )
 
 
-def _rule_table() -> Column:
-    """All profiles as one constant MAP<profile, ARRAY<rule>>, so that one expression serves all."""
-    names = {id(p): name for name, p in PROFILES.items()} | {id(FRAGMENT): "fragment"}
-    table = {}
-    for name, profile in {**PROFILES, "fragment": FRAGMENT}.items():
-        fields = {n: profile.fields.get(n, Field()) for n in (*profile.required, *profile.fields)}
-        table[name] = [
-            {
-                "name": n,
-                "required": n in profile.required,
-                "types": f.types,
-                "allowed": f.allowed,
-                "is_unique": f.unique,
-                "item_types": f.items.types if isinstance(f.items, Field) else (),
-                "item_profile": names[id(f.items)] if isinstance(f.items, Profile) else None,
-            }
-            for n, f in fields.items()
-        ]
-    return F.from_json(F.lit(json.dumps(table)), f"map<string,array<struct<{RULE}>>>")
+@dataclass(frozen=True)
+class _Compiled:
+    """Places of the profiles as nodes by name; ``levels`` is the longest way down, None if there
+    is no longest."""
+
+    nodes: dict[str, dict]
+    levels: int | None
+
+    @property
+    def table(self) -> Column:
+        return F.from_json(F.lit(json.dumps(self.nodes)), f"map<string,struct<{NODE}>>")
+
+
+def _compiled(profiles: dict[str, Profile]) -> _Compiled:
+    """Every place that a profile can reach, by its pattern of names with ``*`` for any position.
+
+    What a place demands depends on its ``Field`` or ``Profile`` alone, so equal ones share a node.
+    """
+    nodes: dict[str, dict] = {}
+    known: dict[int, str] = {}
+    below: dict[str, list[str]] = {}
+
+    def place(rule: Profile | Field, pattern: str) -> str:
+        if id(rule) in known:
+            return known[id(rule)]
+        known[id(rule)] = pattern
+        inside = rule if isinstance(rule, Profile) else rule.inside
+        own = rule if isinstance(rule, Field) else Field(("object",))
+        below[pattern] = []
+
+        def under(child: Profile | Field | None, step: str) -> str | None:
+            if child is None:
+                return None
+            below[pattern].append(place(child, f"{pattern}.{step}"))
+            return below[pattern][-1]
+
+        fields = inside.fields if inside else {}
+        nodes[pattern] = {
+            "types": own.types, "allowed": own.allowed, "is_unique": own.unique,
+            "required": inside.required if inside else (),
+            "members": [{"name": n, "node": under(f, n)} for n, f in fields.items()],
+            "items": under(own.items, "*"),
+        }
+        return pattern
+
+    for name, profile in profiles.items():
+        known.pop(id(profile), None)  # a profile that is part of another has its own name as well
+        place(profile, name)
+
+    def longest(node: str, above: tuple[str, ...]) -> int | None:
+        if node in above:
+            return None
+        ways = [longest(n, (*above, node)) for n in set(below[node])]
+        return None if None in ways else 1 + max(ways, default=0)
+
+    ways = [longest(n, ()) for n in profiles]
+    return _Compiled(nodes, None if None in ways else max(ways, default=1))
 
 
 def _none() -> Column:
@@ -187,18 +229,17 @@ def _wrong_type(v: Column, types: Column, path: Column) -> Column:
     )
 
 
-def _check_value(v: Column, rule: Column, path: Column, depth: int) -> Column:
-    """Issues of one present value."""
+def _own_issues(v: Column, node: Column, path: Column) -> Column:
+    """Issues of one value, those of what is inside it apart; NULL for demands that it meets."""
     shown, text = _shown(v), v.try_cast("string")
-    listed = _quoted(rule["allowed"])
-    not_allowed = (F.size(rule["allowed"]) > 0) & ~(
-        V.is_string(v) & F.coalesce(F.array_contains(rule["allowed"], text), F.lit(False))
+    listed = _quoted(node["allowed"])
+    not_allowed = (F.size(node["allowed"]) > 0) & ~(
+        V.is_string(v) & F.coalesce(F.array_contains(node["allowed"], text), F.lit(False))
     )
-    items = V.as_array(v)
-    texts = F.transform(items, lambda x: F.to_json(x))
-    repeated = rule["is_unique"] & (F.size(F.array_distinct(texts)) < F.size(texts))
+    texts = F.transform(V.as_array(v), lambda x: F.to_json(x))
+    repeated = node["is_unique"] & (F.size(F.array_distinct(texts)) < F.size(texts))
     own = F.array(
-        _wrong_type(v, rule["types"], path),
+        _wrong_type(v, node["types"], path),
         F.when(
             not_allowed,
             _issue(
@@ -219,41 +260,58 @@ def _check_value(v: Column, rule: Column, path: Column, depth: int) -> Column:
         ),
     )
 
-    def inside(x: Column, i: Column) -> Column:
-        here = F.concat(path, F.array(i.cast("string")))
-        simple = F.array(_wrong_type(x, rule["item_types"], here))
-        if depth == 1:
-            return simple
-        nested = _check_object(x, rule["item_profile"], here, depth - 1)
-        return F.when(rule["item_profile"].isNull(), simple).otherwise(nested)
-
-    has_items = rule["item_profile"].isNotNull() | (F.size(rule["item_types"]) > 0)
-    within = F.when(has_items & items.isNotNull(), F.flatten(F.transform(items, inside)))
-    return F.concat(own, F.coalesce(within, _none()))
-
-
-def _check_object(v: Column, profile: Column, path: Column, depth: int = DEEPEST) -> Column:
-    """Issues of a value that must be an object with the members of ``profile``."""
-
-    def by_rule(m: Column, rule: Column) -> Column:
-        here = F.concat(path, F.array(rule["name"]))
-        present = let(m[rule["name"]], lambda x: _check_value(x, rule, here, depth))
-        quoted = F.concat(F.lit("'"), rule["name"], F.lit("'"))
-        missing = _issue(
-            path,
-            F.concat(quoted, F.lit(" is a required property")),
-            F.concat(F.lit("required: "), quoted),
-            _shown(v),
-        )
-        return F.when(F.map_contains_key(m, rule["name"]), present).otherwise(
-            F.array(F.when(rule["required"], missing))
+    def missing(name: Column) -> Column:
+        quoted = F.concat(F.lit("'"), name, F.lit("'"))
+        return _issue(
+            path, F.concat(quoted, F.lit(" is a required property")), F.concat(F.lit("required: "), quoted), _shown(v)
         )
 
-    def checked(m: Column) -> Column:
-        return F.flatten(F.transform(_rule_table()[profile], lambda rule: by_rule(m, rule)))
+    absent = let(V.as_map(v), lambda m: F.filter(node["required"], lambda n: ~F.map_contains_key(m, n)))
+    return F.concat(own, F.when(V.is_object(v), F.transform(absent, missing)).otherwise(_none()))
+
+
+def _below(v: Column, node: Column, path: Column) -> Column:
+    """The values inside a value that the profile speaks of: path, node and value."""
 
-    wrong = _wrong_type(v, F.array(F.lit("object")), path)
-    return F.when(V.is_object(v), let(V.as_map(v), checked)).otherwise(F.array(wrong))
+    def at(step: Column, name: Column, x: Column) -> Column:
+        return F.struct(F.concat(path, F.array(step)).alias("path"), name.alias("node"), x.alias("v"))
+
+    nothing = F.lit(None).cast("array<struct<path: array<string>, node: string, v: variant>>")
+    # named members exist even when they are null, which is a value of its own
+    members = let(V.as_map(v), lambda m: F.transform(
+        F.filter(node["members"], lambda r: F.map_contains_key(m, r["name"])), lambda r: at(r["name"], r["node"], m[r["name"]])
+    ))
+    items = F.transform(V.as_array(v), lambda x, i: at(i.cast("string"), node["items"], x))
+    named = F.when((F.size(node["members"]) > 0) & V.is_object(v), members).otherwise(nothing)
+    listed = F.when(node["items"].isNotNull(), items).otherwise(nothing)
+    return F.coalesce(named, listed, F.array().cast("array<struct<path: array<string>, node: string, v: variant>>"))
+
+
+def _judged(record: Column, profile: Column, compiled: _Compiled) -> Column:
+    """All issues of a record: level by level, each value beside the node that speaks of it.
+
+    Goes as deep as the profile does; for one that holds itself as deep as the record can be.
+    """
+    table = compiled.table
+    top = F.struct(F.array().cast("array<string>").alias("path"), profile.alias("node"), record.alias("v"))
+    if compiled.levels is None:
+        # no deeper than there are brackets that open something
+        brackets = F.char_length(F.regexp_replace(F.coalesce(F.to_json(record), F.lit("")), r"[^\[{]", ""))
+        levels = F.sequence(F.lit(0), brackets)
+    else:
+        levels = F.sequence(F.lit(1), F.lit(compiled.levels))
+    first = F.struct(F.array(top).alias("open"), _none().alias("issues"))
+
+    def level(s: Column, _: Column) -> Column:
+        def each(body):
+            return F.flatten(F.transform(s["open"], lambda e: let(table[e["node"]], lambda node: body(e["v"], node, e["path"]))))
+
+        deeper = F.struct(
+            each(_below).alias("open"), F.concat(s["issues"], F.array_compact(each(_own_issues))).alias("issues")
+        )
+        return F.when(F.size(s["open"]) > 0, deeper).otherwise(s)
+
+    return F.aggregate(levels, first, level)["issues"]
 
 
 def infer_profile(record: Column) -> Column:
@@ -270,19 +328,19 @@ def infer_profile(record: Column) -> Column:
     )
 
 
-def check(records: DataFrame, profile: str | None = None) -> DataFrame:
+def check(records: DataFrame, profile: str | Profile | None = None) -> DataFrame:
     """``records(record_id, record VARIANT)`` with profile and ``issues``, sorted by path.
 
-    Everything happens inside the row: no shuffle, whatever the profile.
+    ``profile`` is the name of one of ``PROFILES``, a profile of one's own, or nothing, to tell
+    it from each record.  Everything happens inside the row: no shuffle, whatever the profile.
     """
-    if profile is not None and profile not in PROFILES:
+    if isinstance(profile, str) and profile not in PROFILES:
         raise ValueError(f"unknown profile: {profile}")
-    name = infer_profile(F.col("record")) if profile is None else F.lit(profile)
-    top = F.array().cast("array<string>")
-    found = _check_object(F.col("record"), F.col("profile"), top)
-    return records.withColumn("profile", name).withColumn(
-        "issues", F.array_sort(F.array_compact(found))
-    )
+    own = isinstance(profile, Profile)
+    compiled = _compiled({"own": profile} if own else PROFILES)
+    name = infer_profile(F.col("record")) if profile is None else F.lit("own" if own else profile)
+    found = _judged(F.col("record"), F.col("profile"), compiled)
+    return records.withColumn("profile", name).withColumn("issues", F.array_sort(found))
 
 
 def issues(checked: DataFrame) -> DataFrame:
@@ -313,43 +371,24 @@ def summary(checked: DataFrame) -> DataFrame:
 # ------------------------------------------------------------------- rule tables
 
 
-@dataclass(frozen=True)
-class FieldRule:
-    path: str
-    required: bool = False
-    types: tuple[str, ...] = ()
-    allowed: tuple[str, ...] = ()
-
-
 # The stricter rule tables.
-COMMON_RULES = (
-    FieldRule("@id", True, ("str",)),
-    FieldRule("@type", True, ("str",), ("Collection", "Resource")),
-    FieldRule("title", True, ("str",)),
-)
+LIST, RECORD = Field(("array",)), Field(("object",))
+COMMON = {"@id": TEXT, "@type": Field(("string",), allowed=("Collection", "Resource")), "title": TEXT}
 RULES = {
-    "collection": (
-        *COMMON_RULES,
-        FieldRule("member", False, ("list",)),
-        FieldRule("totalItems", False, ("int",)),
-        FieldRule("dublinCore", False, ("dict",)),
-        FieldRule("extensions", False, ("dict",)),
+    "collection": Profile(
+        ("@id", "@type", "title"),
+        {**COMMON, "member": LIST, "totalItems": Field(("integer",)), "dublinCore": RECORD, "extensions": RECORD},
     ),
-    "resource": (
-        *COMMON_RULES,
-        FieldRule("document", True, ("str",)),
-        FieldRule("navigation", True, ("str",)),
-        FieldRule("download", False, ("dict",)),
-        FieldRule("mediaTypes", False, ("list",)),
-        FieldRule("dublinCore", False, ("dict",)),
-        FieldRule("extensions", False, ("dict",)),
+    "resource": Profile(
+        ("@id", "@type", "title", "document", "navigation"),
+        {
+            **COMMON, "document": TEXT, "navigation": TEXT, "download": RECORD, "mediaTypes": LIST,
+            "dublinCore": RECORD, "extensions": RECORD,
+        },
     ),
-    "resource_result": (
-        FieldRule("id", True, ("str",)),
-        FieldRule("title", False, ("str", "null")),
-        FieldRule("linked_parents", True, ("list",)),
-        FieldRule("metadata", True, ("dict",)),
-        FieldRule("fragments", True, ("list",)),
+    "resource_result": Profile(
+        ("id", "linked_parents", "metadata", "fragments"),
+        {"id": TEXT, "title": TEXT_OR_NULL, "linked_parents": LIST, "metadata": RECORD, "fragments": LIST},
     ),
 }
 TYPE_NAMES = {
@@ -365,22 +404,24 @@ TYPE_NAMES = {
 
 def rule_issues(records: DataFrame, profile: str) -> DataFrame:
     """Faults against a rule table: record_id, path, code (missing, type, value), actual."""
+    rules = RULES[profile]
+    listed = [
+        {"path": n, "required": n in rules.required, "types": f.types, "allowed": f.allowed} for n, f in rules.fields.items()
+    ]
     schema = "path string, required boolean, types array<string>, allowed array<string>"
-    table = F.from_json(
-        F.lit(json.dumps([asdict(r) for r in RULES[profile]])), f"array<struct<{schema}>>"
-    )
-    kinds = F.from_json(F.lit(json.dumps(TYPE_NAMES)), "map<string,string>")
+    table = F.from_json(F.lit(json.dumps(listed)), f"array<struct<{schema}>>")
+    names = F.from_json(F.lit(json.dumps(TYPE_NAMES)), "map<string,string>")
 
     def fault(rule: Column, v: Column) -> Column:
-        kind = kinds[V.json_type(v)]
+        kind = V.json_type(v)
         text = F.when(V.is_string(v), v.try_cast("string"))
         allowed = F.coalesce(F.array_contains(rule["allowed"], text), F.lit(False))
         code = (
             F.when(v.isNull(), F.when(rule["required"], "missing"))
-            .when((F.size(rule["types"]) > 0) & ~F.array_contains(rule["types"], kind), "type")
+            .when(~F.array_contains(rule["types"], kind), "type")
             .when((F.size(rule["allowed"]) > 0) & ~allowed, "value")
         )
-        return F.struct(rule["path"].alias("path"), code.alias("code"), kind.alias("actual"))
+        return F.struct(rule["path"].alias("path"), code.alias("code"), names[kind].alias("actual"))
 
     members = F.coalesce(V.as_map(F.col("record")), F.create_map().cast("map<string,variant>"))
     judged = F.transform(

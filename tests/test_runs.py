@@ -372,3 +372,22 @@ def test_walk_of_a_deep_chain_and_no_edges(spark):
     assert got == {f"a{i}": (i, f"a{i - 1}" if i else None) for i in range(40)}
     assert [tuple(r) for r in W.reach(chain.limit(0), "x").collect()] == [("x", None, 0)]
     assert not [t.name for t in spark.catalog.listTables() if t.name.startswith("quire_")]
+
+
+def test_profiles_that_hold_themselves(spark):
+    """Judged as deep as the record goes, whatever the depth."""
+    tree = VA.Profile(("name",), {"name": VA.TEXT})
+    tree.fields["children"] = VA.Field(("array",), items=tree)
+    tree.fields["next"] = VA.Field(("object", "null"), inside=tree)
+    deep = {"name": 5}
+    for i in range(25):
+        deep = {"name": "n", "children": [{"name": "ok"}, deep]} if i % 2 else {"name": "n", "next": deep}
+    rows = [("deep", deep), ("flat", {"name": "x", "children": [{}, {"name": "y", "next": None}]}), ("list", [1]), ("none", {"name": "a[{[{"})]
+    df = spark.createDataFrame([(i, json.dumps(r)) for i, r in rows], "record_id string, text string")
+    records = df.select("record_id", F.parse_json("text").alias("record"))
+    got = {(r["record_id"], r["path"], r["message"]) for r in VA.issues(VA.check(records, tree)).collect()}
+    path = ".".join(["next" if i % 2 == 0 else "children.1" for i in reversed(range(25))] + ["name"])
+    assert got == {
+        ("deep", path, "5 is not of type 'string'"), ("flat", "children.0", "'name' is a required property"),
+        ("list", None, "[1] is not of type 'object'"),
+    }
