@@ -161,17 +161,24 @@ def run(
 
 
 def save(run_: CorpusRun, path: str, format: str = "parquet") -> None:
-    """Write all result tables below ``path``."""
-    write_results(run_.tables(), path, format)
+    """Write all result tables to a new version below ``path``, then publish it.
+
+    A save that stops half way leaves the run before it in place.  Old versions stay until
+    whoever owns ``path`` removes them, so readers of an older one are not disturbed.
+    """
+    tables = run_.tables()
+    version = saved.new_version(path)
+    write_results(tables, version, format)
+    saved.publish(run_.resources.sparkSession, path, {n: f"{version}/{n}" for n in tables})
 
 
 def load(spark: SparkSession, path: str) -> CorpusRun | None:
-    """A saved run, or None when any of its tables is not complete."""
+    """The run published last below ``path``, or None."""
     names = ("collection_results", "resource_results", "fragments", "quarantine", "missing", "meta")
-    base = path.rstrip("/")
-    if not all(saved.exists(spark, f"{base}/{n}") for n in names):
+    found = saved.published(spark, path)
+    if found is None or not all(n in found and saved.exists(spark, found[n]) for n in names):
         return None
-    return CorpusRun(*[spark.read.parquet(f"{base}/{n}") for n in names])
+    return CorpusRun(*[spark.read.parquet(found[n]) for n in names])
 
 
 def run_or_load(

@@ -52,12 +52,28 @@ def accept(payloads: DataFrame, payload: str = "payload") -> Accepted:
 
 
 def one_each(landed: DataFrame, key: str, value: str) -> DataFrame:
-    """One row per key of a table to which the same thing may have landed again.
+    """One row ``(key, value)`` per key of a table to which the same thing may have landed again.
 
-    The last by ``landed_at`` stays where the table has that column, else the greatest value.
+    The last by ``landed_at`` stays where the table has that column, else the one with the
+    greatest SHA-256; of equals the last in the table.  Keys that are NULL count as one.
+
+    Only keys, times (or digests) and places are exchanged, in partial aggregates; what comes
+    out of that is the newest place of the keys that landed more than once, and only rows of
+    those keys are left out.  Where these are few, Spark broadcasts them and no payload moves.
+    The table is read twice and must give its rows in the same order, as a stored one does.
     """
-    order = [F.col(c) for c in ("landed_at",) if c in landed.columns] + [F.col(value)]
-    return landed.groupBy(key).agg(F.max_by(value, F.struct(*order)).alias(value))
+    age = F.col("landed_at") if "landed_at" in landed.columns else F.sha2(F.col(value), 256)
+    rows = landed.select(
+        F.col(key).alias("_key"), F.col(value).alias("_value"), age.alias("_age"),
+        F.monotonically_increasing_id().alias("_place"),
+    )
+    # NULL is older than anything
+    newest = F.max(F.struct("_age", "_place"))
+    again = rows.groupBy("_key").agg(newest.alias("_newest"), F.count(F.lit(1)).alias("_times")).filter("_times > 1")
+    told = again.select(F.col("_key").alias("_again"), F.col("_newest._place").alias("_last"))
+    joined = rows.join(told, F.col("_key").eqNullSafe(F.col("_again")), "left")
+    kept = joined.filter(F.col("_last").isNull() | (F.col("_place") == F.col("_last")))
+    return kept.select(F.col("_key").alias(key), F.col("_value").alias(value))
 
 
 def canonical_id(raw: Column, request_id: Column) -> Column:

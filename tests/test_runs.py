@@ -391,3 +391,52 @@ def test_profiles_that_hold_themselves(spark):
         ("deep", path, "5 is not of type 'string'"), ("flat", "children.0", "'name' is a required property"),
         ("list", None, "[1] is not of type 'object'"),
     }
+
+
+def test_newest_landing_without_moving_payloads(spark, tmp_path):
+    """The last by time, then by place; identical rows once; keys without an id too."""
+    rows = [("a", "old", 1), ("a", "new", 3), ("a", "mid", 2), ("b", "one", None), ("c", "same", 5), ("c", "same", 5),
+            ("d", "x", 7), ("d", "y", 7), (None, "n1", 1), (None, "n2", 2), ("e", "t", None), ("e", "u", 1), ("f", None, 1)]
+    path = str(tmp_path / "landed")
+    spark.createDataFrame(rows, "request_id string, payload string, landed_at long").coalesce(1).write.parquet(path)
+    landed = spark.read.parquet(path)
+    one = P.one_each(landed, "request_id", "payload")
+    assert sorted(map(str, (tuple(r) for r in one.collect()))) == sorted(map(str, [
+        ("a", "new"), ("b", "one"), ("c", "same"), ("d", "y"), (None, "n2"), ("e", "u"), ("f", None)
+    ]))
+    plan = one._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    moved = [line for line in plan.splitlines() if "Exchange hashpartitioning" in line]
+    assert len(moved) == 1 and "_key" in moved[0]
+    assert "ReadSchema: struct<request_id:string,landed_at:bigint>" in plan  # what is exchanged is read without payloads
+    untimed = P.one_each(landed.drop("landed_at"), "request_id", "payload")
+    got = {r["request_id"]: r["payload"] for r in untimed.collect()}
+    assert untimed.count() == 7 and got["c"] == "same" and got["d"] in ("x", "y")
+
+
+def test_a_save_that_stops_half_way_leaves_the_old_run(spark, saved, tmp_path, monkeypatch):
+    path = str(tmp_path / "run")
+    assert PL.load(spark, path) is None
+    PL.save(saved, path)
+    before = PL.load(spark, path)
+    real = PL.write_results
+
+    def stopped(tables, where, format="parquet"):
+        real(dict(list(tables.items())[:3]), where, format)
+        raise RuntimeError("executors lost")
+
+    import dataclasses
+
+    changed = dataclasses.replace(saved, resources=saved.resources.limit(0))
+    monkeypatch.setattr(PL, "write_results", stopped)
+    with pytest.raises(RuntimeError):
+        PL.save(changed, path)
+    again = PL.load(spark, path)
+    assert again.resources.count() == before.resources.count() > 0
+    assert again.resources.inputFiles() == before.resources.inputFiles()
+    monkeypatch.setattr(PL, "write_results", real)
+    # a manifest that was cut off is passed over, and a number that is taken is not used twice
+    (tmp_path / "run" / "_manifests" / "000000000002.json").write_text('{"tables": {')
+    assert PL.load(spark, path).resources.count() == before.resources.count()
+    PL.save(changed, path)
+    assert PL.load(spark, path).resources.count() == 0
+    assert before.resources.count() > 0  # who reads the old version is not disturbed
