@@ -381,3 +381,36 @@ def vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "embeddings").selectExpr(
         "concat('D', vec_id) as id", "embedding as vector"
     )
+
+
+# ------------------------------------------------------------------ landed files, faults
+
+
+def land_files(rows: DataFrame, path: str, suffix: str) -> None:
+    """Rows ``(name, text)`` as one file each below a shared folder, as a fetcher would leave them."""
+    from pyarrow import fs
+
+    uri = path if "://" in path else "file://" + path.removeprefix("file:")
+
+    def write(parts) -> None:
+        system, base = fs.FileSystem.from_uri(uri)
+        system.create_dir(base, recursive=True)
+        for name, text in parts:
+            with system.open_output_stream(f"{base}/{name}.{suffix}", compression=None) as file:
+                file.write((text or "").encode())
+
+    rows.rdd.foreachPartition(write)
+
+
+def faulty(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """documents(resource_id, xml): one fault each, by the remainder of the id; none for 0."""
+    kinds = [
+        "concat('<a><p>', source, '</p></a>')", "concat('<a>', chr(1), source, '</a>')", "concat('<a>', source, ']]></a>')",
+        "'<a b=1>x</a>'", "'<a><?xml x?></a>'", "concat('<a>', source, '&nbsp;</a>')", "concat('<a>', repeat('x', 61), '</a>')",
+        "'<a><b><c><d></d></c></b></a>'", "'<a><b></a></b>'", "concat('<a/>', source)", "'<a><b></b>'", "'<a/><b/>'",
+        "concat('<a>', source, '</a>')",
+    ]
+    xml = "case doc_id % 13 " + " ".join(f"when {i} then {k}" for i, k in enumerate(kinds)) + " end"
+    rows = table(spark, sf_dir, "documents").selectExpr("concat('D', doc_id) AS resource_id", f"{xml} AS xml", "doc_id")
+    again = rows.filter("doc_id % 13 = 12")
+    return rows.unionByName(again).drop("doc_id")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import dataclasses
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -531,12 +532,6 @@ def page_tokens(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
-@query()
-def page_quarantine(spark: SparkSession, sf: str) -> DataFrame:
-    """Pages that are not well-formed XML, with the first fault (checked against a parser in tests)."""
-    return S.shred(C.page_documents(spark, sf)).quarantine
-
-
 @query(
     """SELECT 'D' || doc_id AS id, repeat('k.', CAST(6 + doc_id % 12 AS INT)) || 'doc' AS key,
       CAST(doc_id AS VARCHAR) AS value FROM documents"""
@@ -1502,3 +1497,219 @@ def reload(spark: SparkSession, sf: str) -> DataFrame:
         V.get(F.col("dublincore"), "date").alias("date"),
         V.get(F.col("extensions"), "rank", type="bigint").alias("rank"),
     )
+
+
+# ------------------------------------------------- files, views and faults round trip
+
+
+@query("SELECT 'D' || doc_id || '/' || source || ' é?' AS resource_id, sha256(text) AS xml_sha256, CAST(length(text) AS BIGINT) AS chars FROM documents")
+def doc_scan(spark: SparkSession, sf: str) -> DataFrame:
+    """Documents that landed as one file each, under names with odd characters."""
+    path = scratch(spark, "landed-documents")
+    name = F.url_encode(F.concat(F.lit("D"), F.col("doc_id"), F.lit("/"), F.col("source"), F.lit(" é?")))
+    rows = C.table(spark, sf, "documents").select(name.alias("name"), "text")
+    C.land_files(rows, path, "xml")
+    found = P.read_documents(spark, path)
+    return found.select("resource_id", F.sha2("xml", 256).alias("xml_sha256"), F.char_length("xml").cast("bigint").alias("chars"))
+
+
+@query(ORACLES["doc_index"])
+def index_file(spark: SparkSession, sf: str) -> DataFrame:
+    """The index written as CSV lines and read back."""
+    path = scratch(spark, "index")
+    SF.write_index(results(spark, sf), whole(spark, sf), path)
+    return SF.read_index(spark, path)
+
+
+@query(
+    """SELECT 'D' || doc_id AS id, 'dublincore.k' || (doc_id * 6 + j) % 6000 AS key, CASE j WHEN 0 THEN 'a,"b"' || doc_id
+      WHEN 1 THEN 'two' || chr(10) || 'lines ' ELSE 'v' || doc_id || j END AS value
+    FROM documents, (SELECT unnest(generate_series(0, 5)) AS j)"""
+)
+def index_wide(spark: SparkSession, sf: str) -> DataFrame:
+    """An index of up to 6,000 metadata keys, written as lines and read back."""
+    pairs = F.expr(
+        "map_from_entries(transform(sequence(0, 5), j -> struct(concat('k', (doc_id * 6 + j) % 6000), "
+        """case j when 0 then concat('a,"b"', doc_id) when 1 then 'two\\nlines ' else concat('v', doc_id, j) end)))"""
+    )
+    rows = C.documents(spark, sf).select(
+        F.col("rid").alias("id"), F.lit("t").alias("title"), F.array().cast("array<string>").alias("linked_parents"),
+        F.parse_json(F.to_json(pairs)).alias("dublincore"), F.lit(None).cast("variant").alias("extensions"),
+    )
+    none = spark.createDataFrame([], "resource_id string, position int, content string")
+    path = scratch(spark, "index-wide")
+    SF.write_index(rows, none, path)
+    wide = SF.read_index(spark, path)
+    keys = wide.columns[len(SF.INDEX_CORE):]
+    cells = F.arrays_zip(F.lit(keys).alias("key"), F.array(*(F.col(f"`{k}`") for k in keys)).alias("value"))
+    return wide.select("id", F.inline(F.filter(cells, lambda c: c["value"] != "")))
+
+
+@query(
+    f"""WITH {O.DIVS} {O.DOC_TEXT}
+    SELECT 'D' || doc_id AS id, 'Fragments: ' || CASE WHEN {O.GOOD} THEN '1' ELSE '0' END AS fragments,
+      CASE WHEN NOT {O.GOOD} THEN NULL WHEN length({O.ws("with_heads")}) <= 1200 THEN {O.ws("with_heads")}
+        ELSE rtrim(substr({O.ws("with_heads")}, 1, 1200)) || '…' END AS content FROM doc_text"""
+)
+def report_file(spark: SparkSession, sf: str) -> DataFrame:
+    """The text report written to files and read back: each block is cut at its rule."""
+    path = scratch(spark, "report")
+    SF.write_report(R.report_lines(results(spark, sf), whole(spark, sf)), path, partitions=1)
+    text = spark.read.text(path, wholetext=True)
+    blocks = text.select(F.explode(F.split("value", "(?m)^={100}$")).alias("block")).filter("trim(block) <> ''")
+    lines = F.split(F.col("block"), "\n")
+    content = F.split(F.split(F.col("block"), "breadcrumb: \n\n")[1], "\n")[0]
+    return blocks.select(
+        F.regexp_extract(lines[1], "^ID       : (.*)$", 1).alias("id"), lines[3].alias("fragments"),
+        F.when(F.contains("block", F.lit("Fragment 1")), content).alias("content"),
+    )
+
+
+REASONS = [
+    None, "forbidden character", "stray markup", "malformed tag", "malformed processing instruction", "undefined entity",
+    "text too long", "nested too deep", "unmatched closing tag", "text outside the root", "unclosed element",
+    "not one root element", "more than one document",
+]
+
+
+@query(
+    "SELECT 'D' || doc_id AS resource_id, list_extract(["
+    + ", ".join("NULL" if r is None else f"'{r}'" for r in REASONS)
+    + "], CAST(doc_id % 13 + 1 AS INT)) AS reason FROM documents WHERE doc_id % 13 <> 0"
+)
+def xml_faults(spark: SparkSession, sf: str) -> DataFrame:
+    """Every reason for which a document is set aside."""
+    return S.shred(C.faulty(spark, sf), max_depth=3, max_text=60).quarantine
+
+
+@query(
+    r"""WITH p AS (SELECT page_id, html, CASE WHEN contains(html, '</p>') THEN substr(html, 1, strpos(html, '</p>') - 1) ELSE html END AS before FROM pages)
+    SELECT 'W' || page_id AS resource_id,
+      CASE WHEN contains(regexp_replace(before, '&(amp|lt|gt|quot|apos|#[0-9]+|#x[0-9A-Fa-f]+);', '', 'g'), '&')
+        THEN 'undefined entity' ELSE 'unmatched closing tag' END AS reason FROM p"""
+)
+def page_quarantine(spark: SparkSession, sf: str) -> DataFrame:
+    """Pages that are not well-formed XML, with the first fault: a script ends a paragraph that was not begun."""
+    return S.shred(C.page_documents(spark, sf)).quarantine
+
+
+@query(
+    """SELECT 'D' || doc_id AS resource_id, unnest(['r', 'd']) AS xml_id, unnest([0, doc_id % 4 + 1]) AS pos FROM documents
+    UNION ALL SELECT 'D' || doc_id, 'x', doc_id % 4 FROM documents WHERE doc_id % 4 > 0"""
+)
+def xml_ids(spark: SparkSession, sf: str) -> DataFrame:
+    """The element of every id; of several with one id the last."""
+    xml = "concat('<a xml:id=\"r\">', repeat('<b xml:id=\"x\"/>', cast(doc_id % 4 as int)), '<c xml:id=\"d\"/></a>')"
+    docs = C.documents(spark, sf).select(F.col("rid").alias("resource_id"), F.expr(xml).alias("xml"))
+    return S.xml_ids(S.shred(docs, clustered=True).tokens).select("resource_id", "xml_id", F.col("pos").cast("bigint").alias("pos"))
+
+
+@query(
+    f"""WITH n AS (SELECT count(*) AS n FROM embeddings), v AS (SELECT vec_id, embedding FROM embeddings)
+    SELECT {POINT_ID} AS id, 'D' || doc_id AS record_id, CAST(len(embedding) AS BIGINT) AS dims, embedding[1] AS first_value
+    FROM documents, n JOIN v ON vec_id = doc_id % n.n"""
+)
+def points_checked(spark: SparkSession, sf: str) -> DataFrame:
+    """Points with a vector for every notice, counted in the job that writes them."""
+    payloads = X.vector_payloads(notices(spark, sf), whole(spark, sf), include_fragments=False)
+    rows = C.table(spark, sf, "embeddings")
+    n = rows.count()
+    vectors = C.documents(spark, sf).select("rid", (F.col("doc_id") % n).alias("vec_id")).join(rows, "vec_id")
+    points, counts = X.checked_points(payloads, vectors.select(F.col("rid").alias("id"), F.col("embedding").alias("vector")))
+    path = scratch(spark, "points-checked")
+    SF.write_points(points, path, counts)
+    v = F.col("v")
+    return spark.read.text(path).select(F.parse_json("value").alias("v")).select(
+        V.get(v, "id", type="decimal(20,0)").alias("id"),
+        V.get(v, "payload", "record_id").alias("record_id"),
+        F.size(V.get(v, "vector", type="array<float>")).cast("bigint").alias("dims"),
+        F.get(V.get(v, "vector", type="array<float>"), 0).alias("first_value"),
+    )
+
+
+@query(
+    """WITH v AS (SELECT CASE WHEN vec_id % 10 = 3 THEN 'X' ELSE 'D' END || vec_id AS id FROM embeddings
+      UNION ALL SELECT 'D' || vec_id FROM embeddings WHERE vec_id % 10 = 4),
+    one AS (SELECT id, count(*) AS n FROM v GROUP BY id), d AS (SELECT 'D' || doc_id AS id FROM documents)
+    SELECT CAST(count(*) FILTER (one.id IS NULL) AS BIGINT) AS without_vector, CAST(count(*) FILTER (d.id IS NULL) AS BIGINT) AS without_notice,
+      CAST(count(*) FILTER (n > 1) AS BIGINT) AS repeated, CAST(count(*) FILTER (d.id IS NOT NULL AND n = 1) AS BIGINT) AS points
+    FROM d FULL JOIN one ON d.id = one.id"""
+)
+def points_mismatch(spark: SparkSession, sf: str) -> DataFrame:
+    """Missing, foreign and repeated vectors, as the writing job counts them."""
+    payloads = X.vector_payloads(notices(spark, sf), whole(spark, sf), include_fragments=False)
+    own = C.table(spark, sf, "embeddings").selectExpr("concat(if(vec_id % 10 = 3, 'X', 'D'), vec_id) AS id", "embedding AS vector", "vec_id")
+    vectors = own.unionByName(own.filter("vec_id % 10 = 4")).drop("vec_id")
+    points, counts = X.checked_points(payloads, vectors)
+    path = scratch(spark, "points-mismatch")
+    try:
+        SF.write_points(points, path, counts)
+    except ValueError:
+        pass  # what it counted is shown
+    n = spark.read.text(path).count()
+    return spark.range(1).select(*(F.lit(counts.get[c]).cast("bigint").alias(c) for c in X.MISMATCHES), F.lit(n).cast("bigint").alias("points"))
+
+
+ROUTED = f"""frags AS (SELECT rid FROM members WHERE {O.GOOD} AND {O.NAV_ROUTE}
+  UNION ALL SELECT rid FROM docs WHERE {O.GOOD} AND NOT ({O.NAV_ROUTE}))"""
+
+
+@query(f"WITH {O.MEMBERS} {ROUTED} SELECT rid AS id, CAST(count(*) AS BIGINT) AS fragments FROM frags GROUP BY rid")
+def run_views(spark: SparkSession, sf: str) -> DataFrame:
+    """The tables of a run as views, joined in SQL."""
+    tree_run(spark, sf).register("checked_")
+    return spark.sql(
+        "SELECT r.id, count(*) AS fragments FROM checked_resource_results r JOIN checked_fragments f ON f.resource_id = r.id GROUP BY r.id"
+    )
+
+
+@query(
+    """WITH d AS (SELECT doc_id FROM documents), r AS (SELECT doc_id FROM d WHERE doc_id % 11 <> 5)
+    SELECT 'resource_results.D' || doc_id || '.linked_parents' AS path, '["x","x"] has non-unique elements' AS message
+      FROM r WHERE doc_id % 5 = 0
+    UNION ALL SELECT 'resource_results.D' || doc_id || '.title', '["t"] is not of type ''string'', ''null''' FROM r WHERE doc_id % 7 = 0
+    UNION ALL SELECT 'collection_results.C' || doc_id || '.linked_parents', 'None is not of type ''array''' FROM d WHERE doc_id % 4 = 0
+    UNION ALL SELECT 'summary', (SELECT count(*) FROM r) || ' ' || (SELECT count(*) FROM r WHERE doc_id % 5 <> 0 AND doc_id % 7 <> 0)
+      || ' ' || (SELECT count(*) FROM r WHERE doc_id % 5 = 0 OR doc_id % 7 = 0)
+      || ' ' || (SELECT count(*) FILTER (doc_id % 5 = 0) + count(*) FILTER (doc_id % 7 = 0) FROM r)"""
+)
+def run_faults(spark: SparkSession, sf: str) -> DataFrame:
+    """Validation of a run with faulty resources and collections."""
+    run = tree_run(spark, sf)
+    number = F.substr("id", F.lit(2)).cast("long")
+    odd = dataclasses.replace(
+        run,
+        resources=run.resources.withColumns({
+            "linked_parents": F.when(number % 5 == 0, F.array(F.lit("x"), F.lit("x"))).otherwise(F.col("linked_parents")),
+            "title": F.when(number % 7 == 0, F.parse_json(F.lit('["t"]'))).otherwise(F.col("title").cast("variant")),
+        }),
+        collections=run.collections.withColumn("linked_parents", F.when(number % 4 != 0, F.col("linked_parents"))),
+    )
+    output, summary = odd.validate()
+    line = F.concat_ws(" ", "total", "valid", "invalid", "issues")
+    return output.select("path", "message").unionByName(summary.select(F.lit("summary").alias("path"), line.alias("message")))
+
+
+@query(
+    """SELECT CAST(count(*) AS BIGINT) AS collections, CAST(count(*) * 13 AS BIGINT) AS collection_members,
+      CAST(0 AS BIGINT) AS resources, CAST(0 AS BIGINT) AS fragments, true AS nothing_retrieved FROM documents"""
+)
+def run_empty(spark: SparkSession, sf: str) -> DataFrame:
+    """A run of which no document landed: collections list members, yet no resource came back."""
+    landed = PL.Landed(payloads=C.tree_payloads(spark, sf), documents=C.tei(spark, sf).filter("resource_id IS NULL"))
+    run = PL.run(landed, PL.CollectionParams("C0"))
+    return R.run_summary(run.collections, run.resources, run.fragments)
+
+
+@query(ORACLES["meta_flat"])
+def notice_values(spark: SparkSession, sf: str) -> DataFrame:
+    """Every value of the notices made from results."""
+    return M.flat_entries(notices(spark, sf))
+
+
+@query(f"WITH {O.META} {O.temporal(O.DATED, 't')}, {FLAT_TEXT} SELECT rid AS id, key, value FROM entries")
+def search_values(spark: SparkSession, sf: str) -> DataFrame:
+    """Every flat value of the search documents."""
+    none = spark.createDataFrame([], ", ".join(f"{n} {t}" for n, t in FR.FRAGMENT_COLUMNS.items()))
+    rows = X.search_documents(notices(spark, sf), none, include_fragments=False)
+    return rows.select("id", F.explode("metadata_flat").alias("key", "v")).select("id", "key", V.leaf_text(F.col("v")).alias("value"))

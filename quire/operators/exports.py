@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from quire.functions import let
@@ -169,6 +169,31 @@ def vector_points(
     return rows.select(*columns)
 
 
+#: Mismatches that ``checked_points`` counts.
+MISMATCHES = ("without_vector", "without_notice", "repeated")
+
+
+def checked_points(
+    payloads: DataFrame, vectors: DataFrame, point_id: Column | None = None
+) -> tuple[DataFrame, Observation]:
+    """Points of ids that have one payload and one vector, and counts of the others.
+
+    One full outer join by id.  The counts are there when the job that writes the points has
+    run (``sinks.files.write_points`` looks at them): notices without a vector, vectors without a
+    notice, ids with several vectors.  Nothing is read twice for the check.
+    """
+    told = vectors.groupBy(F.col("id").alias("_vid")).agg(
+        F.any_value("vector").alias("vector"), F.count(F.lit(1)).alias("_vectors")
+    )
+    both = payloads.withColumn("_own", F.lit(True)).join(told, F.col("id") == F.col("_vid"), "full")
+    counts = Observation()
+    wrong = (F.col("_vectors").isNull(), F.col("_own").isNull(), F.col("_vectors") > 1)
+    seen = both.observe(counts, *(F.count_if(w).alias(name) for w, name in zip(wrong, MISMATCHES, strict=True)))
+    fine = seen.filter(F.col("_own") & (F.col("_vectors") == 1))
+    point = stable_int_id(F.col("id")) if point_id is None else point_id
+    return fine.select(point.alias("id"), payload_object(payloads).alias("payload"), "vector"), counts
+
+
 def _shown(v: Column) -> Column:
     """Text of a value inside an index text; a list is shown as a quoted list."""
 

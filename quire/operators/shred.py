@@ -135,7 +135,8 @@ def decode_entities(c: Column) -> Column:
             .when(hexadecimal != "", _character(F.conv(hexadecimal, 16, 10)))
             .when(decimal != "", _character(decimal))
         )
-        return F.when(i == 0, p).otherwise(F.concat(known, rest))
+        ended = F.contains(p, F.lit(";"))
+        return F.when(i == 0, p).otherwise(F.when(ended, F.concat(known, rest)))
 
     def joined(pieces: Column) -> Column:
         complete = ~F.exists(pieces, lambda p: p.isNull())

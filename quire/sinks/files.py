@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from quire.functions import variant as V
 from quire.operators.exports import payload_object
 from quire.operators.notices import metadata_keys, with_stats
 
+#: Size of the key names of a written index.
+MOST_KEY_BYTES = 16 << 20
 # The leading columns of the index.
 INDEX_CORE = ("id", "title", "linked_parents", "fragments_count", "text_length")
 
@@ -19,39 +21,66 @@ def write_results(tables: dict[str, DataFrame], path: str, format: str = "parque
         df.write.mode("overwrite").format(format).save(f"{path.rstrip('/')}/{name}")
 
 
-def index_rows(
-    results: DataFrame, fragments: DataFrame, keys: list[str] | None = None
-) -> DataFrame:
-    """Flat index: core columns as text, then one column per metadata key, '' when absent."""
+def _flat_results(results: DataFrame) -> DataFrame:
+    """Results with their metadata as a map from flat keys to texts."""
     flat = F.map_concat(
         V.flat_map(F.col("dublincore"), "dublincore.", V.csv_text),
         V.flat_map(F.col("extensions"), "extensions.", V.csv_text),
     )
-    none = F.create_map().cast("map<string,string>")
-    wide = results.withColumn("flat", F.coalesce(flat, none))
-    names = metadata_keys(wide) if keys is None else keys
-    counted = with_stats(wide, fragments)
-    core: list[Column] = [
+    return results.withColumn("flat", F.coalesce(flat, F.create_map().cast("map<string,string>")))
+
+
+def _index_core() -> list[Column]:
+    return [
         F.col("id"),
         F.coalesce("title", F.lit("")).alias("title"),
         V.spaced_json(F.to_json("linked_parents")).alias("linked_parents"),
         F.col("fragments_count").cast("string").alias("fragments_count"),
         F.col("text_length").cast("string").alias("text_length"),
     ]
+
+
+def index_rows(
+    results: DataFrame, fragments: DataFrame, keys: list[str] | None = None
+) -> DataFrame:
+    """Flat index: core columns as text, then one column per metadata key, '' when absent."""
+    wide = _flat_results(results)
+    names = metadata_keys(wide) if keys is None else keys
     cells = [
         F.coalesce(F.try_element_at("flat", F.lit(k)), F.lit("")).alias(k) for k in names
     ]
-    return counted.select(*core, *cells)
+    return with_stats(wide, fragments).select(*_index_core(), *cells)
+
+
+def _cell(text: Column) -> Column:
+    """A CSV cell, in quotes where it needs them; NULL is empty."""
+    quoted = F.concat(F.lit('"'), F.replace(text, F.lit('"'), F.lit('""')), F.lit('"'))
+    return F.coalesce(F.when(text.rlike('[",\r\n]|^\\s|\\s$'), quoted).otherwise(text), F.lit(""))
 
 
 def write_index(
     results: DataFrame, fragments: DataFrame, path: str, keys: list[str] | None = None
 ) -> None:
-    """The index as CSV with a header; quotes doubled, line breaks kept inside quotes."""
-    rows = index_rows(results, fragments, keys)
-    rows.write.mode("overwrite").option("header", True).option("escape", '"').option(
-        "emptyValue", ""
-    ).csv(path)
+    """The index as CSV files, each with a header; quotes doubled, line breaks kept inside quotes.
+
+    Lines are rendered from the metadata map in the order of the keys, so there is no wide row
+    and the number of keys has no limit but the size of the dictionary, which is all that the
+    driver holds (``MOST_KEY_BYTES``).
+    """
+    wide = _flat_results(results)
+    names = metadata_keys(wide) if keys is None else keys
+    if sum(map(len, names)) > MOST_KEY_BYTES:
+        raise ValueError(f"{len(names)} metadata keys are more than a dictionary of {MOST_KEY_BYTES} bytes")
+    dictionary = F.lit(names) if names else F.array().cast("array<string>")
+    cells = F.transform(dictionary, lambda k: _cell(F.try_element_at(F.col("flat"), k)))
+    line = F.array_join(F.concat(F.array(*map(_cell, _index_core())), cells), ",")
+    header = F.array_join(F.transform(F.concat(F.lit(list(INDEX_CORE)), dictionary), _cell), ",")
+    rows = with_stats(wide, fragments).select(line.alias("line"), F.monotonically_increasing_id().alias("place"))
+    if rows.isEmpty():
+        rows = results.sparkSession.range(1).select(header.alias("line"), F.lit(1).alias("place"))
+    first = F.col("place").bitwiseAND(F.lit((1 << 33) - 1)) == 0  # of its file
+    out = F.when(first, F.concat(header, F.lit("\n"), F.col("line"))).otherwise(F.col("line"))
+    rows.select(out.alias("value")).write.mode("overwrite").text(path)
 
 
 def read_index(spark, path: str) -> DataFrame:
@@ -67,13 +96,20 @@ def write_actions(actions: DataFrame, path: str) -> None:
     ).text(path)
 
 
-def write_points(points: DataFrame, path: str) -> None:
-    """Vector points, one JSON object per line, the payload as a nested object."""
+def write_points(points: DataFrame, path: str, counts: Observation | None = None) -> None:
+    """Vector points, one JSON object per line, the payload as a nested object.
+
+    With the ``counts`` of ``exports.checked_points`` a mismatch is an error once the points
+    are written; ``exports.vector_mismatch`` names the ids.
+    """
     fields = [
         F.parse_json("payload").alias("payload") if c == "payload" else F.col(c)
         for c in points.columns
     ]
     points.select(F.to_json(F.struct(*fields)).alias("value")).write.mode("overwrite").text(path)
+    found = {name: n for name, n in counts.get.items() if n} if counts is not None else {}
+    if found:
+        raise ValueError(f"vectors length mismatch: {found}")
 
 
 def write_payloads(payloads: DataFrame, path: str) -> None:

@@ -11,11 +11,21 @@ from quire.functions import variant as V
 from quire.functions.text import id_list, strip
 
 
+def landed_name(suffix: str) -> Column:
+    """The id in the name of a landed file: the name without the suffix, percent-decoded.
+
+    Spark shows file names as parts of a URI, so they are decoded once for that and once
+    more for the id; a name that is no percent-encoding is taken as it is.
+    """
+    shown = F.regexp_extract(F.col("_metadata.file_name"), rf"^(.*)\.{suffix}$", 1)
+    on_disk = F.url_decode(F.replace(shown, F.lit("+"), F.lit("%2B")))
+    return F.coalesce(F.try_url_decode(on_disk), on_disk)
+
+
 def read_files(spark: SparkSession, path: str, suffix: str, name: str) -> DataFrame:
-    """One row per landed file: its name without the suffix, and its whole text."""
-    stem = F.regexp_extract(F.col("_metadata.file_name"), rf"^(.*)\.{suffix}$", 1)
+    """One row per landed file: the id in its name, and its whole text."""
     text = spark.read.option("pathGlobFilter", f"*.{suffix}").text(path, wholetext=True)
-    return text.select(F.url_decode(stem).alias("resource_id"), F.col("value").alias(name))
+    return text.select(landed_name(suffix).alias("resource_id"), F.col("value").alias(name))
 
 
 def read_documents(spark: SparkSession, path: str) -> DataFrame:

@@ -10,17 +10,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from quire.sources.payloads import accept
+from quire.sources.payloads import accept, landed_name
 
 
 def read_landing(spark: SparkSession, path: str, suffix: str = "json") -> DataFrame:
     """Streaming rows request_id, payload of the files that arrive below ``path``."""
-    stem = F.regexp_extract(F.col("_metadata.file_name"), rf"^(.*)\.{suffix}$", 1)
     files = spark.readStream.format("text").option("wholetext", True)
     return (
         files.option("pathGlobFilter", f"*.{suffix}")
         .load(path)
-        .select(F.url_decode(stem).alias("request_id"), F.col("value").alias("payload"))
+        .select(landed_name(suffix).alias("request_id"), F.col("value").alias("payload"))
     )
 
 

@@ -440,3 +440,41 @@ def test_a_save_that_stops_half_way_leaves_the_old_run(spark, saved, tmp_path, m
     PL.save(changed, path)
     assert PL.load(spark, path).resources.count() == 0
     assert before.resources.count() > 0  # who reads the old version is not disturbed
+
+
+def test_names_of_landed_files(spark, tmp_path):
+    names = {"plain": "plain", "a%2Fb": "a/b", "a+b": "a b", "a%2Bb": "a+b", "100%": "100%", "sp ace": "sp ace", "é%C3%A9": "éé"}
+    for name in names:
+        (tmp_path / f"{name}.xml").write_text(f"<a>{name}</a>\n")
+    got = {r["resource_id"]: r["xml"] for r in P.read_documents(spark, str(tmp_path)).collect()}
+    assert got == {i: f"<a>{name}</a>\n" for name, i in names.items()}
+
+
+def test_points_are_checked_where_they_are_written(spark, tmp_path):
+    payloads = spark.createDataFrame([("a", 1), ("b", 2)], "id string, n int").withColumn("safe", F.create_map().cast("map<string,variant>"))
+    fine = spark.createDataFrame([("a", [1.0]), ("b", [2.0])], "id string, vector array<double>")
+    points, counts = X.checked_points(payloads, fine)
+    SF.write_points(points, str(tmp_path / "fine"), counts)
+    assert spark.read.text(str(tmp_path / "fine")).count() == 2
+    odd = spark.createDataFrame([("a", [1.0]), ("a", [1.0]), ("c", [2.0]), (None, [3.0])], "id string, vector array<double>")
+    points, counts = X.checked_points(payloads, odd)
+    with pytest.raises(ValueError, match="'without_vector': 1, 'without_notice': 2, 'repeated': 1"):
+        SF.write_points(points, str(tmp_path / "odd"), counts)
+    assert spark.read.text(str(tmp_path / "odd")).count() == 0
+
+
+def test_index_lines_of_an_empty_and_an_odd_table(spark, tmp_path):
+    rows = [("a", "t,\"x\"", '{"k":" lead"}'), ("b", None, '{"k":"x\\ny","z z":"\\"q\\""}'), ("c", "", "{}")]
+    df = spark.createDataFrame(rows, "id string, title string, dc string").select(
+        "id", "title", F.array(F.lit("r")).alias("linked_parents"), F.parse_json("dc").alias("dublincore"),
+        F.lit(None).cast("variant").alias("extensions"),
+    )
+    none = spark.createDataFrame([], "resource_id string, position int, content string")
+    for n, some in (("all", df), ("none", df.limit(0))):
+        SF.write_index(some, none, str(tmp_path / n))
+    back = SF.read_index(spark, str(tmp_path / "all"))
+    assert back.columns == [*SF.INDEX_CORE, "dublincore.k", "dublincore.z z"]
+    assert sorted(map(tuple, back.collect())) == [
+        ("a", 't,"x"', '["r"]', "0", "0", " lead", ""), ("b", "", '["r"]', "0", "0", "x\ny", '"q"'), ("c", "", '["r"]', "0", "0", "", ""),
+    ]
+    assert SF.read_index(spark, str(tmp_path / "none")).collect() == []

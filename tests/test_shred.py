@@ -5,6 +5,7 @@ import xml.etree.ElementTree as ET
 from xml.parsers import expat
 
 import pyarrow.parquet as pq
+import pytest
 from pyspark.sql import functions as F
 
 from quire.operators import shred as S
@@ -198,3 +199,10 @@ def test_checkpointed_rows_need_no_exchange(spark):
     marked = SEL.mark(tokens, SEL.parse(".//tei:div[@type='x']/tei:p"))
     plan = selected_text(marked)._jdf.queryExecution().executedPlan().toString()
     assert "Exchange" not in plan, plan
+
+
+@pytest.mark.parametrize("text,fine", [("&amp;", True), ("&amp", False), ("x &lt", False), ("&#65;", True), ("&#65", False), ("&", False), ("&amp;&am", False)])
+def test_references_end_with_a_semicolon(spark, text, fine):
+    docs = spark.createDataFrame([("r", f"<a><b>{text}</b></a>"), ("s", f'<a b="{text}"/>')], "resource_id string, xml string")
+    reasons = {r["reason"] for r in S.shred(docs).quarantine.collect()}
+    assert reasons == (set() if fine else {"undefined entity"})
