@@ -8,6 +8,8 @@ dimensions, so a shard, and every file or row group inside it, has a narrow rang
 
 from __future__ import annotations
 
+import os
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
@@ -51,17 +53,33 @@ def curve_index(cells: list[np.ndarray], bits: int) -> np.ndarray:
     return index
 
 
-def rank_code(df: DataFrame, column: str) -> Column:
-    """Number in the order of the column's values: numbers as they are, other values by the
-    first six bytes of their text; null is below all."""
+def rank_code(df: DataFrame, column: str, shared: int = 0) -> Column:
+    """Number in the order of the column's values: numbers as they are, other values by six bytes
+    of their text after the ``shared`` ones that all begin with; null is below all."""
     kind = dict(df.dtypes)[column]
-    if kind in ("tinyint", "smallint", "int", "bigint", "float", "double", "boolean") or kind.startswith("decimal"):
+    if is_number(kind):
         code = F.col(column).cast("double")
     else:
-        code = F.conv(F.rpad(F.substring(F.hex(F.col(column).cast("string")), 1, 12), 12, "0"), 16, 10).cast("double")
+        some = F.substring(F.hex(F.col(column).cast("string")), 1 + 2 * shared, 12)
+        code = F.conv(F.rpad(some, 12, "0"), 16, 10).cast("double")
     return F.coalesce(F.when(F.isnan(code), None).otherwise(code), F.lit(-1.0e300))
 
 
+def is_number(kind: str) -> bool:
+    return kind in ("tinyint", "smallint", "int", "bigint", "float", "double", "boolean") or kind.startswith("decimal")
+
+
+def shared_starts(df: DataFrame, columns: list[str]) -> list[int]:
+    """Bytes that all values of each column begin with (0 for numbers): what the smallest and the
+    greatest value share, all share."""
+    texts = [c for c in dict.fromkeys(columns) if not is_number(dict(df.dtypes)[c])]
+    if not texts:
+        return [0] * len(columns)
+    both = df.agg(*(f(F.col(c).cast("string")).alias(f"{n}{i}") for i, c in enumerate(texts) for n, f in (("a", F.min), ("b", F.max)))).head()
+    found = {c: len(os.path.commonprefix([(both[f"{n}{i}"] or "").encode() for n in "ab"])) for i, c in enumerate(texts)}
+    return [found.get(c, 0) for c in columns]
+
+
 def curve_column(df: DataFrame, dimensions: list[Column], bits: int = BITS) -> Column:
     """Hilbert index of each row for numeric dimensions, cut at their quantiles."""
     cells = 1 << bits
@@ -100,15 +118,17 @@ def assign(
     keep = [c for c in (columns or [doc]) if c not in own]
     size = F.coalesce(F.octet_length(text), F.lit(0)).cast("long") + 1
     crc = F.crc32(F.coalesce(F.col(text).cast("binary"), F.lit(b"")))
-    codes = [rank_code(documents, d) for d in dimensions]
+    codes = [rank_code(documents, d, n) for d, n in zip(dimensions, shared_starts(documents, dimensions), strict=True)]
     rows = documents.select(
         *[F.col(c).alias(f"k{i}") for i, c in enumerate(keep)],
         F.col(doc).alias("id"), size.alias("size"), crc.alias("text_crc32"),
         *[c.alias(f"d{i}") for i, c in enumerate(codes)],
+        F.xxhash64(F.monotonically_increasing_id()).alias("tie"),
     )
     axes = [F.col(f"d{i}") for i in range(len(codes))] + [F.col("size").cast("double")]
     rows = rows.withColumn("curve", curve_column(rows, axes, bits))
-    order = ["curve", "size", "text_crc32", "id"]
+    # rows that are equal in all else, however many, may still be parted
+    order = ["curve", "size", "text_crc32", "id", "tie"]
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     # one sorted run in n parts; the identifier holds the part above bit 33 and, below it,
     # the row's place in the part
