@@ -11,7 +11,8 @@ from __future__ import annotations
 
 import html
 import re
-from collections import Counter
+from collections import Counter, defaultdict
+from collections.abc import Iterable
 
 import pyarrow as pa
 from pyspark.sql import Column
@@ -54,13 +55,12 @@ IMPLIED = {
     "li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}),
     "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}), "tr": ({"tr"}, {"table"}),
 }
-#: Open elements looked at for one that a new one ends.
-REACH = 32
 
-_STRIP = re.compile(rf"<!--.*?(?:-->|\Z)|<({_RAW})\b[^>]*>.*?(?:</\1\s*>|\Z)|<[!?][^>]*+>", re.S | re.I)
-_TAG = re.compile(
-    r"""<(/?)([a-zA-Z][a-zA-Z0-9:-]*+)((?:[^>"']++|"[^"]*+"|'[^']*+')*+>|[^<>]*+>|[^<>]*+\Z)"""
-)
+_HIDDEN = re.compile(rf"<!--|<({_RAW})\b|<[!?]", re.I)
+_RAW_END = {name: re.compile(rf"</{name}\s*+>", re.I) for name in _RAW.split("|")}
+_TAG = re.compile(r"""<(/?)([a-zA-Z][a-zA-Z0-9:-]*+)((?:[^>"']++|"[^"]*+"|'[^']*+')*+>|[^<>]*+>)""")
+#: A tag that the page ends in.
+_CUT_TAG = re.compile(r"<(/?)([a-zA-Z][a-zA-Z0-9:-]*+)([^<>]*+)\Z")
 _ATTRIBUTE = re.compile(r"""\b(class|id|role|style|aria-hidden|hidden)\b\s*(?:=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""", re.I)
 _PARTS = re.compile(r"[^a-z]+")
 _CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")
@@ -112,6 +112,10 @@ def _ends(tags: list[tuple[bool, str, str]]) -> dict[int, tuple[int, bool]]:
     scopes: list[Counter[str]] = [Counter()]  # open elements by name, from an article on each
     every: Counter[str] = Counter()
     held: set[int] = set()  # embedded elements whose own end tag is the next of that name
+    # places on the stack, the innermost last: of each name, of blocks, of held elements
+    named: defaultdict[str, list[int]] = defaultdict(list)
+    blocks: list[int] = []
+    fixed: list[int] = []
 
     def pop(size: int, at: int, own: bool) -> None:
         while len(stack) > size:
@@ -121,22 +125,27 @@ def _ends(tags: list[tuple[bool, str, str]]) -> dict[int, tuple[int, bool]]:
             if tag in ("article", "main"):
                 scopes.pop()
             scopes[-1][tag] -= 1
+            for places in (named[tag], blocks, fixed):
+                if places and places[-1] == len(stack):
+                    places.pop()
 
     def push(tag: str, at: int) -> None:
+        named[tag].append(len(stack))
+        if tag not in INLINE and tag not in EMBEDDED and tag != "p":
+            blocks.append(len(stack))
+        if at in held:
+            fixed.append(len(stack))
         stack.append((tag, at))
         every[tag] += 1
         scopes[-1][tag] += 1
         if tag in ("article", "main"):
             scopes.append(Counter())
 
-    def implied(wanted: set[str], through, at: int) -> None:
-        for k in range(len(stack) - 1, max(-1, len(stack) - 1 - REACH), -1):
-            tag, i = stack[k]
-            if tag in wanted:
-                pop(k, at, False)
-                return
-            if i in held or not through(tag):
-                return
+    def implied(wanted: set[str], stops: Iterable[list[int]], at: int) -> None:
+        """End the innermost wanted element that no stop is inside of."""
+        k = max((named[t][-1] for t in wanted if named[t]), default=-1)
+        if k > max((x[-1] for x in (*stops, fixed) if x), default=-1):
+            pop(k, at, False)
 
     last: dict[str, int] = {}
     for i, (closing, tag, _) in enumerate(tags):
@@ -152,10 +161,7 @@ def _ends(tags: list[tuple[bool, str, str]]) -> dict[int, tuple[int, bool]]:
                 continue
             if tag in INLINE and stack[-1][0] not in (tag, "p"):
                 continue
-            k = len(stack) - 1
-            while stack[k][0] != tag:
-                k -= 1
-            pop(k, i, True)
+            pop(named[tag][-1], i, True)
             continue
         if tag in VOID and tag != "hr":
             continue
@@ -165,9 +171,9 @@ def _ends(tags: list[tuple[bool, str, str]]) -> dict[int, tuple[int, bool]]:
             pop(0, i, False)
         if tag in IMPLIED:
             wanted, stop = IMPLIED[tag]
-            implied(wanted, lambda t, stop=stop: t not in stop and t not in SECTIONS, i)
+            implied(wanted, [named[t] for t in (*stop, *SECTIONS)], i)
         if tag not in INLINE and tag not in EMBEDDED and scopes[-1]["p"]:
-            implied({"p"}, lambda t: t in INLINE or t in EMBEDDED, i)
+            implied({"p"}, [blocks], i)
         if tag in VOID or rest.endswith("/>"):
             continue
         if tag not in INLINE or every[tag] or boilerplate(tag, rest[:-1]):
@@ -192,9 +198,36 @@ class Lines:
         self.parts, self.linked = [], 0
 
 
+def visible(page: str) -> str:
+    """The page without comments, declarations, scripts, styles and what else is raw.
+
+    What has no end goes to the end of the page; a start tag or declaration that is never
+    closed stays.  Each character is looked at a fixed number of times.
+    """
+    out, at, last = [], 0, page.rfind(">")
+    while m := _HIDDEN.search(page, at):
+        out.append(page[at : m.start()])
+        if m[0] == "<!--":
+            end = page.find("-->", m.end())
+            at = len(page) if end < 0 else end + 3
+        elif m.end() > last:  # nothing closes from here on
+            out.append(page[m.start() :])
+            at = len(page)
+        else:
+            at = page.find(">", m.end()) + 1
+            if m[1]:
+                end = _RAW_END[m[1].lower()].search(page, at)
+                at = end.end() if end else len(page)
+    out.append(page[at:])
+    return "".join(out)
+
+
 def lines(page: str) -> Lines:
-    page = _STRIP.sub("", page)
-    found = list(_TAG.finditer(page))
+    page = visible(page)
+    # beyond the last end of a tag there is none that ends
+    found = list(_TAG.finditer(page, 0, page.rfind(">") + 1))
+    if cut := _CUT_TAG.match(page, max(0, page.rfind("<"))):
+        found.append(cut)
     tags = [(m[1] == "/", m[2].lower(), m[3]) for m in found]
     ends = _ends(tags)
     out, at = Lines(), 0

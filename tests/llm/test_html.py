@@ -1,5 +1,9 @@
 """Main text of small pages."""
 
+import time
+
+import pytest
+
 from quire.llm.html_text import main_text
 
 ARTICLE = "A sentence that is long enough to be the text of an article, and then some more of it. " * 2
@@ -93,3 +97,18 @@ def test_embedded_elements_end():
     assert main_text(f"<article><p>One <svg><text>no</text></svg>two<noscript><p>no</p></noscript> three.</p>{text}</article>").startswith("One two three.\n")
     formula = "<math><semantics><mrow><mi>x</mi><mo>=</mo><mn>1</mn></mrow><annotation>x=1</annotation></semantics></math>"
     assert main_text(f"<article><p>Let {formula} be.</p>{text}</article>").startswith("Let x=1 be.\n")
+
+
+@pytest.mark.parametrize("part", ["<script ", "<a ", '<a "', "<!", "<!--", "<title>x", "<li><div>", "<p><b>", "<ul><li>", "</script ", "<div><p>", '<div class="ad"><li>'])
+def test_long_broken_pages_take_linear_time(part):
+    page = part * (1_000_000 // len(part))
+    began = time.process_time()
+    main_text(page)
+    assert time.process_time() - began < 5
+
+
+@pytest.mark.parametrize("deep", [3, 31, 32, 200])
+def test_an_item_ends_the_one_before_whatever_is_open_in_it(deep):
+    body = "This is the text of the article, long enough to be a surge of its own in any window of lines. " * 3
+    page = f'<body><ul><li class="ad">{"<div>" * deep}buy this<li><p>{body}</p></ul></body>'
+    assert main_text(page) == body.strip()
