@@ -61,7 +61,7 @@ _ASSIGNED = re.compile(r"\s{0,4}(?:=>|={1,3}|:=?)\s{0,4}[\"'`]?\Z")
 _NAME = re.compile(rf"(?:{_SECRET})s?[\"'`\]]{{0,3}}\Z", re.I)
 _URL = re.compile(r"://[^\s/?#:@\"'`<>]*+:([^\s/?#\"'`<>]++)")
 _USER = re.compile(r"://[^\s/?#:@]*:\Z")
-_BLOCK = re.compile(r"-----BEGIN [A-Z0-9 ]{0,40}PRIVATE KEY-----.*?-----END [A-Z0-9 ]{0,40}PRIVATE KEY-----", re.S)
+_BLOCK_EDGE = re.compile(r"-----(BEGIN|END) ([A-Z0-9 ]*+)-----")
 _SECRET_NEAR = re.compile(rf"(?<![a-z])(?:{_SECRET})s?(?![a-z])", re.I)
 _OTHER_NEAR = re.compile(rf"(?<![a-z])(?:{_OTHER})s?(?![a-z])", re.I)
 _TEST_PATH = re.compile(r"test|spec|mock|fixture|doc|example|sample|readme|vendor|node_modules|\.lock", re.I)
@@ -73,6 +73,18 @@ FEATURES = (
 ).split()
 
 
+def _blocks(text: str) -> Iterator[tuple[int, int]]:
+    """Private key blocks: from a beginning to the next end, of whatever label."""
+    begun = -1
+    for m in _BLOCK_EDGE.finditer(text):
+        if m[2].endswith("PRIVATE KEY"):
+            if m[1] == "BEGIN":
+                begun = m.start() if begun < 0 else begun
+            elif begun >= 0:
+                yield begun, m.end()
+                begun = -1
+
+
 def candidates(text: str) -> Iterator[tuple[int, int]]:
     """Start and end of each candidate, in order and apart."""
     found = [m.span() for m in _RUN.finditer(text) if _mixed(m[0])]
@@ -81,7 +93,7 @@ def candidates(text: str) -> Iterator[tuple[int, int]]:
     starts = [a for a, _ in urls]
     found += [(a, b) for a, b in _given(text) if bisect_left(starts, a) == bisect_left(starts, b)]
     if "-----BEGIN" in text:
-        found += [m.span() for m in _BLOCK.finditer(text)]
+        found += _blocks(text)
     end = start = -1
     for a, b in sorted(found):
         if a >= end:

@@ -292,6 +292,33 @@ def test_rules_cascade_equals_all_rules(spark):
     assert 0 < len(kept) < table.count()
 
 
+def test_metrics_are_computed_behind_the_rules_before(spark):
+    """A metric that fails where the rule before rejects: nobody asks for it there."""
+    texts = ["a b"] * 50 + ["one two three four five six seven eight nine ten"] * 50
+    table = docs(spark, texts)
+    first, last = quality_rules.RULES[0], quality_rules.Rule("odd", ("n_lines",), lambda m: m["n_lines"] >= 1)
+    order = [quality_rules.Estimate(first, 1.0, 1.0), quality_rules.Estimate(last, 1.0, 0.0)]
+
+    def metric(name):
+        own = quality_rules.single(F.col("text"), name)
+        short = F.size(quality_rules.words(F.col("text"))) < 10
+        return F.when(short, F.raise_error(F.lit("asked too early")).cast("long")).otherwise(own) if name == "n_lines" else own
+
+    kept, by = quality_rules.verdict(order, metric)
+    assert table.where(kept).count() == 50 and table.where(by == "words").count() == 50
+    kept, _ = quality_rules.verdict(order[::-1], metric)
+    with pytest.raises(Exception, match="asked too early"):
+        table.where(kept).collect()
+
+
+def test_order_is_the_same_from_run_to_run(spark):
+    table = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    orders = [[e.rule.name for e in quality_rules.plan(table, known=quality_rules.BASE)] for _ in range(5)]
+    assert len(set(map(tuple, orders))) == 1
+    worth = [e.worth for e in quality_rules.plan(table)]
+    assert worth == sorted(worth, reverse=True)
+
+
 def test_rules_odd_rows(odd, empty):
     judged = quality_rules.judge(odd)
     assert set(odd.columns) <= set(judged.columns) and judged.count() == len(ODD_ROWS)
@@ -432,3 +459,26 @@ def test_row_operators_odd_rows(spark, odd, empty):
         assert back.where("b = coalesce(text, '')").count() == back.count() == rows
         assert frame.select(html_text.extract(F.col("text")).alias("t")).where("t is not null").count() == rows
         assert frame.select(n).count() == rows
+
+
+def test_key_blocks_of_any_number_and_label():
+    begin, end = "-----BEGIN {} PRIVATE KEY-----", "-----END {} PRIVATE KEY-----"
+    label = "A" * 60
+    one = f"{begin.format(label)}\nabc\n{end.format(label)}"
+    text = f"x {one} y {begin.format('RSA')} {begin.format('EC')} z {end.format('EC')} {end.format('EC')} {begin.format('DSA')} w"
+    spans = list(secret_scan._blocks(text))
+    assert [text[a:b] for a, b in spans] == [one, f"{begin.format('RSA')} {begin.format('EC')} z {end.format('EC')}"]
+    long = "-----BEGIN PRIVATE KEY-----" * 40_000
+    assert list(secret_scan._blocks(long)) == []
+
+
+def test_shards_of_values_with_a_common_start_and_of_equal_rows(spark):
+    names = [f"https://example.org/{c}{i}" for i, c in enumerate("qabzxm")]
+    rows = [(None, "same", names[0])] * 500 + [(i, f"t{i}", names[i % 6]) for i in range(300)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    assert sharding.shared_starts(df, ["source", "doc_id"]) == [len("https://example.org/"), 0]
+    codes = [r[0] for r in df.select("source").distinct().withColumn("c", sharding.rank_code(df, "source", 20)).orderBy("c").collect()]
+    assert codes == sorted(names)
+    out = sharding.assign(df, ["source"], shards=8).collect()
+    assert sorted(Counter(r["shard"] for r in out).values()) == [100] * 8
+    assert sorted((r["shard"], r["slot"]) for r in out) == [(s, k) for s in range(8) for k in range(100)]
