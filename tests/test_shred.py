@@ -196,7 +196,8 @@ def test_checkpointed_rows_need_no_exchange(spark):
     df = spark.createDataFrame([("a", "<a/>")], "resource_id string, xml string")
     tokens = S.shred(df).materialize().tokens
     assert spark.conf.get("spark.sql.adaptive.enabled") == "true"
-    marked = SEL.mark(tokens, SEL.parse(".//tei:div[@type='x']/tei:p"))
+    machine = SEL.compile_paths(".//tei:div[@type='x']/tei:p")
+    marked = machine.marked(machine.run(tokens))
     plan = selected_text(marked)._jdf.queryExecution().executedPlan().toString()
     assert "Exchange" not in plan, plan
 
