@@ -52,7 +52,7 @@ RING = 128
 #: same are cut between neighbours that no piece has inside, else searched alone.
 LANE, LONG = 128, 4096
 #: Lanes that go in step, and characters that are made into lanes at once.
-WIDTH, SLICE = 1 << 14, 1 << 21
+WIDTH, SLICE = 1 << 14, 1 << 20
 
 _BORDER = re.compile(f"(?<!{MARK}){MARK}")
 
@@ -286,7 +286,7 @@ class Lanes:
                 at = children[at][c]
             ends[at] = i
         kinds = {c: k for k, c in enumerate(sorted(often, key=lambda c: -often[c]), 1)}
-        self.kind = np.zeros(0x110000, np.int32)  # 0: in no piece
+        self.kind = np.zeros(0x110000, np.uint16 if len(kinds) < 1 << 16 else np.int32)  # 0: in no piece
         for c, k in kinds.items():
             self.kind[ord(c)] = k
         width = len(kinds) + 1
