@@ -146,7 +146,7 @@ def fit(
     """Model from labelled documents.
 
     Rows without id, text or a label of 0 or 1 are left out, so are empty texts; an id that is
-    labelled both ways counts for both.  At most about ``SAMPLE_ROWS`` rows and
+    labelled both ways counts for both, and of rows with one id the greatest text counts.  At most about ``SAMPLE_ROWS`` rows and
     ``SAMPLE_BYTES`` bytes of either label are used, chosen by a hash of the id; of a text longer
     than its share of the bytes, blocks spread over all of it.  Without rows of both labels the score is the share of good rows (one half without any).
     """
@@ -167,6 +167,8 @@ def fit(
     rows = documents.select(F.col(doc).alias("_id"), F.col(text).alias("_text")).join(F.broadcast(chosen), "_id")
     rows = rows.where(F.octet_length("_text") > 0).withColumn("_at", chance)
     rows = rows.withColumn("_text", arrow_column(_spread, "binary", F.col("_text"), F.lit(SAMPLE_BYTES // SAMPLE_TEXTS)))
+    # one text of an id that repeats, found on the way: its rows, however many, never meet in a task
+    rows = rows.groupBy("_id", "_y", "_at").agg(F.max("_text").alias("_text"))
     before = Window.partitionBy("_y").orderBy("_at", "_id", "_text").rowsBetween(Window.unboundedPreceding, -1)
     rows = rows.withColumn("_sum", F.coalesce(F.sum(F.octet_length("_text")).over(before), F.lit(0)))
     taken = rows.where(F.col("_sum") < SAMPLE_BYTES).orderBy("_at", "_id", "_text")

@@ -482,3 +482,12 @@ def test_shards_of_values_with_a_common_start_and_of_equal_rows(spark):
     out = sharding.assign(df, ["source"], shards=8).collect()
     assert sorted(Counter(r["shard"] for r in out).values()) == [100] * 8
     assert sorted((r["shard"], r["slot"]) for r in out) == [(s, k) for s in range(8) for k in range(100)]
+
+
+def test_a_labelled_id_that_repeats_counts_once(spark):
+    r = random.Random(3)
+    texts = [" ".join(r.choice("alpha beta gamma delta river stone".split() if i % 2 else "xx buy now click free".split()) for _ in range(60)) for i in range(40)]
+    labels = spark.createDataFrame([(i, i % 2) for i in range(40)], "doc_id long, quality int")
+    once = docs(spark, texts)
+    again = once.unionByName(once.where("doc_id = 5").crossJoin(spark.range(300).select(F.lit("a").alias("x"))).select("doc_id", F.substr("text", F.lit(1), F.lit(20)).alias("text")))
+    assert quality_classifier.fit(once, labels) == quality_classifier.fit(again, labels)
