@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 import os
+import tempfile
 import time
 
 from pyspark.sql import SparkSession
@@ -15,7 +16,7 @@ CPUS = os.environ.get("BENCH_CPUS", "8")
 HEADLINE = (
     "payload_accept member_edges walk_geo walk_multi_parent meta_flat temporal_long "
     "xml_nodes frag_document frag_nav frag_xpath_p frag_auto breadcrumbs full_text "
-    "doc_index search_docs vector_payloads issues request_outcome"
+    "doc_index search_docs vector_payloads issues request_outcome corpus_run mode_compare"
 ).split()
 
 
@@ -25,6 +26,7 @@ def main() -> None:
         .appName("quire-bench")
         .config("spark.sql.shuffle.partitions", CPUS)
         .config("spark.driver.memory", "16g")
+        .config("spark.checkpoint.dir", os.environ.get("BENCH_CHECKPOINT_DIR") or tempfile.mkdtemp(prefix="quire-bench-"))
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
         .getOrCreate()
