@@ -1,35 +1,38 @@
-"""Benchmark decontamination with a distributed positional inverted index.
-
-The index is sharded by document: each task turns its documents, some megabytes at a time, into
-postings of the test vocabulary (term, position), sorted by term and position.  The test windows
-are searched in every shard: a window with a term that the shard lacks is out at once; for the
-others the postings of its rarest term give the possible starts, and the offset-adjusted lists
-of its other terms are intersected with them from rare to frequent.  No row is shuffled, no
-posting outlives its shard, and test sets larger than one block are searched block by block.
+"""Benchmark decontamination with a stored, distributed positional inverted index.
+
+``index`` cuts the documents into words once and writes their postings: one row for each term and
+shard (some 256 KB of documents), with the sorted places of the term.  A place is the document's
+number in its shard, times 2**32, plus the word's number, so words of two documents never follow
+each other.  The test windows are made by Spark, equal ones once.  A search joins each window with
+the lists of its rarest term, takes the offsets off, and intersects with the list of the next rarest
+term in the same shard; what is left (hardly more than true matches) is intersected with the lists of
+the other terms.  No list is longer than its shard, so no term, passage or item is a hot key of those
+joins.  Only the set of test terms is broadcast, up to ``VOCABULARY_BYTES``; beyond that all words
+are indexed.
 """
 
 from __future__ import annotations
 
 import hashlib
 import pickle
+from collections import deque
 from collections.abc import Iterable, Iterator
-from functools import lru_cache
-from itertools import repeat
+from dataclasses import dataclass
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
-from pyspark import Broadcast
-from pyspark.sql import Column, DataFrame
+from pyspark import TaskContext
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quire.llm.common import arrow_column, broadcast_bytes, utf8
+from quire.llm.common import arrow_column, broadcast_bytes, free_name, held, ship, utf8
+from quire.session import materialize
 
 #: Text that one shard of the index holds; a longer text has a shard of its own.
-SHARD_BYTES = 4 << 20
-#: Text of test items in one block.
-BLOCK_BYTES = 4 << 20
-#: Possible starts that are looked at in one go.
-STEP = 1 << 20
+SHARD_BYTES = 1 << 18
+#: Test terms are broadcast up to this size, so that only they are indexed; else all words are.
+VOCABULARY_BYTES = 8 << 20
 
 # word bytes stay, with A-Z as a-z; every other byte parts words
 _FOLD = bytes(
@@ -43,175 +46,288 @@ def words(text: bytes) -> list[bytes]:
     return text.translate(_FOLD).split()
 
 
-class Queries:
-    """Windows of a block of test items: term ids by window and offset, -1 beyond its end."""
-
-    def __init__(self, items: list[tuple[object, bytes]], size: int) -> None:
-        self.vocabulary: dict[bytes, int] = {}
-        rows, self.item = [], []
-        for item, text in items:
-            terms = [self.vocabulary.setdefault(w, len(self.vocabulary)) for w in words(text)]
-            for at in range(max(1, len(terms) - size + 1)) if terms else ():
-                rows.append(terms[at : at + size])
-                self.item.append(item)
-        self.length = np.array([len(r) for r in rows], np.int64)
-        self.terms = np.full((len(rows), size), -1, np.int64)
-        for i, r in enumerate(rows):
-            self.terms[i, : len(r)] = r
-
-
-class Shard:
-    """Positional inverted index of some documents: sorted keys ``term * span + position``."""
-
-    def __init__(self, documents: list[list[bytes]], vocabulary: dict[bytes, int]) -> None:
-        lengths = np.array([len(d) for d in documents], np.int64)
-        self.start = np.concatenate(([0], np.cumsum(lengths)))
-        self.span = n = int(self.start[-1]) + 1
-        ids = np.empty(n - 1, np.int32)
-        for d, a, b in zip(documents, self.start, self.start[1:], strict=False):
-            ids[a:b] = np.fromiter(map(vocabulary.get, d, repeat(-1)), np.int32, b - a)
-        at = np.flatnonzero(ids >= 0)
-        known = ids[at]
-        narrow = known.astype(np.uint16) if len(vocabulary) < 1 << 16 else known
-        order = np.argsort(narrow, kind="stable")
-        self.count = np.bincount(known, minlength=len(vocabulary))
-        self.first = np.concatenate(([0], np.cumsum(self.count)))
-        self.position = at[order]
-        self.keys = known[order].astype(np.int64) * n + self.position
-
-    def document(self, position: np.ndarray) -> np.ndarray:
-        return np.searchsorted(self.start, position, "right") - 1
-
-    def exact(self, q: Queries) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        """Occurrences: windows and their starts.  A window never crosses documents."""
-        inside = q.terms >= 0
-        count = np.where(inside, self.count[q.terms], np.iinfo(np.int64).max)
-        live = np.flatnonzero(count.min(axis=1) > 0) if len(count) else np.zeros(0, np.int64)
-        if not len(live):
-            return
-        rarest = np.argsort(count[live], axis=1, kind="stable")
-        n = count[live, rarest[:, 0]]
-        bound = np.searchsorted(np.cumsum(n), np.arange(STEP, n.sum() + STEP, STEP)) + 1
-        for part in np.split(np.arange(len(live)), np.unique(bound[bound < len(live)])):
-            yield self._intersect(q, live[part], rarest[part], n[part])
-
-    def _intersect(self, q, live, rarest, n):
-        window = np.repeat(np.arange(len(live)), n)
-        term = q.terms[live, rarest[:, 0]]
-        base = np.repeat(self.first[term] - np.concatenate(([0], np.cumsum(n)[:-1])), n)
-        start = self.position[base + np.arange(n.sum())] - rarest[window, 0]
-        for k in range(1, q.terms.shape[1]):
-            offset = rarest[window, k]
-            term = q.terms[live[window], offset]
-            key = term * self.span + start + offset
-            at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
-            good = (term < 0) | ((start >= 0) & (start + offset < self.span) & (self.keys[at] == key))
-            window, start = window[good], start[good]
-        last = start + q.length[live[window]] - 1
-        good = (start >= 0) & (last < self.span - 1)
-        window, start, last = window[good], start[good], last[good]
-        good = self.document(start) == self.document(last)
-        return live[window[good]], start[good]
-
-    def near(self, q: Queries, within: int) -> tuple[np.ndarray, np.ndarray]:
-        """Windows, and positions of their rarest term that have every other term at most
-        ``within`` words away in the same document, in any order."""
-        found: list[tuple[int, np.ndarray]] = []
-        for w in range(len(q.terms)):
-            terms = np.unique(q.terms[w][q.terms[w] >= 0])
-            count = self.count[terms]
-            if not count.min():
-                continue
-            terms = terms[np.argsort(count, kind="stable")]
-            at = self.position[self.first[terms[0]] : self.first[terms[0] + 1]]
-            low = np.maximum(at - within, self.start[self.document(at)])
-            high = np.minimum(at + within, self.start[self.document(at) + 1] - 1)
-            for t in terms[1:]:
-                p = self.position[self.first[t] : self.first[t + 1]]
-                i = np.searchsorted(p, low)
-                good = p[np.minimum(i, len(p) - 1)] <= high
-                good &= i < len(p)
-                at, low, high = at[good], low[good], high[good]
-            if len(at):
-                found.append((w, at))
-        if not found:
-            return np.zeros(0, np.int64), np.zeros(0, np.int64)
-        return (
-            np.concatenate([np.full(len(a), w) for w, a in found]),
-            np.concatenate([a for _, a in found]),
+class Vocabulary:
+    """Numbers of the test terms."""
+
+    def __init__(self, data: bytes) -> None:
+        listed = pickle.loads(data)
+        self.terms = pa.array(listed, pa.binary())
+        self.number = {t: i for i, t in enumerate(listed)}
+
+
+def posted(documents: list[list[bytes]], known: Vocabulary | None) -> tuple[pa.Array, np.ndarray, pa.Array]:
+    """Terms of a shard with the number and the sorted list of their places."""
+    lengths = np.fromiter(map(len, documents), np.int64, len(documents))
+    n = int(lengths.sum())
+    flat = chain.from_iterable(documents)
+    if known is None:
+        own: dict[bytes, int] = {}
+        ids = np.fromiter((own.setdefault(w, len(own)) for w in flat), np.int32, n)
+        terms = pa.array(list(own), pa.binary())
+    else:
+        ids = np.fromiter(map(known.number.get, flat, repeat(-1)), np.int32, n)
+        terms = known.terms
+    first = np.repeat(np.cumsum(lengths) - lengths, lengths)
+    place = (np.repeat(np.arange(len(documents), dtype=np.int64), lengths) << 32) + np.arange(n) - first
+    at = np.flatnonzero(ids >= 0)
+    order = at[np.argsort(ids[at], kind="stable")]
+    count = np.bincount(ids[order], minlength=len(terms))
+    present = np.flatnonzero(count)
+    ends = np.concatenate(([0], np.cumsum(count[present])))
+    lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(place[order], pa.int64()))
+    return terms.take(pa.array(present, pa.int64())), count[present], lists
+
+
+@dataclass(frozen=True)
+class Index:
+    """``postings`` (term, shard, n, places) and ``documents`` (shard, number, digest, n_words,
+    row: the other columns of the document), both stored in the shared folder."""
+
+    postings: DataFrame
+    documents: DataFrame
+
+
+def index(documents: DataFrame, text: str = "text", terms: DataFrame | None = None) -> Index:
+    """Postings of the words of ``text``; with ``terms`` (a column ``term``) of those only.
+
+    Null and empty texts have no words and no postings, but a row among the documents.  Columns of
+    the documents may have any names.  A shard is made in one task, from neighbouring rows.
+    """
+    spark = documents.sparkSession
+    ship(spark)
+    data = None
+    if terms is not None:
+        size = terms.agg(F.sum(F.octet_length("term") + 16).alias("size")).head()["size"] or 0
+        if size <= VOCABULARY_BYTES:
+            data = broadcast_bytes(spark, pickle.dumps(sorted(bytes(r["term"]) for r in terms.collect())))
+    others = [F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(documents.columns) if c != text]
+    rows = documents.select(F.struct(F.lit(True).alias("row"), *others).alias("row"), F.col(f"`{text}`").alias("text"))
+
+    def build(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = None if data is None else held("test terms", data.value, Vocabulary)
+        shard = TaskContext.get().partitionId() << 32
+
+        def made(texts: list[list[bytes]], digests: list[str], row: pa.Array) -> Iterator[pa.RecordBatch]:
+            def batch(rows: int, **columns) -> pa.RecordBatch:
+                kinds = {
+                    "shard": pa.int64(), "term": pa.binary(), "n": pa.int64(), "places": pa.list_(pa.int64()),
+                    "number": pa.int64(), "digest": pa.string(), "n_words": pa.int64(), "row": row.type,
+                }
+                columns["shard"] = np.full(rows, shard)
+                full = [columns.get(c) for c in kinds]
+                return pa.RecordBatch.from_arrays(
+                    [pa.nulls(rows, k) if c is None else c if isinstance(c, pa.Array) else pa.array(c, k) for c, k in zip(full, kinds.values(), strict=True)],
+                    list(kinds),
+                )
+
+            yield batch(len(texts), number=range(len(texts)), digest=digests, n_words=[len(t) for t in texts], row=row)
+            term, n, places = posted(texts, known)
+            if len(term):
+                yield batch(len(term), term=term, n=n, places=places)
+
+        for batch in batches:
+            row, texts, digests, size = batch.column(0), [], [], 0
+            for i, t in enumerate(utf8(batch.column(1))):
+                if texts and size + len(t) > SHARD_BYTES:
+                    yield from made(texts, digests, row.slice(i - len(texts), len(texts)))
+                    shard, texts, digests, size = shard + 1, [], [], 0
+                texts.append(words(t))
+                digests.append(hashlib.sha256(t).hexdigest())
+                size += len(t)
+            if texts:
+                yield from made(texts, digests, row.slice(len(row) - len(texts)))
+                shard += 1
+
+    kind = rows.schema["row"].dataType.simpleString()
+    stored = materialize(
+        rows.mapInArrow(
+            build,
+            "shard long, term binary, n long, places array<long>, number long, digest string, n_words long, row " + kind,
+        ),
+        "postings",
+    )
+    own = [F.col(f"row.c{i}").alias(c) for i, c in enumerate(documents.columns) if c != text]
+    places = stored.where("term is null").select(
+        "shard", "number", "digest", "n_words",
+        F.struct(*own or [F.lit(True).alias("row")]).alias("row"),
+    )
+    return Index(stored.where("term is not null").select("term", "shard", "n", "places"), places)
+
+
+def windows(items: DataFrame, item: str, text: str, size: int) -> DataFrame:
+    """``item`` (string), ``window`` (a digest of its words) and ``terms`` of all windows, equal
+    ones of an item once, stored in the shared folder."""
+
+    def cut(texts: pa.Array) -> pa.Array:
+        return pa.array([words(t) for t in utf8(texts)], pa.list_(pa.binary()))
+
+    cuts = F.transform(
+        F.sequence(F.lit(1), F.greatest(F.size("words") - size + 1, F.lit(1))), lambda i: F.slice("words", i, size)
+    )
+    each = (
+        items.select(
+            F.coalesce(F.col(item).cast("string"), F.lit("None")).alias("item"),
+            arrow_column(cut, "array<binary>", F.col(text)).alias("words"),
         )
-
-
-@lru_cache(maxsize=8)
-def queries(block: bytes, size: int) -> Queries:
-    return Queries(pickle.loads(block), size)
-
-
-def blocks(items: DataFrame, item: str, text: str) -> Iterator[Broadcast]:
-    """The test items in broadcasts of bounded size; the driver holds one block at a time."""
-    spark, held, size = items.sparkSession, [], 0
-    for i, t in items.select(item, text).toLocalIterator():
-        data = (t or "").encode()
-        if held and size + len(data) > BLOCK_BYTES:
-            yield broadcast_bytes(spark, pickle.dumps(held))
-            held, size = [], 0
-        held.append((i, data))
-        size += len(data)
-    if held:
-        yield broadcast_bytes(spark, pickle.dumps(held))
-
-
-def shards(texts: Iterable[bytes]) -> Iterator[list[list[bytes]]]:
-    held, size = [], 0
-    for t in texts:
-        if held and size + len(t) > SHARD_BYTES:
-            yield held
-            held, size = [], 0
-        held.append(words(t))
-        size += len(t)
-    if held:
-        yield held
+        .where("size(words) > 0")
+        .select("item", F.explode(cuts).alias("terms"))
+    )
+    digest = F.unhex(F.sha2(F.array_join(F.col("terms").cast("array<string>"), " "), 256))
+    return materialize(each.withColumn("window", digest).dropDuplicates(["item", "window"]), "windows")
+
+
+def _ranked(found: Index, cut: DataFrame) -> DataFrame:
+    """Windows all of whose terms occur: ``window``, ``length`` and ``terms`` (n, offset, term)
+    from the rarest."""
+    count = found.postings.groupBy("term").agg(F.sum("n").alias("n"))
+    each = cut.dropDuplicates(["window"]).select("window", F.size("terms").alias("length"), F.posexplode("terms").alias("offset", "term"))
+    ranked = each.join(count, "term").groupBy("window", "length").agg(
+        F.array_sort(F.collect_list(F.struct("n", "offset", "term"))).alias("terms")
+    )
+    return materialize(ranked.where(F.size("terms") == F.col("length")), "ranked")
+
+
+def _starts(offset: str = "offset") -> Column:
+    return F.transform("places", lambda p: p - F.col(offset))
+
+
+def occurrences(found: Index, cut: DataFrame) -> DataFrame:
+    """``window``, ``length``, ``shard`` and ``starts``: where all words of a window follow each
+    other."""
+    live = _ranked(found, cut)
+    postings = found.postings.drop("n")
+    nth = lambda i: [F.col("terms")[i]["term"].alias("term"), F.col("terms")[i]["offset"].alias("offset")]
+    rarest = live.select("window", "length", *nth(0), F.get("terms", F.lit(1)).alias("next")).join(postings, "term")
+    rarest = rarest.select("window", "length", "shard", _starts().alias("starts"), "next.term", F.col("next.offset").alias("offset"))
+    single = rarest.where("length = 1").select("window", "length", "shard", "starts")
+    both = F.array_intersect("starts", _starts())
+    pairs = (
+        rarest.where("length > 1")
+        .join(postings, ["term", "shard"])
+        .select("window", "length", "shard", both.alias("starts"))
+        .where("size(starts) > 0")
+    )
+    pairs = materialize(pairs, "pairs")
+    others = live.where("length > 2").select("window", F.explode(F.slice("terms", 3, F.col("length"))).alias("t"))
+    rest = (
+        pairs.join(others.select("window", "t.term", "t.offset"), "window")
+        .join(postings, ["term", "shard"])
+        .select("window", "length", "shard", both.alias("starts"))
+        .where("size(starts) > 0")
+        .groupBy("window", "length", "shard")
+        .agg(F.collect_list("starts").alias("lists"))
+        .where("size(lists) = length - 2")
+    )
+    all_of = F.aggregate("lists", F.col("lists")[0], F.array_intersect)
+    rest = rest.select("window", "length", "shard", all_of.alias("starts")).where("size(starts) > 0")
+    return materialize(single.unionByName(pairs.where("length = 2")).unionByName(rest), "occurrences")
+
+
+def spans(lists: list[tuple[int, list[int]]], within: int) -> list[tuple[int, int]]:
+    """Start and length of the stretches of ``within`` words at most that have ``need`` places of
+    each list ``(need, places)``, and no shorter such stretch inside."""
+    events = sorted((p, k) for k, (_, places) in enumerate(lists) for p in places)
+    lacking, have, held_here = len(lists), [0] * len(lists), deque()
+    out: list[tuple[int, int]] = []
+    for p, k in events:
+        held_here.append((p, k))
+        have[k] += 1
+        lacking -= have[k] == lists[k][0]
+        # of what starts earlier nothing is needed
+        while have[held_here[0][1]] > lists[held_here[0][1]][0] or p - held_here[0][0] >= within:
+            _, j = held_here.popleft()
+            lacking += have[j] == lists[j][0]
+            have[j] -= 1
+        if not lacking and not (out and out[-1][0] == held_here[0][0]):
+            out.append((held_here[0][0], p - held_here[0][0] + 1))
+    return out
+
+
+def nearby(found: Index, cut: DataFrame, within: int) -> DataFrame:
+    """``window``, ``shard``, ``start`` and ``length`` of the shortest stretches of ``within``
+    words at most, in one document, that have every word of a window, in any order and as often
+    as the window has it."""
+    live = _ranked(found, cut)
+    postings = found.postings.drop("n")
+    rarest = live.select("window", F.col("terms")[0]["term"].alias("term")).join(postings.drop("places"), "term")
+    need = live.select("window", F.explode("terms.term").alias("term")).groupBy("window", "term").agg(F.count("*").alias("need"))
+    kinds = live.select("window", F.size(F.array_distinct("terms.term")).alias("kinds"))
+
+    def judge(columns: pa.Array) -> pa.Array:
+        made = [
+            [{"start": a, "length": n} for a, n in spans([(x["need"], x["places"]) for x in lists], within)]
+            for lists in (c.as_py() for c in columns)
+        ]
+        return pa.array(made, pa.list_(pa.struct([("start", pa.int64()), ("length", pa.int64())])))
+
+    lists = (
+        rarest.select("window", "shard")
+        .join(need, "window")
+        .join(postings, ["term", "shard"])
+        .where(F.size("places") >= F.col("need"))
+        .groupBy("window", "shard")
+        .agg(F.collect_list(F.struct("need", "places")).alias("lists"))
+        .join(kinds, "window")
+        .where("size(lists) = kinds")
+    )
+    near = arrow_column(judge, "array<struct<start:long,length:long>>", F.col("lists"))
+    return lists.select("window", "shard", F.explode(near).alias("m")).select("window", "shard", "m.start", "m.length")
+
+
+def _number(start: str) -> Column:
+    return F.shiftright(F.col(start), 32)
 
 
 def contamination(
-    text: Column, items: DataFrame, item: str = "item_id", item_text: str = "text", size: int = 13
-) -> Column:
-    """Struct of ``n_words``, ``n_hit``, ``n_items``, ``items_sha256`` for each text.
+    documents: DataFrame,
+    items: DataFrame,
+    text: str = "text",
+    item: str = "item_id",
+    item_text: str = "text",
+    size: int = 13,
+) -> DataFrame:
+    """For each document: ``row`` (struct of its columns but the text), ``digest`` (SHA-256 of the
+    text, lowercase hex), ``n_words``, ``n_hit``, ``n_items``, ``items_sha256``.
 
     A window is ``size`` consecutive words of an item; an item of fewer words, but not none, is
     one window.  A word inside any occurrence of a window is hit.  ``n_items`` counts distinct
     item ids with an occurring window, ``items_sha256`` digests those ids sorted as strings and
     joined by commas.  Null and empty texts have no words; null and empty items, and an empty
-    table of items, never occur; items with equal ids count as one.
+    table of items, never occur; items with equal ids count as one.  Repeated documents each
+    have their row.
     """
-    held = list(blocks(items, item, item_text))
-
-    def judge(texts: pa.Array) -> pa.Array:
-        rows: list[tuple[int, int, int, str]] = []
-        for documents in shards(utf8(texts)):
-            total = sum(map(len, documents))
-            hit, by_document = np.zeros(total + 1, np.int32), [set() for _ in documents]
-            start = np.concatenate(([0], np.cumsum([len(d) for d in documents])))
-            for b in held:
-                q = queries(b.value, size)
-                index = Shard(documents, q.vocabulary)
-                for window, at in index.exact(q):
-                    np.add.at(hit, at, 1)
-                    np.add.at(hit, at + q.length[window], -1)
-                    for w, d in set(zip(window.tolist(), index.document(at).tolist(), strict=True)):
-                        by_document[d].add(str(q.item[w]))
-            inside = np.concatenate(([0], np.cumsum(np.cumsum(hit[:-1]) > 0)))
-            for d, found in enumerate(by_document):
-                digest = hashlib.sha256(",".join(sorted(found)).encode()).hexdigest()
-                rows.append((len(documents[d]), int(inside[start[d + 1]] - inside[start[d]]), len(found), digest))
-        names = ["n_words", "n_hit", "n_items", "items_sha256"]
-        columns = zip(*rows, strict=True) if rows else ([], [], [], [])
-        kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string()]
-        return pa.StructArray.from_arrays(
-            [pa.array(list(c), k) for c, k in zip(columns, kinds, strict=True)], names
+    cut = windows(items, item, item_text, size)
+    found = index(documents, text, cut.select(F.explode("terms").alias("term")).distinct())
+    occurring = occurrences(found, cut)
+    document = ["shard", "number"]
+    starts = (
+        occurring.select("shard", "length", F.explode("starts").alias("start"))
+        .groupBy("shard", _number("start").alias("number"), "start")
+        .agg(F.max(F.col("start") + F.col("length")).alias("end"))
+    )
+    before = F.max("end").over(Window.partitionBy(*document).orderBy("start").rowsBetween(Window.unboundedPreceding, -1))
+    new = F.greatest(F.col("end") - F.greatest(F.col("start"), F.coalesce(before, F.col("start"))), F.lit(0))
+    hits = starts.withColumn("new", new).groupBy(*document).agg(F.sum("new").alias("n_hit"))
+    numbers = F.array_distinct(F.transform("starts", lambda s: F.shiftright(s, 32)))
+    ids = (
+        occurring.select("window", "shard", F.explode(numbers).alias("number"))
+        .join(cut.select("window", "item"), "window")
+        .groupBy(*document)
+        .agg(F.array_sort(F.collect_set("item")).alias("items"))
+    )
+    listed = F.coalesce("items", F.array().cast("array<string>"))
+    return (
+        found.documents.join(hits, document, "left")
+        .join(ids, document, "left")
+        .select(
+            "row",
+            "digest",
+            "n_words",
+            F.coalesce("n_hit", F.lit(0)).cast("long").alias("n_hit"),
+            F.size(listed).cast("long").alias("n_items"),
+            F.sha2(F.array_join(listed, ","), 256).alias("items_sha256"),
         )
-
-    return arrow_column(judge, "n_words long, n_hit long, n_items long, items_sha256 string", text)
+    )
 
 
 def matches(
@@ -227,28 +343,31 @@ def matches(
     """One row for each place where a window of an item occurs: ``doc``, ``item`` (string),
     ``start`` (word of the document, from 0) and ``length``.
 
-    With ``within``, proximity matches instead: ``start`` is the place of the window's rarest
-    term in the shard, all other terms lie at most ``within`` words from it, in any order, and
-    ``length`` is the window's number of words.
+    With ``within``, proximity matches instead: the stretches of ``within`` words at most that
+    have every word of a window, in any order, as often as the window has it, and no shorter such
+    stretch inside.  They do not depend on how documents are dealt to shards.
     """
-    held = list(blocks(items, item, item_text))
-    kind = "array<struct<item:string,start:long,length:long>>"
-
-    def find(texts: pa.Array) -> pa.Array:
-        out: list[list[dict]] = []
-        for group in shards(utf8(texts)):
-            rows: list[list[dict]] = [[] for _ in group]
-            for b in held:
-                q = queries(b.value, size)
-                index = Shard(group, q.vocabulary)
-                for window, at in index.exact(q) if within is None else [index.near(q, within)]:
-                    for w, d, p in zip(window.tolist(), index.document(at).tolist(), at.tolist(), strict=True):
-                        rows[d].append({"item": str(q.item[w]), "start": p - int(index.start[d]), "length": int(q.length[w])})
-            out += rows
-        return pa.array(out, pa.list_(pa.struct([("item", pa.string()), ("start", pa.int64()), ("length", pa.int64())])))
-
-    found = documents.select(F.col(doc), F.explode(arrow_column(find, kind, F.col(text))).alias("m"))
-    return found.select(doc, F.col("m.item").alias(item), "m.start", "m.length")
+    cut = windows(items, item, item_text, size)
+    found = index(documents, text, cut.select(F.explode("terms").alias("term")).distinct())
+    if within is None:
+        places = occurrences(found, cut).select("window", "shard", F.explode("starts").alias("start"), F.col("length").cast("long").alias("length"))
+    else:
+        places = nearby(found, cut, within)
+    return (
+        places.join(cut.select("window", "item"), "window")
+        .withColumn("number", _number("start"))
+        .join(found.documents, ["shard", "number"])
+        .select(F.col(f"row.`{doc}`").alias(doc), F.col("item").alias(item), F.col("start").bitwiseAND((1 << 32) - 1).alias("start"), "length")
+    )
+
+
+def without(documents: DataFrame, items: DataFrame, text: str = "text", **columns) -> DataFrame:
+    """The documents that are not contaminated; columns as they were, repeated rows too."""
+    found = contamination(documents.select(text), items, text, **columns)
+    name = free_name(documents, "digest")
+    digests = found.where(contaminated()).select(F.col("digest").alias(name)).distinct()
+    own = F.sha2(F.coalesce(F.col(f"`{text}`"), F.lit("")).cast("binary"), 256)
+    return documents.join(digests, own == F.col(name), "left_anti")
 
 
 def contaminated(n_hit: str = "n_hit", n_words: str = "n_words") -> Column:

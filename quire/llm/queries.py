@@ -48,8 +48,9 @@ def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, items = table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")
-    found = docs.select("doc_id", decontaminate.contamination(F.col("text"), items).alias("c")).select("doc_id", "c.*")
-    return found.withColumn("contaminated", decontaminate.contaminated())
+    found = decontaminate.contamination(docs.select("doc_id", "text"), items)
+    figures = ["n_words", "n_hit", "n_items", "items_sha256"]
+    return found.select("row.doc_id", *figures).withColumn("contaminated", decontaminate.contaminated())
 
 
 def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -137,9 +137,14 @@ def test_every_component_keeps_one_row(spark, odd, empty):
 # --- contamination
 
 
+def contaminations(documents, items):
+    return decontaminate.contamination(documents, items).select("row.doc_id", "n_words", "n_hit", "n_items", "items_sha256")
+
+
 def test_contamination_odd_rows(spark, odd, empty):
     items = spark.createDataFrame([(10, "Four FIVE"), (9, "three four five"), (9, "w w"), (8, None), (7, ""), (None, "zz")], "item_id long, text string")
-    row = odd.select("doc_id", decontaminate.contamination(F.col("text"), items).alias("c")).select("doc_id", "c.*")
+    row = contaminations(odd, items)
+    assert row.count() == odd.count()
     got = {x["doc_id"]: x for x in row.collect()}
     assert (got[4]["n_words"], got[4]["n_hit"], got[4]["n_items"]) == (5, 3, 2)
     assert (got[5]["n_words"], got[5]["n_hit"], got[5]["n_items"]) == (60_000, 60_000, 1)
@@ -147,19 +152,79 @@ def test_contamination_odd_rows(spark, odd, empty):
     import hashlib
 
     assert got[4]["items_sha256"] == hashlib.sha256(b"10,9").hexdigest()
-    none = odd.select(decontaminate.contamination(F.col("text"), items.where("1 = 0")).alias("c"))
-    assert none.where("c.n_hit > 0").count() == 0
-    assert empty.select(decontaminate.contamination(F.col("text"), items).alias("c")).count() == 0
+    none = contaminations(odd, items.where("1 = 0"))
+    assert none.count() == odd.count() and none.where("n_hit > 0").count() == 0
+    assert contaminations(empty, items).count() == 0
     hits = decontaminate.matches(odd.where("doc_id = 4"), items)
     assert sorted(map(tuple, hits.collect())) == [(4, "10", 3, 2), (4, "9", 2, 3)]
 
 
-def test_blocks_change_nothing(spark, monkeypatch):
+def slow_matches(documents, items, size):
+    out = set()
+    for d, doc in documents:
+        w = decontaminate.words((doc or "").encode())
+        for i, item in items:
+            q = decontaminate.words((item or "").encode())
+            n = min(size, len(q))
+            for a in range(len(q) - n + 1 if n else 0):
+                out |= {(d, i, p, n) for p in range(len(w) - n + 1) if w[p : p + n] == q[a : a + n]}
+    return out
+
+
+def slow_near(documents, items, size, within):
+    out = set()
+    for d, doc in documents:
+        w = decontaminate.words((doc or "").encode())
+        for i, item in items:
+            q = decontaminate.words((item or "").encode())
+            for a in range(max(1, len(q) - size + 1) if q else 0):
+                need = Counter(q[a : a + size])
+                full = {(x, y) for x in range(len(w)) for y in range(x, min(x + within, len(w))) if not need - Counter(w[x : y + 1])}
+                out |= {(d, i, x, y - x + 1) for x, y in full if not any((u, v) != (x, y) and x <= u and v <= y for u, v in full)}
+    return out
+
+
+@pytest.mark.parametrize("shard, vocabulary", [(1 << 18, 8 << 20), (30, 0)])
+def test_index_finds_every_window(spark, monkeypatch, shard, vocabulary):
+    monkeypatch.setattr(decontaminate, "SHARD_BYTES", shard)
+    monkeypatch.setattr(decontaminate, "VOCABULARY_BYTES", vocabulary)
+    r = random.Random(6)
+    text = lambda n: " ".join(r.choice("abcd") for _ in range(n))
+    documents = [(i, text(r.randint(0, 40))) for i in range(30)] + [(30, ""), (31, "..."), (32, None)]
+    items = [(str(i), text(n)) for i, n in enumerate([0, 1, 2, 2, 3, 4, 5, 6, 7, 8, 9])]
+    d, q = spark.createDataFrame(documents, "doc_id long, text string"), spark.createDataFrame(items, "item_id string, text string")
+    found = sorted(map(tuple, decontaminate.matches(d, q, size=4).collect()))
+    assert found == sorted(slow_matches(documents, items, 4))
+    near = {tuple(x) for x in decontaminate.matches(d, q, size=4, within=6).collect()}
+    assert near == slow_near(documents, items, 4, 6)
+
+
+def test_repeated_words_take_linear_time(spark):
+    import time
+
+    documents = spark.createDataFrame([(1, "x " * 400_000), (2, "x y " * 9)], "doc_id long, text string")
+    items = spark.createDataFrame([(1, "x " * 1000), (2, "x " * 40 + "y"), (3, "x " * 1000)], "item_id long, text string")
+    started = time.time()
+    got = {x["doc_id"]: tuple(x)[1:4] for x in contaminations(documents, items).collect()}
+    assert got == {1: (400_000, 400_000, 3), 2: (18, 0, 0)}
+    assert time.time() - started < 60
+
+
+def test_documents_without_contamination_keep_their_columns(spark):
+    rows = [(1, "a b c", "s"), (1, "a b c", "s"), (None, None, None), (2, "q r", "t"), (2, "q r", "t"), (3, "", None)]
+    documents = spark.createDataFrame(rows, "`_digest` long, text string, `n_hit` string")
+    items = spark.createDataFrame([(1, "A b")], "item_id long, text string")
+    left = decontaminate.without(documents, items)
+    assert left.columns == documents.columns
+    assert Counter(map(tuple, left.collect())) == Counter(rows[2:])
+
+
+def test_shards_change_nothing(spark, monkeypatch):
     items = spark.read.parquet(f"{SF}/benchmark.parquet")
-    table = spark.read.parquet(f"{SF}/documents.parquet")
-    rows = lambda: sorted(map(str, table.select("doc_id", decontaminate.contamination(F.col("text"), items).alias("c")).collect()))
+    table = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text")
+    rows = lambda: sorted(map(str, contaminations(table, items).collect()))
     whole = rows()
-    monkeypatch.setattr(decontaminate, "BLOCK_BYTES", 1000)
+    monkeypatch.setattr(decontaminate, "VOCABULARY_BYTES", 0)
     monkeypatch.setattr(decontaminate, "SHARD_BYTES", 5000)
     assert rows() == whole and any("n_hit=0" not in r for r in whole)
 

@@ -1,5 +1,6 @@
 """Tokenizers, fingerprints and windows against their libraries and brute force."""
 
+import pickle
 import random
 
 import numpy as np
@@ -192,43 +193,39 @@ def test_fingerprint():
         assert simhash.fingerprint(t.encode()) == slow_fingerprint(t)
 
 
-def slow_windows(documents, items, size):
-    out = set()
-    for d, doc in enumerate(documents):
-        w = decontaminate.words(doc)
-        for i, item in enumerate(items):
-            q = decontaminate.words(item)
-            n = min(size, len(q))
-            for a in range(len(q) - n + 1 if n else 0):
-                out |= {(d, i, p) for p in range(len(w) - n + 1) if w[p : p + n] == q[a : a + n]}
-    return out
-
-
-@pytest.mark.parametrize("step", [5, 1 << 20])
-def test_index_finds_every_window(monkeypatch, step):
-    monkeypatch.setattr(decontaminate, "STEP", step)
-    r = random.Random(6)
-    for _ in range(40):
-        text = lambda n: " ".join(r.choice("abcd") for _ in range(n)).encode()
-        documents = [text(r.randint(0, 40)) for _ in range(6)] + [b"", b"..."]
-        items = [text(r.randint(0, 9)) for _ in range(5)]
-        q = decontaminate.Queries(list(enumerate(items)), 4)
-        index = decontaminate.Shard([decontaminate.words(d) for d in documents], q.vocabulary)
-        got = set()
-        for window, at in index.exact(q):
-            d = index.document(at)
-            got |= {(x, q.item[w], p) for x, w, p in zip(d.tolist(), window.tolist(), (at - index.start[d]).tolist())}
-        assert got == slow_windows(documents, items, 4)
-
-
-def test_index_proximity():
-    q = decontaminate.Queries([(7, b"alpha beta gamma")], 3)
-    docs = [b"gamma x alpha y beta", b"alpha x x x x x beta gamma", b"alpha beta", b"gamma"]
-    index = decontaminate.Shard([decontaminate.words(d) for d in docs], q.vocabulary)
-    _, at = index.near(q, 4)
-    assert set(index.document(at).tolist()) == {0}
-    _, at = index.near(q, 7)
-    assert set(index.document(at).tolist()) == {0, 1}
+def slow_spans(lists, within):
+    places = sorted({p for _, l in lists for p in l})
+    full = {
+        (a, b - a + 1)
+        for a in places for b in places
+        if a <= b < a + within and all(sum(a <= p <= b for p in l) >= n for n, l in lists)
+    }
+    return {(a, n) for a, n in full if not any((c, m) != (a, n) and a <= c and c + m <= a + n for c, m in full)}
+
+
+def test_shortest_stretches():
+    r = random.Random(8)
+    for _ in range(400):
+        free = list(range(24))
+        r.shuffle(free)
+        lists = []
+        for _ in range(r.randint(1, 3)):
+            own = sorted(free.pop() for _ in range(r.randint(1, 6)))
+            lists.append((r.randint(1, 3), own))
+        within = r.randint(1, 12)
+        got = decontaminate.spans(lists, within)
+        assert len(got) == len(set(got)) and set(got) == slow_spans(lists, within), (lists, within)
+
+
+def test_postings_of_a_shard():
+    known = decontaminate.Vocabulary(pickle.dumps([b"a", b"b", b"none"]))
+    texts = [b"a b x a".split(), [], b"b".split()]
+    for vocabulary, listed in ((known, {b"a", b"b"}), (None, {b"a", b"b", b"x"})):
+        terms, n, places = decontaminate.posted(texts, vocabulary)
+        got = dict(zip(terms.to_pylist(), places.to_pylist(), strict=True))
+        assert set(got) == listed and [len(x) for x in places.to_pylist()] == n.tolist()
+        assert got[b"a"] == [0, 3] and got[b"b"] == [1, 2 << 32]
+    assert len(decontaminate.posted([[]], known)[0]) == len(decontaminate.posted([], None)[0]) == 0
 
 
 def test_words_of_the_contract():
