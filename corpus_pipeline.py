@@ -31,9 +31,7 @@ def dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that are not contaminated by a benchmark item."""
-    name = free_name(docs, "contamination")
-    found = docs.withColumn(name, decontaminate.contamination(F.col("text"), table(spark, sf_dir, "benchmark")))
-    return found.where(~decontaminate.contaminated(f"{name}.n_hit", f"{name}.n_words")).drop(name)
+    return decontaminate.without(docs, table(spark, sf_dir, "benchmark"))
 
 
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
