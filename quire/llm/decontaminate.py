@@ -1,9 +1,9 @@
 """Benchmark decontamination with a stored, distributed positional inverted index.
 
 ``index`` cuts the documents into words once and writes their postings: one row for each term and
-shard (some 256 KB of documents), with the sorted places of the term.  A place is the document's
-number in its shard, times 2**32, plus the word's number, so words of two documents never follow
-each other.  The test windows are made by Spark, equal ones once.  A search joins each window with
+shard (some 256 KB of documents), with the sorted places of the term.  Places number the words of a
+shard, with one number left out between documents, so words of two documents never follow each
+other.  The test windows are made by Spark, equal ones once.  A search joins each window with
 the lists of its rarest term, takes the offsets off, and intersects with the list of the next rarest
 term in the same shard; what is left (hardly more than true matches) is intersected with the lists of
 the other terms.  No list is longer than its shard, so no term, passage or item is a hot key of those
@@ -18,7 +18,7 @@ import pickle
 from collections import deque
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
-from itertools import chain, repeat
+from itertools import accumulate, chain, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -33,6 +33,8 @@ from quire.session import materialize
 SHARD_BYTES = 1 << 18
 #: Test terms are broadcast up to this size, so that only they are indexed; else all words are.
 VOCABULARY_BYTES = 8 << 20
+#: So many starts are looked up one by one in a list, more are intersected with it.
+FEW = 16
 
 # word bytes stay, with A-Z as a-z; every other byte parts words
 _FOLD = bytes(
@@ -56,7 +58,8 @@ class Vocabulary:
 
 
 def posted(documents: list[list[bytes]], known: Vocabulary | None) -> tuple[pa.Array, np.ndarray, pa.Array]:
-    """Terms of a shard with the number and the sorted list of their places."""
+    """Terms of a shard with the number and the sorted list of their places; the place of the
+    first word of a document is the words and the documents before it."""
     lengths = np.fromiter(map(len, documents), np.int64, len(documents))
     n = int(lengths.sum())
     flat = chain.from_iterable(documents)
@@ -67,21 +70,20 @@ def posted(documents: list[list[bytes]], known: Vocabulary | None) -> tuple[pa.A
     else:
         ids = np.fromiter(map(known.number.get, flat, repeat(-1)), np.int32, n)
         terms = known.terms
-    first = np.repeat(np.cumsum(lengths) - lengths, lengths)
-    place = (np.repeat(np.arange(len(documents), dtype=np.int64), lengths) << 32) + np.arange(n) - first
+    place = np.arange(n) + np.repeat(np.arange(len(documents)), lengths)
     at = np.flatnonzero(ids >= 0)
     order = at[np.argsort(ids[at], kind="stable")]
     count = np.bincount(ids[order], minlength=len(terms))
     present = np.flatnonzero(count)
     ends = np.concatenate(([0], np.cumsum(count[present])))
-    lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(place[order], pa.int64()))
+    lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(place[order], pa.int32()))
     return terms.take(pa.array(present, pa.int64())), count[present], lists
 
 
 @dataclass(frozen=True)
 class Index:
-    """``postings`` (term, shard, n, places) and ``documents`` (shard, number, digest, n_words,
-    row: the other columns of the document), both stored in the shared folder."""
+    """``postings`` (term, shard, n, places) and ``documents`` (shard, first: the place of its first
+    word, digest, n_words, row: the other columns), both stored in the shared folder."""
 
     postings: DataFrame
     documents: DataFrame
@@ -110,8 +112,8 @@ def index(documents: DataFrame, text: str = "text", terms: DataFrame | None = No
         def made(texts: list[list[bytes]], digests: list[str], row: pa.Array) -> Iterator[pa.RecordBatch]:
             def batch(rows: int, **columns) -> pa.RecordBatch:
                 kinds = {
-                    "shard": pa.int64(), "term": pa.binary(), "n": pa.int64(), "places": pa.list_(pa.int64()),
-                    "number": pa.int64(), "digest": pa.string(), "n_words": pa.int64(), "row": row.type,
+                    "shard": pa.int64(), "term": pa.binary(), "n": pa.int64(), "places": pa.list_(pa.int32()),
+                    "first": pa.int32(), "digest": pa.string(), "n_words": pa.int64(), "row": row.type,
                 }
                 columns["shard"] = np.full(rows, shard)
                 full = [columns.get(c) for c in kinds]
@@ -120,7 +122,9 @@ def index(documents: DataFrame, text: str = "text", terms: DataFrame | None = No
                     list(kinds),
                 )
 
-            yield batch(len(texts), number=range(len(texts)), digest=digests, n_words=[len(t) for t in texts], row=row)
+            lengths = [len(t) for t in texts]
+            first = [*accumulate((n + 1 for n in lengths[:-1]), initial=0)]
+            yield batch(len(texts), first=first, digest=digests, n_words=lengths, row=row)
             term, n, places = posted(texts, known)
             if len(term):
                 yield batch(len(term), term=term, n=n, places=places)
@@ -142,13 +146,13 @@ def index(documents: DataFrame, text: str = "text", terms: DataFrame | None = No
     stored = materialize(
         rows.mapInArrow(
             build,
-            "shard long, term binary, n long, places array<long>, number long, digest string, n_words long, row " + kind,
+            "shard long, term binary, n long, places array<int>, first int, digest string, n_words long, row " + kind,
         ),
         "postings",
     )
     own = [F.col(f"row.c{i}").alias(c) for i, c in enumerate(documents.columns) if c != text]
     places = stored.where("term is null").select(
-        "shard", "number", "digest", "n_words",
+        "shard", "first", "digest", "n_words",
         F.struct(*own or [F.lit(True).alias("row")]).alias("row"),
     )
     return Index(stored.where("term is not null").select("term", "shard", "n", "places"), places)
@@ -187,8 +191,15 @@ def _ranked(found: Index, cut: DataFrame) -> DataFrame:
     return materialize(ranked.where(F.size("terms") == F.col("length")), "ranked")
 
 
-def _starts(offset: str = "offset") -> Column:
-    return F.transform("places", lambda p: p - F.col(offset))
+def _starts() -> Column:
+    """The places of a term with its offset in the window taken off."""
+    return F.transform("places", lambda p: p - F.col("offset"))
+
+
+def _agreeing() -> Column:
+    """Of ``starts`` those where the term of the row has a place too; a few are looked up."""
+    few = F.filter("starts", lambda s: F.array_contains("places", s + F.col("offset")))
+    return F.when(F.size("starts") <= FEW, few).otherwise(F.array_intersect("starts", _starts()))
 
 
 def occurrences(found: Index, cut: DataFrame) -> DataFrame:
@@ -200,11 +211,11 @@ def occurrences(found: Index, cut: DataFrame) -> DataFrame:
     rarest = live.select("window", "length", *nth(0), F.get("terms", F.lit(1)).alias("next")).join(postings, "term")
     rarest = rarest.select("window", "length", "shard", _starts().alias("starts"), "next.term", F.col("next.offset").alias("offset"))
     single = rarest.where("length = 1").select("window", "length", "shard", "starts")
-    both = F.array_intersect("starts", _starts())
+    second = live.where("length > 1").select(nth(1)[0]).distinct()
     pairs = (
         rarest.where("length > 1")
-        .join(postings, ["term", "shard"])
-        .select("window", "length", "shard", both.alias("starts"))
+        .join(postings.join(second, "term", "left_semi"), ["term", "shard"])
+        .select("window", "length", "shard", _agreeing().alias("starts"))
         .where("size(starts) > 0")
     )
     pairs = materialize(pairs, "pairs")
@@ -212,7 +223,7 @@ def occurrences(found: Index, cut: DataFrame) -> DataFrame:
     rest = (
         pairs.join(others.select("window", "t.term", "t.offset"), "window")
         .join(postings, ["term", "shard"])
-        .select("window", "length", "shard", both.alias("starts"))
+        .select("window", "length", "shard", _agreeing().alias("starts"))
         .where("size(starts) > 0")
         .groupBy("window", "length", "shard")
         .agg(F.collect_list("starts").alias("lists"))
@@ -245,8 +256,8 @@ def spans(lists: list[tuple[int, list[int]]], within: int) -> list[tuple[int, in
 
 def nearby(found: Index, cut: DataFrame, within: int) -> DataFrame:
     """``window``, ``shard``, ``start`` and ``length`` of the shortest stretches of ``within``
-    words at most, in one document, that have every word of a window, in any order and as often
-    as the window has it."""
+    places at most that have every word of a window, in any order and as often as the window has
+    it.  Some may reach from one document into the next; none of those lies inside another."""
     live = _ranked(found, cut)
     postings = found.postings.drop("n")
     rarest = live.select("window", F.col("terms")[0]["term"].alias("term")).join(postings.drop("places"), "term")
@@ -274,8 +285,14 @@ def nearby(found: Index, cut: DataFrame, within: int) -> DataFrame:
     return lists.select("window", "shard", F.explode(near).alias("m")).select("window", "shard", "m.start", "m.length")
 
 
-def _number(start: str) -> Column:
-    return F.shiftright(F.col(start), 32)
+def _placed(places: DataFrame, found: Index) -> DataFrame:
+    """``places`` with the ``first`` of the document that their ``start`` is in: one sort of each
+    shard's documents and places."""
+    marked = found.documents.where("n_words > 0").select("shard", F.col("first").alias("start"), "first")
+    whole = marked.unionByName(places, allowMissingColumns=True)
+    order = Window.partitionBy("shard").orderBy("start", F.col("first").asc_nulls_last())
+    last = F.last("first", ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, 0))
+    return whole.withColumn("document", last).where("first is null").drop("first").withColumnRenamed("document", "first")
 
 
 def contamination(
@@ -299,26 +316,23 @@ def contamination(
     cut = windows(items, item, item_text, size)
     found = index(documents, text, cut.select(F.explode("terms").alias("term")).distinct())
     occurring = occurrences(found, cut)
-    document = ["shard", "number"]
-    starts = (
-        occurring.select("shard", "length", F.explode("starts").alias("start"))
-        .groupBy("shard", _number("start").alias("number"), "start")
-        .agg(F.max(F.col("start") + F.col("length")).alias("end"))
-    )
+    document = ["shard", "first"]
+    each = occurring.select("window", "length", "shard", F.explode("starts").alias("start"))
+    ends = each.groupBy("shard", "start").agg(F.max(F.col("start") + F.col("length")).alias("end"))
     before = F.max("end").over(Window.partitionBy(*document).orderBy("start").rowsBetween(Window.unboundedPreceding, -1))
     new = F.greatest(F.col("end") - F.greatest(F.col("start"), F.coalesce(before, F.col("start"))), F.lit(0))
-    hits = starts.withColumn("new", new).groupBy(*document).agg(F.sum("new").alias("n_hit"))
-    numbers = F.array_distinct(F.transform("starts", lambda s: F.shiftright(s, 32)))
+    hits = _placed(ends, found).withColumn("new", new).groupBy(*document).agg(F.sum("new").alias("n_hit"))
     ids = (
-        occurring.select("window", "shard", F.explode(numbers).alias("number"))
+        _placed(each.select("window", "shard", "start"), found)
+        .select("window", *document)
+        .distinct()
         .join(cut.select("window", "item"), "window")
         .groupBy(*document)
         .agg(F.array_sort(F.collect_set("item")).alias("items"))
     )
     listed = F.coalesce("items", F.array().cast("array<string>"))
     return (
-        found.documents.join(hits, document, "left")
-        .join(ids, document, "left")
+        found.documents.join(hits.join(ids, document), document, "left")
         .select(
             "row",
             "digest",
@@ -354,10 +368,11 @@ def matches(
     else:
         places = nearby(found, cut, within)
     return (
-        places.join(cut.select("window", "item"), "window")
-        .withColumn("number", _number("start"))
-        .join(found.documents, ["shard", "number"])
-        .select(F.col(f"row.`{doc}`").alias(doc), F.col("item").alias(item), F.col("start").bitwiseAND((1 << 32) - 1).alias("start"), "length")
+        _placed(places, found)
+        .join(cut.select("window", "item"), "window")
+        .join(found.documents, ["shard", "first"])
+        .where("start + length <= first + n_words")
+        .select(F.col(f"row.`{doc}`").alias(doc), F.col("item").alias(item), (F.col("start") - F.col("first")).cast("long").alias("start"), "length")
     )
 
 
