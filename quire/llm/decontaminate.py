@@ -183,7 +183,8 @@ def windows(items: DataFrame, item: str, text: str, size: int) -> DataFrame:
 def _ranked(found: Index, cut: DataFrame) -> DataFrame:
     """Windows all of whose terms occur: ``window``, ``length`` and ``terms`` (n, offset, term)
     from the rarest."""
-    count = found.postings.groupBy("term").agg(F.sum("n").alias("n"))
+    # stored, so that its size is known before a term of many windows is exchanged
+    count = materialize(found.postings.groupBy("term").agg(F.sum("n").alias("n")), "counts")
     each = cut.dropDuplicates(["window"]).select("window", F.size("terms").alias("length"), F.posexplode("terms").alias("offset", "term"))
     ranked = each.join(count, "term").groupBy("window", "length").agg(
         F.array_sort(F.collect_list(F.struct("n", "offset", "term"))).alias("terms")
@@ -211,7 +212,7 @@ def occurrences(found: Index, cut: DataFrame) -> DataFrame:
     rarest = live.select("window", "length", *nth(0), F.get("terms", F.lit(1)).alias("next")).join(postings, "term")
     rarest = rarest.select("window", "length", "shard", _starts().alias("starts"), "next.term", F.col("next.offset").alias("offset"))
     single = rarest.where("length = 1").select("window", "length", "shard", "starts")
-    second = live.where("length > 1").select(nth(1)[0]).distinct()
+    second = live.where("length > 1").select(nth(1)[0])
     pairs = (
         rarest.where("length > 1")
         .join(postings.join(second, "term", "left_semi"), ["term", "shard"])
