@@ -33,6 +33,8 @@ from quire.session import materialize
 SHARD_BYTES = 1 << 18
 #: Test terms are broadcast up to this size, so that only they are indexed; else all words are.
 VOCABULARY_BYTES = 8 << 20
+#: The two rarest terms of all windows are broadcast up to this size; else Spark joins by exchange.
+RAREST_BYTES = 16 << 20
 #: So many starts are looked up one by one in a list, more are intersected with it.
 FEW = 16
 
@@ -209,13 +211,17 @@ def occurrences(found: Index, cut: DataFrame) -> DataFrame:
     live = _ranked(found, cut)
     postings = found.postings.drop("n")
     nth = lambda i: [F.col("terms")[i]["term"].alias("term"), F.col("terms")[i]["offset"].alias("offset")]
-    rarest = live.select("window", "length", *nth(0), F.get("terms", F.lit(1)).alias("next")).join(postings, "term")
+    first = live.select("window", "length", *nth(0), F.get("terms", F.lit(1)).alias("next"))
+    room = F.octet_length("term") + F.coalesce(F.octet_length("next.term"), F.lit(0)) + 128
+    size = first.agg(F.sum(room).alias("size")).head()["size"] or 0
+    sized = F.broadcast if size <= RAREST_BYTES else lambda df: df
+    rarest = postings.join(sized(first), "term")
     rarest = rarest.select("window", "length", "shard", _starts().alias("starts"), "next.term", F.col("next.offset").alias("offset"))
     single = rarest.where("length = 1").select("window", "length", "shard", "starts")
     second = live.where("length > 1").select(nth(1)[0])
     pairs = (
         rarest.where("length > 1")
-        .join(postings.join(second, "term", "left_semi"), ["term", "shard"])
+        .join(postings.join(sized(second), "term", "left_semi"), ["term", "shard"])
         .select("window", "length", "shard", _agreeing().alias("starts"))
         .where("size(starts) > 0")
     )

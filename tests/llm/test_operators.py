@@ -188,6 +188,7 @@ def slow_near(documents, items, size, within):
 def test_index_finds_every_window(spark, monkeypatch, shard, vocabulary):
     monkeypatch.setattr(decontaminate, "SHARD_BYTES", shard)
     monkeypatch.setattr(decontaminate, "VOCABULARY_BYTES", vocabulary)
+    monkeypatch.setattr(decontaminate, "RAREST_BYTES", vocabulary)
     r = random.Random(6)
     text = lambda n: " ".join(r.choice("abcd") for _ in range(n))
     documents = [(i, text(r.randint(0, 40))) for i in range(30)] + [(30, ""), (31, "..."), (32, None)]
