@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quire.functions.text import compact
+from quire.session import materialize
 
 # Lengths of previews and the width of rules in the text report.
 PREVIEW_CHARS = 400
@@ -75,8 +76,13 @@ def report_lines(results: DataFrame, fragments: DataFrame) -> DataFrame:
     """Readable report: resource_id, part, line_no, line.
 
     ``part`` is 0 for the lines of the resource and 1.. for its fragments.  ``results``
-    may carry ``metadata`` (JSON text), shown when it is not empty.
+    may carry ``metadata`` (JSON text), shown when it is not empty.  What the report shows of
+    the fragments is written once, as their counts and their lines are both read from it.
     """
+    shown_of = ["resource_id", "position", "id", "level", "head", "breadcrumb"]
+    fragments = materialize(
+        fragments.select(*shown_of, compact(F.col("content"), REPORT_CHARS).alias("preview")), "report-fragments"
+    )
     rule, thin = F.lit("=" * RULE_WIDTH), F.lit("-" * RULE_WIDTH)
 
     def labelled(label: str, value) -> Column:
@@ -106,7 +112,7 @@ def report_lines(results: DataFrame, fragments: DataFrame) -> DataFrame:
         labelled("head      : ", F.col("head")),
         labelled("breadcrumb: ", F.col("breadcrumb")),
         F.lit(""),
-        compact(F.col("content"), REPORT_CHARS),
+        F.col("preview"),
         F.lit(""),
     ]
     parts = fragments.select(

@@ -226,6 +226,17 @@ def test_report_file(saved, spark, tmp_path):
     assert lines.index("ID       : R2") > lines.index("Fragment 2")
 
 
+def test_report_lines_make_the_fragments_once(spark):
+    ids = spark.range(3).select(F.concat(F.lit("D"), "id").alias("id"))
+    frags = ids.selectExpr(
+        "id AS resource_id", "0 AS position", "'f' AS id", "'1' AS level", "'h' AS head", "'' AS breadcrumb", "repeat('x ', 900) AS content"
+    )
+    lines = R.report_lines(spark.createDataFrame([("D0", "t"), ("D9", "t")], "id string, title string"), frags)
+    assert "Range (0" not in lines._jdf.queryExecution().toString()
+    assert lines.filter("part = 1 AND line_no = 7 AND length(line) > 1190 AND line LIKE '%…'").count() == 3
+    assert {r["line"] for r in lines.filter("part = 0 AND line_no = 3").collect()} == {"Fragments: 1", "Fragments: 0"}
+
+
 def test_summary_and_preview(saved, spark):
     s = R.run_summary(saved.collections, saved.resources, saved.fragments).head()
     assert s.asDict() == {
