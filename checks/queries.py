@@ -1554,13 +1554,12 @@ def index_wide(spark: SparkSession, sf: str) -> DataFrame:
 def report_file(spark: SparkSession, sf: str) -> DataFrame:
     """The text report written to files and read back: each block is cut at its rule."""
     path = scratch(spark, "report")
-    SF.write_report(R.report_lines(results(spark, sf), whole(spark, sf)), path, partitions=1)
-    text = spark.read.text(path, wholetext=True)
-    blocks = text.select(F.explode(F.split("value", "(?m)^={100}$")).alias("block")).filter("trim(block) <> ''")
+    SF.write_report(R.report_lines(results(spark, sf), whole(spark, sf)), path)
+    blocks = SF.read_report(spark, path)
     lines = F.split(F.col("block"), "\n")
     content = F.split(F.split(F.col("block"), "breadcrumb: \n\n")[1], "\n")[0]
     return blocks.select(
-        F.regexp_extract(lines[1], "^ID       : (.*)$", 1).alias("id"), lines[3].alias("fragments"),
+        F.regexp_extract(lines[0], "^ID       : (.*)$", 1).alias("id"), lines[2].alias("fragments"),
         F.when(F.contains("block", F.lit("Fragment 1")), content).alias("content"),
     )
 

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Observation
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from quire.functions import variant as V
 from quire.operators.exports import payload_object
 from quire.operators.notices import metadata_keys, with_stats
+from quire.operators.reports import RULE_WIDTH
+from quire.session import materialize
 
 #: Size of the key names of a written index.
 MOST_KEY_BYTES = 16 << 20
@@ -118,11 +120,24 @@ def write_payloads(payloads: DataFrame, path: str) -> None:
 
 
 def write_report(lines: DataFrame, path: str, partitions: int | None = None) -> None:
-    """The text report, ranged by resource so that files and their lines are in order."""
+    """The text report, ranged by resource so that files and their lines are in order.
+
+    The lines of a resource are in one file, which begins with a rule.  The ranges are found
+    from the lines as written, so that what makes them runs once.
+    """
+    kept = materialize(lines, "report-lines")
+    ranges = [partitions] if partitions else []
+    ranged = kept.repartitionByRange(*ranges, "resource_id")
     order = ["resource_id", "part", "line_no"]
-    ranged = (
-        lines.repartitionByRange(partitions, *order)
-        if partitions
-        else lines.repartitionByRange(*order)
-    )
     ranged.sortWithinPartitions(*order).select("line").write.mode("overwrite").text(path)
+
+
+def read_report(spark: SparkSession, path: str) -> DataFrame:
+    """Blocks of a written report, one row each, without the rule above them.
+
+    The reader cuts the files at the rules, so no file is held as a whole.
+    """
+    rule = "=" * RULE_WIDTH
+    blocks = spark.read.option("lineSep", f"\n{rule}\n").text(path)
+    # the rule at the start of a file has no line before it
+    return blocks.select(F.regexp_replace("value", f"^{rule}\n", "").alias("block"))

@@ -226,6 +226,28 @@ def test_report_file(saved, spark, tmp_path):
     assert lines.index("ID       : R2") > lines.index("Fragment 2")
 
 
+def test_report_blocks_of_many_files(spark, tmp_path):
+    ids = [f"D{i:03}" for i in range(60)]
+    results = spark.createDataFrame([(i, f"T{i}") for i in ids], "id string, title string")
+    frags = spark.createDataFrame(
+        [(i, n, f"f{n}", "1", None, "", f"text {i} {n} " * n) for i in ids for n in range(4)],
+        "resource_id string, position int, id string, level string, head string, breadcrumb string, content string",
+    )
+    path = str(tmp_path / "report")
+    SF.write_report(R.report_lines(results, frags), path, 5)
+    assert len([f for f in (tmp_path / "report").iterdir() if f.name.startswith("part-")]) > 1
+    for size in ("128m", "700", "101"):  # splits inside blocks and inside rules
+        spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+        spark.conf.set("spark.sql.files.openCostInBytes", "1")
+        try:
+            blocks = [r[0] for r in SF.read_report(spark, path).collect()]
+        finally:
+            spark.conf.unset("spark.sql.files.maxPartitionBytes")
+            spark.conf.unset("spark.sql.files.openCostInBytes")
+        assert sorted(b.split("\n")[0] for b in blocks) == [f"ID       : {i}" for i in ids]
+        assert all(b.count("Fragment ") == 4 and b.split("\n")[2] == "Fragments: 4" for b in blocks)
+
+
 def test_report_lines_make_the_fragments_once(spark):
     ids = spark.range(3).select(F.concat(F.lit("D"), "id").alias("id"))
     frags = ids.selectExpr(
