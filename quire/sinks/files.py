@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import json
+import zlib
+
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
+from quire.functions import let
 from quire.functions import variant as V
 from quire.operators.exports import payload_object
 from quire.operators.notices import metadata_keys, with_stats
@@ -60,22 +64,51 @@ def _cell(text: Column) -> Column:
     return F.coalesce(F.when(text.rlike('[",\r\n]|^\\s|\\s$'), quoted).otherwise(text), F.lit(""))
 
 
+def _cells_in_order(flat: Column, names: list[str]) -> Column:
+    """The cells of a line for all ``names``, each after a comma, from the entries of ``flat``.
+
+    Only the keys that a row has are looked up, in buckets of names by their CRC-32; what lies
+    between two of them is commas.
+    """
+    if not names:
+        return F.lit("")
+    buckets: list[list[dict]] = [[] for _ in names]
+    for place, name in enumerate(names):
+        buckets[zlib.crc32(name.encode()) % len(names)].append({"name": name, "place": place})
+    kind = "array<array<struct<name:string,place:int>>>"
+    table = F.from_json(F.lit(json.dumps(buckets)), kind)
+
+    def placed(entry: Column) -> Column:
+        bucket = F.get(table, (F.crc32(entry["key"].cast("binary")) % len(names)).cast("int"))
+        same = F.filter(bucket, lambda b: b["name"] == entry["key"])
+        return F.transform(same, lambda b: F.struct(b["place"].alias("place"), _cell(entry["value"]).alias("cell")))
+
+    def joined(cells: Column) -> Column:
+        def piece(c: Column, i: Column) -> Column:
+            before = F.coalesce(F.get(cells, i - 1)["place"], F.lit(-1))
+            return F.concat(F.repeat(F.lit(","), c["place"] - before), c["cell"])
+
+        last = F.coalesce(F.get(cells, F.size(cells) - 1)["place"], F.lit(-1))
+        return F.concat(F.array_join(F.transform(cells, piece), ""), F.repeat(F.lit(","), len(names) - 1 - last))
+
+    return let(F.array_sort(F.flatten(F.transform(F.map_entries(flat), placed))), joined)
+
+
 def write_index(
     results: DataFrame, fragments: DataFrame, path: str, keys: list[str] | None = None
 ) -> None:
     """The index as CSV files, each with a header; quotes doubled, line breaks kept inside quotes.
 
-    Lines are rendered from the metadata map in the order of the keys, so there is no wide row
-    and the number of keys has no limit but the size of the dictionary, which is all that the
-    driver holds (``MOST_KEY_BYTES``).
+    Lines are rendered from the entries of the metadata map in the order of the keys, so there is
+    no wide row, a row costs what it has, and the number of keys has no limit but the size of the
+    dictionary, which is all that the driver holds (``MOST_KEY_BYTES``).
     """
     wide = _flat_results(results)
     names = metadata_keys(wide) if keys is None else keys
     if sum(map(len, names)) > MOST_KEY_BYTES:
         raise ValueError(f"{len(names)} metadata keys are more than a dictionary of {MOST_KEY_BYTES} bytes")
     dictionary = F.lit(names) if names else F.array().cast("array<string>")
-    cells = F.transform(dictionary, lambda k: _cell(F.try_element_at(F.col("flat"), k)))
-    line = F.array_join(F.concat(F.array(*map(_cell, _index_core())), cells), ",")
+    line = F.concat(F.array_join(F.array(*map(_cell, _index_core())), ","), _cells_in_order(F.col("flat"), names))
     header = F.array_join(F.transform(F.concat(F.lit(list(INDEX_CORE)), dictionary), _cell), ",")
     rows = with_stats(wide, fragments).select(line.alias("line"), F.monotonically_increasing_id().alias("place"))
     if rows.isEmpty():

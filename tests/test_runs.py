@@ -1,5 +1,6 @@
 """Walks, whole runs, exports, validation, logs, sources and sinks on small literal data."""
 
+import csv
 import json
 
 import pytest
@@ -496,6 +497,23 @@ def test_points_are_checked_where_they_are_written(spark, tmp_path):
     assert spark.read.text(str(tmp_path / "odd")).count() == 0
 
 
+def test_index_lines_render_what_a_row_has(spark, tmp_path):
+    names = [f"dublincore.k{i:03}" for i in range(40)] + ["dublincore.é", "dublincore.k001", "nowhere"]
+    held = {"a": {"k000": "x", "k039": "y,z"}, "b": {"é": " e"}, "c": {}, "d": {f"k{i:03}": str(i) for i in range(60)}}
+    df = spark.createDataFrame([(k, json.dumps(v)) for k, v in held.items()], "id string, dc string").select(
+        "id", F.lit("t").alias("title"), F.array(F.lit("r")).alias("linked_parents"), F.parse_json("dc").alias("dublincore"),
+        F.lit(None).cast("variant").alias("extensions"),
+    )
+    none = spark.createDataFrame([], "resource_id string, position int, content string")
+    SF.write_index(df, none, str(tmp_path / "index"), names)
+    assert "element_at" not in str(SF._cells_in_order(F.col("flat"), names))
+    lines = [r[0] for r in spark.read.text(str(tmp_path / "index")).collect()]
+    found = {r[0]: r[5:] for r in csv.reader(lines) if r[0] != "id"}
+    assert {len(r) for r in found.values()} == {len(names)}
+    for k, v in held.items():
+        assert found[k] == [v.get(n.removeprefix("dublincore."), "") for n in names]
+
+
 def test_index_lines_of_an_empty_and_an_odd_table(spark, tmp_path):
     rows = [("a", "t,\"x\"", '{"k":" lead"}'), ("b", None, '{"k":"x\\ny","z z":"\\"q\\""}'), ("c", "", "{}")]
     df = spark.createDataFrame(rows, "id string, title string, dc string").select(
