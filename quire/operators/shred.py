@@ -12,6 +12,8 @@ tail of that element.
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
@@ -32,6 +34,8 @@ NAME_START = (
 NAME = rf"[{NAME_START}][\w.:\-\x{{B7}}\x{{300}}-\x{{36F}}\x{{203F}}-\x{{2040}}{NAME_START}]*+"
 ATTRIBUTE = rf"""\s++{NAME}\s*+=\s*+(?:"[^"<]*+"|'[^'<]*+')"""
 OPEN_TAG = rf"^<{NAME}(?:{ATTRIBUTE})*+\s*+/?>$"
+# What most tags look like; the wide classes of names are many times slower.
+PLAIN_OPEN_TAG = r"""^<[A-Za-z_][\w.-]*+(?:\s++[A-Za-z_][\w.:-]*+="[^"<]*+")*+\s*+/?>$"""
 CLOSE_TAG = rf"^</{NAME}\s*+>$"
 INSTRUCTION = rf"^<\?(?!(?i:xml)[\s?]){NAME}(?:\s(?s:.*))?\?>$"
 DECLARATION = (
@@ -164,8 +168,13 @@ def attribute(markup: Column, name: str) -> Column:
 
 
 def _placed(documents: DataFrame, clustered: bool) -> DataFrame:
-    """``documents`` hashed by resource_id; ``clustered`` says that it already is."""
-    return documents if clustered else by_resource(documents)
+    """``documents`` hashed by resource_id and sorted by it; ``clustered`` says that they are hashed.
+
+    The sorts of the markup rows then find the documents in order: what they compare is within
+    a document, however many of them a partition has.
+    """
+    placed = documents if clustered else by_resource(documents)
+    return placed.sortWithinPartitions("resource_id")
 
 
 def _cut(placed: DataFrame) -> DataFrame:
@@ -213,6 +222,21 @@ def _namespaces(xml: Column) -> dict[str, Column]:
     }
 
 
+def _markup() -> Column:
+    """The markup at the start of an item, '' for text and for a stray '<'.
+
+    A tag without quotes ends at the first '>', which needs no regular expression.
+    """
+    item, head = F.col("item"), F.substring_index("item", ">", 1)
+    special = [F.startswith(item, F.lit(c)) for c in ("<!", "<?")] + [F.contains(head, F.lit(c)) for c in "\"'"]
+    plain = F.contains(item, F.lit(">")) & ~reduce(or_, special)
+    return (
+        F.when(~F.startswith(item, F.lit("<")), "")
+        .when(plain, F.concat(head, F.lit(">")))
+        .otherwise(F.regexp_extract(item, f"^(?:{MARKUP})", 0))
+    )
+
+
 def _markup_rows(documents: DataFrame, clustered: bool, max_text: int | None) -> DataFrame:
     uncommented = F.when(
         F.contains("xml", F.lit("<!--")), F.regexp_replace("xml", COMMENT, "$1")
@@ -244,7 +268,7 @@ def _markup_rows(documents: DataFrame, clustered: bool, max_text: int | None) ->
     fault = (
         F.when(F.col("forbidden") & (F.col("pos") == 0), "forbidden character")
         .when(is_kind("bad"), "stray markup")
-        .when(opening & ~m.rlike(OPEN_TAG), "malformed tag")
+        .when(opening & ~(m.rlike(PLAIN_OPEN_TAG) | m.rlike(OPEN_TAG)), "malformed tag")
         .when(is_kind("close") & (m != plain_close) & ~m.rlike(CLOSE_TAG), "malformed tag")
         .when(
             is_kind("pi")
@@ -263,7 +287,7 @@ def _markup_rows(documents: DataFrame, clustered: bool, max_text: int | None) ->
     mixed = opening & F.col("default_tei").isNull()
     return (
         _cut(docs)
-        .withColumn("markup", F.regexp_extract("item", f"^(?:{MARKUP})", 0))
+        .withColumn("markup", _markup())
         .withColumns(
             {
                 "kind": kind,

@@ -15,6 +15,9 @@ SQL_SETTINGS = {
     "spark.sql.mapKeyDedupPolicy": "LAST_WIN",
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
+    # markup rows are sorted by resource where they are grouped by it: one group at a time,
+    # in place of a table of the lists of all documents of a partition
+    "spark.sql.execution.replaceHashWithSortAgg": "true",
 }
 
 

@@ -8,6 +8,7 @@ import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
+from quire.operators import fragments as FR
 from quire.operators import shred as S
 
 TEI = S.TEI_NAMESPACE
@@ -207,3 +208,28 @@ def test_references_end_with_a_semicolon(spark, text, fine):
     docs = spark.createDataFrame([("r", f"<a><b>{text}</b></a>"), ("s", f'<a b="{text}"/>')], "resource_id string, xml string")
     reasons = {r["reason"] for r in S.shred(docs).quarantine.collect()}
     assert reasons == (set() if fine else {"undefined entity"})
+
+
+def test_markup_of_an_item_is_what_the_whole_pattern_takes(spark):
+    items = [
+        "", "text > more", "<", "<a>x > y", "</a >t", "<a/>", "<a b='1>2'>x", '<a b="1>2" c="\'">x', "<a b=1>x", "<a 'x", "<//x>y",
+        "<!x>y", "<!-- a > b", "<![CDATA[a>b]]>c", "<?p a>b?>c", "<!DOCTYPE a [<b>]>", "<é:à n=\"ö\">", "<a\nb>c", "<>x", "< a>x", "<a>\"q\"",
+    ]
+    rows = spark.createDataFrame([(i,) for i in items], "item string")
+    whole = F.regexp_extract("item", f"^(?:{S.MARKUP})", 0)
+    assert [r for r in rows.select("item", S._markup().alias("fast"), whole.alias("whole")).collect() if r["fast"] != r["whole"]] == []
+
+
+def test_plain_tags_are_tags(spark):
+    tags = ["<a>", "<a/>", "<a b=\"1\" c:d=\"é\" />", "<a.b-c_1 xml:id=\"x\"\n>", "<é>", "<a b='1'>", "<a b=\"<\">", "<a b>", "<1>", "<a:b>", "< a>"]
+    rows = spark.createDataFrame([(t,) for t in tags], "m string")
+    m = F.col("m")
+    found = {r["m"]: (r["plain"], r["whole"]) for r in rows.select("m", m.rlike(S.PLAIN_OPEN_TAG).alias("plain"), m.rlike(S.OPEN_TAG).alias("whole")).collect()}
+    assert all(whole for plain, whole in found.values() if plain)
+    assert found["<a b=\"1\" c:d=\"é\" />"] == (True, True) and found["<é>"] == (False, True) and found["<a b>"] == (False, False)
+
+
+def test_lists_of_a_document_are_made_from_sorted_rows(spark):
+    docs = spark.createDataFrame([("b", "<t>x</t>"), ("a", "<t>y</t>")], "resource_id string, xml string")
+    plan = FR.document_fragments(S.shred(docs).tokens)._jdf.queryExecution().executedPlan().toString()
+    assert "ObjectHashAggregate" not in plan and "SortAggregate" in plan
