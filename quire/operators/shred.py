@@ -43,7 +43,8 @@ DECLARATION = (
     r"""(?:\s+encoding\s*=\s*(?:"[A-Za-z][\w.-]*"|'[A-Za-z][\w.-]*'))?"""
     r"""(?:\s+standalone\s*=\s*(?:"(?:yes|no)"|'(?:yes|no)'))?\s*\?>$"""
 )
-FORBIDDEN = r"[\x00-\x08\x0B\x0C\x0E-\x1F\x{FFFE}\x{FFFF}]"
+# Forbidden characters.  Most others are within the first range, so a search rarely looks further.
+FORBIDDEN = r"[^ -\x{FFFD}\x{10000}-\x{10FFFF}](?<![\t\n\r])"
 
 # Possessive loops only: the Java matcher runs them without recursion, whatever the length.
 MARKUP = (
@@ -53,8 +54,11 @@ MARKUP = (
     r"""|<[^<"'>]*+(?:(?:"[^"]*+"|'[^']*+')[^<"'>]*+)*+>"""
 )
 ITEM = rf"(?:{MARKUP})[^<]*+|<|[^<]++"
+PREDEFINED = {"amp": "&", "lt": "<", "gt": ">", "quot": '"', "apos": "'"}
+NOT_PREDEFINED = rf"&(?!(?:{'|'.join(PREDEFINED)});)"
 UNMATCHED = "unmatched closing tag"
-COMMENT = r"(<!\[CDATA\[(?s:.*?)\]\]>)|<!--(?s:.*?)-->"
+# A comment, or a CDATA section, which "$1$2" puts back.
+COMMENT = r"<!(?:--(?s:.*?)-->|(?<=(<!))(\[CDATA\[(?s:.*?)\]\]>))"
 
 
 def by_pos() -> WindowSpec:
@@ -107,47 +111,50 @@ def enclosing(tokens: DataFrame, value: Column, alias: str) -> DataFrame:
     )
 
 
-def _character(digits: Column) -> Column:
-    """Character of a decimal code point; NULL when XML does not allow it."""
+def _character(code: Column) -> Column:
+    """Character of a code point; NULL when XML does not allow it."""
+    legal = (
+        code.isin(9, 10, 13)
+        | code.between(0x20, 0xD7FF)
+        | code.between(0xE000, 0xFFFD)
+        | code.between(0x10000, 0x10FFFF)
+    )
+    wide = F.decode(F.unhex(F.lpad(F.hex(code), 8, "0")), "UTF-32")
+    return F.when(legal, F.when(code < 0x80, F.chr(code)).otherwise(wide))
 
-    def char(code: Column) -> Column:
-        legal = (
-            code.isin(9, 10, 13)
-            | code.between(0x20, 0xD7FF)
-            | code.between(0xE000, 0xFFFD)
-            | code.between(0x10000, 0x10FFFF)
-        )
-        return F.when(legal, F.decode(F.unhex(F.lpad(F.hex(code), 8, "0")), "UTF-32"))
 
-    return let(digits.try_cast("long"), char)
+def _code_point(name: Column) -> Column:
+    """Code point of a character reference without its ends; NULL when it is none."""
+    hexadecimal = F.regexp_extract(name, "^#x0*([0-9A-Fa-f]{1,6})$", 1)
+    decimal = F.regexp_extract(name, "^#0*([0-9]{1,7})$", 1)
+    digits = F.when(F.startswith(name, F.lit("#x")), F.conv(hexadecimal, 16, 10)).otherwise(decimal)
+    return digits.try_cast("long")
 
 
 def decode_entities(c: Column) -> Column:
-    """Predefined entities and character references as characters; NULL for any other."""
+    """Predefined entities and character references as characters; NULL for any other.
+
+    Texts with nothing but predefined entities need no look at each of them.
+    """
 
     def piece(p: Column, i: Column) -> Column:
-        name = F.substring_index(p, ";", 1)
-        rest = F.substr(p, F.char_length(name) + 2)
-        hexadecimal = F.regexp_extract(name, "^#x0*([0-9A-Fa-f]{1,6})$", 1)
-        decimal = F.regexp_extract(name, "^#0*([0-9]{1,7})$", 1)
-        known = (
-            F.when(name == "amp", "&")
-            .when(name == "lt", "<")
-            .when(name == "gt", ">")
-            .when(name == "quot", '"')
-            .when(name == "apos", "'")
-            .when(hexadecimal != "", _character(F.conv(hexadecimal, 16, 10)))
-            .when(decimal != "", _character(decimal))
-        )
+        def decoded(name: Column) -> Column:
+            known = F.when(F.startswith(name, F.lit("#")), let(_code_point(name), _character))
+            for entity, char in PREDEFINED.items():
+                known = known.when(name == entity, char)
+            return F.concat(known, F.substr(p, F.char_length(name) + 2))
+
         ended = F.contains(p, F.lit(";"))
-        return F.when(i == 0, p).otherwise(F.when(ended, F.concat(known, rest)))
+        return F.when(i == 0, p).when(ended, let(F.substring_index(p, ";", 1), decoded))
 
     def joined(pieces: Column) -> Column:
         complete = ~F.exists(pieces, lambda p: p.isNull())
         return F.when(complete, F.array_join(pieces, ""))
 
+    # the one that gives "&" comes last
+    plain = reduce(lambda t, e: F.replace(t, F.lit(f"&{e};"), F.lit(PREDEFINED[e])), reversed(PREDEFINED), c)
     decoded = let(F.transform(F.split(c, "&"), piece), joined)
-    return F.when(F.contains(c, F.lit("&")), decoded).otherwise(c)
+    return F.when(~F.contains(c, F.lit("&")), c).when(~c.rlike(NOT_PREDEFINED), plain).otherwise(decoded)
 
 
 def quoted_attribute(markup: Column, name: str) -> Column:
@@ -204,12 +211,14 @@ def _namespaces(xml: Column) -> dict[str, Column]:
     tei_prefixes: prefixes bound to the TEI namespace, between blanks.  default_tei: whether
     elements without prefix are TEI; NULL when the default namespace changes inside the
     document, which ``_resolve_scopes`` sorts out.
+
+    Patterns begin with their literal part, which the matcher finds by skipping.
     """
     bound = F.regexp_extract_all(
-        xml, F.lit(rf"""\sxmlns:([^\s=]+)\s*=\s*["']{TEI_NAMESPACE}["']"""), F.lit(1)
+        xml, F.lit(rf"""xmlns:(?<=\sxmlns:)([^\s=]+)\s*=\s*["']{TEI_NAMESPACE}["']"""), F.lit(1)
     )
     declared = F.array_distinct(
-        F.regexp_extract_all(xml, F.lit(r"""\sxmlns\s*=\s*["']([^"']*)["']"""), F.lit(1))
+        F.regexp_extract_all(xml, F.lit(r"""xmlns(?<=\sxmlns)\s*=\s*["']([^"']*)["']"""), F.lit(1))
     )
     on_root = xml.rlike(
         r"""^(?:\s|<\?(?s:.*?)\?>|<!DOCTYPE[^\[>]*+(?:\[[^\]]*+\])?[^>]*+>)*+<[^>]*\sxmlns\s*="""
@@ -239,7 +248,7 @@ def _markup() -> Column:
 
 def _markup_rows(documents: DataFrame, clustered: bool, max_text: int | None) -> DataFrame:
     uncommented = F.when(
-        F.contains("xml", F.lit("<!--")), F.regexp_replace("xml", COMMENT, "$1")
+        F.contains("xml", F.lit("<!--")), F.regexp_replace("xml", COMMENT, "$1$2")
     ).otherwise(F.col("xml"))
     docs = _placed(documents.select("resource_id", "xml"), clustered).select(
         "resource_id",

@@ -233,3 +233,22 @@ def test_lists_of_a_document_are_made_from_sorted_rows(spark):
     docs = spark.createDataFrame([("b", "<t>x</t>"), ("a", "<t>y</t>")], "resource_id string, xml string")
     plan = FR.document_fragments(S.shred(docs).tokens)._jdf.queryExecution().executedPlan().toString()
     assert "ObjectHashAggregate" not in plan and "SortAggregate" in plan
+
+
+def test_entities_characters_and_comments_found_by_literals(spark):
+    """Odd references, characters and comments, found by patterns that begin with a literal or a range."""
+    assert S.COMMENT.startswith("<!") and S.FORBIDDEN.startswith("[^ -")
+    texts = {
+        "a &amp;lt; &lt;b&gt; &quot;&apos;": "a &lt; <b> \"'", "&#38;lt;&amp;": "&lt;&", "x&#233;&#xE9;&#x1F600;;": "xéé😀;",
+        "&#x000041;&#0065;&#10;": "AA\n", "&#1114111;": "\U0010ffff", "&#1114112;": None, "&#0;": None, "&#xD800;": None,
+        "&nbsp;": None, "&amp": None, "&;": None, "&&amp;": None, "&#;": None, "&#x;": None, "&lt;&#xg;": None, "": "",
+    }
+    rows = spark.createDataFrame([(t,) for t in texts], "t string").select("t", S.decode_entities(F.col("t")).alias("d"))
+    assert {r["t"]: r["d"] for r in rows.collect()} == texts
+    docs = {f"c{ord(c):X}": f"<a>x{c}y</a>" for c in "\t\n\r \x00\x08\x0b\x1f\x7f퟿�￾￿😀"}
+    docs["comments"] = "<a><![CDATA[<!-- x -->]]><!-- <![CDATA[ -->y<!----></a>"
+    cut = S.shred(spark.createDataFrame(list(docs.items()), "resource_id string, xml string"))
+    bad = {r["resource_id"]: r["reason"] for r in cut.quarantine.collect()}
+    assert bad == dict.fromkeys(["c0", "c8", "cB", "c1F", "cFFFE", "cFFFF"], "forbidden character")
+    text = [r["text"] for r in cut.tokens.filter("resource_id = 'comments'").orderBy("pos").collect()]
+    assert "".join(text) == "<!-- x -->y"
