@@ -123,8 +123,11 @@ def matches_any(head: Column, patterns: Iterable[str]) -> Column:
     return let(fold(head), hit)
 
 
-def strip_leading_head(content: Column, head: Column) -> Column:
-    """Content without a repetition of the head at its start."""
+def strip_leading_head(content: Column, head: Column, normalized: bool = False) -> Column:
+    """Content without a repetition of the head at its start.
+
+    ``normalized`` says that ``normalize_ws`` made both, so that it is not gone through again.
+    """
 
     def strip_from(both: Column) -> Column:
         c, h = both["c"], both["h"]
@@ -138,7 +141,8 @@ def strip_leading_head(content: Column, head: Column) -> Column:
             .otherwise(c)
         )
 
-    both = F.struct(normalize_ws(content).alias("c"), normalize_ws(head).alias("h"))
+    ws = (lambda c: F.coalesce(c, F.lit(""))) if normalized else normalize_ws
+    both = F.struct(ws(content).alias("c"), ws(head).alias("h"))
     return let(both, strip_from)
 
 

@@ -392,7 +392,7 @@ def selector_fragments(
     out = texts.join(above, ["resource_id", "pos"], "left")
     out = out.withColumn("head", F.coalesce("title", "ancestor_head"))
     out = out.filter(~matches_any(F.col("head"), exclude_heads_contains))
-    stripped = strip_leading_head(F.col("content"), F.col("head"))
+    stripped = strip_leading_head(F.col("content"), F.col("head"), normalized=True)
     if add_head_to_content:
         has_head = F.coalesce(F.col("head"), F.lit("")) != ""
         both = normalize_ws(F.concat_ws(" ", F.col("head"), F.col("content")))

@@ -159,3 +159,11 @@ def test_spaced_json_leaves_strings_alone(one):
     data = [1, {"a,b": 'x:"y', "u": "https://e.org"}, []]
     compact = json.dumps(data, separators=(",", ":"))
     assert one(lambda: V.spaced_json(F.col("j")), j=compact) == json.dumps(data)
+
+
+def test_strip_leading_head_of_normalized_texts(one):
+    """Texts that are normalized are not gone through again: no blank pattern is left in the plan."""
+    both = {"content": "Intro text", "head": "Intro"}
+    new = lambda: T.strip_leading_head(F.col("content"), F.col("head"), normalized=True)
+    assert "regexp_replace" not in str(new()) and one(new, **both) == "text"
+    assert one(new, content="Intro", head="") == "Intro"
