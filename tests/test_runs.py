@@ -484,6 +484,19 @@ def test_names_of_landed_files(spark, tmp_path):
     assert got == {i: f"<a>{name}</a>\n" for name, i in names.items()}
 
 
+def test_landed_files_of_many_folders_are_read_as_bytes(spark, tmp_path):
+    """Files in folders below the landed one count too, and texts come back byte by byte."""
+    texts = {"lines": "a\r\nb\n\n", "mark": "\ufeffx", "odd": "\x00 é \U0001f600"}
+    for name, text in texts.items():
+        (tmp_path / name).mkdir()
+        (tmp_path / name / f"{name}.xml").write_bytes(text.encode())
+    (tmp_path / "flat.xml").write_bytes(b"\xff<a/>")
+    (tmp_path / "other.json").write_text("{}")
+    found = P.read_documents(spark, str(tmp_path))
+    rows = {r.resource_id: bytes(r.b) for r in found.select("resource_id", F.col("xml").cast("binary").alias("b")).collect()}
+    assert rows == {n: t.encode() for n, t in texts.items()} | {"flat": b"\xff<a/>"}
+
+
 def test_points_are_checked_where_they_are_written(spark, tmp_path):
     payloads = spark.createDataFrame([("a", 1), ("b", 2)], "id string, n int").withColumn("safe", F.create_map().cast("map<string,variant>"))
     fine = spark.createDataFrame([("a", [1.0]), ("b", [2.0])], "id string, vector array<double>")
