@@ -434,8 +434,12 @@ def shred(
         F.when(balance.over(whole_document()) != 0, "unclosed element"),
         F.when(roots.over(whole_document()) != 1, "not one root element"),
     )
-    rows = _resolve_scopes(t.withColumn("reason", reason))
-    return Shred(rows.filter("reason is null or nth = 1").drop("ns", "fault", "nth"))
+    # what no window reads goes through them as one column, which is copied as a whole
+    carried = ["name", "xml_id", "level", "elem_pos", "text", "after_pi"]
+    columns = [c for c in t.columns if c not in ("ns", "fault")] + ["reason"]
+    packed = t.select(*[c for c in t.columns if c not in carried], F.struct(*carried).alias("carried"))
+    rows = _resolve_scopes(packed.withColumn("reason", reason)).filter("reason is null or nth = 1")
+    return Shred(rows.select(*[F.col(f"carried.{c}").alias(c) if c in carried else F.col(c) for c in columns]))
 
 
 def nodes(tokens: DataFrame) -> DataFrame:

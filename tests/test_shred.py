@@ -252,3 +252,10 @@ def test_entities_characters_and_comments_found_by_literals(spark):
     assert bad == dict.fromkeys(["c0", "c8", "cB", "c1F", "cFFFE", "cFFFF"], "forbidden character")
     text = [r["text"] for r in cut.tokens.filter("resource_id = 'comments'").orderBy("pos").collect()]
     assert "".join(text) == "<!-- x -->y"
+
+
+def test_windows_carry_what_they_do_not_read_as_one_column(spark):
+    rows = S.shred(spark.createDataFrame([("a", "<a>x</a>")], "resource_id string, xml string")).rows
+    last = next(n for n in rows._jdf.queryExecution().optimizedPlan().toString().splitlines() if "Window [" in n)
+    assert "carried" in rows._jdf.queryExecution().optimizedPlan().toString() and "text#" not in last
+    assert [r.text for r in rows.orderBy("pos").collect()] == ["x", ""]
