@@ -12,8 +12,11 @@ from pyspark.sql import functions as F
 
 from quire.functions import let
 
-# The blanks that count as separators (controls, NEL, all Unicode Z).
-BLANK = r"[\t-\r\x1c-\x1f\x85\p{Z}]"
+# The blanks that count as separators (controls, NEL, all Unicode Z).  That most
+# characters are none of them is told by the first range.
+BLANK = r"[[^!-~]&&[\t-\r\x1c-\x1f\x85\p{Z}]]"
+# What is not a single space already: several blanks, or one that is no space.
+UNEVEN_BLANKS = rf"{BLANK}(?:{BLANK}++|(?<! ))"
 
 # What a payload key may not contain, and what stands for it.
 KEY_REPLACEMENTS = ((".", "__"), (":", "__"), ("-", "_"), ("@", ""))
@@ -23,7 +26,7 @@ ELLIPSIS = "…"
 
 def normalize_ws(c: Column) -> Column:
     """Collapse every run of blanks to one space and trim; NULL gives ''."""
-    return F.trim(F.regexp_replace(F.coalesce(c, F.lit("")), BLANK + "+", " "))
+    return F.trim(F.regexp_replace(F.coalesce(c, F.lit("")), UNEVEN_BLANKS, " "))
 
 
 def strip(c: Column) -> Column:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterable, Sequence
 from functools import reduce
 from operator import or_
 
@@ -30,6 +30,26 @@ def get(v: Column, *names: str, type: str = "string") -> Column:
     return F.try_variant_get(v, steps(*names), type)
 
 
+def _struct(names: Iterable[str], of: str) -> str:
+    return "struct<" + ",".join(f"`{n.replace('`', '``')}`:{of}" for n in names) + ">"
+
+
+def fields(v: Column, of: str = "variant", **keys: str) -> Column:
+    """Members of an object as a struct, ``alias=key``; NULL for anything but an object.
+
+    One pass over the object finds all of them.  A step of ``get`` that finds nothing ends in an
+    exception inside Spark, which costs more than the whole pass where keys are often missing.
+    A member that is missing is NULL, one that is JSON null is a VARIANT of null, and NULL ``of``
+    any other type.
+    """
+    return v.try_cast(_struct(keys.values(), of)).cast(_struct(keys, of))
+
+
+def items(v: Column, of: str = "variant", **keys: str) -> Column:
+    """``fields`` of every item of an array; NULL for anything but an array."""
+    return v.try_cast(f"array<{_struct(keys.values(), of)}>").cast(f"array<{_struct(keys, of)}>")
+
+
 def present(v: Column) -> Column:
     """The value, with JSON null turned into SQL NULL."""
     return F.when(~F.is_variant_null(v), v)
@@ -51,7 +71,7 @@ def as_array(v: Column) -> Column:
 
 
 def is_object(v: Column) -> Column:
-    return F.coalesce(as_map(v).isNotNull(), F.lit(False))
+    return fields(v, any="_").isNotNull()
 
 
 def is_string(v: Column) -> Column:
@@ -59,41 +79,47 @@ def is_string(v: Column) -> Column:
 
 
 def json_type(v: Column) -> Column:
-    """One of string, integer, number, boolean, object, array, null; NULL when absent."""
+    """One of string, integer, number, boolean, object, array, null; NULL when absent.
 
-    def named(x: Column) -> Column:
-        kind, number = x["kind"], x["number"]
+    What is inside an object or array is not looked at.
+    """
+
+    def named(kind: Column) -> Column:
+        number = v.try_cast("double")
         return (
-            F.when(kind == "VOID", "null")
-            .when(kind == "STRING", "string")
+            F.when(kind == "STRING", "string")
             .when(kind == "BOOLEAN", "boolean")
-            .when(F.startswith(kind, F.lit("OBJECT")), "object")
-            .when(F.startswith(kind, F.lit("ARRAY")), "array")
             .when((kind == "BIGINT") | (number == F.floor(number)), "integer")
             .when(kind.isNotNull(), "number")
         )
 
-    parts = F.struct(
-        F.schema_of_variant(v).alias("kind"), v.try_cast("double").alias("number")
+    return (
+        F.when(F.is_variant_null(v), "null")
+        .when(as_array(v).isNotNull(), "array")
+        .when(is_object(v), "object")
+        .otherwise(let(F.schema_of_variant(v), named))
     )
-    return let(parts, named)
 
 
 def has_key(v: Column, name: str) -> Column:
     """Key is there, even with a JSON null value."""
-    return F.coalesce(F.map_contains_key(as_map(v), F.lit(name)), F.lit(False))
+    return fields(v, x=name)["x"].isNotNull()
 
 
 def truthy(v: Column) -> Column:
     """The value unless it is null, '', 0, false, [] or {}."""
 
     def test(x: Column) -> Column:
-        text = x.try_cast("string")
-        scalar_string = F.schema_of_variant(x) == "STRING"
-        falsy = F.when(scalar_string, text == "").otherwise(
-            text.isin("[]", "{}", "false") | F.coalesce(text.try_cast("double") == 0, F.lit(False))
-        )
-        return F.when(text.isNotNull() & ~falsy, x)
+        def kept(text: Column) -> Column:
+            scalar_string = F.schema_of_variant(x) == "STRING"
+            falsy = F.when(scalar_string, text == "").otherwise(
+                text.isin("[]", "{}", "false") | F.coalesce(text.try_cast("double") == 0, F.lit(False))
+            )
+            # few texts can be those of a falsy value
+            suspect = text.isin("", "[]", "{}", "false") | F.startswith(text, F.lit("0")) | F.startswith(text, F.lit("-0"))
+            return F.when(text.isNotNull() & ~(suspect & falsy), x)
+
+        return let(x.try_cast("string"), kept)
 
     return let(v, test)
 

@@ -436,9 +436,10 @@ def routes(resources: DataFrame, navigation: DataFrame | None, params: FragmentP
     if navigation is None or (params.mode == "auto" and not params.fetch_navigation):
         return ids.select("resource_id", F.lit("document").alias("route"))
     wanted = F.lit(True) if params.mode == "navigation" else F.col("max_cite_depth") > 0
-    known = nav.depths(navigation)
+    # what ``nav.lists`` read has the depth already
+    known = navigation if "nav_depth" in navigation.columns else nav.depths(navigation)
     route = F.when(wanted & (F.col("nav_depth") > 0), "navigation").otherwise("document")
-    return ids.join(known, "resource_id", "left").select("resource_id", route.alias("route"))
+    return ids.join(known.select("resource_id", "nav_depth"), "resource_id", "left").select("resource_id", route.alias("route"))
 
 
 def split(
@@ -467,7 +468,8 @@ def split_modes(
     """The fragments of several modes from one cut of the documents.
 
     The raw documents are read and exchanged once.  With more than one mode the rows are
-    checkpointed, with the states of the selectors in place of the markup.
+    checkpointed, with the states of the selectors in place of the markup.  Navigation payloads
+    are read once for routes, members and breadcrumbs, and checkpointed where the rows are.
     """
     for params in modes.values():
         if params.mode not in MODES:
@@ -487,6 +489,14 @@ def split_modes(
     if keep_rows or states:
         rows = checkpointed(rows, keep_partitioning=True)
     cut = Shred(rows)
+    guided = [
+        p for p in modes.values()
+        if p.fetch_document and (p.mode == "navigation" or (p.mode == "auto" and p.fetch_navigation))
+    ]
+    if navigation is not None and guided:
+        navigation = nav.lists(navigation, any(p.include_breadcrumb for p in guided))
+        if keep_rows or states:
+            navigation = checkpointed(navigation, keep_partitioning=True)
 
     def found(name: str, params: FragmentParams) -> Fragments:
         if not params.fetch_document:

@@ -7,19 +7,18 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quire.functions import let
 from quire.functions import variant as V
 from quire.functions.text import strip
 
 
 def dublin_core(raw: Column) -> Column:
     """``dublincore`` when the key is there (even empty), else ``dublinCore``."""
-    return F.when(
-        V.has_key(raw, "dublincore"), V.get(raw, "dublincore", type="variant")
-    ).otherwise(V.get(raw, "dublinCore", type="variant"))
+    return let(V.fields(raw, lower="dublincore", camel="dublinCore"), lambda x: F.coalesce(x["lower"], x["camel"]))
 
 
 def extensions(raw: Column) -> Column:
-    return V.get(raw, "extensions", type="variant")
+    return V.fields(raw, extensions="extensions")["extensions"]
 
 
 def build(
@@ -36,15 +35,8 @@ def build(
 
 def members(raw: Column) -> Column:
     """Members of a collection as ARRAY<STRUCT<id, type, title>>, in order."""
-    listed = V.as_array(V.get(raw, "member", type="variant"))
-    shown = F.transform(
-        F.filter(listed, V.is_object),
-        lambda m: F.struct(
-            V.get(m, "@id").alias("id"),
-            V.get(m, "@type").alias("type"),
-            V.get(m, "title").alias("title"),
-        ),
-    )
+    listed = V.items(V.fields(raw, member="member")["member"], "string", id="@id", type="@type", title="title")
+    shown = F.filter(listed, lambda m: m.isNotNull())
     return F.coalesce(shown, F.array().cast("array<struct<id:string,type:string,title:string>>"))
 
 
@@ -57,9 +49,9 @@ def collection_results(
     raw = F.col("raw")
     kept = build(raw, metadata_dublincore, metadata_extensions)
     return collections.select(
-        V.get(raw, "@id").alias("id"),
-        V.get(raw, "@type").alias("type"),
-        V.get(raw, "title").alias("title"),
+        V.fields(raw, "string", id="@id")["id"].alias("id"),
+        V.fields(raw, "string", type="@type")["type"].alias("type"),
+        V.fields(raw, "string", title="title")["title"].alias("title"),
         "linked_parents",
         *[c.alias(name) for name, c in kept.items()],
         members(raw).alias("member"),
@@ -68,7 +60,7 @@ def collection_results(
 
 def own_id(raw: Column) -> Column:
     """The trimmed ``@id``, '' when there is none."""
-    return strip(F.coalesce(V.truthy(V.get(raw, "@id", type="variant")).try_cast("string"), F.lit("")))
+    return strip(F.coalesce(V.truthy(V.fields(raw, id="@id")["id"]).try_cast("string"), F.lit("")))
 
 
 def resource_results(
@@ -82,12 +74,12 @@ def resource_results(
     """
     raw = F.col("raw")
     own = own_id(raw)
-    kind = V.truthy(V.get(raw, "@type", type="variant")).try_cast("string")
+    kind = V.truthy(V.fields(raw, type="@type")["type"]).try_cast("string")
     kept = build(raw, metadata_dublincore, metadata_extensions)
     return resources.filter(own != "").select(
         own.alias("id"),
         F.coalesce(kind, F.lit("Resource")).alias("type"),
-        V.get(raw, "title").alias("title"),
+        V.fields(raw, "string", title="title")["title"].alias("title"),
         "linked_parents",
         *[c.alias(name) for name, c in kept.items()],
     )

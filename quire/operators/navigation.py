@@ -15,23 +15,27 @@ from quire.session import materialize
 BREADCRUMB_SEPARATOR = " > "
 
 
+def opened(nav: Column) -> Column:
+    """What is read of a navigation payload: its members, its trees, and what ``resource`` holds."""
+    return V.fields(nav, member="member", resource="resource", trees="citationTrees")
+
+
 def member_list(nav: Column) -> Column:
-    """``member`` when it is an array, else ``resource.member``."""
-    return F.coalesce(
-        V.as_array(V.get(nav, "member", type="variant")),
-        V.as_array(V.get(nav, "resource", "member", type="variant")),
-    )
+    """``member`` of an opened payload when it is an array, else ``resource.member``."""
+    return F.coalesce(V.as_array(nav["member"]), V.as_array(V.fields(nav["resource"], member="member")["member"]))
 
 
 def cite_depth(nav: Column) -> Column:
-    """Declared citation depth, at the top or under ``resource``; else 1 with members, 0 without."""
+    """Declared citation depth of an opened payload, at the top or under ``resource``; else 1 with
+    members, 0 without."""
 
-    def declared(*above: str) -> Column:
-        text = V.get(nav, *above, "citationTrees", "maxCiteDepth")
+    def declared(trees: Column) -> Column:
+        text = V.fields(trees, depth="maxCiteDepth")["depth"].try_cast("string")
         return F.when(text == "", F.lit(0)).otherwise(text.try_cast("int"))
 
     members = F.coalesce(F.size(member_list(nav)) > 0, F.lit(False))
-    return F.coalesce(declared(), declared("resource"), members.cast("int"))
+    below = V.fields(nav["resource"], trees="citationTrees")["trees"]
+    return F.coalesce(declared(nav["trees"]), declared(below), members.cast("int"))
 
 
 def resource_depth(raw: Column) -> Column:
@@ -39,79 +43,92 @@ def resource_depth(raw: Column) -> Column:
     return F.coalesce(V.get(raw, "citationTrees", "maxCiteDepth").try_cast("int"), F.lit(0))
 
 
+def opened_member(m: Column) -> Column:
+    """What is read of a member, in one pass over it; NULL for what is not an object."""
+    return V.fields(
+        m, identifier="identifier", at_id="@id", id="id", parent="parent", references="references",
+        lower="dublincore", camel="dublinCore", title="title", level="level", cite_type="citeType",
+    )
+
+
 def _text(v: Column) -> Column:
     return V.truthy(v).try_cast("string")
 
 
 def title(m: Column) -> Column:
-    """Title from the first non-empty Dublin Core object, else the plain title."""
-    dc = V.first_truthy(
-        V.get(m, "dublincore", type="variant"), V.get(m, "dublinCore", type="variant")
-    )
-    return F.coalesce(
-        _text(V.get(dc, "title", type="variant")), _text(V.get(m, "title", type="variant"))
-    )
+    """Title of an opened member: from the first non-empty Dublin Core object, else the plain one."""
+    dc = V.first_truthy(m["lower"], m["camel"])
+    return F.coalesce(_text(V.fields(dc, title="title")["title"]), _text(m["title"]))
 
 
 def identifier(m: Column) -> Column:
-    """Short form of the first non-empty of identifier, @id, id."""
-    names = ("identifier", "@id", "id")
-    return short_id(V.first_truthy(*[V.get(m, n, type="variant") for n in names]).try_cast("string"))
+    """Short form of the first non-empty of identifier, @id, id of an opened member."""
+    return short_id(V.first_truthy(m["identifier"], m["at_id"], m["id"]).try_cast("string"))
 
 
 def parent(m: Column) -> Column:
-    """Short id of ``parent`` when it is a string, else of the first reference."""
-    own = V.get(m, "parent", type="variant")
-    ref = F.get(V.as_array(V.get(m, "references", type="variant")), 0)
-    target = V.first_truthy(V.get(ref, "@id", type="variant"), V.get(ref, "id", type="variant"))
-    return F.when(V.is_string(own), short_id(own.try_cast("string"))).otherwise(
-        short_id(target.try_cast("string"))
+    """Short id of ``parent`` of an opened member when it is a string, else of the first reference."""
+    own = m["parent"]
+
+    def target(ref: Column) -> Column:
+        return V.first_truthy(ref["at_id"], ref["id"]).try_cast("string")
+
+    first = V.fields(F.get(V.as_array(m["references"]), 0), at_id="@id", id="id")
+    return F.when(V.is_string(own), short_id(own.try_cast("string"))).otherwise(short_id(let(first, target)))
+
+
+def lists(navigation: DataFrame, breadcrumbs: bool = False) -> DataFrame:
+    """``navigation(resource_id, payload)``, read: resource_id, nav_depth, list and, with
+    ``breadcrumbs``, crumbs, place by place; depth and list are NULL for a payload that is no object.
+    """
+    nav = F.col("nav")
+    read = navigation.select("resource_id", opened(V.parse(F.col("payload"))).alias("nav")).select(
+        "resource_id",
+        F.when(nav.isNotNull(), cite_depth(nav)).alias("nav_depth"),
+        F.transform(member_list(nav), lambda m: let(opened_member(m), _read)).alias("list"),
     )
+    if not breadcrumbs:
+        return read
+    return read.withColumn("crumbs", F.transform("list", named)).withColumn("crumbs", trails(F.col("crumbs")))
 
 
 def members(navigation: DataFrame, breadcrumbs: bool = False) -> DataFrame:
-    """``navigation(resource_id, payload)`` to one row per member.
+    """``navigation(resource_id, payload)``, or what ``lists`` made of it, to one row per member.
 
     resource_id, pos, member_id, parent_id (short), parent (as given), title, level,
     cite_type, dublin_core (the ``dublinCore`` spelling as given), nav_depth, and with
     ``breadcrumbs`` the breadcrumb, made inside the payload's row.
     """
-    parsed = navigation.select("resource_id", V.parse(F.col("payload")).alias("nav")).filter(
-        V.is_object(F.col("nav"))
-    )
-    listed = parsed.select(
-        "resource_id", cite_depth(F.col("nav")).alias("nav_depth"), member_list(F.col("nav")).alias("list")
-    )
-    m, crumb = F.col("m"), []
-    if breadcrumbs:
-        listed = listed.withColumn("crumbs", F.transform("list", named)).withColumn("crumbs", trails(F.col("crumbs")))
-        rows = listed.select("resource_id", "nav_depth", F.posexplode(F.arrays_zip("list", "crumbs")).alias("pos", "both"))
-        m, crumb = F.col("both.list"), [F.col("both.crumbs").alias("breadcrumb")]
-    else:
-        rows = listed.select("resource_id", "nav_depth", F.posexplode("list").alias("pos", "m"))
-    return rows.filter(V.is_object(m)).select(
-        "resource_id",
-        "pos",
+    read = navigation if "list" in navigation.columns else lists(navigation, breadcrumbs)
+    both = F.arrays_zip("list", "crumbs") if breadcrumbs else F.arrays_zip("list")
+    rows = read.select("resource_id", "nav_depth", F.posexplode(both).alias("pos", "both"))
+    m, crumb = F.col("both.list"), [F.col("both.crumbs").alias("breadcrumb")] if breadcrumbs else []
+    names = ("member_id", "parent_id", "parent", "title", "level", "cite_type", "dublin_core")
+    return rows.filter(m.isNotNull()).select("resource_id", "pos", *[m[n].alias(n) for n in names], "nav_depth", *crumb)
+
+
+def _read(m: Column) -> Column:
+    """The columns of an opened member; NULL for what is not an object."""
+    return F.when(m.isNotNull(), F.struct(
         identifier(m).alias("member_id"),
         parent(m).alias("parent_id"),
-        V.get(m, "parent").alias("parent"),
+        m["parent"].try_cast("string").alias("parent"),
         title(m).alias("title"),
-        V.get(m, "level").alias("level"),
-        V.get(m, "citeType").alias("cite_type"),
-        V.get(m, "dublinCore", type="variant").alias("dublin_core"),
-        "nav_depth",
-        *crumb,
-    )
+        m["level"].try_cast("string").alias("level"),
+        m["cite_type"].try_cast("string").alias("cite_type"),
+        m["camel"].alias("dublin_core"),
+    ))
 
 
 def depths(navigation: DataFrame) -> DataFrame:
     """Citation depth per navigation payload; no row for a payload that is not an object."""
-    nav = V.parse(F.col("payload"))
-    return navigation.filter(V.is_object(nav)).select(
-        "resource_id",
-        cite_depth(nav).alias("nav_depth"),
-        F.coalesce(F.size(member_list(nav)), F.lit(0)).alias("members"),
-    )
+
+    def told(nav: Column) -> Column:
+        members = F.coalesce(F.size(member_list(nav)), F.lit(0))
+        return F.when(nav.isNotNull(), F.struct(cite_depth(nav).alias("nav_depth"), members.alias("members")))
+
+    each = let(opened(V.parse(F.col("payload"))), told)
+    return navigation.select("resource_id", F.inline(F.array_compact(F.array(each))))
 
 
 def nav_index(rows: DataFrame) -> DataFrame:
@@ -126,12 +143,8 @@ def nav_index(rows: DataFrame) -> DataFrame:
 
 def named(m: Column, pos: Column) -> Column:
     """What a breadcrumb needs of the member at a place of the list."""
-    fine = V.is_object(m)
     return F.struct(
-        F.when(fine, identifier(m)).alias("id"),
-        pos.alias("pos"),
-        F.when(fine, parent(m)).alias("up"),
-        F.nullif(F.when(fine, title(m)), F.lit("")).alias("title"),
+        m["member_id"].alias("id"), pos.alias("pos"), m["parent_id"].alias("up"), F.nullif(m["title"], F.lit("")).alias("title")
     )
 
 
@@ -231,9 +244,7 @@ def breadcrumbs(navigation: DataFrame) -> DataFrame:
 
     Made inside the payloads' rows: nothing is joined or moved.
     """
-    parsed = navigation.select("resource_id", V.parse(F.col("payload")).alias("nav")).filter(V.is_object(F.col("nav")))
-    listed = parsed.select("resource_id", F.transform(member_list(F.col("nav")), named).alias("list"))
-    return listed.select("resource_id", F.inline(trails(F.col("list"), by_id=True)))
+    return lists(navigation).select("resource_id", F.inline(trails(F.transform("list", named), by_id=True)))
 
 
 def climbed(index: DataFrame) -> DataFrame:

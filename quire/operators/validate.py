@@ -18,6 +18,9 @@ ISSUE = (
 )
 CODE = "jsonschema_error"
 
+#: Profiles of up to so many places are written out as expressions; wider ones are judged by a table.
+WRITTEN_OUT = 200
+
 
 @dataclass(frozen=True)
 class Field:
@@ -134,10 +137,11 @@ NODE = (
 @dataclass(frozen=True)
 class _Compiled:
     """Places of the profiles as nodes by name; ``levels`` is the longest way down, None if there
-    is no longest."""
+    is no longest, ``places`` the number of places when equal ones do not share a node."""
 
     nodes: dict[str, dict]
     levels: int | None
+    places: int | None
 
     @property
     def table(self) -> Column:
@@ -187,7 +191,16 @@ def _compiled(profiles: dict[str, Profile]) -> _Compiled:
         return None if None in ways else 1 + max(ways, default=0)
 
     ways = [longest(n, ()) for n in profiles]
-    return _Compiled(nodes, None if None in ways else max(ways, default=1))
+    if None in ways:
+        return _Compiled(nodes, None, None)
+    spread: dict[str, int] = {}
+
+    def spread_of(node: str) -> int:
+        if node not in spread:
+            spread[node] = 1 + sum(map(spread_of, below[node]))
+        return spread[node]
+
+    return _Compiled(nodes, max(ways, default=1), sum(map(spread_of, profiles)))
 
 
 def _none() -> Column:
@@ -229,7 +242,7 @@ def _wrong_type(v: Column, types: Column, path: Column) -> Column:
     )
 
 
-def _own_issues(v: Column, node: Column, path: Column) -> Column:
+def _own_issues(v: Column, node: dict[str, Column] | Column, path: Column) -> Column:
     """Issues of one value, those of what is inside it apart; NULL for demands that it meets."""
     shown, text = _shown(v), v.try_cast("string")
     listed = _quoted(node["allowed"])
@@ -238,7 +251,7 @@ def _own_issues(v: Column, node: Column, path: Column) -> Column:
     )
     texts = F.transform(V.as_array(v), lambda x: F.to_json(x))
     repeated = node["is_unique"] & (F.size(F.array_distinct(texts)) < F.size(texts))
-    own = F.array(
+    return F.array(
         _wrong_type(v, node["types"], path),
         F.when(
             not_allowed,
@@ -260,14 +273,19 @@ def _own_issues(v: Column, node: Column, path: Column) -> Column:
         ),
     )
 
-    def missing(name: Column) -> Column:
-        quoted = F.concat(F.lit("'"), name, F.lit("'"))
-        return _issue(
-            path, F.concat(quoted, F.lit(" is a required property")), F.concat(F.lit("required: "), quoted), _shown(v)
-        )
 
-    absent = let(V.as_map(v), lambda m: F.filter(node["required"], lambda n: ~F.map_contains_key(m, n)))
-    return F.concat(own, F.when(V.is_object(v), F.transform(absent, missing)).otherwise(_none()))
+def _missing(v: Column, name: Column, path: Column) -> Column:
+    """Issue of an object without a member that it must have."""
+    quoted = F.concat(F.lit("'"), name, F.lit("'"))
+    return _issue(
+        path, F.concat(quoted, F.lit(" is a required property")), F.concat(F.lit("required: "), quoted), _shown(v)
+    )
+
+
+def _absent(v: Column, required: Column, path: Column) -> Column:
+    """Issues of an object for the members that it must have and has not."""
+    absent = let(V.as_map(v), lambda m: F.filter(required, lambda n: ~F.map_contains_key(m, n)))
+    return F.when(V.is_object(v), F.transform(absent, lambda n: _missing(v, n, path))).otherwise(_none())
 
 
 def _below(v: Column, node: Column, path: Column) -> Column:
@@ -290,7 +308,7 @@ def _below(v: Column, node: Column, path: Column) -> Column:
 def _judged(record: Column, profile: Column, compiled: _Compiled) -> Column:
     """All issues of a record: level by level, each value beside the node that speaks of it.
 
-    Goes as deep as the profile does; for one that holds itself as deep as the record can be.
+    For profiles that hold themselves or spread very far; goes as deep as the record can be.
     """
     table = compiled.table
     top = F.struct(F.array().cast("array<string>").alias("path"), profile.alias("node"), record.alias("v"))
@@ -302,30 +320,62 @@ def _judged(record: Column, profile: Column, compiled: _Compiled) -> Column:
         levels = F.sequence(F.lit(1), F.lit(compiled.levels))
     first = F.struct(F.array(top).alias("open"), _none().alias("issues"))
 
+    def own(v: Column, node: Column, path: Column) -> Column:
+        return F.concat(_own_issues(v, node, path), _absent(v, node["required"], path))
+
     def level(s: Column, _: Column) -> Column:
         def each(body):
             return F.flatten(F.transform(s["open"], lambda e: let(table[e["node"]], lambda node: body(e["v"], node, e["path"]))))
 
         deeper = F.struct(
-            each(_below).alias("open"), F.concat(s["issues"], F.array_compact(each(_own_issues))).alias("issues")
+            each(_below).alias("open"), F.concat(s["issues"], F.array_compact(each(own))).alias("issues")
         )
         return F.when(F.size(s["open"]) > 0, deeper).otherwise(s)
 
     return F.aggregate(levels, first, level)["issues"]
 
 
+def _written_out(v: Column, rule: Profile | Field, path: tuple[Column, ...]) -> Column:
+    """All issues of a value, the demands written out place by place.
+
+    An object is gone through once for all the members that its profile names; a value that
+    meets its demands costs no more than the look at its type.
+    """
+    inside = rule if isinstance(rule, Profile) else rule.inside
+    own = rule if isinstance(rule, Field) else Field(("object",))
+    here = F.array(*path).cast("array<string>")
+    texts = lambda names: F.array(*map(F.lit, names)).cast("array<string>")
+    node = {"types": texts(own.types), "allowed": texts(own.allowed), "is_unique": F.lit(own.unique)}
+    found = [F.when(v.isNotNull(), F.array_compact(_own_issues(v, node, here)))]
+    names = dict.fromkeys([*inside.required, *inside.fields]) if inside else {}
+    if names:
+        alias = {name: f"m{i}" for i, name in enumerate(names)}
+
+        def members(x: Column) -> Column:
+            absent = [F.when(x[alias[n]].isNull(), _missing(v, F.lit(n), here)) for n in inside.required]
+            below = [_written_out(x[alias[n]], f, (*path, F.lit(n))) for n, f in inside.fields.items()]
+            return F.when(x.isNotNull(), F.concat(F.array_compact(F.array(F.lit(None).cast(ISSUE), *absent)), *below))
+
+        found.append(let(V.fields(v, **{a: n for n, a in alias.items()}), members))
+    if own.items is not None:
+        each = F.transform(V.as_array(v), lambda x, i: _written_out(x, own.items, (*path, i.cast("string"))))
+        found.append(F.flatten(each))
+    return F.concat(*[F.coalesce(f, _none()) for f in found])
+
+
 def infer_profile(record: Column) -> Column:
     """Profile of a record from its keys and its type."""
-    kind = F.when(V.is_string(V.get(record, "@type", type="variant")), V.get(record, "@type"))
-    return (
-        F.when(
-            V.has_key(record, "resource_results") & V.has_key(record, "collection_results"),
-            "output",
+
+    def told(x: Column) -> Column:
+        kind = F.when(V.is_string(x["kind"]), x["kind"].try_cast("string"))
+        return (
+            F.when(x["resources"].isNotNull() & x["collections"].isNotNull(), "output")
+            .when(kind == "Collection", "collection")
+            .when(kind == "Resource", "resource")
+            .otherwise("resource_result")
         )
-        .when(kind == "Collection", "collection")
-        .when(kind == "Resource", "resource")
-        .otherwise("resource_result")
-    )
+
+    return let(V.fields(record, resources="resource_results", collections="collection_results", kind="@type"), told)
 
 
 def check(records: DataFrame, profile: str | Profile | None = None) -> DataFrame:
@@ -337,15 +387,22 @@ def check(records: DataFrame, profile: str | Profile | None = None) -> DataFrame
     if isinstance(profile, str) and profile not in PROFILES:
         raise ValueError(f"unknown profile: {profile}")
     own = isinstance(profile, Profile)
-    compiled = _compiled({"own": profile} if own else PROFILES)
+    asked = {"own": profile} if own else PROFILES if profile is None else {profile: PROFILES[profile]}
+    compiled = _compiled(asked)
     name = infer_profile(F.col("record")) if profile is None else F.lit("own" if own else profile)
-    found = _judged(F.col("record"), F.col("profile"), compiled)
+    if compiled.places is None or compiled.places > WRITTEN_OUT:
+        found = _judged(F.col("record"), F.col("profile"), compiled)
+    else:
+        each = [F.when(F.col("profile") == n, _written_out(F.col("record"), p, ())) for n, p in asked.items()]
+        found = F.coalesce(*each)
     return records.withColumn("profile", name).withColumn("issues", F.array_sort(found))
 
 
 def issues(checked: DataFrame) -> DataFrame:
     """Long form: record_id, profile, seq, level, code, message, path, expected, actual."""
-    rows = checked.select("record_id", "profile", F.posexplode("issues").alias("seq", "i"))
+    # not the column itself: Spark would test its size below, and judge every record once more for that
+    found = F.posexplode(F.array_compact("issues"))
+    rows = checked.select("record_id", "profile", found.alias("seq", "i"))
     names = ("level", "code", "message", "path", "expected", "actual")
     return rows.select("record_id", "profile", "seq", *[f"i.{n}" for n in names])
 
@@ -458,8 +515,7 @@ def result_records(results: DataFrame) -> DataFrame:
             metadata.alias("metadata"),
             "fragments",
         )
-    text = F.to_json(shape, {"ignoreNullFields": "false"})
-    return results.select(F.col("id").alias("record_id"), F.parse_json(text).alias("record"))
+    return results.select(F.col("id").alias("record_id"), F.to_variant_object(shape).alias("record"))
 
 
 def validate_run(collections: DataFrame, resources: DataFrame) -> tuple[DataFrame, DataFrame]:

@@ -7,8 +7,10 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quire.functions import let
 from quire.functions import variant as V
 from quire.functions.text import id_list, strip
+from quire.session import materialize
 
 
 def landed_name(suffix: str) -> Column:
@@ -75,28 +77,34 @@ def one_each(landed: DataFrame, key: str, value: str) -> DataFrame:
     The last by ``landed_at`` stays where the table has that column, else the one with the
     greatest SHA-256; of equals the last in the table.  Keys that are NULL count as one.
 
-    Only keys, times (or digests) and places are exchanged, in partial aggregates; what comes
-    out of that is the newest place of the keys that landed more than once, and only rows of
-    those keys are left out.  Where these are few, Spark broadcasts them and no payload moves.
-    The table is read twice and must give its rows in the same order, as a stored one does.
+    Keys are counted first; times (or digests) and places are looked at for the keys that landed
+    more than once, and only rows of those are left out.  Where these keys are few, Spark
+    broadcasts them and no payload moves; where there are none, the table stays as it is.  The
+    table must give its rows in the same order each time, as a stored one does.
     """
-    age = F.col("landed_at") if "landed_at" in landed.columns else F.sha2(F.col(value), 256)
+    times = landed.groupBy(F.col(key).alias("_again")).count().filter("count > 1").select("_again")
+    repeated = materialize(times, "landed-again")
+    if repeated.isEmpty():
+        return landed.select(key, value)
+    age = F.col("landed_at") if "landed_at" in landed.columns else F.sha2(F.col("_value"), 256)
+    # the order in the table is that of its rows before any join
     rows = landed.select(
-        F.col(key).alias("_key"), F.col(value).alias("_value"), age.alias("_age"),
+        F.col(key).alias("_key"), F.col(value).alias("_value"), *[c for c in landed.columns if c == "landed_at"],
         F.monotonically_increasing_id().alias("_place"),
     )
+    same = F.col("_key").eqNullSafe(F.col("_again"))
     # NULL is older than anything
-    newest = F.max(F.struct("_age", "_place"))
-    again = rows.groupBy("_key").agg(newest.alias("_newest"), F.count(F.lit(1)).alias("_times")).filter("_times > 1")
-    told = again.select(F.col("_key").alias("_again"), F.col("_newest._place").alias("_last"))
-    joined = rows.join(told, F.col("_key").eqNullSafe(F.col("_again")), "left")
+    newest = F.max(F.struct(age.alias("_age"), F.col("_place")))["_place"]
+    told = rows.join(repeated, same).groupBy("_key").agg(newest.alias("_last"))
+    told = told.select(F.col("_key").alias("_again"), "_last")
+    joined = rows.join(told, same, "left")
     kept = joined.filter(F.col("_last").isNull() | (F.col("_place") == F.col("_last")))
     return kept.select(F.col("_key").alias(key), F.col("_value").alias(value))
 
 
 def canonical_id(raw: Column, request_id: Column) -> Column:
     """``@id`` when there is one, else the id that was asked for; trimmed."""
-    own = V.truthy(V.get(raw, "@id", type="variant")).try_cast("string")
+    own = V.truthy(V.fields(raw, id="@id")["id"]).try_cast("string")
     return strip(F.coalesce(own, request_id, F.lit("")))
 
 
@@ -106,12 +114,12 @@ def objects(payloads: DataFrame) -> DataFrame:
     request_id, object_id, type, title, raw.  A missing type means Collection.
     """
     raw = F.col("raw")
-    kind = V.truthy(V.get(raw, "@type", type="variant")).try_cast("string")
+    kind = V.truthy(V.fields(raw, type="@type")["type"]).try_cast("string")
     return accept(payloads).accepted.select(
         "request_id",
         canonical_id(raw, F.col("request_id")).alias("object_id"),
         F.coalesce(kind, F.lit("Collection")).alias("type"),
-        V.get(raw, "title").alias("title"),
+        V.fields(raw, "string", title="title")["title"].alias("title"),
         "raw",
     )
 
@@ -124,9 +132,11 @@ def member_edges(described: DataFrame) -> DataFrame:
     listed = described.filter(F.col("type") != "Resource").select(
         "request_id",
         F.col("object_id").alias("parent_id"),
-        F.posexplode(V.as_array(V.get(F.col("raw"), "member", type="variant"))).alias("pos", "m"),
+        F.posexplode(
+            V.items(V.fields(F.col("raw"), member="member")["member"], id="@id", type="@type", title="title")
+        ).alias("pos", "m"),
     )
-    own = V.get(F.col("m"), "@id", type="variant")
+    own = F.col("m.id")
     child = strip(F.when(V.is_string(own), own.try_cast("string")))
     return (
         listed.withColumn("child_id", child)
@@ -136,8 +146,8 @@ def member_edges(described: DataFrame) -> DataFrame:
             "parent_id",
             "pos",
             "child_id",
-            V.get(F.col("m"), "@type").alias("child_type"),
-            V.get(F.col("m"), "title").alias("child_title"),
+            F.col("m.type").try_cast("string").alias("child_type"),
+            F.col("m.title").try_cast("string").alias("child_title"),
         )
     )
 
@@ -146,10 +156,9 @@ def parent_ids(raw: Column) -> Column:
     """Ids of the members of a parents payload, normalised; empty when it lists none."""
 
     def one(m: Column) -> Column:
-        target = V.first_truthy(V.get(m, "@id", type="variant"), V.get(m, "id", type="variant"))
-        return F.when(V.is_object(m) & V.is_string(target), target.try_cast("string"))
+        return let(V.first_truthy(m["at_id"], m["id"]), lambda v: F.when(V.is_string(v), v.try_cast("string")))
 
-    return id_list(F.transform(V.as_array(V.get(raw, "member", type="variant")), one))
+    return id_list(F.transform(V.items(V.fields(raw, member="member")["member"], at_id="@id", id="id"), one))
 
 
 def parents(payloads: DataFrame) -> DataFrame:

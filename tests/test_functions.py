@@ -167,3 +167,45 @@ def test_strip_leading_head_of_normalized_texts(one):
     new = lambda: T.strip_leading_head(F.col("content"), F.col("head"), normalized=True)
     assert "regexp_replace" not in str(new()) and one(new, **both) == "text"
     assert one(new, content="Intro", head="") == "Intro"
+
+
+def test_members_found_in_one_pass(spark):
+    """``fields`` and ``items`` give what ``get`` gives, member by member."""
+    odd = ['{"a":1,"A":"x","b":null,"c":{"d":[1,{}]},"@id":"q","e`f":false}', "[1]", '"s"', "null", "5", "{}", "x", '{"b":1.50,"a":[]}']
+    rows = spark.createDataFrame([(t,) for t in odd], "t string").select(F.try_parse_json("t").alias("v"))
+    keys = {"one": "a", "two": "A", "three": "b", "four": "c", "five": "@id", "six": "e`f", "seven": "missing"}
+    v = F.col("v")
+    for kind in ("variant", "string"):
+        x = V.fields(v, kind, **keys)
+        same = [F.to_json(F.struct(x[a].alias("x"))) == F.to_json(F.struct(V.get(v, k, type=kind).alias("x"))) for a, k in keys.items()]
+        assert all(all(r) for r in rows.select(*same).collect())
+    told = rows.select(V.fields(v, z="zz").isNotNull(), V.is_object(v), V.as_map(v).isNotNull(), V.has_key(v, "b")).collect()
+    assert [tuple(r) for r in told] == [(k, k, k, h) for k, h in [(True, True)] + [(False, False)] * 4 + [(True, False), (False, False), (True, True)]]
+    listed = spark.sql("""SELECT parse_json('[{"a":"1"},3,null,{"b":2},[]]') AS v""").select(V.items(v, "string", x="a").alias("i"))
+    assert [i and i["x"] for i in listed.head()["i"]] == ["1", None, None, None, None] and listed.selectExpr("i[3] IS NOT NULL").head()[0]
+
+
+@pytest.mark.parametrize("text, kind", [
+    ("null", "null"), ('"s"', "string"), ('"5"', "string"), ("5", "integer"), ("2.0", "integer"), ("1e3", "integer"), ("1.5", "number"),
+    ("true", "boolean"), ("[]", "array"), ('[{"a":1},2]', "array"), ("{}", "object"), ('{"_":null}', "object"), ("x", None),
+])
+def test_json_types(one, text, kind):
+    assert one(lambda: V.json_type(V.parse(F.col("t"))), t=text) == kind
+
+
+@pytest.mark.parametrize("text", ["null", '""', "0", "0.0", "-0.0", "0e5", "false", "[]", "{}", "x"])
+def test_falsy(one, text):
+    assert one(lambda: V.truthy(V.parse(F.col("t"))).isNull(), t=text)
+
+
+@pytest.mark.parametrize("text", ['"0"', '"false"', '"[]"', '"{}"', '" "', '"0.0"', "0.5", "-0.5", "true", "[0]", '{"a":null}'])
+def test_truthy(one, text):
+    assert one(lambda: V.truthy(V.parse(F.col("t"))).isNotNull(), t=text)
+
+
+def test_even_blanks_are_left_alone(one):
+    text = " a  b\tc d   e\n\nf g\u0085h　"
+    assert one(lambda: T.normalize_ws(F.col("t")), t=text) == "a b c d e f g h"
+    assert one(lambda: F.regexp_count(F.col("t"), F.lit(T.UNEVEN_BLANKS)), t="a b c d") == 0
+    blanks = [cp for cp in range(0x10000) if unicodedata.category(chr(cp)).startswith("Z") or cp in (*range(9, 14), *range(28, 32), 0x85)]
+    assert one(lambda: T.normalize_ws(F.col("t")), t="".join(f"x{chr(c)}" for c in blanks)) == " ".join("x" * len(blanks))

@@ -542,3 +542,42 @@ def test_index_lines_of_an_empty_and_an_odd_table(spark, tmp_path):
         ("a", 't,"x"', '["r"]', "0", "0", " lead", ""), ("b", "", '["r"]', "0", "0", "x\ny", '"q"'), ("c", "", '["r"]', "0", "0", "", ""),
     ]
     assert SF.read_index(spark, str(tmp_path / "none")).collect() == []
+
+
+ODD_RECORDS = [
+    '{"id":"a","metadata":{},"fragments":[]}', '{"id":5,"title":["t"],"metadata":[],"fragments":{}}', "[1]", '"s"', "null", "7", "{}",
+    '{"id":null,"title":null,"linked_parents":["x","x",4],"metadata":{"a":1},"fragments":[{"id":"f"},3,null,{"id":1,"content":null,"level":1.0},'
+    '{"id":"g","content":"c","level":1.5,"head":false,"breadcrumb":null},{"id":"h","content":"c","level":1e3}]}',
+    '{"@id":"c","@type":"Shelf","title":"t","member":{},"totalItems":"many"}', '{"@type":"Resource","@id":7,"mediaTypes":"x","document":null}',
+    '{"@type":"Collection","totalItems":2.0}',
+    '{"resource_results":[{"id":"r"}],"collection_results":[{"@id":3,"member":[]}],"type":"All","meta":null,"dtsVersion":1}',
+]
+
+
+def test_profiles_written_out_find_what_the_table_of_nodes_finds(spark, monkeypatch):
+    rows = [(str(i), t) for i, t in enumerate(ODD_RECORDS)]
+    records = spark.createDataFrame(rows, "record_id string, t string").select("record_id", F.parse_json("t").alias("record"))
+
+    def found(profile):
+        checked = VA.check(records, profile).select("record_id", "profile", F.to_json("issues").alias("issues"))
+        return sorted(tuple(r) for r in checked.collect())
+
+    for profile in (None, *VA.PROFILES):
+        written = found(profile)
+        monkeypatch.setattr(VA, "WRITTEN_OUT", 0)
+        assert written == found(profile)
+        monkeypatch.undo()
+    assert len([i for _, _, i in written if i != "[]"]) > 5
+
+
+def test_issues_are_judged_once(spark):
+    """Spark would push a test of the number of issues below them, and judge each record again for it."""
+    records = spark.createDataFrame([("1", "{}")], "record_id string, t string").select("record_id", F.parse_json("t").alias("record"))
+    plan = VA.issues(VA.check(records, "resource_result"))._jdf.queryExecution().optimizedPlan().toString()
+    assert "array_sort" in plan and "Filter" not in plan
+
+
+def test_navigation_is_read_once_for_routes_members_and_trails(landed):
+    run = PL.run(landed, PL.CollectionParams("R"))
+    plan = run.fragments._jdf.queryExecution().optimizedPlan().toString()
+    assert "generate posexplode" in plan.lower() and "parseJson" not in plan
