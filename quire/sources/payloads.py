@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -13,29 +14,116 @@ from quire.functions.text import id_list, strip
 from quire.session import materialize
 
 
-def landed_name(suffix: str) -> Column:
-    """The id in the name of a landed file: the name without the suffix, percent-decoded.
+def id_of_name(on_disk: Column) -> Column:
+    """The id in the name of a landed file without its suffix: percent-decoded, or as it is when that
+    is no percent-encoding."""
+    return F.coalesce(F.try_url_decode(on_disk), on_disk)
 
-    Spark shows file names as parts of a URI, so they are decoded once for that and once
-    more for the id; a name that is no percent-encoding is taken as it is.
-    """
+
+def landed_name(suffix: str) -> Column:
+    """``id_of_name`` of the file that Spark reads a row from; Spark shows names as parts of a URI."""
     shown = F.regexp_extract(F.col("_metadata.file_name"), rf"^(.*)\.{suffix}$", 1)
-    on_disk = F.url_decode(F.replace(shown, F.lit("+"), F.lit("%2B")))
-    return F.coalesce(F.try_url_decode(on_disk), on_disk)
+    return id_of_name(F.url_decode(F.replace(shown, F.lit("+"), F.lit("%2B"))))
+
+
+FILE_BYTES = 4_000_000  # of texts, or that many names and a bit, are handed on at once
+HIDDEN = ("_", ".")  # what begins so is left out, as Spark's readers do
 
 
 def read_files(spark: SparkSession, path: str, suffix: str, name: str) -> DataFrame:
     """One row per landed file: the id in its name, and its whole text (UTF-8).
 
-    Files may lie in folders below ``path``; with many folders Spark lists them in tasks.  Files
-    are taken as bytes, which costs a small part of what the reader of texts takes to open one.
-    Spark would deal out 32 small files to a task; tasks are joined, so that their number does
-    not grow with that of the files.
+    Files may lie in folders below ``path``, to any depth; a file of no bytes is a text of none.
+    Spark's own readers keep the list of all files on the driver, with the block places of each.
+    Here folders are listed in tasks, level by level, and files read in tasks by names that lie
+    in a table, so nothing on the driver grows with their number.  The names of one folder go
+    through one task.  Arrow must know the scheme of the path; for others, and for patterns in
+    place of a path, it is Spark's reader after all.
     """
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 4 * spark.sparkContext.defaultParallelism)
+    place = _folder(spark, path)
+    if place is None:
+        return _read_by_spark(spark, path, suffix, parts).withColumnRenamed("text", name)
+    uri, ending = place, f".{suffix}"
+
+    def at(uri: str):
+        from urllib.parse import unquote, urlsplit
+
+        from pyarrow import fs
+
+        local = uri.startswith("file:")
+        return (fs.LocalFileSystem(), unquote(urlsplit(uri).path)) if local else fs.FileSystem.from_uri(uri)
+
+    def inside(batches):
+        import pyarrow as pa
+        from pyarrow import fs
+
+        system, _ = at(uri)
+        for batch in batches:
+            for folder in batch.column("file").to_pylist():
+                found = [
+                    (x.path, x.type == fs.FileType.Directory) for x in system.get_file_info(fs.FileSelector(folder))
+                    if not x.base_name.startswith(HIDDEN) and (x.type == fs.FileType.Directory or x.base_name.endswith(ending))
+                ]
+                for i in range(0, len(found), 10_000):
+                    files, folders = zip(*found[i : i + 10_000])
+                    yield pa.RecordBatch.from_arrays([pa.array(files, pa.string()), pa.array(folders, pa.bool_())], ["file", "folder"])
+
+    def texts(batches):
+        import pyarrow as pa
+
+        system, _ = at(uri)
+        files, read, size = [], [], 0
+        rows = lambda: pa.RecordBatch.from_arrays([pa.array(files, pa.string()), pa.array(read, pa.binary())], ["file", "content"])
+        for batch in batches:
+            for file in batch.column("file").to_pylist():
+                with system.open_input_stream(file, compression=None) as f:
+                    files.append(file)
+                    read.append(f.read())
+                size += len(read[-1]) + 1_000
+                if size >= FILE_BYTES:
+                    yield rows()
+                    files, read, size = [], [], 0
+        yield rows()
+
+    level, found = spark.createDataFrame([(at(uri)[1],)], "file string"), []
+    while True:
+        listed = materialize(level.mapInArrow(inside, "file string, folder boolean"), "landed-names")
+        found.append(listed.filter("NOT folder").select("file"))
+        below = listed.filter("folder").select("file")
+        if below.isEmpty():
+            break
+        level = below.repartition(parts, "file")
+    files = reduce(DataFrame.unionByName, found).repartition(parts, "file").mapInArrow(texts, "file string, content binary")
+    last = F.substring_index("file", "/", -1)
+    on_disk = F.substr(last, F.lit(1), F.char_length(last) - len(ending))
+    return files.select(id_of_name(on_disk).alias("resource_id"), F.col("content").cast("string").alias(name))
+
+
+def _folder(spark: SparkSession, path: str) -> str | None:
+    """The URI of a folder that Arrow can open; NULL for patterns, other schemes and what is no folder."""
+    import pyarrow as pa
+    from pyarrow import fs
+
+    if any(c in path for c in "*?[{"):
+        return None
+    there = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    whole = there.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(there).toUri()
+    if whole.getScheme() == "file":
+        system, base = fs.LocalFileSystem(), whole.getPath()
+    else:
+        try:
+            system, base = fs.FileSystem.from_uri(whole.toString())
+        except (pa.ArrowException, OSError):
+            return None
+    return whole.toString() if system.get_file_info(base).type == fs.FileType.Directory else None
+
+
+def _read_by_spark(spark: SparkSession, path: str, suffix: str, parts: int) -> DataFrame:
+    """Files by Spark's reader of bytes, its tasks of 32 small files joined.  It leaves out files of no bytes."""
     found = spark.read.format("binaryFile").option("pathGlobFilter", f"*.{suffix}")
     files = found.option("recursiveFileLookup", "true").load(path).coalesce(parts)
-    return files.select(landed_name(suffix).alias("resource_id"), F.col("content").cast("string").alias(name))
+    return files.select(landed_name(suffix).alias("resource_id"), F.col("content").cast("string").alias("text"))
 
 
 def read_documents(spark: SparkSession, path: str) -> DataFrame:

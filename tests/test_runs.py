@@ -581,3 +581,31 @@ def test_navigation_is_read_once_for_routes_members_and_trails(landed):
     run = PL.run(landed, PL.CollectionParams("R"))
     plan = run.fragments._jdf.queryExecution().optimizedPlan().toString()
     assert "generate posexplode" in plan.lower() and "parseJson" not in plan
+
+
+def test_the_driver_holds_no_list_of_landed_files(spark, tmp_path):
+    """Names are listed and read in tasks, folder by folder to any depth, empty files too."""
+    want = {}
+    for i in range(40):
+        folder = tmp_path.joinpath("a b%20c", *["in"] * (i % 4))
+        folder.mkdir(parents=True, exist_ok=True)
+        (folder / f"é%2F{i}.xml").write_text("x" * i)
+        (folder / "_hidden.xml").write_text("x")
+        (folder / f"{i}.xml.part").write_text("x")
+        want[f"é/{i}"] = "x" * i
+    (tmp_path / "a b%20c" / "_temporary").mkdir()
+    (tmp_path / "a b%20c" / "_temporary" / "t.xml").write_text("x")
+    found = P.read_documents(spark, str(tmp_path / "a b%20c"))
+    assert not [f for f in found.inputFiles() if f.endswith(".xml")]
+    assert sorted(tuple(r) for r in found.collect()) == sorted(want.items())
+    one = P.read_documents(spark, str(tmp_path / "a b%20c" / "in" / "*.xml")).collect()  # a pattern goes to Spark's reader
+    assert len(one) == 10
+    (tmp_path / "none").mkdir()
+    assert P.read_documents(spark, str(tmp_path / "none")).collect() == []
+
+
+def test_long_landed_texts_are_handed_on_in_pieces(spark, tmp_path):
+    for i in range(30):
+        (tmp_path / f"{i}.xml").write_text(f"{i}" + "x" * 700_000)
+    got = P.read_documents(spark, str(tmp_path)).select("resource_id", F.length("xml").alias("n")).collect()
+    assert {r["resource_id"]: r["n"] for r in got} == {f"{i}": 700_000 + len(f"{i}") for i in range(30)}
