@@ -12,11 +12,11 @@ from pyspark.sql import functions as F
 
 from quire.functions import let
 
-# The blanks that count as separators (controls, NEL, all Unicode Z).  That most
-# characters are none of them is told by the first range.
-BLANK = r"[[^!-~]&&[\t-\r\x1c-\x1f\x85\p{Z}]]"
-# What is not a single space already: several blanks, or one that is no space.
-UNEVEN_BLANKS = rf"{BLANK}(?:{BLANK}++|(?<! ))"
+# The blanks that count as separators (controls, NEL, all Unicode Z).
+BLANK = r"[\t\n\x0b\f\r\x1c\x1d\x1e\x1f \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"
+# What is not a single space already: several blanks, or one that is no space.  The search is for
+# the first class, which tells most characters by two tests.
+UNEVEN_BLANKS = rf"[\t\n\x0b\f\r\x1c\x1d\x1e\x1f \x85\xa0\u1680-\u3000](?<={BLANK})(?:{BLANK}++|(?<! ))"
 
 # What a payload key may not contain, and what stands for it.
 KEY_REPLACEMENTS = ((".", "__"), (":", "__"), ("-", "_"), ("@", ""))

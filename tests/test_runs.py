@@ -609,3 +609,12 @@ def test_long_landed_texts_are_handed_on_in_pieces(spark, tmp_path):
         (tmp_path / f"{i}.xml").write_text(f"{i}" + "x" * 700_000)
     got = P.read_documents(spark, str(tmp_path)).select("resource_id", F.length("xml").alias("n")).collect()
     assert {r["resource_id"]: r["n"] for r in got} == {f"{i}": 700_000 + len(f"{i}") for i in range(30)}
+
+
+def test_faults_of_a_run_are_judged_once(saved):
+    """Neither table of a run is judged again to tell which records have issues at all."""
+    output, _ = saved.validate()
+    plan = output._jdf.queryExecution().optimizedPlan().toString()
+    # resources are read from a checkpoint, so what is judged here are the collections
+    judged = [line for line in plan.splitlines() if "array_sort" in line]
+    assert len(judged) == 1 and "Filter" not in judged[0]
